@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list, positional_index, simhash_pivots
+from . import decision_list, hilbert_packing, positional_index, simhash_pivots, token_counts, weak_pii
 from .common import table
 
 
@@ -14,6 +15,14 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -24,8 +33,16 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return weak_pii.scan(docs, weak_pii.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_pivots, op8_positional_index, op9_decision_list)}
+    import corpus_pipeline
+
+    found = {f.__name__: f for f in (op2_simhash_pivots, op3_whole_tokens, op5_hilbert_packing, op8_positional_index, op9_decision_list, op10_weak_pii)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
