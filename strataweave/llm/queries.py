@@ -6,11 +6,22 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decision_list, hilbert_packing, positional_index, simhash_pivots, token_counts, weak_pii
+from . import decision_list, hilbert_packing, license_join, positional_index, simhash_pivots, token_counts, url_rules, warc_revisit, weak_pii, zstd_toxicity
 from .common import table
 
 
+#: The rules of the standard URL query: host, path prefix, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op1_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisit.resolve(warc_revisit.captures(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    lines = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.withColumn("headers", lines)
+
+
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -19,10 +30,25 @@ def op3_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
 def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return zstd_toxicity.score(docs, zstd_toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_join.scan(docs, list(license_join.PHRASES), list(license_join.TEMPLATES))
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -41,9 +67,45 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = {f.__name__: f for f in (op2_simhash_pivots, op3_whole_tokens, op5_hilbert_packing, op8_positional_index, op9_decision_list, op10_weak_pii)}
+    found = {f.__name__: f for f in (op1_warc_revisit, op2_simhash_pivots, op3_whole_tokens, op4_url_rules, op5_hilbert_packing, op6_zstd_toxicity, op7_license_join, op8_positional_index, op9_decision_list, op10_weak_pii)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+u AS (
+  SELECT page_id, h, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
+    lower(regexp_extract(bare, '://([^/?]*)', 1)) AS host, regexp_extract(bare, '://[^/?]*([^?]*)', 1) AS path, regexp_extract(bare, '([?].*)$', 1) AS query
+  FROM p),
+c AS (
+  SELECT page_id, '"' || md5(h)[1:16] || '"' AS tag, sha256(h) AS digest, CAST(page_id * 60 AS VARCHAR) AS modified,
+    scheme || '://' || CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END
+      || CASE path WHEN '' THEN '/' ELSE path END || query AS url
+  FROM u),
+again AS (
+  SELECT *, page_id * 60 + CASE WHEN page_id % 11 = 0 THEN -86400 ELSE 86400 END AS at,
+    CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"changed"' ELSE tag END AS sent
+  FROM c),
+best AS (
+  SELECT a.page_id, a.url, a.sent, a.modified, r.page_id AS of, r.tag AS r_tag, r.modified AS r_modified, r.digest AS r_digest,
+    row_number() OVER (PARTITION BY a.page_id ORDER BY r.page_id DESC) AS n
+  FROM again a LEFT JOIN c r ON r.url = a.url AND r.page_id * 60 < a.at),
+judged AS (SELECT *, CASE WHEN of IS NULL THEN 'missing' WHEN coalesce(sent = r_tag, modified = r_modified) THEN 'resolved' ELSE 'changed' END AS outcome FROM best WHERE n = 1)
+SELECT page_id || '-revisit' AS record_id, url, outcome, CASE outcome WHEN 'resolved' THEN of || '-response' END AS response_id,
+  CASE outcome WHEN 'resolved' THEN 'cache-control: max-age=120' || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || coalesce(sent, r_tag) || chr(10) || 'last-modified: ' || r_modified END AS headers,
+  CASE outcome WHEN 'resolved' THEN r_digest END AS payload_digest
+FROM judged
+"""
+
+URL_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rhost, rpath, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m AS (SELECT page_id, rhost || rpath AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS n
+  FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id AND n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_revisit": WARC_SQL, "op4_url_rules": URL_SQL}
