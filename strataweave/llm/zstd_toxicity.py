@@ -1,7 +1,8 @@
 """Toxicity by compression distance: how much shorter does a window get with a dictionary trained on toxic text?
 
 Two zstandard dictionaries are trained, one on ordinary texts, one on the words
-of toxic texts that these use several times as often as ordinary texts do. The
+of toxic texts that these use several times as often, in different surroundings,
+as ordinary texts do. The
 toxic content is put in front of the ordinary content, so both compressors see
 the same ordinary content at the same distances and their lengths for a window
 differ by what the toxic content saves. A text's largest savings over all its
@@ -12,9 +13,9 @@ that the dictionaries were not trained on.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,21 @@ def _dictionary(samples: list[bytes], size: int, k: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
+def _support(texts: Iterable[list[bytes]], only: set[bytes] | None) -> dict[bytes, int]:
+    """By word in how many texts it stands in surroundings (the words on either side) that no text before has: copies of a text add nothing."""
+    owner: dict[int, int] = {}
+    out: dict[bytes, list[int]] = {}
+    for i, w in enumerate(texts):
+        for before, x, after in zip([b"", *w], w, [*w[1:], b""], strict=False):
+            if only is None or x in only:
+                place = crc32(after, crc32(before)) << 32 | crc32(x)
+                if owner.setdefault(place, i) == i:
+                    known = out.setdefault(x, [-1, 0])
+                    if known[0] != i:
+                        known[0], known[1] = i, known[1] + 1
+    return {x: n for x, (_, n) in out.items()}
+
+
 @dataclass
 class Model:
     toxic: bytes
@@ -55,7 +71,7 @@ class Model:
         self.__dict__ |= state | {"_pair": None}
 
     def features(self, text: str | None) -> np.ndarray:
-        """One, the three largest savings in bytes, their number from six bytes on and of all windows, both as logarithms."""
+        """One; the three largest savings in bytes; how many are six bytes or more and how many windows there are, as logarithms; the mean saving and the share of six or more."""
         if self._pair is None:
             self._pair = []
             for content in (self.toxic, self.ordinary):
@@ -66,41 +82,47 @@ class Model:
                 else:
                     self._pair.append(zstandard.ZstdCompressor(level=self.level, write_content_size=False, write_checksum=False, write_dict_id=False))
         tox, plain = (c.compress for c in self._pair)
-        w, top, strong, n = words(text), [0, 0, 0], 0, 0
+        w, top, strong, total, n = words(text), [0, 0, 0], 0, 0, 0
         for i in range(0, len(w), self.window):
             x = b" " + b" ".join(w[i : i + self.window]) + b" "
             saved = len(plain(x)) - len(tox(x))
             n += 1
+            total += saved
             strong += saved >= 6
             if saved > top[2]:
                 top = sorted((*top[:2], saved), reverse=True)
-        return np.array([1.0, *top, np.log1p(strong), np.log1p(n)])
+        return np.array([1.0, *top, np.log1p(strong), np.log1p(n), total / max(1, n), 10 * strong / max(1, n)])
 
     def score(self, x: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))))
 
 
-def train(rows: list[tuple[str, int]], window: int = 8, level: int = 9, size: int = 4096, often: float = 4.0) -> Model:
+def train(rows: list[tuple[str, int]], window: int = 8, level: int = 9, size: int = 32_768, often: float = 4.0) -> Model:
     """A model from ``(text, label)`` rows; three quarters train the dictionaries, the rest calibrate. With one label only, or no rows, scores are the share of label 1 (one half without rows)."""
     used, held = [r for i, r in enumerate(rows) if i % 4], rows[::4]
-    texts = [(words(t), y) for t, y in used]
-    seen = (Counter(), Counter())
-    for w, y in texts:
-        seen[y].update(set(w))
     n = [max(1, sum(y == c for _, y in used)) for c in (0, 1)]
-    least = max(5, n[1] // 100)
-    marked = {w for w, k in seen[1].items() if k >= least and k / n[1] > often * (seen[0][w] + 1) / n[0] and len(w) > 2}
-    toxic = [b" " + x + b" " for w, y in texts if y for x in w if x in marked]
-    plain = [b" ".join(w[i : i + window]) for w, y in texts if not y for i in range(0, len(w), window)]
-    plain = plain[:: max(1, len(plain) // 40_000)]
+    seen = _support((words(t) for t, y in used if y), None)
+    least = max(5, sum(y for _, y in used) // 100)
+    often_seen = {w for w, c in seen.items() if c >= least and len(w) > 2}
+    plain_seen = _support((words(t) for t, y in used if not y), often_seen)
+    marked = {w for w in often_seen if seen[w] / n[1] > often * (plain_seen.get(w, 0) + 1) / n[0]}
+    toxic = [b" " + x + b" " for t, y in used if y for x in words(t) if x in marked]
+    step = 1 + sum(len(t) for t, y in used if not y) // (40_000 * 6 * window)
+    plain, at = [], 0
+    for t, y in used:
+        w = [] if y else words(t)
+        for i in range(0, len(w), window):
+            if at % step == 0:
+                plain.append(b" ".join(w[i : i + window]))
+            at += 1
     ordinary = _dictionary(plain, size, 64)
     # the toxic samples are few and short: each three times, the least that the trainer takes
-    model = Model(_dictionary(toxic * 3, size // 2, 32) + ordinary, ordinary, np.zeros(6), window, level)
-    x, y = np.array([model.features(t) for t, _ in held]).reshape(-1, 6), np.array([float(l) for _, l in held])
+    model = Model(_dictionary(toxic * 3, size // 2, 32) + ordinary, ordinary, np.zeros(8), window, level)
+    x, y = np.array([model.features(t) for t, _ in held]).reshape(-1, 8), np.array([float(l) for _, l in held])
     share = (y.sum() + 0.5) / (len(y) + 1)
     model.weights[0] = np.log(share / (1 - share))
     if 0 < y.sum() < len(y):
-        ridge = np.diag([1e-6] + [0.1] * 5)
+        ridge = np.diag([1e-6] + [0.1] * 7)
         for _ in range(30):  # Newton's method
             p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
             h = (x * (p * (1 - p))[:, None]).T @ x + ridge
@@ -108,7 +130,7 @@ def train(rows: list[tuple[str, int]], window: int = 8, level: int = 9, size: in
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 50_000, **options: float) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, max_chars: int = 50_000, **options: float) -> Model:
     """A model from at most about ``max_rows`` labelled rows of at most ``max_chars`` characters (bounds of the training sample only).
 
     Rows whose ``crc32(doc_id) mod 5`` is 0 are never trained on. If there are
