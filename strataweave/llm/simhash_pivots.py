@@ -66,16 +66,16 @@ def _fingerprint(raw: bytes, shingle: int, block: int = 1 << 16) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, th, fp)`` for every row; the long ``fp`` has the fingerprint's 64 bits, ``th`` is a hash of the text."""
+    """``(doc_id, fp)`` for every row; the long has the fingerprint's 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_fingerprint((t.as_buffer().to_pybytes() if t.is_valid else b""), shingle) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, dtype=np.uint64).view(_SIGNED))], names=["doc_id", "th", "fp"])
+            fps = [_fingerprint((t.as_buffer().to_pybytes() if t.is_valid else b""), shingle) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(_SIGNED))], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
@@ -211,18 +211,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _grouped(docs: DataFrame, shingle: int, max_distance: int, bucket_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, th, fp, label, component_id)`` per row; rows of a component share the label."""
-    fps = stored(fingerprints(docs, shingle, id_col, text_col), "fps")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    labels = components(links(distinct, max_distance, bucket_rows))
-    named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    named = stored(named, "named")
-    least = stored(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
-    of = stored(named.join(least, "label").select(F.col("fp").alias("node"), "label", "component_id"), "of")
-    return fps.join(of, fps.fp == of.node).drop("node")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3, bucket_rows: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row ``(doc_id, fingerprint, component_id)`` per row of ``docs``.
 
@@ -232,23 +220,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3, bu
     are returned as often as they come. An empty table gives an empty result;
     further columns are ignored.
     """
-    rows = _grouped(docs, shingle, max_distance, bucket_rows, id_col, text_col)
-    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 3, bucket_rows: int = 64) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id.
-
-    All columns stay. Null ids come last; of rows with one id the one with the
-    smallest hash of its text stays, and of rows with equal id and text one, the
-    least by its other columns.
-    """
-    rows = _grouped(docs, shingle, max_distance, bucket_rows, "doc_id", "text")
-    each = rows.groupBy("label", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
-    one = each.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n")).alias("k"))
-    kept = stored(one.select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"), F.col("k.n").alias("_n")), "kept")
-    out = docs.join(kept.select("_id", "_th"), docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_th")), "left_semi")
-    if kept.where("_n > 1").isEmpty():
-        return out
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return out.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*").select(*docs.columns)
+    fps = stored(fingerprints(docs, shingle, id_col, text_col), "fps")
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    labels = components(links(distinct, max_distance, bucket_rows))
+    named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    named = stored(named, "named")
+    least = stored(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "least")
+    of = stored(named.join(least, "label").select(F.col("fp").alias("node"), "component_id"), "of")
+    return fps.join(of, fps.fp == of.node).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from strataweave.llm import positional_index as pi
+from strataweave.llm import simhash_copies as sc
 from strataweave.llm import simhash_pivots as sp
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -55,11 +56,60 @@ def test_groups(spark, docs, data, empty):
     want = sorted(map(str, zip(ids, (f"{f:016x}" for f in fps), plain_groups(ids, fps), strict=True)))
     assert sorted(str(tuple(r)) for r in out) == want
     assert sp.near_duplicates(empty).count() == 0
-    kept = sp.keep_one(docs)
-    assert kept.columns == docs.columns
-    keep = [r.doc_id for r in kept.collect()]
-    groups = plain_groups(ids, fps)
-    assert sorted(i for i in keep if i is not None) == sorted({c for c in groups if c is not None}) and keep.count(None) == groups.count(None) == 1
+
+
+def plain_copies(data, shingle=5, least=0.8):
+    """Group number by row: texts with Jaccard similarity of at least ``least``."""
+    sets = []
+    for _, t in data:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else {()})
+    at = list(range(len(data)))
+
+    def find(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for i in range(len(data)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                at[find(i)] = find(j)
+    return [find(i) for i in range(len(data))]
+
+
+@pytest.mark.parametrize("parts", [4, 23])
+def test_near_copies(spark, docs, data, empty, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        kept = sc.keep_one(docs)
+        assert kept.columns == docs.columns
+        got = sorted(str(r.doc_id) for r in kept.collect())
+        assert sc.keep_one(empty).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    least = {}
+    for (i, _), g in zip(data, plain_copies(data), strict=True):
+        least[g] = min(least.get(g, (True, 0)), (i is None, i or 0))
+    assert got == sorted("None" if none else str(i) for none, i in least.values())
+
+
+@pytest.mark.parametrize("parts", [3, 40])
+def test_a_large_family_and_a_common_passage(spark, parts):
+    """Hundreds of near copies stay one group and hundreds of texts with one passage stay apart, however the ranges cut them."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 7)))
+    base, passage = [word() for _ in range(200)], [word() for _ in range(60)]
+    family = [" ".join(w if i not in edits else word() for i, w in enumerate(base)) for edits in ({rng.randrange(200) for _ in range(2)} for _ in range(300))]
+    others = [" ".join([*(word() for _ in range(120)), *passage, *(word() for _ in range(60))]) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(family + others)), "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.doc_id: r.label for r in sc.groups(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len({got[i] for i in range(300)}) <= 3 and len({got[i] for i in range(300, 600)}) == 300
+    assert not {got[i] for i in range(300)} & {got[i] for i in range(300, 600)}
 
 
 @pytest.mark.parametrize(("bucket", "spread"), [(2, 3), (64, 3), (3, 12)])
