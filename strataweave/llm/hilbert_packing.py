@@ -30,6 +30,8 @@ from .common import stored
 DIMS, BITS, BUCKETS = 3, 10, 64
 #: Keys that the driver looks at to cut ranges.
 SAMPLE = 20_000
+#: Most tokens that a range should have (two bytes each).
+RANGE_TOKENS = 16_000_000
 #: Characters whose class no Unicode version has changed; texts of these alone, without the special string, take the faster of the two public encoders, which has the same vocabulary.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]|<\\|endoftext\\|>")
 
@@ -145,11 +147,15 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
     """
     spark = docs.sparkSession
     tokens = stored(tokenized(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = tokens.count()
-    picked = tokens.select("key") if rows <= SAMPLE else tokens.select("key").where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * SAMPLE / rows))
-    sample = np.sort(np.array([r.key for r in picked.collect()], dtype=np.int64))
-    cuts = sample[[len(sample) * i // parts for i in range(1, parts)]] if len(sample) else sample
+    rows, mass = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), mass // RANGE_TOKENS, 1)
+    picked = tokens.select("key", "n")
+    if rows > SAMPLE:
+        picked = picked.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * SAMPLE / rows))
+    sample = np.array(sorted(map(tuple, picked.collect())), dtype=np.int64).reshape(-1, 2)
+    # ranges of equal numbers of tokens, not of documents: long ones lie close together on the curve
+    share = np.cumsum(sample[:, 1]) / max(1, sample[:, 1].sum())
+    cuts = sample[np.searchsorted(share, np.arange(1, parts) / parts), 0] if len(sample) else sample[:, 0]
     totals = dict(map(tuple, _with_range(tokens.select("key", "n"), cuts).groupBy("part").agg(F.sum("n")).collect()))
     first, at = {}, 0
     for p in sorted(totals):
