@@ -70,4 +70,4 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     best = stored(match(pages, rules, url), "matched")
     host, path = split_url(url)
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return rows.join(best.hint("merge"), ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
