@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import stale, upsert
+from ..sources.files import exists, file_system
 
 VERSION = 1
 SCHEMA = "kind string, path string, hash string, model string, documentation string, metadata string, name string, cache_version int"
@@ -19,7 +17,7 @@ NEVER_FRESH = ("custom-metadata",)
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The snapshot; an absent, unreadable or older one is an empty snapshot and a warning, never an error."""
     empty = spark.createDataFrame([], SCHEMA)
-    if not os.path.exists(path):
+    if not exists(spark, path):
         return empty
     try:
         found = spark.read.parquet(path)
@@ -34,14 +32,21 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def save(snapshot: DataFrame, path: str) -> None:
     """Write beside, then swap: a reader sees the old snapshot or the new one."""
-    fresh, old = f"{path}.new", f"{path}.old"
-    shutil.rmtree(fresh, ignore_errors=True)
-    snapshot.withColumn("cache_version", F.lit(VERSION)).write.partitionBy("kind").parquet(fresh)
-    shutil.rmtree(old, ignore_errors=True)
-    if os.path.exists(path):
-        os.replace(path, old)
-    os.replace(fresh, path)
-    shutil.rmtree(old, ignore_errors=True)
+    spark = snapshot.sparkSession
+    snapshot.withColumn("cache_version", F.lit(VERSION)).write.mode("overwrite").partitionBy("kind").parquet(f"{path}.new")
+    swap(spark, f"{path}.new", path)
+
+
+def swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the folder ``fresh`` in the place of ``path`` by two renames, on any file system."""
+    fs, at = file_system(spark, path)
+    new, old = file_system(spark, fresh)[1], file_system(spark, f"{path}.old")[1]
+    fs.delete(old, True)
+    if fs.exists(at):
+        fs.rename(at, old)
+    if not fs.rename(new, at):
+        raise OSError(f"cannot move {fresh} to {path}")
+    fs.delete(old, True)
 
 
 def split(files: DataFrame, snapshot: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,6 @@ failures still keeps its successes.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -189,7 +188,7 @@ def build(spark: SparkSession, root: str, cache_path: str, generator: Generator
     error. If a description fails, the others are saved, then ``Failed`` is
     raised and nothing is rendered.
     """
-    root = os.path.realpath(root)
+    root = src.canonical(spark, root)
     tables = metadata(spark, root, filters, include_hidden)
     if strict:
         for k, df in tables.items():
@@ -219,7 +218,7 @@ def resolve(spark: SparkSession, target: str, root: str) -> tuple[str, str]:
         row = src.read_target(spark, target).first()
         return row.path, row.kind
     known = None
-    for k, df in src.scan_all(spark, os.path.realpath(root)).items():
+    for k, df in src.scan_all(spark, src.canonical(spark, root)).items():
         name = F.element_at(F.split("path", "/"), -2) if k in ("lwc", "aura") else F.col("stem")
         part = df.select(F.lit(k).alias("kind"), "path", name.alias("name"))
         known = part if known is None else known.union(part)
@@ -237,9 +236,9 @@ def update(spark: SparkSession, target: str, root: str, cache_path: str, generat
 
     Metadata comes from the files, so the index keeps folders, states and counts.
     """
-    if not os.path.exists(cache_path):
+    if not src.exists(spark, cache_path):
         raise FileNotFoundError(f"no snapshot at {cache_path}: run a full build first")
-    root = os.path.realpath(root)
+    root = src.canonical(spark, root)
     path, kind = resolve(spark, target, root)
     if kind in cache.NEVER_FRESH:
         raise ValueError("custom metadata has no description to update")

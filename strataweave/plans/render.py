@@ -8,14 +8,13 @@ Cells are not escaped.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import badges, field_type, sanitize_filename
 from ..operators.relational import containment_link
+from ..sources.files import file_system
 
 #: Page folders by kind, and which kind owns a name that several have.
 FOLDERS = {"apex": "classes", "triggers": "triggers", "flows": "flows", "validation-rules": "validation-rules", "objects": "objects", "lwc": "lwc", "flexipages": "flexipages", "aura": "aura", "custom-metadata": "custom-metadata"}
@@ -230,16 +229,20 @@ def index(entries: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, out: str) -> None:
-    """``(kind, name, body)`` as one file a page below ``out``; folders appear with their first page, old pages stay."""
-
-    def write(rows: object) -> None:
-        for r in rows:
-            folder = os.path.join(out, FOLDERS[r["kind"]]) if r["kind"] in FOLDERS else out
-            os.makedirs(folder, exist_ok=True)
-            with open(os.path.join(folder, f"{r['file']}.md"), "w", encoding="utf-8") as f:
-                f.write(r["body"])
+    """``(kind, name, body)`` as one file a page below ``out``; folders appear with their first page, old pages stay.
 
-    pages.select("kind", sanitize_filename(F.col("name")).alias("file"), "body").foreachPartition(write)
+    The driver writes, a partition at a time: pages are small, and executors may
+    not share a disk. ``out`` can be on any file system.
+    """
+    fs, _ = file_system(pages.sparkSession, out)
+    path = pages.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for r in pages.select("kind", sanitize_filename(F.col("name")).alias("file"), "body").toLocalIterator():
+        folder = f"{out}/{FOLDERS[r.kind]}" if r.kind in FOLDERS else out
+        stream = fs.create(path(f"{folder}/{r.file}.md"), True)
+        try:
+            stream.write(bytearray(r.body.encode()))
+        finally:
+            stream.close()
 
 
 def same_page(pages: DataFrame) -> DataFrame:

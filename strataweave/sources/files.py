@@ -9,6 +9,7 @@ driver instead.
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,24 @@ BY_NAME = {k.name: k for k in KINDS}
 SCHEMA = "path string, filename string, length long, raw_source string, error string"
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, local or not, and the path in its terms."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
+
+
+def canonical(spark: SparkSession, path: str) -> str:
+    """One spelling of a path: absolute, links of local ones resolved, the ``file:`` prefix left out."""
+    fs, at = file_system(spark, path)
+    full = fs.makeQualified(at).toString()
+    return os.path.realpath(re.sub("^file:/+", "/", full)) if full.startswith("file:") else full
+
+
 def kind_of(path: str) -> str | None:
     """The kind of the first suffix that fits; None for other files."""
     return next((k.name for k in KINDS if path.endswith(k.suffix)), None)
@@ -62,6 +81,7 @@ def is_path(target: str) -> bool:
 
 def read_files(spark: SparkSession, root: str, suffix: str, include_hidden: bool = False) -> DataFrame:
     """All files below ``root`` with the suffix, as text; those that are no UTF-8 have an error instead."""
+    root = canonical(spark, root)
     if include_hidden:
         found = []
         for folder, folders, names in os.walk(root, followlinks=False):
@@ -143,11 +163,9 @@ def scan_all(spark: SparkSession, root: str, kinds: list[str] | None = None, nam
 
 def read_target(spark: SparkSession, path: str) -> DataFrame:
     """One file by its path, without size or folder checks; a missing one is an error of its own."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         raise FileNotFoundError(f"no such file: {path}")
     if (kind := kind_of(path)) is None:
         raise ValueError(f"not a known kind of file: {path}")
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
-    row = (os.path.realpath(path), os.path.basename(path), kind, text)
-    return spark.createDataFrame([row], "path string, filename string, kind string, raw_source string")
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    return raw.select(F.lit(canonical(spark, path)).alias("path"), F.lit(path.rsplit("/", 1)[-1]).alias("filename"), F.lit(kind).alias("kind"), F.col("content").cast("string").alias("raw_source"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import content_hash
 from ..operators.relational import upsert
+from ..plans.cache import swap
+from ..sources.files import exists
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -29,11 +29,9 @@ def watch(spark: SparkSession, root: str, suffix: str, table: str, checkpoint: s
 
     def apply(batch: DataFrame, number: int) -> None:
         last = batch.groupBy("path").agg(F.max_by("hash", "modificationTime").alias("hash"))
-        now = upsert(spark.read.parquet(table), last, ["path"]) if os.path.exists(table) else last
+        now = upsert(spark.read.parquet(table), last, ["path"]) if exists(spark, table) else last
         now.write.mode("overwrite").parquet(f"{table}.new")
-        if os.path.exists(table):
-            os.replace(table, f"{table}.old-{number}")
-        os.replace(f"{table}.new", table)
+        swap(spark, f"{table}.new", table)
 
     writer = changes(spark, root, suffix).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()

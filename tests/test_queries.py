@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -19,7 +20,7 @@ def duck(sf):
 
 def rows(df):
     cols = sorted(df.columns)
-    tidy = lambda v: None if v is None or v != v else int(v) if isinstance(v, float) and v.is_integer() else v
+    tidy = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v
     return cols, sorted(str(tuple(tidy(v) for v in r)) for r in df[cols].astype(object).itertuples(index=False, name=None))
 
 
