@@ -107,5 +107,53 @@ SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT
 """
 
 
+LEAK_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+b AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+s AS (SELECT item, words, least(10, len(words)) AS n, unnest(range(0, len(words) - least(10, len(words)) + 1)) AS pos FROM b WHERE len(words) > 0),
+w AS (SELECT DISTINCT item, n, array_to_string(words[pos + 1 : pos + n], ' ') AS key FROM s),
+k AS (SELECT DISTINCT n FROM w),
+p AS (SELECT rid, n, unnest(list_transform(range(0, len(words) - n + 1), lambda i: struct_pack(pos := i, key := array_to_string(words[i + 1 : i + n], ' ')))) AS x FROM d, k WHERE len(words) >= n),
+o AS (SELECT rid, p.n AS n, x.pos AS pos, item FROM p JOIN w ON w.n = p.n AND w.key = x.key),
+h AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + n)) AS q FROM o) GROUP BY rid),
+i AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM o GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid)
+"""
+
+
+def license_sql(block: int = 64, threshold: float = 0.8) -> str:
+    """The license query: every phrase at every place, every template against every block."""
+    items = license_join.templates(list(license_join.TEMPLATES), threshold)
+    block = max(block, 2 * max(len(t.words) for t in items))
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in license_join.PHRASES)
+    texts = ", ".join(f"('{t.label}', {sorted(set(t.words))}, {t.needed})" for t in items)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+ph(phrase, label, n) AS (VALUES {phrases}),
+t(label, tw, need) AS (VALUES {texts}),
+q AS (SELECT rid, phrase, label, unnest(list_transform(range(0, len(words) - n + 1), lambda i: struct_pack(pos := i, key := array_to_string(words[i + 1 : i + n], ' ')))) AS x FROM d, ph WHERE len(words) >= n),
+pl AS (SELECT rid, label, x.pos AS pos FROM q WHERE x.key = phrase),
+bl AS (SELECT rid, list_distinct(words[st + 1 : st + {block}]) AS bw FROM (SELECT rid, words, unnest(range(0, greatest(1, len(words)), {block // 2})) AS st FROM d)),
+m AS (SELECT rid, label, len(list_intersect(bw, tw)) AS c, len(tw) AS size, need FROM bl, t),
+f AS (SELECT rid, label, c / size AS share FROM m WHERE c >= need),
+a AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM pl GROUP BY rid),
+l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM pl UNION ALL SELECT rid, label FROM f) GROUP BY rid),
+s AS (SELECT rid, max(share) AS score FROM f GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN a USING (rid) LEFT JOIN l USING (rid) LEFT JOIN s USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisit": WARC_SQL, "op4_url_rules": URL_SQL}
+    return {"op1_warc_revisit": WARC_SQL, "op4_url_rules": URL_SQL, "op7_license_join": license_sql(), "op8_positional_index": LEAK_SQL}
