@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from strataweave import queries as core
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -24,9 +25,9 @@ def rows(df):
     return cols, sorted(str(tuple(tidy(v) for v in r)) for r in df[cols].astype(object).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
 def test_against_duckdb(spark, sf, duck, name):
-    assert rows(entry.queries()[name](spark, sf).toPandas()) == rows(duck.sql(entry.oracle_sql()[name]).df())
+    assert rows(core.queries()[name](spark, sf).toPandas()) == rows(duck.sql(core.oracle_sql()[name]).df())
 
 
 def test_entry(spark):
