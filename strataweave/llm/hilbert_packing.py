@@ -34,6 +34,13 @@ SAMPLE = 20_000
 RANGE_TOKENS = 16_000_000
 #: Characters whose class no Unicode version has changed; texts of these alone, without the special string, take the faster of the two public encoders, which has the same vocabulary.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]|<\\|endoftext\\|>")
+#: Runs of letters or of blanks that the faster encoder, whose time grows with the square of a run, leaves to the library.
+LONG = 2000
+_BLANKS = tuple(c * LONG for c in " \n\t")
+
+
+def _has_long_run(text: str) -> bool:
+    return len(text) >= LONG and (max(map(len, text.split()), default=LONG) >= LONG or any(b in text for b in _BLANKS))
 
 
 class Encoder:
@@ -54,7 +61,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is not None and not _PLAIN.search(text):
+        if self.fast is not None and not _PLAIN.search(text) and not _has_long_run(text):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
