@@ -168,24 +168,34 @@ def admitted(rows: DataFrame, key: list[str], at_micros: str, limit: int, second
 
     A request waits until the oldest of the last ``limit`` starts is ``seconds``
     old, and a millisecond more; starts never go back in time. ``started_at`` is
-    in microseconds. State is ``limit`` numbers a key.
+    in microseconds. A key's requests depend on each other in order, so they are
+    sorted into one task and streamed through it: what is held is the last
+    ``limit`` starts of one key, however many requests it has.
     """
+    from collections import deque
+    from collections.abc import Iterator
+
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at_micros, kind="stable")
-        last: list[int] = []
-        out = []
-        for t in pdf[at_micros]:
-            now = max([t, *last[-1:]])
-            if limit and len(last) == limit and now - last[0] < seconds * 1_000_000:
-                now = last[0] + seconds * 1_000_000 + 1000
-            last = [*last, now][-limit:] if limit else [now]
-            out.append(now)
-        return pdf.assign(started_at=out)
+    names = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, last = None, deque(maxlen=max(1, limit))
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf[key].itertuples(index=False, name=None), pdf[at_micros].tolist(), strict=True):
+                if k != current:
+                    current = k
+                    last.clear()
+                now = max(t, last[-1]) if last else t
+                if limit and len(last) == limit and now - last[0] < seconds * 1_000_000:
+                    now = last[0] + seconds * 1_000_000 + 1000
+                last.append(now)
+                out.append(now)
+            yield pdf.assign(started_at=out)[[*names, "started_at"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", started_at long"
-    return rows.groupBy(*key).applyInPandas(run, schema)
+    return rows.repartition(*key).sortWithinPartitions(*key, at_micros).mapInPandas(run, schema)
 
 
 def distinct_names(tables: list[tuple[DataFrame, str]], name: str = "name") -> DataFrame:
