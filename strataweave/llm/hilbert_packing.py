@@ -36,11 +36,16 @@ RANGE_TOKENS = 16_000_000
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]|<\\|endoftext\\|>")
 #: Runs of letters or of blanks that the faster encoder, whose time grows with the square of a run, leaves to the library.
 LONG = 2000
-_BLANKS = tuple(c * LONG for c in " \n\t")
+_LONG = re.compile(rf"(?<!\S)\S{{{LONG}}}|(?<!\s)\s{{{LONG}}}")
 
 
 def _has_long_run(text: str) -> bool:
-    return len(text) >= LONG and (max(map(len, text.split()), default=LONG) >= LONG or any(b in text for b in _BLANKS))
+    """Whether a run is too long; it would fill a whole block of half that length, so most texts are settled by one blank a block."""
+    half = LONG // 2
+    for i in range(0, len(text) - half + 1, half):
+        if text.find(" ", i, i + half) < 0 or text[i : i + half].isspace():
+            return _LONG.search(text) is not None
+    return False
 
 
 class Encoder:
