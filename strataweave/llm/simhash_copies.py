@@ -13,9 +13,17 @@ discarded, and the survivors' five-word shingle sets are compared in full.
 Work is linear in the rows whatever a group's size: rows are dealt out by ranges
 of (section, coordinate, text), so a passage that a third of all texts share is
 cut anywhere, and groups that a cut runs through are joined again by their
-first and last rows. In a group of more than ``LEADERS + NEIGHBOURS`` rows not
-every pair is compared; copies of one text are alike, so the chain of leaders
-and neighbours keeps their component whole. Equal texts are one row throughout.
+first and last rows. This pass joins most copies cheaply, but not all of them:
+large groups are compared in part, and similar texts may share no section.
+
+An exact pass finds every remaining link. All texts' shingles stand in one
+order; of two sets of ``n`` shingles or fewer with Jaccard similarity ``t`` one
+of the first ``n - ceil(t * n) + 1`` is in both. So each text is filed under
+these, and rows of one shingle meet unless the first pass has joined them: bounds
+by length and by place in the order discard pairs, and a pair that already met
+at the shingle before in both texts is not named again. Groups above
+``BLOCK_ROWS`` rows are dealt out as pairs of blocks, each a group of its own.
+No pair is left out. Equal texts are one row throughout.
 """
 
 from __future__ import annotations
@@ -37,6 +45,8 @@ from .simhash_pivots import SPREAD, components, pivot_table
 LEAST, ONE_IN, FILED = 4, 8, 6
 #: Rows of a group that each row is compared with: the first ones, and those just before.
 LEADERS, NEIGHBOURS = 2, 6
+#: Rows of one shingle up to which they are one group of the exact pass.
+BLOCK_ROWS = 256
 _BLOCK = 50_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -165,6 +175,107 @@ def candidates(rows: DataFrame, max_distance: int) -> DataFrame:
     return stored(once.where("part is null").select("a", "b").union(more.select("a", "b")).distinct(), "pairs")
 
 
+def prefix(found: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of the set ``found`` in the common order, one of which is in any set at least so similar."""
+    least = int(np.ceil(similarity * len(found) - 1e-9))
+    return found[: len(found) - least + 1]
+
+
+def _filed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(key, before, th, size, at)`` per text and shingle of its prefix: the one before it and its place; texts without words are filed under 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, before, at, sizes = [], [], [], []
+            for t in b.column(1):
+                found = shingle_set(_raw(t), shingle)
+                first = prefix(found, similarity) if len(found) else np.zeros(1, dtype=np.uint64)
+                keys.append(first)
+                before.append(np.r_[np.zeros(1, dtype=np.uint64), first[:-1]])
+                at.append(np.arange(len(first), dtype=np.int32))
+                sizes.append(len(found))
+            n = [len(k) for k in keys]
+            if n:
+                th = np.repeat(b.column(0).to_numpy(), n)
+                cols = [np.concatenate(keys).astype(np.uint64).view(np.int64), np.concatenate(before).astype(np.uint64).view(np.int64), th, np.repeat(sizes, n).astype(np.int32), np.concatenate(at)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "before", "th", "size", "at"])
+
+    texts = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "key long, before long, th long, size int, at int")
+
+
+def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, th), each once, whose key has another text; the last row of a batch waits for the next."""
+    tail, known = None, None
+    for b in it:
+        t = pa.Table.from_batches([b] if tail is None else [tail, b]).combine_chunks()
+        if not t.num_rows:
+            continue
+        key, th = t.column("key").to_numpy(), t.column("th").to_numpy()
+        new = np.r_[True, (key[1:] != key[:-1]) | (th[1:] != th[:-1])]
+        t, key = t.filter(pa.array(new)), key[new]
+        same = np.r_[key[1:] == key[:-1], False]
+        keep = same | np.r_[key[0] == known, same[:-1]]
+        known = key[-2] if len(key) > 1 else known
+        tail = t.slice(t.num_rows - 1).to_batches()[0]
+        yield from t.slice(0, t.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()
+    if tail is not None and tail.column(0)[0].as_py() == known:
+        yield tail
+
+
+def _meet(it: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Pairs that the bounds leave, among rows sorted by (key, i, j, size); a group has a few hundred rows and is carried whole."""
+    tail = None
+    for pdf in it:
+        pdf = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
+        if len(pdf):
+            same = (pdf[["key", "i", "j"]] == pdf[["key", "i", "j"]].iloc[-1]).all(axis=1).to_numpy()
+            yield from _met(pdf[~same], similarity)
+            tail = pdf[same]
+    if tail is not None:
+        yield from _met(tail, similarity)
+
+
+def _met(pdf: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]:
+    key, i, j, mine, before, th, label, size, at = (pdf[c].to_numpy() for c in ("key", "i", "j", "mine", "before", "th", "label", "size", "at"))
+    alive, shift, share, found, held = np.arange(len(pdf)), 1, similarity / (1 + similarity), [], 0
+    while len(alive):
+        b = alive + shift
+        a, b = alive[b < len(pdf)], b[b < len(pdf)]
+        # sorted by size: once it is too large, later ones are too
+        on = (key[a] == key[b]) & (i[a] == i[b]) & (j[a] == j[b]) & (size[a] >= similarity * size[b] - 1e-9)
+        alive = a = a[on]
+        b = b[on]
+        want = share * (size[a].astype(np.int64) + size[b]) - 1e-9
+        most = np.minimum(size[a] - at[a], size[b] - at[b])
+        ok = (label[a] != label[b]) & ((i[a] == j[a]) | (mine[a] != mine[b])) & (most >= want)
+        ok &= (before[a] != before[b]) | (at[a] == 0) | (at[b] == 0)
+        a, b = th[a[ok]], th[b[ok]]
+        if len(a):
+            found.append((np.minimum(a, b), np.maximum(a, b)))
+            held += len(a)
+        shift += 1
+        if held > 100_000 or (found and not len(alive)):
+            yield pd.DataFrame(dict(zip("ab", map(np.concatenate, zip(*found, strict=True)), strict=True))).drop_duplicates()
+            found, held = [], 0
+
+
+def missed(docs: DataFrame, labels: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Distinct pairs ``(a, b)`` with different ``labels(node, label)`` that hold every pair at least so similar."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = _filed(docs, shingle, similarity).repartition(n, "key").sortWithinPartitions("key", "th")
+    shared = stored(filed.mapInArrow(_shared, "key long, before long, th long, size int, at int"), "shared")
+    named = shared.join(labels, shared.th == labels.node, "left").select("key", "before", "th", "size", "at", F.coalesce("label", "th").alias("label"))
+    named = stored(named, "named")
+    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "n")
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    rows = named.join(mixed, "key").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "before", "th", "label", "size", "at")
+    dealt = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "size", "th")
+    return stored(dealt.mapInPandas(lambda it: _meet(it, similarity), "a long, b long").distinct(), "missed")
+
+
 def similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs whose texts' sets of word shingles have at least this Jaccard similarity."""
 
@@ -200,6 +311,9 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_dista
     rows = stored(_described(docs), "described")
     edges = stored(similar(docs, candidates(rows, max_distance), shingle, similarity), "similar")
     labels = components(edges)
+    more = stored(similar(docs, missed(docs, labels, shingle, similarity), shingle, similarity), "more")
+    if not more.isEmpty():
+        labels = components(edges.union(more))
     return rows.select("doc_id", "th").join(labels, rows.th == labels.node, "left").select("doc_id", "th", F.coalesce("label", "th").alias("label"))
 
 

@@ -111,6 +111,58 @@ def test_a_large_family_and_a_common_passage(spark, parts):
     assert len({got[i] for i in range(300)}) <= 3 and len({got[i] for i in range(300, 600)}) == 300
     assert not {got[i] for i in range(300)} & {got[i] for i in range(300, 600)}
 
+def in_groups(spark, texts):
+    """The groups of ``texts`` that the operator gives, and those that every pair's shingle sets give."""
+    found = defaultdict(set)
+    for r in sc.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        found[r.label].add(r.doc_id)
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    plain = defaultdict(set)
+    for i in range(len(texts)):
+        plain[find(i)].add(i)
+    tidy = lambda groups: sorted(sorted(g) for g in groups.values())
+    return tidy(found), tidy(plain)
+
+
+def words_of(rng, n):
+    return [f"w{rng.randrange(100_000)}" for _ in range(n)]
+
+
+def changed(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"c{rng.randrange(10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [16, 256])
+def test_stars_and_chains_of_copies(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(sc, "BLOCK_ROWS", block_rows)
+    rng, texts = random.Random(5), []
+    for _ in range(2):  # copies near to their original, not to each other
+        first = words_of(rng, 200)
+        texts += [first, *(changed(rng, first, 3) for _ in range(60))]
+    step = words_of(rng, 120)
+    for _ in range(40):  # each copy near to the one before
+        step = changed(rng, step, 2)
+        texts.append(step)
+    rng.shuffle(texts)
+    found, plain = in_groups(spark, [" ".join(t) for t in texts])
+    assert found == plain
+    assert max(map(len, plain)) > 55
+
 
 @pytest.mark.parametrize(("bucket", "spread"), [(2, 3), (64, 3), (3, 12)])
 def test_links_are_all_found(spark, bucket, spread):
