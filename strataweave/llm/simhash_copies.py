@@ -17,7 +17,8 @@ first and last rows. This pass joins most copies cheaply, but not all of them:
 large groups are compared in part, and similar texts may share no section.
 
 An exact pass finds every remaining link. All texts' shingles stand in one
-order; of two sets of ``n`` shingles or fewer with Jaccard similarity ``t`` one
+order, those of passages that many texts share last (a sample tells which; any
+order gives the same links); of two sets of ``n`` shingles or fewer with Jaccard similarity ``t`` one
 of the first ``n - ceil(t * n) + 1`` is in both. So each text is filed under
 these, and rows of one shingle meet unless the first pass has joined them: bounds
 by length and by place in the order discard pairs, and a pair that already met
@@ -45,6 +46,8 @@ from .simhash_pivots import SPREAD, components, pivot_table
 LEAST, ONE_IN, FILED = 4, 8, 6
 #: Rows of a group that each row is compared with: the first ones, and those just before.
 LEADERS, NEIGHBOURS = 2, 6
+#: Texts whose shingles are counted, and shingles at most that go last in the order.
+SAMPLE, FREQUENT = 20_000, 200_000
 #: Rows of one shingle up to which they are one group of the exact pass.
 BLOCK_ROWS = 256
 _BLOCK = 50_000
@@ -175,13 +178,43 @@ def candidates(rows: DataFrame, max_distance: int) -> DataFrame:
     return stored(once.where("part is null").select("a", "b").union(more.select("a", "b")).distinct(), "pairs")
 
 
-def prefix(found: np.ndarray, similarity: float) -> np.ndarray:
-    """The first hashes of the set ``found`` in the common order, one of which is in any set at least so similar."""
+def prefix(found: np.ndarray, similarity: float, last: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first hashes of the sorted set ``found`` in the common order, one of which is in any set at least so similar.
+
+    The order is by the hash, but the sorted hashes ``last`` follow all others, by ``ranks``.
+    """
     least = int(np.ceil(similarity * len(found) - 1e-9))
+    if len(last):
+        at = np.minimum(np.searchsorted(last, found), len(last) - 1)
+        found = found[np.argsort(np.where(last[at] == found, ranks[at], -1), kind="stable")]
     return found[: len(found) - least + 1]
 
 
-def _filed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _frequent(docs: DataFrame, shingle: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that come three times or more in a sample, ``FREQUENT`` at most, and their ranks: the rarer the lower."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(_raw(t), shingle).view(np.int64))], names=["key"])
+
+    some = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th")).where(F.pmod("th", F.lit(max(1, texts // SAMPLE))) == 0)
+    counts = stored(some.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "frequent")
+    least, room = 3, FREQUENT
+    for r in sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("keys")).collect(), reverse=True):
+        room -= r["keys"]
+        if room < 0:
+            least = r["n"] + 1
+            break
+    top = counts.where(F.col("n") >= least).toArrow()
+    keys, n = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(keys)
+    ranks = np.empty(len(keys), dtype=np.int32)
+    ranks[np.lexsort((keys[order], n[order]))] = np.arange(len(keys), dtype=np.int32)
+    return keys[order], ranks
+
+
+def _filed(docs: DataFrame, shingle: int, similarity: float, last: np.ndarray, ranks: np.ndarray) -> DataFrame:
     """``(key, before, th, size, at)`` per text and shingle of its prefix: the one before it and its place; texts without words are filed under 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +222,7 @@ def _filed(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             keys, before, at, sizes = [], [], [], []
             for t in b.column(1):
                 found = shingle_set(_raw(t), shingle)
-                first = prefix(found, similarity) if len(found) else np.zeros(1, dtype=np.uint64)
+                first = prefix(found, similarity, last, ranks) if len(found) else np.zeros(1, dtype=np.uint64)
                 keys.append(first)
                 before.append(np.r_[np.zeros(1, dtype=np.uint64), first[:-1]])
                 at.append(np.arange(len(first), dtype=np.int32))
@@ -260,10 +293,10 @@ def _met(pdf: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]:
             found, held = [], 0
 
 
-def missed(docs: DataFrame, labels: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def missed(docs: DataFrame, labels: DataFrame, shingle: int, similarity: float, texts: int) -> DataFrame:
     """Distinct pairs ``(a, b)`` with different ``labels(node, label)`` that hold every pair at least so similar."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filed = _filed(docs, shingle, similarity).repartition(n, "key").sortWithinPartitions("key", "th")
+    filed = _filed(docs, shingle, similarity, *_frequent(docs, shingle, texts)).repartition(n, "key").sortWithinPartitions("key", "th")
     shared = stored(filed.mapInArrow(_shared, "key long, before long, th long, size int, at int"), "shared")
     named = shared.join(labels, shared.th == labels.node, "left").select("key", "before", "th", "size", "at", F.coalesce("label", "th").alias("label"))
     named = stored(named, "named")
@@ -311,7 +344,7 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_dista
     rows = stored(_described(docs), "described")
     edges = stored(similar(docs, candidates(rows, max_distance), shingle, similarity), "similar")
     labels = components(edges)
-    more = stored(similar(docs, missed(docs, labels, shingle, similarity), shingle, similarity), "more")
+    more = stored(similar(docs, missed(docs, labels, shingle, similarity, rows.count()), shingle, similarity), "more")
     if not more.isEmpty():
         labels = components(edges.union(more))
     return rows.select("doc_id", "th").join(labels, rows.th == labels.node, "left").select("doc_id", "th", F.coalesce("label", "th").alias("label"))

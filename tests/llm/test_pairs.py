@@ -163,6 +163,25 @@ def test_stars_and_chains_of_copies(spark, monkeypatch, block_rows):
     assert found == plain
     assert max(map(len, plain)) > 55
 
+def test_copies_under_a_common_passage(spark):
+    """Many texts with one long passage; each has a copy that differs elsewhere."""
+    rng = random.Random(6)
+    passage, texts = words_of(rng, 300), []
+    for _ in range(80):
+        own = words_of(rng, 40)
+        texts += [own + passage, changed(rng, own, 2) + changed(rng, passage, 2)]
+    found, plain = in_groups(spark, [" ".join(t) for t in texts])
+    assert found == plain
+    assert 40 < len(plain) < 160
+
+
+def test_frequent_shingles_come_last():
+    found = np.array([3, 5, 8, 9, 20], dtype=np.uint64)
+    last, ranks = np.array([3, 4, 9], dtype=np.uint64), np.array([2, 0, 1])
+    assert sc.prefix(found, 0.2, last, ranks).tolist() == [5, 8, 20, 9, 3]
+    assert sc.prefix(found, 0.8, last, ranks).tolist() == [5, 8]
+    assert sc.prefix(found, 0.8, last[:0], ranks[:0]).tolist() == [3, 5]
+
 
 @pytest.mark.parametrize(("bucket", "spread"), [(2, 3), (64, 3), (3, 12)])
 def test_links_are_all_found(spark, bucket, spread):
