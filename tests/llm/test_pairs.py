@@ -183,6 +183,18 @@ def test_frequent_shingles_come_last():
     assert sc.prefix(found, 0.8, last[:0], ranks[:0]).tolist() == [3, 5]
 
 
+@pytest.mark.parametrize("n", [5, 20, 25, 30])
+def test_short_copies(spark, n):
+    """Short texts that differ in the last word: no section needs to be the same."""
+    rng, texts = random.Random(n), []
+    for _ in range(100):
+        own = words_of(rng, n)
+        texts += [own, [*own[:-1], f"z{rng.randrange(10**9)}"]]
+    found, plain = in_groups(spark, [" ".join(t) for t in texts])
+    assert found == plain
+    assert len(plain) == (200 if n == 5 else 100)
+
+
 @pytest.mark.parametrize(("bucket", "spread"), [(2, 3), (64, 3), (3, 12)])
 def test_links_are_all_found(spark, bucket, spread):
     """Dense clusters in tiny buckets go through several levels of refinement."""
