@@ -294,6 +294,12 @@ def sanitize_name(s, d):
     return _t(s, d, "documents").where("lang = 'en'").select("doc_id", tx.sanitize_filename(F.regexp_replace(F.substring("text", 1, 200), r"[^\x00-\x7F]", "")).alias("name"))
 
 
+@query()
+def sanitize_name_whole(s, d):
+    """Every text in full, letters of any script; no SQL, since DuckDB has no class of alphabetic characters."""
+    return _t(s, d, "documents").select("doc_id", tx.sanitize_filename(F.col("text")).alias("name"))
+
+
 @query("SELECT p_partkey, string_split(p_name, ' ')[1] || array_to_string(list_transform(string_split(p_name, ' ')[2:], lambda w: upper(w[1]) || w[2:]), '') AS camel FROM part")
 def kebab_camel(s, d):
     return _t(s, d, "part").select("p_partkey", tx.kebab_to_camel(F.translate("p_name", " ", "-")).alias("camel"))
@@ -316,6 +322,11 @@ def type_refs(s, d):
     return _t(s, d, "documents").where("lang = 'en'").select("doc_id", F.array_join(tx.type_references(plain), ",").alias("refs"))
 
 
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(' ' || regexp_replace(text, '[^ -~]', 'x', 'g'), '[^A-Za-z0-9_]([A-Z][a-zA-Z0-9_]+)', 1), lambda w: length(w) > 2))), ',') AS refs FROM documents")
+def type_refs_whole(s, d):
+    return _t(s, d, "documents").select("doc_id", F.array_join(tx.type_references(F.regexp_replace("text", "[^ -~]", "x")), ",").alias("refs"))
+
+
 @query("SELECT p_partkey, string_split(p_name, ' ')[1] AS param_type, substr(p_name, instr(p_name, ' ') + 1) AS param FROM part WHERE instr(p_name, ' ') > 0")
 def param_split(s, d):
     pairs = _t(s, d, "part").select("p_partkey", F.explode(tx.parameters(F.col("p_name"))).alias("p"))
@@ -502,6 +513,12 @@ def enrich_offline(s, d):
     return enrich.documents(enrich.enrich(work, enrich.OfflineGenerator()), "flows").select("doc_id", F.col("doc.summary").alias("summary"))
 
 
+@query("SELECT doc_id, source || ' (' || left(sha256(text), 8) || ')' AS summary FROM documents")
+def enrich_offline_whole(s, d):
+    work = _t(s, d, "documents").select(F.lit("flows").alias("kind"), F.col("doc_id").cast("string").alias("path"), "doc_id", F.col("source").alias("name"), F.col("text").alias("prompt"))
+    return enrich.documents(enrich.enrich(work, enrich.OfflineGenerator()), "flows").select("doc_id", F.col("doc.summary").alias("summary"))
+
+
 @query("SELECT * FROM (VALUES ('gemini', 'gemini-2.5-flash', true), ('groq', 'llama-3.3-70b-versatile', true), ('openai', 'gpt-4o-mini', true), ('ollama', 'llama3.2', false)) t(provider, default_model, needs_key)")
 def providers_dim(s, d):
     return enrich.providers(s).select("provider", "default_model", "needs_key")
