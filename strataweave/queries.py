@@ -110,6 +110,12 @@ def cache_upsert(s, d):
     return rel.upsert(known.where("doc_id % 2 = 0"), now.where("doc_id % 2 = 1"), ["doc_id"])
 
 
+@query(f"WITH {_SNAP} SELECT doc_id, hash FROM h UNION ALL SELECT doc_id, hash FROM k WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = k.doc_id)")
+def cache_upsert_whole(s, d):
+    now, known = _snapshot(s, d)
+    return rel.upsert(known, rel.stale(now, known, ["doc_id", "hash"]), ["doc_id"])
+
+
 @query("SELECT doc_id, CASE WHEN b IS NULL THEN 'new' WHEN a IS NULL THEN 'deleted' WHEN a <> b THEN 'modified' ELSE 'same' END AS change FROM (WITH " + _SNAP + " SELECT coalesce(h.doc_id, k.doc_id) AS doc_id, h.hash AS a, k.hash AS b FROM h FULL JOIN k ON h.doc_id = k.doc_id)")
 def hash_diff(s, d):
     now, known = _snapshot(s, d)
