@@ -15,9 +15,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -89,23 +91,17 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """All spans to vote on, with whether a base pattern found them."""
     base = base_spans(text)
     out = [(*s, True) for s in base]
-    taken = [(a, b) for a, b, _ in base]
+    starts = sorted(a for a, _, _ in base)
+    ends = list(accumulate((b for _, b, _ in sorted(base)), max))  # the furthest end so far
 
     def free(a: int, b: int) -> bool:
-        return not any(x < b and a < y for x, y in taken)
+        i = bisect_left(starts, b)
+        return not i or ends[i - 1] <= a
 
     more: list[tuple[int, int, int]] = []
     more += [(*m.span(), 2) for m in _GROUP.finditer(text)]
     more += [(*m.span(), 3) for m in _LOCAL_PHONE.finditer(text)]
     more += [(*m.span(), 4) for m in _SECRET.finditer(text)]
-    if more and len(taken) > 50:  # many spans: look only at neighbours
-        starts = sorted(taken)
-        import bisect
-
-        def free(a: int, b: int) -> bool:  # noqa: F811
-            i = bisect.bisect_left(starts, (b, 0))
-            return not any(y > a for _, y in starts[max(0, i - 4) : i])
-
     for a, b, k in sorted(more):
         if free(a, b):
             out.append((a, b, k, False))

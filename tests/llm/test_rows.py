@@ -145,6 +145,14 @@ def test_base_spans():
         assert [(a, k, b) for a, b, k in wp.base_spans(t)] == plain_spans(t)
 
 
+@pytest.mark.parametrize("others", [0, 60])
+def test_candidates_within_a_long_span(others):
+    """A number inside an e-mail that also holds many addresses is no candidate, however many spans the text has."""
+    text = "a@b.co " * others + "1.2.3.4_" * 6 + "123-456-7890@a.com or 123-456-7890"
+    more = [(a, b) for a, b, _, base in wp.candidates(text) if not base]
+    assert more == [(len(text) - 12, len(text))]
+
+
 def test_private_data(spark, docs, data, empty):
     rows = [(i, t) for i, t in enumerate(PRIVATE * 5)] + [(900, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
