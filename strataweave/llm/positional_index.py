@@ -89,6 +89,8 @@ def proximity_matches(index: DataFrame, terms: DataFrame, width: int = 10, rares
     """``(k1, k2, item)`` where the ``rarest`` least frequent terms of a window occur with shifts less than ``slop`` apart.
 
     Shifts are put in cells of ``slop`` and again in cells moved by half of it.
+    Incomplete: shifts more than half of ``slop`` apart may share no cell, and
+    windows with a term that no text has are left out.
     """
     starts = F.sequence(F.greatest(F.col("ipos") - (width - 1), F.lit(0)), F.least("ipos", F.greatest(F.col("len") - width, F.lit(0))))
     window = W.partitionBy("ik", "start")
