@@ -40,18 +40,58 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Whether an execution's shuffle files go when it ends; no stored table needs them once it is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs its running tasks, never the
-    stages before, and a result used twice is computed once. The table is
-    deleted when the driver ends.
+    stages before, and a result used twice is computed once. The shuffle files
+    of the write go at once; the table goes by ``release`` or ``release_all``,
+    at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strataweave-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df = df.select("*")  # an execution of its own, which sees the setting
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    _KEPT[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned and that nothing reads any more."""
+    for t in tables:
+        if (path := t.__dict__.get("_stored_at")) in _KEPT:
+            _delete(_KEPT.pop(path), path)
+
+
+def release_all() -> None:
+    """Delete every stored table: in a long session, once the results built on them are written."""
+    while _KEPT:
+        path, spark = _KEPT.popitem()
+        _delete(spark, path)
+
+
+_KEPT: dict[str, SparkSession] = {}
+atexit.register(release_all)
+
+
+#: Largest number of rows that is broadcast (keys of 16 to 100 bytes); larger tables are joined by shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, a stored table, marked for broadcast if its rows (counted unless told) are within the bound."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def ascii_lower(text: Column) -> Column:

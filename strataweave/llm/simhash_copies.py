@@ -1,36 +1,38 @@
-"""Near copies by shingle similarity, found through SimHash fingerprints of whole texts and of their sections.
-
-Texts that share four fifths of their five-word shingles differ in up to a
-dozen bits of a 64-bit SimHash, too many to look up by equal bits. But most of
-their sections are the same. So a text is cut where its words say so (not at
-fixed places), every section gets a SimHash, and the text is filed under the
-few that come first in a fixed order of hashes. Texts filed under one section
-are sorted by the first coordinate of their fingerprints' pivot table and
-compared with the group's first rows and with the rows just before: pairs whose
-maximum coordinate difference, then whose distance, exceeds ``max_distance`` are
-discarded, and the survivors' five-word shingle sets are compared in full.
-
-Work is linear in the rows whatever a group's size: rows are dealt out by ranges
-of (section, coordinate, text), so a passage that a third of all texts share is
-cut anywhere, and groups that a cut runs through are joined again by their
-first and last rows. This pass joins most copies cheaply, but not all of them:
-large groups are compared in part, and similar texts may share no section.
-
-An exact pass finds every remaining link. All texts' shingles stand in one
-order, those of passages that many texts share last (a sample tells which; any
-order gives the same links); of two sets of ``n`` shingles or fewer with Jaccard similarity ``t`` one
-of the first ``n - ceil(t * n) + 1`` is in both. So each text is filed under
-these, and rows of one shingle meet unless the first pass has joined them: bounds
-by length and by place in the order discard pairs, and a pair that already met
-at the shingle before in both texts is not named again. Groups above
-``BLOCK_ROWS`` rows are dealt out as pairs of blocks, each a group of its own.
-No pair is left out. Equal texts are one row throughout.
+"""Near copies by shingle similarity: SimHash and pivot tables link most of them, an exact set join the rest.
+
+Two texts are near copies if their sets of five-word shingles have a Jaccard
+similarity ``s`` of 0.8 or more. No step caps partners or looks at a sample; the
+groups are those that comparing all pairs would give.
+
+1. **Which texts can have a near copy at all.** All shingles stand in the order
+   of their hashes. Sets ``a`` and ``b`` so similar share at least ``s * |a|``
+   shingles, so of the first ``(1 - s + LEAST) * |a|`` of each, at least
+   ``LEAST * s * |a|`` are in both. These first shingles go to their hash's task,
+   which tells the text those that another text has too; with fewer the text has
+   no near copy, and it is not looked at again. A task first puts together what
+   it read itself: a shingle that many of its texts have goes out as one mark, so
+   a passage of a third of all texts makes a row a task.
+2. **SimHash and pivot distance tables.** The remaining texts' fingerprints are
+   linked as in ``simhash_pivots``: stored distances to reference fingerprints
+   discard pairs by their maximum coordinate difference, survivors are verified,
+   and the shingle sets of linked texts are compared in full.
+3. **Exact completion.** The remaining texts' shingles are ordered from the rarest
+   to the most frequent, counted over all of these texts. One of the first
+   ``|a| - ceil(s * |a|) + 1`` of each set is in both, so each text is filed
+   under those. First every text is compared with one leader of each shingle
+   that joins different groups, then all rows of such shingles meet, unless
+   already in one group: bounds by length and by place in the order discard
+   pairs, and a pair that already met at the shingle before in both texts is not
+   named again. Shingles above ``BLOCK_ROWS`` rows are dealt out as pairs of
+   blocks, each a group of its own. Shingle sets of the pairs left are compared.
+
+Equal texts (the same words) are one text throughout, known by 128 bits.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -39,221 +41,258 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .simhash_pivots import SPREAD, components, pivot_table
+from .common import release, small, stored
+from .simhash_pivots import components, links, pivot_rows
 
-#: Words of a section at least, and one word in so many ends it; sections that a text is filed under.
-LEAST, ONE_IN, FILED = 4, 8, 6
-#: Rows of a group that each row is compared with: the first ones, and those just before.
-LEADERS, NEIGHBOURS = 2, 6
-#: Texts whose shingles are counted, and shingles at most that go last in the order.
-SAMPLE, FREQUENT = 20_000, 200_000
-#: Rows of one shingle up to which they are one group of the exact pass.
+#: Share of a set by which step 1 looks further than for one common shingle.
+LEAST = 0.1
+#: Rows of one shingle up to which they are one group of the exact join.
 BLOCK_ROWS = 256
-_BLOCK = 50_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Shingles that a task of step 1 puts together at a time, and words whose hashes a worker remembers.
+TOGETHER, REMEMBERED = 1_000_000, 500_000
+#: Bytes of a text that are cut into words at a time.
+STEP = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_ODD = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(64)], dtype=np.uint64)
+
+
+class WordHashes(dict):
+    """Word -> its XXH64, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+def word_hashes(raw: bytes, known: WordHashes) -> np.ndarray:
+    """Hashes of the words between ASCII blanks, A-Z lower-cased."""
+    out, at = [], 0
+    while at < len(raw):
+        end = min(at + STEP, len(raw))
+        if end < len(raw):
+            m = _BLANK.search(raw, end)
+            end = m.start() if m else len(raw)
+        words = raw[at:end].lower().split()
+        out.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; of the whole sequence if it is shorter."""
+    k = min(shingle, len(words))
+    if not k:
+        return words
+    n = len(words) - k + 1
+    h = np.full(n, k, dtype=np.uint64)
+    for i in range(k):
+        h += words[i : i + n] * _ODD[i]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def simhash(found: np.ndarray) -> int:
+    """64-bit SimHash of the set, signed: a bit is 1 if it is in over half the hashes."""
+    if not len(found):
+        return 0
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(found), 1 << 16):
+        ones += np.unpackbits(found[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found)).view(">i8")[0])
+
+
+def bounds(n: int, similarity: float) -> tuple[int, int]:
+    """Of a set of ``n``: how many first shingles step 1 files, and how many of them another text must have."""
+    least = int(np.ceil(similarity * n - 1e-9))
+    more = lambda x: int(LEAST * x) + 1
+    return n - least + more(n), more(least)
 
 
-def _digests(words: list[bytes], k: int) -> np.ndarray:
-    """XXH64 of the word shingles; of the whole sequence if it is shorter."""
-    rows = zip(*(words[i:] for i in range(k)), strict=False) if len(words) >= k else [words] * bool(words)
-    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), 42) for r in rows), dtype="<u8")
+def _raw(t: pa.Scalar) -> bytes:
+    return t.as_buffer().to_pybytes() if t.is_valid else b""
 
 
-def _cuts(words: list[bytes]) -> list[int]:
-    """Ends of the sections: after a word that its own hash picks, if the section is long enough."""
-    out, start = [], 0
-    for i, w in enumerate(words, 1):
-        if i - start >= LEAST and crc32(w) % ONE_IN == 0:
-            out.append(i)
-            start = i
-    if start < len(words):
-        out.append(len(words))
-    return out
+def _identity(words: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a sequence of words; zeros for none."""
+    if not len(words):
+        return 0, 0
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(words.tobytes()), dtype="<i8").tolist())
 
 
-def describe(raw: bytes) -> tuple[int, list[int]]:
-    """Fingerprint of the text's 3-word shingles, and those of the sections that it is filed under."""
-    words = raw.lower().split()
-    total, ones, parts = 0, np.zeros(64, dtype=np.int64), []
-    for at in range(0, max(1, len(words)), _BLOCK):
-        block = words[at : at + _BLOCK]
-        h = _digests(block, 3)
-        if not len(h):
-            continue
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8)[:, ::-1], axis=1)
-        sums = np.vstack([np.zeros(64, dtype=np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-        total, ones = total + len(h), ones + sums[-1]
-        ends = np.array(_cuts(block))
-        starts = np.concatenate([[0], ends[:-1]])
-        stops = np.minimum(np.maximum(ends - 2, starts + 1), len(h))  # shingles that lie within the section
-        keep = starts < stops
-        n = (stops - starts)[keep, None]
-        packed = np.packbits(2 * (sums[stops[keep]] - sums[starts[keep]]) > n, axis=1)
-        parts.append(packed.view(">u8").ravel().astype(np.uint64))
-    if not total:
-        return 0, [0]
-    whole = int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
-    known = np.unique(np.concatenate(parts)) if parts else np.array([whole], dtype=np.uint64)
-    first = known[np.argsort(known * _MIX, kind="stable")[:FILED]]
-    return whole, first.tolist()
-
-
-def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles."""
-    return np.unique(_digests(raw.lower().split(), shingle))
+def _described(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(doc_id, th, t1, t2, need, first)`` per row: hash of the raw text, the text's 128 bits, and its first shingles, with how many of them another text must have; a task names those of equal texts once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = WordHashes(), set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                t1, t2, need, first = [], [], [], []
+                for t in b.column(2):
+                    words = word_hashes(_raw(t), known)
+                    one = _identity(words)
+                    t1.append(one[0])
+                    t2.append(one[1])
+                    if not len(words) or one in seen:
+                        need.append(0)
+                        first.append(None)
+                    else:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(one)
+                        found = shingle_set(words, shingle)
+                        n, least = bounds(len(found), similarity)
+                        need.append(least)
+                        first.append(found[:n].tobytes())
+                cols = [pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(need, pa.int32()), pa.array(first, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "th", "t1", "t2", "need", "first"])
 
-def _raw(t: pa.Scalar) -> bytes:
-    return t.as_buffer().to_pybytes() if t.is_valid else b""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, t1 long, t2 long, need int, first binary")
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """``(doc_id, th, fp, parts)`` per row."""
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal values."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+    return starts, np.diff(np.r_[starts, len(key)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [describe(_raw(t)) for t in b.column(2)]
-            fp = np.array([f for f, _ in found], dtype=np.uint64).view(np.int64)
-            parts = [np.array(p, dtype=np.uint64).view(np.int64) for _, p in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "th", "fp", "parts"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long, parts array<long>")
+def _together(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``(t1, first)``: ``(key, t1, n)``. A key that one text has: its row, n 0. One that several have: a mark, n -1. Per text, under its own number as key, n such keys."""
+    names = ["key", "t1", "n"]
 
+    def flush(keys: list[np.ndarray], texts: list[int]) -> pa.RecordBatch:
+        t1, key = np.repeat(np.array(texts, dtype=np.int64), [len(k) for k in keys]), np.concatenate(keys).view(np.int64)
+        order = np.lexsort((t1, key))
+        key, t1 = key[order], t1[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (t1[1:] != t1[:-1])]
+        key, t1 = key[new], t1[new]
+        starts, sizes = _runs(key)
+        several = np.repeat(sizes > 1, sizes)
+        own, n = np.unique(t1[several], return_counts=True)
+        marks = key[starts[sizes > 1]]
+        cols = (np.r_[key[~several], marks, own], np.r_[t1[~several], np.zeros_like(marks), own], np.r_[np.zeros((~several).sum()), np.full(len(marks), -1), n].astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
-def _sweep(it: Iterator[pd.DataFrame], max_distance: int, again: bool) -> Iterator[pd.DataFrame]:
-    """Pairs near enough among rows sorted by (part, p0, th); with ``again`` also the end rows of the first and last group, as (th, fp, part)."""
-    carried, first_part, edge = None, None, None
-    for pdf in it:
-        if not len(pdf):
+    keys, texts, held = [], [], 0
+    for b in it:
+        for t, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            keys.append(np.frombuffer(x.as_buffer(), dtype="<u8"))
+            texts.append(t)
+            held += len(keys[-1])
+            if held >= TOGETHER:
+                yield flush(keys, texts)
+                keys, texts, held = [], [], 0
+    if texts:
+        yield flush(keys, texts)
+
+
+def _known(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(t1, n)`` from the rows of ``_together``, sorted by (key, t1): counts pass on, and a row whose key another text or a mark has counts one."""
+    tail = None
+    for b in it:
+        t = pa.Table.from_batches([b] if tail is None else [tail, b]).combine_chunks()
+        key = t.column("key").to_numpy()
+        if not len(key):
             continue
-        if carried is not None:
-            pdf = pd.concat([carried, pdf], ignore_index=True)
-        part, th, fp = pdf["part"].to_numpy(), pdf["th"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
-        n = len(pdf)
-        table = pivot_table(fp).astype(np.int16)
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        group = np.repeat(starts, np.diff(np.r_[starts, n]))
-        here = np.arange(n)
-        rivals = [group + k for k in range(LEADERS)] + [here - k for k in range(1, NEIGHBOURS + 1)]
-        for other in rivals:
-            good = (other >= group) & (other < here)
-            a, b = here[good], other[good]
-            near = np.abs(table[a] - table[b]).max(axis=1, initial=0) <= max_distance
-            a, b = a[near], b[near]
-            close = (np.bitwise_count(fp[a] ^ fp[b]) <= max_distance) & (th[a] != th[b])
-            x, y = th[a[close]], th[b[close]]
-            if len(x):
-                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "part": pd.array([None] * len(x), dtype="Int64"), "p0": 0})
-        if first_part is None:
-            first_part = part[0]
-        last = starts[-1]
-        if again and first_part is not None and edge is None and (part != first_part).any():
-            m = np.flatnonzero(part == first_part)
-            edge = pdf.iloc[np.unique(np.r_[m[:LEADERS], m[-NEIGHBOURS:]])]
-            yield _ends(edge)
-        carried = pdf.iloc[np.unique(np.r_[np.arange(last, min(n, last + LEADERS)), np.arange(max(last, n - NEIGHBOURS), n)])]
-    if again and carried is not None:
-        yield _ends(carried)
-
-
-def _ends(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"a": rows["th"], "b": rows["fp"], "part": rows["part"].astype("Int64"), "p0": rows["p0"].astype("int64")})
-
-
-def candidates(rows: DataFrame, max_distance: int) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of text hashes that a comparison leaves."""
-    p0 = F.expr(f"cast(bit_count(fp ^ {SPREAD.view(np.int64)[0]}) as int)").alias("p0")
-    filed = stored(rows.select(F.explode("parts").alias("part"), "th", "fp").distinct().select("part", "th", "fp", p0), "filed")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = filed.repartitionByRange(n, "part", "p0", "th").sortWithinPartitions("part", "p0", "th")
-    schema = "a long, b long, part long, p0 long"
-    once = stored(dealt.select("part", "th", "fp", "p0").mapInPandas(lambda it: _sweep(it, max_distance, True), schema), "swept")
-    ends = once.where("part is not null").select("part", F.col("a").alias("th"), F.col("b").alias("fp"), "p0").distinct()
-    # a group in several ranges: its ends meet here, a few rows a range
-    ends = ends.repartition(n, "part").sortWithinPartitions("part", "p0", "th").select("part", "th", "fp", "p0")
-    more = ends.mapInPandas(lambda it: _sweep(it, max_distance, False), schema)
-    return stored(once.where("part is null").select("a", "b").union(more.select("a", "b")).distinct(), "pairs")
-
-
-def prefix(found: np.ndarray, similarity: float, last: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first hashes of the sorted set ``found`` in the common order, one of which is in any set at least so similar.
-
-    The order is by the hash, but the sorted hashes ``last`` follow all others, by ``ranks``.
-    """
-    least = int(np.ceil(similarity * len(found) - 1e-9))
-    if len(last):
-        at = np.minimum(np.searchsorted(last, found), len(last) - 1)
-        found = found[np.argsort(np.where(last[at] == found, ranks[at], -1), kind="stable")]
-    return found[: len(found) - least + 1]
+        cut = int(np.searchsorted(key, key[-1]))  # the last key's rows wait for the next batch
+        yield _counted(t.slice(0, cut))
+        tail = _merged(t.slice(cut))
+    if tail is not None:
+        yield _counted(pa.Table.from_batches([tail]))
+
+
+def _merged(t: pa.Table) -> pa.RecordBatch:
+    """One key's waiting rows; equal ones once."""
+    return t.group_by(["key", "t1", "n"], use_threads=False).aggregate([]).select(["key", "t1", "n"]).combine_chunks().to_batches()[0]
+
+
+def _counted(t: pa.Table) -> pa.RecordBatch:
+    key, t1, n = (t.column(c).to_numpy() for c in ("key", "t1", "n"))
+    sums = n > 0
+    row = ~sums
+    k, x, mark = key[row], t1[row], n[row] < 0
+    starts, sizes = _runs(k)
+    if len(k):
+        low, high = np.minimum.reduceat(np.where(mark, np.iinfo(np.int64).max, x), starts), np.maximum.reduceat(np.where(mark, np.iinfo(np.int64).min, x), starts)
+        other = np.repeat(np.logical_or.reduceat(mark, starts) | (low < high), sizes) & ~mark
+        new = np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | mark[:-1]]
+        own, many = np.unique(x[other & new], return_counts=True)
+    else:
+        own, many = x, np.zeros(0, dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[t1[sums], own]), pa.array(np.r_[n[sums], many].astype(np.int64))], names=["t1", "n"])
+
+
+def _promising(described: DataFrame) -> DataFrame:
+    """``(t1)`` of the texts that share enough of their first shingles with other texts to have a near copy."""
+    n = int(described.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = described.where("first is not null").select("t1", "first").mapInArrow(_together, "key long, t1 long, n int")
+    rows = rows.repartition(n, "key").sortWithinPartitions("key", "t1", "n")
+    counts = stored(rows.mapInArrow(_known, "t1 long, n long").groupBy("t1").agg(F.sum("n").alias("n")), "counts")
+    needs = described.where("first is not null").groupBy("t1").agg(F.min("need").alias("need"))
+    out = stored(counts.join(needs, "t1").where("n >= need").select("t1"), "promising")
+    release(counts)
+    return out
 
 
-def _frequent(docs: DataFrame, shingle: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles that come three times or more in a sample, ``FREQUENT`` at most, and their ranks: the rarer the lower."""
+def _sets(docs: DataFrame, described: DataFrame, promising: DataFrame, shingle: int) -> DataFrame:
+    """``(t1, size, fp, set)`` of the promising texts, read from one raw text each."""
+    wanted = stored(described.join(promising, "t1", "left_semi").groupBy("t1").agg(F.min("th").alias("th")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(_raw(t), shingle).view(np.int64))], names=["key"])
-
-    some = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th")).where(F.pmod("th", F.lit(max(1, texts // SAMPLE))) == 0)
-    counts = stored(some.select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "frequent")
-    least, room = 3, FREQUENT
-    for r in sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("keys")).collect(), reverse=True):
-        room -= r["keys"]
-        if room < 0:
-            least = r["n"] + 1
-            break
-    top = counts.where(F.col("n") >= least).toArrow()
-    keys, n = top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(keys)
-    ranks = np.empty(len(keys), dtype=np.int32)
-    ranks[np.lexsort((keys[order], n[order]))] = np.arange(len(keys), dtype=np.int32)
-    return keys[order], ranks
-
-
-def _filed(docs: DataFrame, shingle: int, similarity: float, last: np.ndarray, ranks: np.ndarray) -> DataFrame:
-    """``(key, before, th, size, at)`` per text and shingle of its prefix: the one before it and its place; texts without words are filed under 0."""
+        known, seen = WordHashes(), set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                rows = {}
+                for t in whole.column(0).slice(at, 512):
+                    words = word_hashes(_raw(t), known)
+                    one = _identity(words)[0]
+                    if one not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(one)
+                        rows[one] = shingle_set(words, shingle)
+                cols = [pa.array(list(rows), pa.int64()), pa.array([len(x) for x in rows.values()], pa.int32()), pa.array([simhash(x) for x in rows.values()], pa.int64()), pa.array([x.tobytes() for x in rows.values()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["t1", "size", "fp", "set"])
+
+    texts = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).join(small(wanted.select("th")), "th", "left_semi")
+    found = texts.select("text").mapInArrow(run, "t1 long, size int, fp long, set binary")
+    out = stored(found.groupBy("t1").agg(F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("set").alias("set")), "sets")
+    release(wanted)
+    return out
+
+
+def _filed(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(key, before, t1, size, at, many)`` per text and shared shingle of its prefix, rarest first: the shingle before it (itself at the first), its place, and how many rows the text has.
+
+    Shingles that no other of these texts has come first in each text's order
+    and meet nothing, so only the others are sorted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, before, at, sizes = [], [], [], []
-            for t in b.column(1):
-                found = shingle_set(_raw(t), shingle)
-                first = prefix(found, similarity, last, ranks) if len(found) else np.zeros(1, dtype=np.uint64)
-                keys.append(first)
-                before.append(np.r_[np.zeros(1, dtype=np.uint64), first[:-1]])
-                at.append(np.arange(len(first), dtype=np.int32))
-                sizes.append(len(found))
-            n = [len(k) for k in keys]
-            if n:
-                th = np.repeat(b.column(0).to_numpy(), n)
-                cols = [np.concatenate(keys).astype(np.uint64).view(np.int64), np.concatenate(before).astype(np.uint64).view(np.int64), th, np.repeat(sizes, n).astype(np.int32), np.concatenate(at)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "before", "th", "size", "at"])
-
-    texts = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "key long, before long, th long, size int, at int")
-
-
-def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, th), each once, whose key has another text; the last row of a batch waits for the next."""
-    tail, known = None, None
-    for b in it:
-        t = pa.Table.from_batches([b] if tail is None else [tail, b]).combine_chunks()
-        if not t.num_rows:
-            continue
-        key, th = t.column("key").to_numpy(), t.column("th").to_numpy()
-        new = np.r_[True, (key[1:] != key[:-1]) | (th[1:] != th[:-1])]
-        t, key = t.filter(pa.array(new)), key[new]
-        same = np.r_[key[1:] == key[:-1], False]
-        keep = same | np.r_[key[0] == known, same[:-1]]
-        known = key[-2] if len(key) > 1 else known
-        tail = t.slice(t.num_rows - 1).to_batches()[0]
-        yield from t.slice(0, t.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()
-    if tail is not None and tail.column(0)[0].as_py() == known:
-        yield tail
+            for t, x in zip(b.column(0), b.column(1), strict=True):
+                key = np.frombuffer(x.as_buffer(), dtype="<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), t.as_py(), dtype=np.int64))], names=["key", "t1"])
+
+    each = sets.select("t1", "set").mapInArrow(run, "key long, t1 long")
+    often = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    shared = each.join(often, "key").groupBy("t1").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    of = shared.join(sets.select("t1", "size"), "t1")
+    least = F.ceil(F.lit(similarity) * F.col("size") - 1e-9)
+    singles = (F.col("size") - F.size("keys")).alias("singles")
+    room = (F.col("size") - least + 1 - F.col("size") + F.size("keys")).cast("int")
+    first = of.where(room > 0).select("t1", "size", singles, F.slice("keys", F.lit(1), room).alias("keys"))
+    rows = first.select("t1", "size", "singles", F.size("keys").alias("many"), F.col("keys.key").alias("all"), F.posexplode("keys.key").alias("i", "key"))
+    before = F.when(F.col("i") == 0, F.col("key")).otherwise(F.get("all", F.col("i") - 1))
+    out = stored(rows.select("key", before.alias("before"), "t1", "size", (F.col("singles") + F.col("i")).cast("int").alias("at"), "many"), "filed")
+    release(often)
+    return out
 
 
 def _meet(it: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
@@ -270,7 +309,7 @@ def _meet(it: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFram
 
 
 def _met(pdf: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]:
-    key, i, j, mine, before, th, label, size, at = (pdf[c].to_numpy() for c in ("key", "i", "j", "mine", "before", "th", "label", "size", "at"))
+    key, i, j, mine, before, t1, label, size, at = (pdf[c].to_numpy() for c in ("key", "i", "j", "mine", "before", "t1", "label", "size", "at"))
     alive, shift, share, found, held = np.arange(len(pdf)), 1, similarity / (1 + similarity), [], 0
     while len(alive):
         b = alive + shift
@@ -282,8 +321,8 @@ def _met(pdf: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]:
         want = share * (size[a].astype(np.int64) + size[b]) - 1e-9
         most = np.minimum(size[a] - at[a], size[b] - at[b])
         ok = (label[a] != label[b]) & ((i[a] == j[a]) | (mine[a] != mine[b])) & (most >= want)
-        ok &= (before[a] != before[b]) | (at[a] == 0) | (at[b] == 0)
-        a, b = th[a[ok]], th[b[ok]]
+        ok &= (before[a] != before[b]) | (before[a] == key[a])
+        a, b = t1[a[ok]], t1[b[ok]]
         if len(a):
             found.append((np.minimum(a, b), np.maximum(a, b)))
             held += len(a)
@@ -293,75 +332,120 @@ def _met(pdf: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]:
             found, held = [], 0
 
 
-def missed(docs: DataFrame, labels: DataFrame, shingle: int, similarity: float, texts: int) -> DataFrame:
-    """Distinct pairs ``(a, b)`` with different ``labels(node, label)`` that hold every pair at least so similar."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filed = _filed(docs, shingle, similarity, *_frequent(docs, shingle, texts)).repartition(n, "key").sortWithinPartitions("key", "th")
-    shared = stored(filed.mapInArrow(_shared, "key long, before long, th long, size int, at int"), "shared")
-    named = shared.join(labels, shared.th == labels.node, "left").select("key", "before", "th", "size", "at", F.coalesce("label", "th").alias("label"))
-    named = stored(named, "named")
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "n")
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    rows = named.join(mixed, "key").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "before", "th", "label", "size", "at")
-    dealt = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "size", "th")
-    return stored(dealt.mapInPandas(lambda it: _meet(it, similarity), "a long, b long").distinct(), "missed")
+def _labelled(filed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The filed rows with their texts' groups, and ``(key, n, leader)`` of the shingles that several groups have."""
+    named = stored(filed.join(labels.withColumnRenamed("node", "t1"), "t1", "left").withColumn("label", F.coalesce("label", "t1")), "named")
+    leader = F.max_by(F.struct("t1", "label", "size"), F.struct("many", "t1"))
+    keys = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), leader.alias("leader"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return named, stored(keys.where("low < high").select("key", "n", "leader"), "mixed")
 
 
-def similar(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose texts' sets of word shingles have at least this Jaccard similarity."""
+def _led(named: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of each row with its shingle's leader, the row that most of its own shingles lead to others, where their groups and lengths allow."""
+    met = named.select("key", "t1", "label", "size").join(mixed.select("key", "leader"), "key").where("label <> leader.label")
+    met = met.where(F.least("size", "leader.size") >= F.greatest("size", "leader.size") * similarity - 1e-9)
+    return met.select(F.least("t1", "leader.t1").alias("a"), F.greatest("t1", "leader.t1").alias("b")).distinct()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [shingle_set(_raw(t), shingle).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["th", "set"])
+
+def _rest(named: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of rows of one shingle in different groups that the bounds leave."""
+    n = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = named.join(mixed.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "key")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("t1"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "before", "t1", "label", "size", "at")
+    dealt = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "size", "t1")
+    return dealt.mapInPandas(lambda it: _meet(it, similarity), "a long, b long").distinct()
+
+
+def _proposed(sets: DataFrame, max_distance: int) -> DataFrame:
+    """Pairs of texts with equal or linked fingerprints: each fingerprint with its smallest linked one, and every text with the first of its fingerprint."""
+    firsts = stored(sets.groupBy("fp").agg(F.min("t1").alias("first")), "firsts")
+    found = links(pivot_rows(firsts), max_distance)
+    both = found.select("a", "b").union(found.select("b", "a")).toDF("a", "b")
+    near = both.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).select("a", F.explode(F.array("b", "c")).alias("b")).distinct()
+    one = near.join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b").select("x", "y")
+    same = sets.select("fp", "t1").join(firsts, "fp").where("t1 <> first").select(F.col("t1").alias("x"), F.col("first").alias("y"))
+    return one.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The ``(a, b)`` of ``pairs`` whose sets have at least this Jaccard similarity."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
+                p, q = (p, q) if len(p) < len(q) else (q, p)
+                at = np.searchsorted(q, p)
+                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
                 keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    wanted = stored(pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct(), "wanted")
-    of = docs.select(F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).join(wanted, "th", "left_semi")
-    of = stored(of.mapInArrow(sets, "th long, set binary").groupBy("th").agg(F.min("set").alias("set")), "sets")
-    left = pairs.join(of.select(F.col("th").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(of.select(F.col("th").alias("b"), F.col("set").alias("y")), "b")
+    left = pairs.join(sets.select(F.col("t1").alias("a"), F.col("set").alias("x")), "a")
+    both = left.join(sets.select(F.col("t1").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_distance: int = 16) -> DataFrame:
-    """``(doc_id, th, label)`` per row of ``docs``: rows of one group of near copies share the label.
+def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_distance: int = 3) -> DataFrame:
+    """``(doc_id, th, t1, t2, label)`` per row of ``docs``: rows of one group of near copies share the label.
 
-    Texts without words, null ones too, are one group. Repeated rows stay; an
-    empty table gives an empty result; further columns are ignored.
+    ``th`` is Spark's hash of the raw text, ``t1`` and ``t2`` stand for its words.
+    Texts without words, null ones too, are one group. Texts whose first 64 of
+    128 bits clash are kept apart in ``t2``. Repeated rows stay; an empty table
+    gives an empty result; further columns, whatever their names, are ignored.
     """
-    rows = stored(_described(docs), "described")
-    edges = stored(similar(docs, candidates(rows, max_distance), shingle, similarity), "similar")
+    described = stored(_described(docs, shingle, similarity), "described")
+    promising = _promising(described)
+    rows = stored(described.drop("need", "first"), "rows")
+    sets = _sets(docs, described, promising, shingle)
+    release(described, promising)
+
+    def joined(edges: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        wanted = stored(pairs, f"{name}_pairs")
+        more = stored(similar(sets, wanted, similarity), name)
+        both = stored(edges.union(more), "edges")
+        release(wanted, more, edges)
+        return both
+
+    edges = joined(sets.select(F.col("t1").alias("a"), F.col("t1").alias("b")).limit(0), _proposed(sets, max_distance), "linked")
+    filed = _filed(sets, similarity)
+    for name, pairs in (("led", _led), ("rest", _rest)):
+        labels = components(edges)
+        named, mixed = _labelled(filed, labels)
+        release(labels)
+        edges = joined(edges, pairs(named, mixed, similarity), name)
+        release(named, mixed)
     labels = components(edges)
-    more = stored(similar(docs, missed(docs, labels, shingle, similarity, rows.count()), shingle, similarity), "more")
-    if not more.isEmpty():
-        labels = components(edges.union(more))
-    return rows.select("doc_id", "th").join(labels, rows.th == labels.node, "left").select("doc_id", "th", F.coalesce("label", "th").alias("label"))
+    release(sets, filed, edges)
+    return rows.join(labels.withColumnRenamed("node", "t1"), "t1", "left").select("doc_id", "th", "t1", "t2", F.coalesce("label", "t1").alias("label"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_distance: int = 16) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_distance: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies the one with the smallest doc_id.
 
-    All columns stay. Null ids come last; of rows with one id the one with the
-    smallest hash of its text stays, and of rows with equal id and text one, the
-    least by its other columns.
+    All columns stay, whatever their names. Null ids come last; of rows with one
+    id the one with the smallest hash of its text stays, and of rows with equal
+    id and text one, the least by its other columns. Null, empty and blank texts
+    are one group. An empty table gives an empty result.
     """
-    each = groups(docs, shingle, similarity, max_distance).groupBy("label", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
-    one = each.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n")).alias("k"))
-    kept = stored(one.select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"), F.col("k.n").alias("_n")), "kept")
-    out = docs.join(kept.select("_id", "_th"), docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_th")), "left_semi")
-    if kept.where("_n > 1").isEmpty():
+    grouped = stored(groups(docs, shingle, similarity, max_distance), "grouped")
+    each = stored_each = stored(grouped.groupBy("label", "t1", "t2", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")), "each")
+    clash = each.groupBy("t1").agg(F.min("t2").alias("low"), F.max("t2").alias("high")).where("low < high").select("t1", F.lit(True).alias("alone"))
+    each = each.join(clash, "t1", "left")
+    group = F.struct("label", F.when(F.col("alone"), F.col("t2")).alias("own"))
+    one = each.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n")).alias("k"))
+    kept = stored(one.select(F.col("k.doc_id").alias("doc_id"), F.col("k.th").alias("th"), F.col("k.n").alias("n")), "kept")
+    same = grouped.doc_id.eqNullSafe(kept.doc_id) & (grouped.th == kept.th)
+    gone = stored(grouped.join(kept, same, "left_anti").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "gone")
+    lost = small(gone)
+    out = docs.join(lost, docs.doc_id.eqNullSafe(lost["_id"]) & (F.xxhash64(docs.text) == lost["_th"]), "left_anti")
+    repeated = not kept.where("n > 1").isEmpty()
+    release(grouped, stored_each, kept)
+    if not repeated:
         return out
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not rest:
+        return out.distinct()
     return out.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*").select(*docs.columns)

@@ -1,26 +1,23 @@
 """SimHash near-duplicate groups found through pivot distance tables.
 
-A fingerprint has 64 bits. The *pivot table* of a fingerprint holds its
-Hamming distances to reference fingerprints. Two families are used:
-
-* **unit references** ``0`` and ``1 << i``. The difference of the distances to
-  ``1 << i`` and ``0`` is +1 or -1 and says what bit ``i`` is, so the
-  coordinates of a group of unit references are that group's bits. Fingerprints
-  within ``max_distance`` of each other agree on all coordinates of at least
-  one of ``max_distance + 1`` groups: candidates are rows with equal
-  coordinates of one group.
-* **spread references**, fixed pseudo-random fingerprints. By the triangle
-  inequality two fingerprints differ by at least the largest difference of
-  their coordinates. Within a group rows are sorted by the first coordinate, a
-  sliding comparison ends when that coordinate is too far off, and pairs whose
-  maximum coordinate difference exceeds ``max_distance`` are discarded; the
-  exact distance is computed for the survivors only.
+A fingerprint has 64 bits. The *pivot table* holds each distinct fingerprint's
+Hamming distances to ``PIVOTS`` reference fingerprints; it is computed once and
+stored. By the triangle inequality two fingerprints differ by at least the
+largest difference of their distances.
+
+Fingerprints within ``max_distance`` agree on all bits of at least one of
+``max_distance + 1`` groups of bits, so only rows with equal bits of one group
+meet. There they are sorted by the first distance, a sliding comparison ends when
+that is too far off, pairs whose maximum coordinate difference exceeds
+``max_distance`` are discarded, and the exact distance is computed for the
+survivors only.
 
 Groups with more than ``bucket_rows`` rows are not compared: their rows are
-dealt out again by the coordinates of a quarter of the bits not yet fixed (the
-same argument holds for these bits), until groups are small or so few bits are
-left that a group is bounded by their combinations. So neither a common group
-nor a large cluster of near copies makes a quadratic task, and no link is lost.
+dealt out again by a quarter of the bits not yet fixed (the same argument holds
+for these bits), until groups are small or so few bits are left that a group is
+bounded by their combinations. Sizes come from a combining count, so neither a
+common group nor a large cluster of near copies makes a quadratic task, and no
+link is lost.
 
 Exact copies share a fingerprint and are one row here. Links are joined to
 components by minimum-label rounds with pointer jumping, each on stored tables.
@@ -37,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 #: Spread references: XXH64 of their number; any fixed set gives the same result.
 PIVOTS = 16
@@ -105,74 +102,82 @@ def schedule(max_distance: int, least_bits: int = 12) -> list[list[int]]:
             return levels
 
 
-def _compare(it: Iterator[pd.DataFrame], max_distance: int, limit: int) -> Iterator[pd.DataFrame]:
+def pivot_rows(distinct: DataFrame) -> DataFrame:
+    """``distinct`` with its pivot table: ``pv0`` and ``pv1`` hold the distances to the references, a byte each."""
+    packed = []
+    for half in (range(8), range(8, PIVOTS)):
+        word = F.lit(0).cast("long")
+        for i in half:
+            far = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(SPREAD.view(_SIGNED)[i])))).cast("long")
+            word = word.bitwiseOR(F.shiftleft(far, 8 * (i % 8)))
+        packed.append(word)
+    return distinct.withColumn("pv0", packed[0]).withColumn("pv1", packed[1])
+
+
+def _compare(it: Iterator[pd.DataFrame], max_distance: int) -> Iterator[pd.DataFrame]:
     """Links within runs of equal (mask, key), over rows sorted by it and the first coordinate.
 
-    Rows of groups above ``limit`` pass on as (fp, null, mask number). The last
-    rows of a batch that may still meet the next batch's are carried over.
+    The last rows of a batch that may still meet the next batch's are carried over.
     """
     tail = None
     for pdf in it:
-        big = pdf["n"].to_numpy() > limit
-        if big.any():
-            up = pdf[big]
-            yield pd.DataFrame({"a": up["fp"], "b": pd.array([None] * len(up), dtype="Int64"), "m": up["m"].astype("int32")})
-        pdf = pdf[~big]
         if tail is not None:
             pdf = pd.concat([tail, pdf], ignore_index=True)
         if not len(pdf):
-            tail = None
             continue
         fp, m, key = pdf["fp"].to_numpy().view(np.uint64), pdf["m"].to_numpy(), pdf["key"].to_numpy()
         old = 0 if tail is None else len(tail)
-        table, shift, found = pivot_table(fp), 1, []
-        alive = np.arange(len(fp) - 1)
+        table = np.ascontiguousarray(pdf[["pv0", "pv1"]].to_numpy()).astype("<i8").view(np.uint8).reshape(len(fp), PIVOTS).astype(np.int16)
+        shift, found, alive = 1, [], np.arange(len(fp) - 1)
         while len(alive):
             j = alive + shift
             alive, j = alive[j < len(fp)], j[j < len(fp)]
             # sorted by the first coordinate: once it is too far off, later rows are too
-            near = (key[alive] == key[j]) & (m[alive] == m[j]) & (table[j, 0].astype(np.int16) - table[alive, 0] <= max_distance)
+            near = (key[alive] == key[j]) & (m[alive] == m[j]) & (table[j, 0] - table[alive, 0] <= max_distance)
             alive, j = alive[near], j[near]
             new = j >= old  # pairs within the carried rows are known
             a, b = alive[new], j[new]
-            far = np.abs(table[a].astype(np.int16) - table[b]).max(axis=1, initial=0) > max_distance
+            far = np.abs(table[a] - table[b]).max(axis=1, initial=0) > max_distance
             a, b = a[~far], b[~far]
             linked = np.bitwise_count(fp[a] ^ fp[b]) <= max_distance
             found.append((fp[a[linked]], fp[b[linked]]))
             shift += 1
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (fp[:0], fp[:0])
         if len(a):
-            yield pd.DataFrame({"a": a.view(_SIGNED), "b": pd.array(b.view(_SIGNED), dtype="Int64"), "m": np.full(len(a), -1, dtype=np.int32)})
-        last = (key == key[-1]) & (m == m[-1]) & (table[-1, 0].astype(np.int16) - table[:, 0] <= max_distance)
+            yield pd.DataFrame({"a": a.view(_SIGNED), "b": b.view(_SIGNED)})
+        last = (key == key[-1]) & (m == m[-1]) & (table[-1, 0] - table[:, 0] <= max_distance)
         tail = pdf[last]
 
 
-def links(distinct: DataFrame, max_distance: int = 3, bucket_rows: int = 64) -> DataFrame:
-    """``(a, b)``: all pairs of different fingerprints at most ``max_distance`` bits apart (some more than once)."""
+def links(pivots: DataFrame, max_distance: int = 3, bucket_rows: int = 64) -> DataFrame:
+    """``(a, b)``: all pairs of different fingerprints of ``pivots(fp, pv0, pv1)`` at most ``max_distance`` bits apart (some more than once)."""
+    n = int(pivots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels = schedule(max_distance)
-    rows, out = distinct.select(F.col("fp"), F.lit(0).alias("m")), None
+    rows, out = pivots.select("fp", "pv0", "pv1", F.lit(0).alias("m")), None
     for depth, masks in enumerate(levels):
         parts = len(masks) if depth == 0 else max_distance + 1
         known = F.array(*[F.lit(x).cast("long") for x in masks])
-        keyed = (
-            rows.select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: (F.col("m") * parts + i).cast("int"))).alias("m"))
-            .withColumn("key", F.col("fp").bitwiseAND(F.element_at(known, F.col("m") + 1)))
-            .withColumn("p0", F.expr(f"cast(bit_count(fp ^ {SPREAD.view(_SIGNED)[0]}) as int)"))
-        )
-        n = F.expr("count(1) over (partition by m, key order by p0 rows between unbounded preceding and unbounded following)")
+        each = F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: (F.col("m") * parts + i).cast("int")))
+        keyed = rows.select("fp", "pv0", "pv1", each.alias("m")).withColumn("key", F.col("fp").bitwiseAND(F.element_at(known, F.col("m") + 1)))
         limit = bucket_rows if depth < len(levels) - 1 else 1 << 62
-        sized = keyed.withColumn("n", n).where("n > 1").select("fp", "m", "key", "n")
-        done = stored(sized.mapInPandas(lambda it, limit=limit: _compare(it, max_distance, limit), "a long, b long, m int"), f"links{depth}")
-        part = done.where("b is not null").select("a", "b")
+        sizes = stored(keyed.groupBy("m", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+        met = keyed.join(sizes.where(F.col("n") <= limit), ["m", "key"], "left_semi").repartition(n, "m", "key")
+        met = met.sortWithinPartitions("m", "key", F.col("pv0").bitwiseAND(F.lit(255)))
+        part = stored(met.mapInPandas(lambda it: _compare(it, max_distance), "a long, b long"), f"links{depth}")
         out = part if out is None else out.unionByName(part)
-        rows = done.where("b is null").select(F.col("a").alias("fp"), "m")
-        if rows.isEmpty():
+        big = sizes.where(F.col("n") > limit)
+        if big.isEmpty():
             break
+        rows = stored(keyed.join(big, ["m", "key"], "left_semi").select("fp", "pv0", "pv1", "m"), "again")
     return out
 
 
+#: Nodes that a task contracts at a time.
+CONTRACTED = 500_000
+
+
 def _contract(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over the edges of one partition: each node with the smallest that it reaches there."""
+    """Union-find over runs of a partition's edges, a bounded number of nodes at a time: each node with the smallest that it reaches there."""
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -180,13 +185,19 @@ def _contract(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             up[x] = x = up[p] if p in up else p
         return x
 
+    def forest() -> pd.DataFrame:
+        rows = [(x, find(x)) for x in up]
+        return pd.DataFrame({"a": [x for x, r in rows if x != r], "b": [r for x, r in rows if x != r]}, dtype="int64")
+
     for pdf in it:
         for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
             ra, rb = find(a), find(b)
             if ra != rb:
                 up[max(ra, rb)] = min(ra, rb)
-    rows = [(x, find(x)) for x in up]
-    yield pd.DataFrame({"a": [x for x, r in rows if x != r], "b": [r for x, r in rows if x != r]}, dtype="int64")
+        if len(up) > CONTRACTED:
+            yield forest()
+            up.clear()
+    yield forest()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,16 +210,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     forest = stored(edges.mapInPandas(_contract, "a long, b long").distinct(), "forest")
     both = stored(forest.union(forest.select("b", "a")).toDF("a", "b"), "edges")
+    release(forest)
     labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
     while True:
         seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(seen, labels.node == seen.a).select("node", "label", F.least("label", "near").alias("new"))
-        step = stored(step, "step")
+        step = stored(labels.join(seen, labels.node == seen.a).select("node", "label", F.least("label", "near").alias("new")), "step")
         jump = step.select(F.col("node").alias("at"), F.col("new").alias("further"))
-        after = stored(step.join(jump, step.new == jump["at"]).select("node", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")), "labels")
-        labels = after.select("node", "label")
-        if after.where("moved").isEmpty():
-            return labels
+        after = step.join(jump, step.new == jump["at"]).select("node", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved"))
+        release(labels)
+        labels = stored(after, "labels")
+        release(step)
+        if labels.where("moved").isEmpty():
+            release(both)
+            return labels.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3, bucket_rows: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,7 +235,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 3, bu
     further columns are ignored.
     """
     fps = stored(fingerprints(docs, shingle, id_col, text_col), "fps")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = stored(pivot_rows(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))), "pivots")
     labels = components(links(distinct, max_distance, bucket_rows))
     named = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     named = stored(named, "named")
