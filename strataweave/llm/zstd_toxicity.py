@@ -1,21 +1,26 @@
-"""Toxicity by compression distance: how much shorter does a window get with a dictionary trained on toxic text?
-
-Two zstandard dictionaries are trained, one on ordinary texts, one on the words
-of toxic texts that these use several times as often, in different surroundings,
-as ordinary texts do. The
-toxic content is put in front of the ordinary content, so both compressors see
-the same ordinary content at the same distances and their lengths for a window
-differ by what the toxic content saves. A text's largest savings over all its
-windows are calibrated to a probability by logistic regression on labelled texts
-that the dictionaries were not trained on.
+"""Toxicity by compression distance: is a window shorter with a dictionary of toxic text than with one of ordinary text?
+
+Two separate zstandard dictionaries are trained on windows as they stand in
+labelled texts: one on windows of ordinary texts, one on windows of toxic texts.
+Most windows of a toxic text are ordinary, so the toxic dictionary is trained on
+those that hold a short byte string which several times as many toxic as ordinary
+texts have (all windows of toxic texts, if there is no such string). A window's
+saving is its compressed length with the ordinary dictionary less that with the
+toxic one. Every window is compressed in front of the same fixed bytes, which both
+dictionaries end with: without them zstandard leaves very short inputs
+uncompressed, and lengths would tell nothing.
+
+A text's score comes from the savings of all its windows, calibrated to a
+probability by logistic regression on labelled texts, each measured with
+dictionaries that were not trained on it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +29,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPLIT = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: The fixed bytes after every window; length of the byte strings that are counted; saving from which a window counts as strong, and that much more again.
+TAIL, GRAM, STRONG = b"0123456789abcdefghijklmnopqrstuvwxyz!?", 6, 2
+#: Windows whose savings a worker remembers.
+REMEMBERED = 300_000
+FEATURES = 10
 
 
 def words(text: str | None) -> list[bytes]:
     return [w for w in _SPLIT.split((text or "").encode("utf-8", "surrogatepass").lower()) if w]
 
 
+def windows(text: str | None, size: int) -> list[bytes]:
+    """The text's words in windows of ``size``, with a space at either end."""
+    w = words(text)
+    return [b" " + b" ".join(w[i : i + size]) + b" " for i in range(0, len(w), size)]
+
+
 def _dictionary(samples: list[bytes], size: int, k: int) -> bytes:
     """Trained content; the samples' distinct ones themselves if there are too few to train on."""
     try:
@@ -38,19 +54,14 @@ def _dictionary(samples: list[bytes], size: int, k: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def _support(texts: Iterable[list[bytes]], only: set[bytes] | None) -> dict[bytes, int]:
-    """By word in how many texts it stands in surroundings (the words on either side) that no text before has: copies of a text add nothing."""
-    owner: dict[int, int] = {}
-    out: dict[bytes, list[int]] = {}
-    for i, w in enumerate(texts):
-        for before, x, after in zip([b"", *w], w, [*w[1:], b""], strict=False):
-            if only is None or x in only:
-                place = crc32(after, crc32(before)) << 32 | crc32(x)
-                if owner.setdefault(place, i) == i:
-                    known = out.setdefault(x, [-1, 0])
-                    if known[0] != i:
-                        known[0], known[1] = i, known[1] + 1
-    return {x: n for x, (_, n) in out.items()}
+def _support(texts: Iterable[str], only: set[bytes] | None = None) -> Counter[bytes]:
+    """In how many texts each byte string of ``GRAM`` bytes occurs, windows laid end to end."""
+    out: Counter[bytes] = Counter()
+    for t in texts:
+        b = b" " + b" ".join(words(t)) + b" "
+        found = {b[i : i + GRAM] for i in range(len(b) - GRAM + 1)}
+        out.update(found if only is None else found & only)
+    return out
 
 
 @dataclass
@@ -62,85 +73,119 @@ class Model:
     level: int
 
     def __post_init__(self):
-        self._pair = None
+        self._pair, self._known = None, {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_pair"}
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state | {"_pair": None}
+        self.__dict__ |= state | {"_pair": None, "_known": {}}
 
-    def features(self, text: str | None) -> np.ndarray:
-        """One; the three largest savings in bytes; how many are six bytes or more and how many windows there are, as logarithms; the mean saving and the share of six or more."""
+    def saving(self, window: bytes) -> int:
+        """Bytes that the toxic dictionary saves over the ordinary one."""
+        if (known := self._known.get(window)) is not None:
+            return known
         if self._pair is None:
             self._pair = []
-            for content in (self.toxic, self.ordinary):
-                if content:
-                    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                    d.precompute_compress(level=self.level)
-                    self._pair.append(zstandard.ZstdCompressor(dict_data=d, level=self.level, write_content_size=False, write_checksum=False, write_dict_id=False))
-                else:
-                    self._pair.append(zstandard.ZstdCompressor(level=self.level, write_content_size=False, write_checksum=False, write_dict_id=False))
-        tox, plain = (c.compress for c in self._pair)
-        w, top, strong, total, n = words(text), [0, 0, 0], 0, 0, 0
-        for i in range(0, len(w), self.window):
-            x = b" " + b" ".join(w[i : i + self.window]) + b" "
-            saved = len(plain(x)) - len(tox(x))
-            n += 1
-            total += saved
-            strong += saved >= 6
-            if saved > top[2]:
-                top = sorted((*top[:2], saved), reverse=True)
-        return np.array([1.0, *top, np.log1p(strong), np.log1p(n), total / max(1, n), 10 * strong / max(1, n)])
+            for content in (self.ordinary, self.toxic):
+                d = zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=self.level)
+                self._pair.append(zstandard.ZstdCompressor(dict_data=d, level=self.level, write_content_size=False, write_checksum=False, write_dict_id=False))
+        plain, toxic = (len(c.compress(window + TAIL)) for c in self._pair)
+        if len(self._known) >= REMEMBERED:
+            self._known.clear()
+        if len(window) < 200:
+            self._known[window] = plain - toxic
+        return plain - toxic
+
+    def features(self, text: str | None) -> np.ndarray:
+        """One; the three largest savings; how many are strong, how many more so, and how many windows there are, as logarithms; the mean saving; the shares of strong ones."""
+        d = np.array([self.saving(w) for w in windows(text, self.window)] or [0])
+        top = np.sort(d)[::-1][:3]
+        top = np.r_[top, [min(0, top[-1])] * (3 - len(top))]
+        strong, more = d >= STRONG, d >= 2 * STRONG
+        return np.r_[1.0, top, np.log1p(strong.sum()), np.log1p(more.sum()), np.log1p(len(d)), d.mean(), 10 * strong.mean(), 10 * more.mean()]
 
     def score(self, x: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))))
 
 
-def train(rows: list[tuple[str, int]], window: int = 8, level: int = 9, size: int = 32_768, often: float = 4.0) -> Model:
-    """A model from ``(text, label)`` rows; three quarters train the dictionaries, the rest calibrate. With one label only, or no rows, scores are the share of label 1 (one half without rows)."""
-    used, held = [r for i, r in enumerate(rows) if i % 4], rows[::4]
-    n = [max(1, sum(y == c for _, y in used)) for c in (0, 1)]
-    seen = _support((words(t) for t, y in used if y), None)
-    least = max(5, sum(y for _, y in used) // 100)
-    often_seen = {w for w, c in seen.items() if c >= least and len(w) > 2}
-    plain_seen = _support((words(t) for t, y in used if not y), often_seen)
-    marked = {w for w in often_seen if seen[w] / n[1] > often * (plain_seen.get(w, 0) + 1) / n[0]}
-    toxic = [b" " + x + b" " for t, y in used if y for x in words(t) if x in marked]
-    step = 1 + sum(len(t) for t, y in used if not y) // (40_000 * 6 * window)
-    plain, at = [], 0
-    for t, y in used:
-        w = [] if y else words(t)
-        for i in range(0, len(w), window):
-            if at % step == 0:
-                plain.append(b" ".join(w[i : i + window]))
-            at += 1
-    ordinary = _dictionary(plain, size, 64)
-    # the toxic samples are few and short: each three times, the least that the trainer takes
-    model = Model(_dictionary(toxic * 3, size // 2, 32) + ordinary, ordinary, np.zeros(8), window, level)
-    x, y = np.array([model.features(t) for t, _ in held]).reshape(-1, 8), np.array([float(l) for _, l in held])
+def _dictionaries(rows: list[tuple[str, int]], window: int, toxic_size: int, ordinary_size: int, often: float) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary of ``(text, label)`` rows."""
+    toxic, plain = [t for t, y in rows if y], [t for t, y in rows if not y]
+    seen = _support(toxic)
+    common = {g for g, n in seen.items() if n >= max(5, len(toxic) // 100)}
+    there = _support(plain, common)
+    marks = {g for g in common if seen[g] / max(1, len(toxic)) > often * (there[g] + 1) / max(1, len(plain))}
+    every = [w for t in toxic for w in windows(t, window)]
+    telling = [w for w in every if any(w[i : i + GRAM] in marks for i in range(len(w) - GRAM + 1))] or every
+    step, at, samples = 1 + sum(len(t) for t in plain) // (300_000 * 6 * window), 0, []
+    for t in plain:
+        w = windows(t, window)
+        samples += w[-at % step :: step]
+        at += len(w)
+    return _dictionary(telling, toxic_size, 48), _dictionary(samples, ordinary_size, 64)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights by Newton's method, each step halved until the penalised loss falls; the first column is the constant."""
+    weight = np.array([1e-6] + [ridge] * (x.shape[1] - 1))
+    loss = lambda v: float(np.logaddexp(0, (1 - 2 * y) * (x @ v)).sum() + (weight * v * v).sum() / 2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(weight), x.T @ (p - y) + weight * w)
+        size, at = 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > at:
+            size /= 2
+        w = w - size * step if size > 1e-6 else w
+        if np.abs(size * step).max() < 1e-9 or size <= 1e-6:
+            break
+    return w
+
+
+def train(rows: list[tuple[str, int]], window: int = 1, level: int = 9, toxic_size: int = 8192, ordinary_size: int = 65_536, often: float = 4.0, folds: int = 3) -> Model:
+    """A model from ``(text, label)`` rows.
+
+    For calibration each of ``folds`` parts of the rows is measured with
+    dictionaries of the other parts; the model's own are trained on all rows.
+    Equal rows count once. With one label only, or no rows, scores are the share
+    of label 1 (one half without rows).
+    """
+    rows = list(dict.fromkeys(rows))
+    train_on = lambda some: Model(*_dictionaries(some, window, toxic_size, ordinary_size, often), np.zeros(FEATURES), window, level)
+    model, x, y = train_on(rows), np.zeros((len(rows), FEATURES)), np.array([float(l) for _, l in rows])
     share = (y.sum() + 0.5) / (len(y) + 1)
     model.weights[0] = np.log(share / (1 - share))
     if 0 < y.sum() < len(y):
-        ridge = np.diag([1e-6] + [0.1] * 7)
-        for _ in range(30):  # Newton's method
-            p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + ridge
-            model.weights -= np.linalg.solve(h, x.T @ (p - y) + ridge @ model.weights)
+        for k in range(folds):
+            other = train_on([r for i, r in enumerate(rows) if i % folds != k])
+            for i in range(k, len(rows), folds):
+                x[i] = other.features(rows[i][0])
+        model.weights = _logistic(x, y, model.weights)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, max_chars: int = 50_000, **options: float) -> Model:
-    """A model from at most about ``max_rows`` labelled rows of at most ``max_chars`` characters (bounds of the training sample only).
+def excerpt(text: Column, most: int, parts: int = 4) -> Column:
+    """The whole text, or, if it is longer than ``most`` characters, ``parts`` pieces of it, evenly spaced, of that length in all."""
+    size = most // parts
+    pieces = [F.substr(text, (F.lit(1) + F.floor((F.length(text) - size) * i / (parts - 1))).cast("int"), F.lit(size)) for i in range(parts)]
+    return F.when(F.length(text) > most, F.concat_ws(" ", *pieces)).otherwise(text)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, max_chars: int = 8_000, **options: float) -> Model:
+    """A model from at most about ``max_rows`` labelled rows, of each at most ``max_chars`` characters: so many times so many bound what the driver holds.
 
     Rows whose ``crc32(doc_id) mod 5`` is 0 are never trained on. If there are
-    more, rows are taken by a hash of their id.
+    more, rows are taken by a hash of their id; of longer texts evenly spaced
+    pieces train. Null ids, texts and labels are left out; a repeated id or label
+    gives a row each, and equal rows count once.
     """
     labels = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out("doc_id"))
     n = labels.count()
     if n > max_rows:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(labels), "doc_id").select("doc_id", "text", "toxic").collect()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(labels.distinct()), "doc_id").select("doc_id", excerpt(F.col("text"), max_chars).alias("text"), "toxic").distinct().collect()
     rows.sort(key=lambda r: (r.doc_id, r.text, r.toxic))
     return train([(r.text, int(r.toxic == 1)) for r in rows], **options)
 
@@ -154,8 +199,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``(doc_id, held_out, score, predicted)`` for every row, from all windows of the whole text.
 
     Null and empty texts have no windows and the score of no savings. A null id
-    stays null and counts as held out. Rows keep their number; further columns
-    are ignored.
+    stays null and counts as held out. Rows keep their number; an empty table
+    gives an empty result; further columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
