@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decision_list, hilbert_packing, license_join, positional_index, simhash_pivots, token_counts, url_rules, warc_revisit, weak_pii, zstd_toxicity
-from .common import table
+from .common import stored, table
 
 
 #: The rules of the standard URL query: host, path prefix, verdict.
@@ -60,8 +60,8 @@ def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return weak_pii.scan(docs, weak_pii.fit(docs))
+    found = stored(weak_pii.candidate_rows(table(spark, sf_dir, "documents").select("doc_id", "text")), "spans")
+    return weak_pii.scan(found, weak_pii.fit(found))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

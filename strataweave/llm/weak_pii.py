@@ -2,12 +2,14 @@
 
 Candidates are the spans of the four base patterns and of looser ones. Five
 labelers vote yes (1), no (0) or abstain (2) on each: the strict pattern, a
-checksum or range test, a gazetteer, the words in front, and the span's shape.
-Votes are counted over the whole corpus by kind and vote pattern, so what the
-driver gathers is bounded by the number of patterns. Expectation-maximisation
-over these counts estimates each labeler's reliability per kind without any
-labels; a logistic span classifier is then trained on the posteriors, and
-scores single spans from their votes and shape.
+checksum or range test, a gazetteer, the words in front, and the span's edges.
+Candidates, their votes and a coarse description of the span (length, entropy,
+share of digits, case, what stands in front) are found in one pass and stored,
+without texts. What the driver gathers of them is counted by kind, votes and
+description, so it is bounded by their combinations and covers the whole corpus.
+Expectation-maximisation over the votes estimates each labeler's reliability per
+kind without any labels; a logistic span classifier is trained on the posteriors
+and scores spans from their votes and their description.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,10 +38,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_GROUP = re.compile(r"[0-9]{12,19}")
+_GROUP = re.compile(r"(?<![0-9])[0-9]{12,19}(?![0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
-_SECRET = re.compile(r"(?<![0-9A-Za-z])(?=[A-Za-z_-]{0,40}[0-9])[0-9A-Za-z_-]{24,128}(?![0-9A-Za-z_-])")
-_CUE = re.compile(r"[a-z]+")
+_RUN = re.compile(r"[0-9A-Za-z_-]{24,}")
+_DIGIT, _CUE = re.compile(r"[0-9]"), re.compile(r"[a-z]+")
 
 #: Common ends of host names, leading digits of card issuers, and words that stand before personal data.
 ENDS = frozenset("com org net edu gov mil int info io co uk de fr es it nl eu us ca au ch at be br jp cn in ru pl se no dk fi pt".split())
@@ -101,13 +103,19 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     more: list[tuple[int, int, int]] = []
     more += [(*m.span(), 2) for m in _GROUP.finditer(text)]
     more += [(*m.span(), 3) for m in _LOCAL_PHONE.finditer(text)]
-    more += [(*m.span(), 4) for m in _SECRET.finditer(text)]
+    more += [(*m.span(), 4) for m in _RUN.finditer(text) if _DIGIT.search(text, *m.span())]
     for a, b, k in sorted(more):
         if free(a, b):
             out.append((a, b, k, False))
     return out
 
 
+def entropy(span: str) -> float:
+    """Bits per character by the span's own letters, without case."""
+    n = len(span)
+    return -sum(c / n * math.log2(c / n) for c in Counter(span.lower()).values())
+
+
 def votes(text: str, a: int, b: int, kind: int, base: bool) -> tuple[int, ...]:
     """The labelers' votes, in the order of ``LABELERS``."""
     span, name = text[a:b], KINDS[kind]
@@ -126,8 +134,7 @@ def votes(text: str, a: int, b: int, kind: int, base: bool) -> tuple[int, ...]:
         gazetteer = YES if span[0] == "+" and digits[0] != "0" else NONE
     else:
         letters = span.lower()
-        entropy = -sum(n / len(letters) * math.log2(n / len(letters)) for n in Counter(letters).values())
-        check = YES if entropy > 3 else NO
+        check = YES if entropy(span) > 3 else NO
         gazetteer = YES if span.startswith(("sk-", "AKIA", "ghp_", "xox")) or len(span) in (32, 40, 64) and not set(letters) - set("0123456789abcdef") else NONE
     before = _CUE.findall(text[max(0, a - 32) : a].lower())[-3:]
     context = YES if CUES[name].intersection(before) else NO if AGAINST[name].intersection(before) else NONE
@@ -136,20 +143,57 @@ def votes(text: str, a: int, b: int, kind: int, base: bool) -> tuple[int, ...]:
     return (pattern, check, gazetteer, context, YES if edge else NO)
 
 
-def vote_counts(docs: DataFrame) -> DataFrame:
-    """``(kind, code, n)`` over the whole corpus; ``code`` has the votes as base-3 digits. At most ``len(KINDS) * 3 ** len(LABELERS)`` rows."""
+#: Upper bounds of the classes of length, entropy and share of digits; classes of what stands in front: nothing or a blank, a mark, anything else.
+LENGTHS, ENTROPIES, SHARES = (8, 12, 16, 20, 28, 36, 48), (2.0, 3.0, 3.5), (0.0, 1 / 3, 2 / 3)
+SHAPE = (len(LENGTHS) + 1, len(ENTROPIES) + 1, len(SHARES) + 1, 2, 3)
+
+
+def shape(text: str, a: int, b: int) -> int:
+    """The span's description: classes of length, entropy and digit share, whether it has both cases, and what stands in front, as one number below the product of ``SHAPE``."""
+    span, out = text[a:b], 0
+    front = 0 if a == 0 or text[a - 1].isspace() else 1 if text[a - 1] in "=:\"'(<[,;" else 2
+    digits = sum("0" <= c <= "9" for c in span) / len(span)
+    classes = (bisect_right(LENGTHS, len(span)), bisect_right(ENTROPIES, entropy(span)), bisect_left(SHARES, digits), int(span != span.lower() and span != span.upper()), front)
+    for n, x in zip(SHAPE, classes, strict=True):
+        out = out * n + x
+    return out
+
+
+def described(text: str | None) -> list[tuple[int, int, int, bool, int, int]]:
+    """``(start, end, kind, base, votes, shape)`` of all candidates; null has none."""
+    text = text or ""
+    return [(a, b, k, base, _code(votes(text, a, b, k, base)), shape(text, a, b)) for a, b, k, base in candidates(text)]
+
+
+WIDTH = 6
+
+
+def candidate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, found)`` per row of ``docs``; ``found`` has ``WIDTH`` numbers a candidate. Null texts have none; rows keep their number; further columns are ignored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[int(x) for c in described(t.as_py()) for x in c] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "found"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, found array<int>")
+
+
+def vote_counts(found: DataFrame) -> DataFrame:
+    """``(kind, code, shape, n)`` over the whole corpus, from ``candidate_rows``; ``code`` has the votes as base-3 digits. An empty table has no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[int, int]] = Counter()
+        seen: Counter[tuple[int, int, int]] = Counter()
         for batch in batches:
-            for t in batch.column(0):
-                if t.is_valid:
-                    text = t.as_py()
-                    seen.update((k, _code(votes(text, a, b, k, base))) for a, b, k, base in candidates(text))
-        kinds, codes = zip(*seen, strict=True) if seen else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(codes, pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["kind", "code", "n"])
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+            seen.update(map(tuple, flat[:, [2, 4, 5]].tolist()))
+        cols = list(zip(*seen, strict=True)) if seen else [()] * 3
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols), pa.array(list(seen.values()), pa.int64())], names=["kind", "code", "shape", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "kind int, code int, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    counts = found.select("found").mapInArrow(run, "kind int, code int, shape int, n long")
+    return counts.groupBy("kind", "code", "shape").agg(F.sum("n").alias("n"))
 
 
 def _code(v: tuple[int, ...]) -> int:
@@ -198,51 +242,62 @@ def estimate(counts: dict[tuple[int, int], int], rounds: int = 50) -> tuple[dict
     return post, table
 
 
-def _features(kind: int, code: int) -> np.ndarray:
-    x = np.zeros(len(KINDS) * (1 + 3 * len(LABELERS)))
-    at = kind * (1 + 3 * len(LABELERS))
-    x[at] = 1
-    for i, v in enumerate(_votes_of(code)):
-        x[at + 1 + 3 * i + v] = 1
-    return x
+#: Weights of a kind: one of its own, one for each vote of each labeler, one for each class of the description.
+_OF_KIND = 1 + 3 * len(LABELERS) + sum(SHAPE)
+
+
+def _features(kind: int, code: int, form: int) -> list[int]:
+    """Numbers of the weights that count for a span."""
+    at = kind * _OF_KIND
+    out = [at] + [at + 1 + 3 * i + v for i, v in enumerate(_votes_of(code))]
+    end = at + _OF_KIND
+    for n in reversed(SHAPE):
+        form, x = divmod(form, n)
+        end -= n
+        out.append(end + x)
+    return out
 
 
 @dataclass
 class SpanClassifier:
-    """A logistic model over kind and votes; ``score`` is the probability that a span is personal data."""
+    """A logistic model over kind, votes and description; ``score`` is the probability that a span is personal data."""
 
     weights: np.ndarray
     reliabilities: np.ndarray
 
-    def score(self, kind: int, code: int) -> float:
-        return float(1 / (1 + np.exp(-np.clip(_features(kind, code) @ self.weights, -30, 30))))
+    def score(self, kind: int, code: int, form: int) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.weights[_features(kind, code, form)].sum(), -30, 30))))
 
 
-def train(counts: dict[tuple[int, int], int], steps: int = 400, ridge: float = 1e-3) -> SpanClassifier:
-    """EM, then logistic regression on the posteriors, weighted by the logarithm of the counts. Without counts every score is one half."""
-    post, table = estimate(counts)
-    w = np.zeros(len(KINDS) * (1 + 3 * len(LABELERS)))
+def train(counts: dict[tuple[int, int, int], int], steps: int = 400, ridge: float = 1e-3) -> SpanClassifier:
+    """EM over the votes, then logistic regression on the posteriors by kind, votes and description, weighted by the logarithm of the counts. Without counts every score is one half."""
+    by_votes: Counter[tuple[int, int]] = Counter()
+    for (kind, code, _), n in counts.items():
+        by_votes[kind, code] += n
+    post, table = estimate(by_votes)
+    w = np.zeros(len(KINDS) * _OF_KIND)
     if counts:
         keys = sorted(counts)
-        x, y = np.array([_features(*k) for k in keys]), np.array([post[k] for k in keys])
+        x, y = np.array([_features(*k) for k in keys]), np.array([post[k[:2]] for k in keys])
         n = np.log1p([counts[k] for k in keys])
         n /= n.sum()
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w -= 8 * (x.T @ (n * (p - y)) + ridge * w)
+            p = 1 / (1 + np.exp(-np.clip(w[x].sum(axis=1), -30, 30)))
+            w -= 4 * (np.bincount(x.ravel(), weights=np.repeat(n * (p - y), x.shape[1]), minlength=len(w)) + ridge * w)
     return SpanClassifier(w, table)
 
 
-def fit(docs: DataFrame) -> SpanClassifier:
-    return train({(r.kind, r.code): r.n for r in vote_counts(docs).collect()})
+def fit(found: DataFrame) -> SpanClassifier:
+    """The classifier of the candidates in ``found`` (``candidate_rows``). Repeated rows count as often as they come; without candidates every score is one half."""
+    return train({(r.kind, r.code, r.shape): r.n for r in vote_counts(found).collect()})
 
 
-def find(text: str, model: SpanClassifier, memo: dict) -> list[tuple[int, int, int]]:
+def taken(found: list[tuple[int, int, int, bool, int, int]], model: SpanClassifier, memo: dict) -> list[tuple[int, int, int]]:
     """Base spans and the candidates that the classifier takes, by start and kind."""
     out = []
-    for a, b, k, base in candidates(text):
+    for a, b, k, base, code, form in found:
         if not base:
-            key = (k, _code(votes(text, a, b, k, base)))
+            key = (k, code, form)
             if key not in memo:
                 memo[key] = model.score(*key)
             if memo[key] < 0.5:
@@ -252,33 +307,40 @@ def find(text: str, model: SpanClassifier, memo: dict) -> list[tuple[int, int, i
     return out
 
 
+def find(text: str | None, model: SpanClassifier, memo: dict) -> list[tuple[int, int, int]]:
+    return taken(described(text), model, memo)
+
+
 def _write(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
 
-def scan(docs: DataFrame, model: SpanClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
+def scan(found: DataFrame, model: SpanClassifier) -> DataFrame:
+    """Per row of ``candidate_rows``: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans``.
 
-    Places count code points, ends exclusive. A null text counts as empty and
-    has no spans. Rows keep their number; further columns are ignored.
+    Places count code points, ends exclusive. A text without candidates, a null
+    one too, has no spans. Rows keep their number; an empty table gives an empty
+    result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in batches:
-            counts, digests, spans = [], [], []
+            counts, digests, spans, many = [], [], [], []
             for t in batch.column(1):
-                text = t.as_py() or ""
-                base = base_spans(text)
+                flat = t.as_py()
+                rows = [tuple(flat[i : i + WIDTH]) for i in range(0, len(flat), WIDTH)]
+                base = [r[:3] for r in rows if r[3]]
                 counts.append([sum(k == i for _, _, k in base) for i in range(4)])
                 digests.append(hashlib.sha256(_write(base).encode()).hexdigest())
-                spans.append(_write(find(text, model, memo)))
+                kept = taken(rows, model, memo)
+                spans.append(_write(kept))
+                many.append(len(kept))
             cols = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)] if counts else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(many, pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return found.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -292,7 +354,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def mask(docs: DataFrame, model: SpanClassifier) -> DataFrame:
-    """``docs`` with all columns, personal data in ``text`` replaced, and ``n_chars``, if there, counted anew. Null texts stay null."""
+    """``docs`` with all columns, personal data in ``text`` replaced, and ``n_chars``, if there, counted anew. Null texts stay null, repeated rows stay, an empty table stays empty."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

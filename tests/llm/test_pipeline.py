@@ -51,7 +51,7 @@ def test_stages(spark, sf, tmp_path):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     hit = {r[0] for r in plain_contamination(sorted(rows["near_duplicates"].items()), items) if r[-1]}
     assert rows["decontamination"] == {i: t for i, t in rows["near_duplicates"].items() if i not in hit}
-    model = wp.fit(at["decontamination"])
+    model = wp.fit(wp.candidate_rows(at["decontamination"]))
     assert rows["personal_data"] == {i: wp.redact(t, wp.find(t, model, {})) for i, t in rows["decontamination"].items()}
     assert not any(wp.base_spans(t) for t in rows["personal_data"].values())
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

@@ -145,6 +145,50 @@ def test_base_spans():
         assert [(a, k, b) for a, b, k in wp.base_spans(t)] == plain_spans(t)
 
 
+def plain_candidates(t):
+    """All candidates, every looser one compared with every base span."""
+    base = [(a, b, k) for a, k, b in plain_spans(t)]
+    more = [(m.start(), m.end(), 2) for m in re.finditer("[0-9]+", t) if 12 <= len(m[0]) <= 19]
+    more += [(m.start(), m.end(), 3) for m in re.finditer(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", t)]
+    more += [(m.start(), m.end(), 4) for m in re.finditer("[0-9A-Za-z_-]+", t) if len(m[0]) >= 24 and re.search("[0-9]", m[0])]
+    return [(*x, True) for x in base] + [(*x, False) for x in sorted(more) if all(x[1] <= a or b <= x[0] for a, b, _ in base)]
+
+
+def plain_score(model, t, a, b, k):
+    """The classifier's probability, its features laid out one by one."""
+    base = (a, k, b) in plain_spans(t)
+    w = model.weights.reshape(len(wp.KINDS), -1)[k]
+    total, at = w[0], 1
+    for v in wp.votes(t, a, b, k, base):
+        total, at = total + w[at + v], at + 3
+    span = t[a:b]
+    n = Counter(span.lower())
+    bits = -sum(c / len(span) * np.log2(c / len(span)) for c in n.values())
+    share = sum(c in "0123456789" for c in span) / len(span)
+    front = 0 if not a or t[a - 1].isspace() else 1 if t[a - 1] in "=:\"'(<[,;" else 2
+    classes = [sum(len(span) >= x for x in wp.LENGTHS), sum(bits >= x for x in wp.ENTROPIES), sum(share > x for x in wp.SHARES), int(any(c != c.lower() for c in span) and any(c != c.upper() for c in span)), front]
+    for size, x in zip(wp.SHAPE, classes, strict=True):
+        total, at = total + w[at + x], at + size
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def test_all_candidates(data):
+    rng = np.random.default_rng(4)
+    bits = ["a@b.co ", "1.2.3.4", " ", "123-456-7890", "4111111111111111", "+1 052 555 0934", "_", "x9" * 14, "-", "sk-" + "A1" * 90, ".", "9" * 25, "@", "é", "card 5500000000000004"]
+    texts = ["".join(rng.choice(bits, n)) for n in [5, 20, 200] * 30] + PRIVATE + [t for _, t in data if t and len(t) < 20_000]
+    long = "k" * 500 + "7" + "Q" * 500
+    for t in [*texts, f"secret {long}", "z " * 50_000 + long]:
+        assert sorted(wp.candidates(t)) == sorted(plain_candidates(t))
+    assert [c for c in wp.candidates(f"secret {long}") if c[2] == 4] == [(7, 1008, 4, False)]
+
+
+def test_span_classifier_sees_the_span(spark):
+    """Of spans with equal votes, those described like the ones that the labelers agree on score higher."""
+    counts = {(4, wp._code((2, 1, 1, 1, 1)), 100): 500, (4, wp._code((2, 0, 2, 0, 0)), 300): 500, (4, wp._code((2, 1, 2, 2, 1)), 100): 50, (4, wp._code((2, 1, 2, 2, 1)), 300): 50}
+    model = wp.train(counts)
+    assert model.score(4, wp._code((2, 1, 2, 2, 1)), 100) > model.score(4, wp._code((2, 1, 2, 2, 1)), 300)
+
+
 @pytest.mark.parametrize("others", [0, 60])
 def test_candidates_within_a_long_span(others):
     """A number inside an e-mail that also holds many addresses is no candidate, however many spans the text has."""
@@ -156,21 +200,25 @@ def test_candidates_within_a_long_span(others):
 def test_private_data(spark, docs, data, empty):
     rows = [(i, t) for i, t in enumerate(PRIVATE * 5)] + [(900, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    model = wp.fit(frame)
-    out = {r.doc_id: r for r in wp.scan(frame, model).collect()}
+    found = wp.candidate_rows(frame)
+    model = wp.fit(found)
+    out = {r.doc_id: r for r in wp.scan(found, model).collect()}
     for i, t in rows:
         base = plain_spans(t or "")
         text = ",".join(f"{wp.KINDS[k]}:{a}:{b}" for a, k, b in base)
         r = out[i]
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for _, k, _ in base) for x in range(4))
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
-        assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+        spans = sorted((a, k, b) for a, b, k, base in plain_candidates(t or "") if base or plain_score(model, t, a, b, k) >= 0.5)
+        assert r.spans == ",".join(f"{wp.KINDS[k]}:{a}:{b}" for a, k, b in spans) and r.n_spans == len(spans)
     assert "card:44:60" in out[2].spans.split(",")  # a good number beside others, which the base pattern runs together
     assert "secret:9:49" in out[5].spans
-    masked = wp.mask(docs, wp.fit(docs))
+    masked = wp.mask(docs, wp.fit(wp.candidate_rows(docs)))
     assert masked.columns == docs.columns and masked.count() == len(data)
     assert wp.redact("a b@c.de f", [(2, 8, 0)]) == "a [EMAIL] f"
-    assert wp.scan(empty, model).count() == 0 and wp.fit(empty).score(0, 0) == 0.5
+    none = wp.candidate_rows(empty)
+    assert wp.scan(none, model).count() == 0 and wp.fit(none).score(0, 0, 0) == 0.5
+    assert wp.candidate_rows(docs).count() == len(data) and wp.mask(empty, model).count() == 0
 
 
 def test_reliabilities_are_recovered():
@@ -248,3 +296,44 @@ def test_toxicity_on_held_out_rows(spark, docs, data, empty):
     assert len(got) == len(data) and all(0 <= r.score <= 1 for r in got)
     assert zt.score(empty, model).count() == 0
     assert {r.score for r in zt.score(docs, zt.fit(docs, marks.limit(0))).collect()} == {0.5}
+    twice = zt.fit(frame.union(frame), marks.union(marks))
+    assert (twice.weights == model.weights).all() and twice.toxic == model.toxic and twice.ordinary == model.ordinary
+    plain = plain_toxicity(model)
+    assert {r.doc_id: r.score for r in out} == pytest.approx({i: plain(t) for i, t in rows}, abs=1e-9)
+    assert sorted(r.score for r in got) == pytest.approx(sorted(plain(t) for _, t in data), abs=1e-9)
+
+
+def plain_toxicity(model):
+    """The score from lengths that two fresh compressors give, window by window."""
+    import zstandard
+
+    def length(content, window):
+        whole = zstandard.ZstdCompressionDict(content + zt.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        whole.precompute_compress(level=model.level)
+        return len(zstandard.ZstdCompressor(dict_data=whole, level=model.level, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window + zt.TAIL))
+
+    known = {}
+
+    def score(text):
+        w = re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOW).encode())
+        saved = []
+        for i in range(0, len(w), model.window):
+            x = b" " + b" ".join(w[i : i + model.window]) + b" "
+            if x not in known:
+                known[x] = length(model.ordinary, x) - length(model.toxic, x)
+            saved.append(known[x])
+        saved = saved or [0]
+        best = sorted(saved, reverse=True)[:3]
+        best += [min(0, best[-1])] * (3 - len(best))
+        strong, more, n = sum(x >= 2 for x in saved), sum(x >= 4 for x in saved), len(saved)
+        x = [1, *best, np.log1p(strong), np.log1p(more), np.log1p(n), sum(saved) / n, 10 * strong / n, 10 * more / n]
+        return 1 / (1 + np.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+    return score
+
+
+def test_pieces_of_long_texts(spark):
+    text = "".join(chr(97 + i % 26) for i in range(5000))
+    frame = spark.createDataFrame([(text,), (text[:100],), (None,)], "text string")
+    got = [r[0] for r in frame.select(zt.excerpt(frame.text, 400)).collect()]
+    assert got[0] == " ".join(text[i : i + 100] for i in (0, 1633, 3266, 4900)) and got[1:] == [text[:100], None]
