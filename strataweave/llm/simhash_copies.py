@@ -242,7 +242,8 @@ def _promising(described: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, described: DataFrame, promising: DataFrame, shingle: int) -> DataFrame:
     """``(t1, size, fp, set)`` of the promising texts, read from one raw text each."""
-    wanted = stored(described.join(promising, "t1", "left_semi").groupBy("t1").agg(F.min("th").alias("th")), "wanted")
+    each = described.groupBy("t1").agg(F.min("th").alias("th"))  # a row a text before the join: copies combine
+    wanted = stored(each.join(promising, "t1", "left_semi"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
