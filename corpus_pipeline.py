@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; all documents stay."""
-    return weak_pii.mask(docs, weak_pii.fit(docs))
+    return weak_pii.mask(docs, weak_pii.fit(weak_pii.candidate_rows(docs)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
