@@ -18,6 +18,10 @@ Frequent terms' lists are thus read only where rare terms have met. A phrase
 that a third of all texts share makes rows in proportion to its occurrences;
 every shuffle is keyed by document and diagonal, and test-side tables are
 broadcast only up to a checked number of rows.
+
+A proximity match is looser: the least frequent terms of a window stand in a text
+in any order, each at most ``slop`` words away from where the others put it. Its
+lists are intersected over a sliding range of shifts, so no place is lost.
 """
 
 from __future__ import annotations
@@ -26,14 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import plain_words, stored
-
-#: Largest number of rows that is broadcast (about 100 bytes each); larger tables are joined by shuffle.
-BROADCAST_ROWS = 400_000
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+from .common import plain_words, release, small, stored
 
 
 def document_key(doc_id: str, text: str) -> list[Column]:
@@ -53,19 +50,21 @@ def postings(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: st
     """The index: ``(k1, k2, pos, tid)`` of all words in ``terms(word, tid)``; word positions count from 0."""
     words = docs.select(*document_key(doc_id, text), plain_words(F.col(text)).alias("words"))
     each = words.select("k1", "k2", F.posexplode("words").alias("pos", "word"))
-    return each.join(_small(terms, terms.count()), "word").select("k1", "k2", "pos", "tid")
+    return each.join(small(terms), "word").select("k1", "k2", "pos", "tid")
 
 
-def diagonals(index: DataFrame, terms: DataFrame, width: int, rarest: int) -> DataFrame:
-    """``(k1, k2, ik, delta)`` where the lists of enough anchors meet; ``terms(ik, item, len, ipos, tid, n)``."""
+def _windows(terms: DataFrame, width: int) -> DataFrame:
+    """Every term once for each window (``start``) that it stands in; ``terms(ik, item, len, ipos, tid, n)``."""
     starts = F.sequence(F.greatest(F.col("ipos") - (width - 1), F.lit(0)), F.least("ipos", F.greatest(F.col("len") - width, F.lit(0))))
-    each = terms.select("ik", "ipos", "tid", "n", "len", F.explode(starts).alias("start"))
+    return terms.select("ik", "item", "ipos", "tid", "n", "len", F.explode(starts).alias("start"))
+
+
+def diagonals(index: DataFrame, terms: DataFrame, width: int, rarest: int) -> DataFrame:
+    """``(k1, k2, ik, delta)`` where the lists of enough anchors meet."""
     window = W.partitionBy("ik", "start")
-    ranked = each.withColumn("least", F.min("n").over(window)).where("least > 0").withColumn("rank", F.row_number().over(window.orderBy("n", "ipos")))
-    anchors = ranked.where(F.col("rank") <= rarest).select("ik", "ipos", "tid", F.least(F.lit(rarest), "len").alias("need")).distinct()
-    anchors = stored(anchors.groupBy("tid").agg(F.collect_list(F.struct("ik", "ipos", "need")).alias("places")), "anchors")
-    met = index.join(_small(anchors, anchors.count()), "tid").select("k1", "k2", "pos", F.explode("places").alias("p"))
-    met = met.select("k1", "k2", F.col("p.ik").alias("ik"), (F.col("pos") - F.col("p.ipos")).alias("delta"), F.col("p.need").alias("need"))
+    ranked = _windows(terms, width).withColumn("least", F.min("n").over(window)).where("least > 0").withColumn("rank", F.row_number().over(window.orderBy("n", "ipos")))
+    anchors = stored(ranked.where(F.col("rank") <= rarest).select("ik", "ipos", "tid", F.least(F.lit(rarest), "len").alias("need")).distinct(), "anchors")
+    met = index.join(small(anchors), "tid").select("k1", "k2", "ik", (F.col("pos") - F.col("ipos")).alias("delta"), "need")
     return met.groupBy("k1", "k2", "ik", "delta").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).where("met >= need").select("k1", "k2", "ik", "delta")
 
 
@@ -74,10 +73,10 @@ def phrase_matches(index: DataFrame, terms: DataFrame, width: int = 10, rarest:
     found = stored(diagonals(index, terms, width, rarest), "diagonals")
     lists = terms.groupBy("ik").agg(F.first("item").alias("item"), F.first("len").alias("len"), F.collect_list(F.struct("ipos", "tid")).alias("list"))
     lists = stored(lists, "lists")
-    due = found.join(_small(lists, terms.count()), "ik").select("k1", "k2", "ik", "item", "len", "delta", F.explode("list").alias("t"))
+    due = found.join(small(lists, terms.count()), "ik").select("k1", "k2", "ik", "item", "len", "delta", F.explode("list").alias("t"))
     due = due.select("k1", "k2", "ik", "item", "len", "delta", (F.col("delta") + F.col("t.ipos")).alias("pos"), F.col("t.tid").alias("tid")).where("pos >= 0")
     keys = stored(found.select("k1", "k2").distinct(), "keys")
-    there = index.join(_small(keys, n), ["k1", "k2"], "left_semi") if (n := keys.count()) <= BROADCAST_ROWS else index
+    there = index.join(small(keys), ["k1", "k2"], "left_semi")
     met = due.join(there.distinct(), ["k1", "k2", "pos", "tid"])
     line = W.partitionBy("k1", "k2", "ik", "delta").orderBy("pos")
     runs = met.withColumn("run", F.col("pos") - F.row_number().over(line))
@@ -86,22 +85,24 @@ def phrase_matches(index: DataFrame, terms: DataFrame, width: int = 10, rarest:
 
 
 def proximity_matches(index: DataFrame, terms: DataFrame, width: int = 10, rarest: int = 3, slop: int = 5) -> DataFrame:
-    """``(k1, k2, item)`` where the ``rarest`` least frequent terms of a window occur with shifts less than ``slop`` apart.
+    """Distinct ``(k1, k2, item)`` where the ``rarest`` least frequent terms of a window of ``item`` stand with shifts at most ``slop`` apart.
 
-    Shifts are put in cells of ``slop`` and again in cells moved by half of it.
-    Incomplete: shifts more than half of ``slop`` apart may share no cell, and
-    windows with a term that no text has are left out.
+    A term's shift is its place in the text less its place in the item. Terms
+    that no text has are passed over; a window with fewer terms left than
+    ``rarest`` (or than it has words, if these are fewer) has no match. Windows
+    with the same rarest terms are one.
     """
-    starts = F.sequence(F.greatest(F.col("ipos") - (width - 1), F.lit(0)), F.least("ipos", F.greatest(F.col("len") - width, F.lit(0))))
-    window = W.partitionBy("ik", "start")
-    each = terms.select("ik", "item", "ipos", "tid", "n", "len", F.explode(starts).alias("start"))
-    ranked = each.withColumn("least", F.min("n").over(window)).where("least > 0").withColumn("rank", F.row_number().over(window.orderBy("n", "ipos")))
-    ranked = ranked.where(F.col("rank") <= rarest).select("ik", "item", "start", "ipos", "tid", F.least(F.lit(rarest), "len").alias("need"))
-    met = index.join(_small(ranked, ranked.count()), "tid").withColumn("shift", F.col("pos") - F.col("ipos"))
-    cells = F.array(F.floor(F.col("shift") / slop) * 2, F.floor((F.col("shift") + slop // 2) / slop) * 2 + 1)
-    met = met.select("k1", "k2", "item", "ik", "start", "ipos", "need", F.explode(cells).alias("cell"))
-    near = met.distinct().groupBy("k1", "k2", "item", "ik", "start", "cell").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need"))
-    return near.where("met >= need").select("k1", "k2", "item").distinct()
+    window = W.partitionBy("ik", "start").orderBy("n", "ipos")
+    ranked = _windows(terms, width).where("n > 0").withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= rarest)
+    need = F.least(F.lit(rarest), F.lit(width), "len")
+    sets = ranked.groupBy("ik", "start").agg(F.sort_array(F.collect_list(F.struct("ipos", "tid"))).alias("of"), F.first("item").alias("item"), F.min(need).alias("need"))
+    sets = sets.where(F.size("of") == F.col("need")).select("ik", "item", "of").distinct().withColumn("set", F.monotonically_increasing_id())
+    sets = stored(sets, "sets")
+    each = stored(sets.select("set", F.size("of").alias("size"), F.posexplode("of").alias("i", "t")).select("set", "size", "i", "t.ipos", "t.tid"), "near_anchors")
+    met = index.join(small(each), "tid").select("k1", "k2", "set", "size", (F.col("pos") - F.col("ipos")).alias("shift"), F.expr("shiftleft(1L, i)").alias("bit"))
+    line = W.partitionBy("k1", "k2", "set").orderBy("shift").rangeBetween(0, slop)
+    near = met.distinct().withColumn("there", F.bit_or("bit").over(line)).where("there = shiftleft(1L, size) - 1").select("k1", "k2", "set").distinct()
+    return near.join(small(sets.select("set", "item")), "set").select("k1", "k2", "item").distinct()
 
 
 def index_for(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -114,30 +115,40 @@ def index_for(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     return index, stored(words.join(known, "word").select("ik", "item", "len", "ipos", "tid", "n"), "test_terms")
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+def contamination(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 2, doc_id: str = "doc_id", text: str = "text", near_rarest: int = 3, slop: int = 5) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near``.
 
-    Null and empty texts have no words and no hits. Repeated rows get the same
-    result each. A null item id counts for hits and not as an item. Items that
-    share a passage are all listed. Without items nothing is hit. Further
-    columns are ignored.
+    ``n_near`` counts the items with a proximity match (``near_rarest`` terms,
+    ``slop``); it decides nothing. Null and empty texts have no words and no
+    hits. Repeated rows get the same result each. A null item id counts for hits
+    and not as an item. Items that share a passage are all listed. Without items
+    nothing is hit. Further columns are ignored.
     """
     index, terms = index_for(docs, items, doc_id, text)
     runs = stored(phrase_matches(index, terms, width, rarest), "runs")
+    near = stored(proximity_matches(index, terms, width, near_rarest, slop).where("item is not null"), "near")
+    release(index)
     places = runs.select("k1", "k2", F.explode(F.sequence("start", "end")).alias("pos")).distinct()
     hits = places.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_hit"))
     named = runs.where("item is not null").select("k1", "k2", "item").distinct().groupBy("k1", "k2")
     named = named.agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("names"))
-    found = stored(hits.join(named, ["k1", "k2"], "left"), "found")
+    about = near.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_near"))
+    found = stored(hits.join(named, ["k1", "k2"], "left").join(about, ["k1", "k2"], "full"), "found")
     base = docs.select(F.col(doc_id).alias("doc_id"), *document_key(doc_id, text), F.size(plain_words(F.col(text))).cast("long").alias("n_words"))
-    out = base.join(found, ["k1", "k2"], "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
-    return out.select("doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    some = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    out = base.join(found, ["k1", "k2"], "left").select("doc_id", "n_words", some("n_hit"), some("n_items"), F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"), some("n_near"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options: int) -> DataFrame:
-    """The rows of ``docs``, all columns, without any hit word."""
+    """The rows of ``docs``, all columns, whatever their names, without any hit word.
+
+    Null and blank texts stay; repeated rows stay or go together; without items
+    all stay; an empty table stays empty.
+    """
     index, terms = index_for(docs, items)
-    hit = phrase_matches(index, terms, **options).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    hit = stored(hit, "hit")
+    hit = stored(phrase_matches(index, terms, **options).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "hit")
+    release(index)
     k1, k2 = document_key("doc_id", "text")
-    return docs.join(_small(hit, hit.count()), (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti")
+    gone = small(hit)
+    return docs.join(gone, (k1 == gone["_k1"]) & (k2 == gone["_k2"]), "left_anti")

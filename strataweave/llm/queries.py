@@ -122,9 +122,22 @@ k AS (SELECT DISTINCT n FROM w),
 p AS (SELECT rid, n, unnest(list_transform(range(0, len(words) - n + 1), lambda i: struct_pack(pos := i, key := array_to_string(words[i + 1 : i + n], ' ')))) AS x FROM d, k WHERE len(words) >= n),
 o AS (SELECT rid, p.n AS n, x.pos AS pos, item FROM p JOIN w ON w.n = p.n AND w.key = x.key),
 h AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + n)) AS q FROM o) GROUP BY rid),
-i AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM o GROUP BY rid)
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid)
+i AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM o GROUP BY rid),
+tw AS (SELECT rid, unnest(list_transform(range(0, len(words)), lambda i: struct_pack(pos := i, word := words[i + 1]))) AS x FROM d),
+tb AS (SELECT item, words, pos AS win, n, unnest(range(pos, pos + n)) AS ipos FROM s),
+tn AS (SELECT x.word AS word, count(*) AS freq FROM tw WHERE x.word IN (SELECT unnest(words) FROM b) GROUP BY 1),
+tr AS (SELECT item, words, win, n, ipos, words[ipos + 1] AS word, row_number() OVER (PARTITION BY item, words, win ORDER BY freq, ipos) AS r FROM tb JOIN tn ON tn.word = words[ipos + 1]),
+ta AS (SELECT item, words, win, ipos, word, least(3, n) AS need FROM tr WHERE r <= 3),
+ts AS (SELECT item, need, list(ipos ORDER BY ipos) AS ipos, list(word ORDER BY ipos) AS word FROM ta GROUP BY item, words, win, need HAVING count(*) = need),
+tu AS (SELECT row_number() OVER () AS st, item, need, ipos, word FROM (SELECT DISTINCT * FROM ts)),
+te AS (SELECT st, item, need, unnest(ipos) AS ipos, unnest(word) AS word FROM tu),
+tm AS (SELECT DISTINCT rid, st, item, need, ipos, x.pos - ipos AS shift FROM te JOIN tw ON x.word = te.word),
+tf AS (SELECT rid, st FROM tm GROUP BY rid, st, need HAVING count(DISTINCT ipos) = need),
+tg AS (SELECT tm.* FROM tm JOIN tf USING (rid, st)),
+tx AS (SELECT a.rid AS rid, a.item AS item FROM tg a JOIN tg c ON a.rid = c.rid AND a.st = c.st AND c.shift BETWEEN a.shift AND a.shift + 5 GROUP BY a.rid, a.item, a.st, a.shift, a.ipos, a.need HAVING count(DISTINCT c.ipos) = a.need),
+ty AS (SELECT rid, count(DISTINCT item) AS n_near FROM tx GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid) LEFT JOIN ty USING (rid)
 """
 
 

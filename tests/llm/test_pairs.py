@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -273,6 +273,33 @@ def test_components_of_a_chain(spark):
     assert got == {**dict.fromkeys(range(61), 0), 200: 200, 201: 200}
 
 
+def plain_near(data, items, width=10, rarest=3, slop=5):
+    """Number of items with a proximity match by row: every window's rarest terms, every place tried."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = lambda t: word.findall((t or "").translate(LOW))
+    texts, freq = [cut(t) for _, t in data], Counter(w for _, t in data for w in cut(t))
+    sets = set()
+    for i, t in items:
+        w = cut(t)
+        n = min(width, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            chosen = sorted((freq[w[p]], p) for p in range(k, k + n) if freq[w[p]])[:rarest]
+            if len(chosen) == min(rarest, n) and i is not None:
+                sets.add((str(i), tuple(sorted((p, w[p]) for _, p in chosen))))
+    out = []
+    for w in texts:
+        places = defaultdict(list)
+        for p, x in enumerate(w):
+            places[x].append(p)
+        near = set()
+        for i, terms in sets:
+            shifts = [[q - p for q in places[x]] for p, x in terms]
+            if all(shifts) and any(all(any(s <= r <= s + slop for r in other) for other in shifts) for some in shifts for s in some):
+                near.add(i)
+        out.append(len(near))
+    return out
+
+
 def plain_contamination(data, items, width=10):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = defaultdict(set)
@@ -308,18 +335,31 @@ def test_contamination(spark, docs, data, empty):
     items = items_of(data)
     frame = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(str(tuple(r)) for r in pi.contamination(docs, frame).collect())
-    assert got == sorted(map(str, plain_contamination(data, items)))
+    near = plain_near(data, items)
+    assert got == sorted(str((*r, n)) for r, n in zip(plain_contamination(data, items), near, strict=True)) and any(near)
     assert pi.contamination(empty, frame).count() == 0
     none = pi.contamination(docs, frame.limit(0)).collect()
     assert len(none) == len(data) and not any(r.contaminated for r in none)
     left = pi.drop_contaminated(docs, frame)
+    assert pi.drop_contaminated(empty, frame).count() == 0 and pi.drop_contaminated(docs, frame.limit(0)).count() == len(data)
     assert left.columns == docs.columns
     assert left.count() == sum(not r[-1] for r in plain_contamination(data, items))
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "xx alpha yy beta zz gamma"), (2, "alpha " + "yy " * 40 + "beta gamma"), (3, "yy zz")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
-    index, terms = pi.index_for(docs, items)
-    keys = docs.select("doc_id", *pi.document_key("doc_id", "text"))
-    assert [r.doc_id for r in pi.proximity_matches(index, terms).join(keys, ["k1", "k2"]).collect()] == [1]
+@pytest.mark.parametrize("slop", [0, 1, 5])
+def test_proximity(spark, slop):
+    """Rare terms moved apart by nought to a dozen words, before and after one another, wherever they stand in the text."""
+    rng = random.Random(3)
+    items = [(7, "alpha beta gamma delta"), (8, "gamma kappa"), (9, "alpha missing words here beta kappa"), (10, "alpha"), (None, "beta gamma delta")]
+    rows = []
+    for i in range(120):
+        w = ["yy"] * rng.randrange(30) + ["alpha"] + ["yy"] * rng.randrange(12) + ["beta"] + ["zz"] * rng.randrange(12) + ["gamma"] + ["zz"] * rng.randrange(8) + ["delta"] * (i % 3)
+        if i % 5 == 0:
+            w.insert(rng.randrange(len(w)), "kappa")
+        if i % 7 == 0:
+            rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+    docs, frame = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.n_near for r in pi.contamination(docs, frame, slop=slop).collect()}
+    want = dict(zip(range(120), plain_near(rows, items, slop=slop), strict=True))
+    assert got == want and len(set(want.values())) > 1
