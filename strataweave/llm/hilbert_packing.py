@@ -7,10 +7,12 @@ by ranges of that key, sorted, and laid end to end; sequences are cut every
 ``size`` tokens, so only the very last one has padding. A document may go over
 several sequences.
 
-The range cuts come from a bounded sample of keys; a key's low half is a hash of
-the document, so thousands of copies with one place on the curve are still
-spread over ranges. Range totals (one row a range) give each range its first
-token number; no task sees more than its range, and no ids reach the driver.
+Ranges are cut by exact token counts of all rows: the curve is divided into cells,
+and cells with too many tokens are divided further, until each is small beside a
+range; neighbouring cells make up a range. A key's low half is a hash of the
+document, so thousands of copies with one place on the curve are still spread
+over ranges. The cells' counts give each range its first token number; no task
+sees more than its range, and no ids reach the driver, only a few counts a range.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import BROADCAST_ROWS, stored
 
 DIMS, BITS, BUCKETS = 3, 10, 64
-#: Keys that the driver looks at to cut ranges.
-SAMPLE = 20_000
-#: Most tokens that a range should have (two bytes each).
-RANGE_TOKENS = 16_000_000
+#: Bits of a key: the place on the curve and a hash of the document.
+KEY_BITS = DIMS * BITS + 32
+#: Tokens that a range has at most about (two bytes each).
+RANGE_TOKENS = 64_000_000
+#: Cells that one round may add without taking fewer bits at a time.
+CELLS = 100_000
 #: Characters whose class no Unicode version has changed; texts of these alone, without the special string, take the faster of the two public encoders, which has the same vocabulary.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]|<\\|endoftext\\|>")
 #: Runs of letters or of blanks that the faster encoder, whose time grows with the square of a run, leaves to the library.
@@ -148,6 +152,35 @@ def _with_range(df: DataFrame, cuts: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", part int")
 
 
+def ranges(tokens: DataFrame, parts: int, mass: int) -> tuple[np.ndarray, np.ndarray]:
+    """First keys of the ranges but the first, and the ranges' first token numbers; about ``parts`` ranges of ``mass`` tokens in all.
+
+    A range has at most one and a half times its share, unless rows with one key
+    (equal ids and lengths at one place) have more.
+    """
+    want = max(1, -(-mass // parts))
+    bits = max(4, int(4 * parts).bit_length())
+    cell = lambda b: F.shiftright("key", KEY_BITS - b)
+    rows = tokens.groupBy(cell(bits).alias("c")).agg(F.sum("n").alias("n")).toArrow()
+    done = []
+    while True:
+        c, n = rows.column("c").to_numpy(), rows.column("n").to_numpy()
+        heavy = (2 * n > want) & (bits < KEY_BITS)
+        done.append((c[~heavy] << (KEY_BITS - bits), n[~heavy]))
+        if not heavy.any():
+            break
+        step = min(KEY_BITS - bits, 12, max(3, int(CELLS // heavy.sum()).bit_length()))
+        chosen = tokens.sparkSession.createDataFrame(pa.table({"h": c[heavy]}))
+        of = tokens.join(F.broadcast(chosen) if heavy.sum() <= BROADCAST_ROWS else chosen, cell(bits) == F.col("h"), "left_semi")
+        bits += step
+        rows = of.groupBy(cell(bits).alias("c")).agg(F.sum("n").alias("n")).toArrow()
+    key, n = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.argsort(key)
+    key, before = key[order], np.cumsum(n[order]) - n[order]
+    first = np.flatnonzero(np.r_[True, before[1:] // want != before[:-1] // want]) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[first[1:]], before[first]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``, with ``ids`` on demand.
 
@@ -159,20 +192,9 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
     """
     spark = docs.sparkSession
     tokens = stored(tokenized(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
-    rows, mass = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), mass // RANGE_TOKENS, 1)
-    picked = tokens.select("key", "n")
-    if rows > SAMPLE:
-        picked = picked.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * SAMPLE / rows))
-    sample = np.array(sorted(map(tuple, picked.collect())), dtype=np.int64).reshape(-1, 2)
-    # ranges of equal numbers of tokens, not of documents: long ones lie close together on the curve
-    share = np.cumsum(sample[:, 1]) / max(1, sample[:, 1].sum())
-    cuts = sample[np.searchsorted(share, np.arange(1, parts) / parts), 0] if len(sample) else sample[:, 0]
-    totals = dict(map(tuple, _with_range(tokens.select("key", "n"), cuts).groupBy("part").agg(F.sum("n")).collect()))
-    first, at = {}, 0
-    for p in sorted(totals):
-        first[p] = at
-        at += totals[p]
+    mass = tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cuts, first = ranges(tokens, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-mass // RANGE_TOKENS), 1), mass)
+    parts = max(1, len(first))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: dict[int, int] = {}
@@ -181,7 +203,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
                 b, out = whole.slice(i, 256), []
                 for row, raw, part in zip(range(b.num_rows), b.column(1), b.column(2).to_pylist(), strict=True):
                     x = np.frombuffer(raw.as_buffer(), dtype="<u2").astype("<u4")
-                    g = at.get(part, first[part])
+                    g = at.get(part, int(first[part]))
                     at[part] = g + len(x)
                     start = 0
                     while start < len(x):

@@ -46,6 +46,22 @@ def test_hilbert_is_a_curve():
     assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
 
 
+@pytest.mark.parametrize("parts", [1, 7, 300])
+def test_ranges_hold_their_share(spark, monkeypatch, parts):
+    """Crowded and empty places on the curve: every range is within one and a half shares, with far more ranges than cells at first."""
+    monkeypatch.setattr(hp, "CELLS", 50)
+    rng = np.random.default_rng(5)
+    place = np.r_[rng.integers(0, 1 << 30, 2000), np.full(3000, 77), 5_000_000 + rng.integers(0, 50, 3000)]
+    keys, n = (place << 32) | rng.integers(0, 1 << 32, 8000), rng.integers(1, 400, 8000)
+    tokens = spark.createDataFrame([(int(k), int(m)) for k, m in zip(keys, n, strict=True)], "key long, n long")
+    cuts, first = hp.ranges(tokens, parts, int(n.sum()))
+    part = np.searchsorted(cuts, keys, side="right")
+    sums = np.bincount(part, weights=n, minlength=len(first))
+    assert (np.diff(cuts) > 0).all() and (np.cumsum(sums) - sums == first).all()
+    assert sums.max() <= 1.5 * -(-n.sum() // parts) and parts / 2 <= len(first) <= parts
+    assert len(hp.ranges(tokens.limit(0), parts, 0)[1]) == 0
+
+
 @pytest.mark.parametrize("size", [2048, 7])
 def test_packing_is_an_exact_round_trip(docs, data, empty, size):
     from tokenizers import Tokenizer
