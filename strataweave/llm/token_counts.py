@@ -1,6 +1,6 @@
 """Token counts with a whole-token shortcut for a sentencepiece BPE vocabulary.
 
-``SharedVocabulary`` proves two things when it is loaded, without any corpus:
+``prove`` shows two things once, on the driver and without any corpus:
 
 * no piece has a space mark after another character, so merges never reach
   across the start of a *pre-token* (a run of space marks and the characters up
@@ -26,28 +26,35 @@ MARK = "▁"
 REMEMBERED = 200_000
 
 
-class SharedVocabulary(dict):
-    """Pre-token without its mark -> number of tokens; missing ones are merged by the library."""
+def prove(path: str) -> frozenset[str]:
+    """The pre-tokens, without their mark, that are one token; an error if pre-tokens are not independent."""
+    import sentencepiece
 
-    def __init__(self, path: str):
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+    crossing = [p for p in pieces if MARK in p.lstrip(MARK)]
+    if crossing:
+        raise ValueError(f"pieces with an inner space mark, such as {crossing[0]!r}: pre-tokens are not independent")
+    words = [(p[1:], i) for i, p in enumerate(pieces) if p.startswith(MARK) and p[1:2] not in ("", MARK)]
+    proven = {w for (w, i), ids in zip(words, sp.encode([w for w, _ in words], num_threads=1), strict=True) if ids == [i]}
+    if MARK in pieces:  # a mark at the end of a text, which the library gives no way to ask for alone
+        proven.add("")
+    return frozenset(proven)
+
+
+class Counts(dict):
+    """Pre-token without its mark -> number of tokens; the library merges those that are not proven."""
+
+    def __init__(self, path: str, proven: frozenset[str]):
         import sentencepiece
 
-        super().__init__()
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
-        crossing = [p for p in pieces if MARK in p.lstrip(MARK)]
-        if crossing:
-            raise ValueError(f"pieces with an inner space mark, such as {crossing[0]!r}: pre-tokens are not independent")
-        words = [(p[1:], i) for i, p in enumerate(pieces) if p.startswith(MARK) and p[1:2] not in ("", MARK)]
-        self.proven = {w: 1 for (w, i), ids in zip(words, self.sp.encode([w for w, _ in words], num_threads=1), strict=True) if ids == [i]}
-        if MARK in pieces:  # a mark at the end of a text, which the library gives no way to ask for alone
-            self.proven[""] = 1
-        self.update(self.proven)
+        super().__init__(dict.fromkeys(proven, 1))
+        self.sp, self.proven = sentencepiece.SentencePieceProcessor(model_file=path), proven
 
     def __missing__(self, word: str) -> int:
         if len(self) > len(self.proven) + REMEMBERED:
             self.clear()
-            self.update(self.proven)
+            self.update(dict.fromkeys(self.proven, 1))
         n = len(self.sp.encode(word, num_threads=1))
         if len(word) < 200:
             self[word] = n
@@ -76,11 +83,14 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     A null text counts as empty: no bytes, no tokens. Rows keep their number;
     a null id stays null. Texts of any length are counted whole. ``model_path``
-    must be readable by every worker.
+    must be readable by every worker and by the driver, which sends the proven
+    pre-tokens (bounded by the vocabulary) to the workers once. An empty table
+    gives an empty result; further columns are ignored.
     """
+    proven = docs.sparkSession.sparkContext.broadcast(prove(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = SharedVocabulary(model_path)
+        known = Counts(model_path, proven.value)
         for b in batches:
             text = b.column(1)
             n = pa.array((known.count(t.as_py()) if t.is_valid else 0 for t in text), type=pa.int64())
