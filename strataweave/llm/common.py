@@ -115,20 +115,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a range of a sorted sweep, at most about.
+RANGE_ROWS = 2_000_000
+
+
 def ordered_last(events: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """``events`` with ``name``: the last non-null ``value`` at or before each row in the order of ``order``.
 
     A sorted sweep over range partitions. Together the columns of ``order``
-    should tell rows apart, so that a frequent key is cut like any other. Each
-    range is swept by a window; what a range starts with is the last value of
-    the ranges before it (one row a range, as many as there are shuffle
-    partitions, so it is broadcast).
+    should tell rows apart, so that a frequent key is cut like any other. Events
+    are stored first, since cutting ranges reads them twice. Each range, of a
+    bounded number of rows, is swept by a window; what a range starts with is the
+    last value of the ranges before it (one row a range, joined by broadcast
+    within its bound).
     """
-    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    events = stored(events, "events")
+    n = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), events.count() // RANGE_ROWS)
     ranged = stored(events.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    release(events)
     here = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     ends = ranged.groupBy("_part").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select("_part", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
     swept = ranged.withColumn("_last", F.last(value, ignorenulls=True).over(here))
-    return swept.join(F.broadcast(carried), "_part").withColumn(name, F.coalesce("_last", "_carried")).drop("_part", "_last", "_carried")
+    return swept.join(small(carried, n), "_part").withColumn(name, F.coalesce("_last", "_carried")).drop("_part", "_last", "_carried")

@@ -70,4 +70,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     best = stored(match(pages, rules, url), "matched")
     host, path = split_url(url)
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    return rows.join(best.hint("merge"), ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    judged = rows.where("host <> ''").join(best.hint("merge"), ["host", "path"], "left").select("page_id", "host", "path", "rule", "verdict")
+    # urls without a host are one key: they pass by the join
+    bare = rows.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    return judged.union(bare).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
