@@ -75,7 +75,7 @@ WARC_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, regexp_replace(url, '#.*$', '') AS bare FROM pages),
 u AS (
   SELECT page_id, h, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
-    lower(regexp_extract(bare, '://([^/?]*)', 1)) AS host, regexp_extract(bare, '://[^/?]*([^?]*)', 1) AS path, regexp_extract(bare, '([?].*)$', 1) AS query
+    regexp_extract(bare, '://([^/?]*@)', 1) || lower(regexp_extract(bare, '://([^/?]*@)?([^/?@]*)', 2)) AS host, regexp_extract(bare, '://[^/?]*([^?]*)', 1) AS path, regexp_extract(bare, '([?].*)$', 1) AS query
   FROM p),
 c AS (
   SELECT page_id, '"' || md5(h)[1:16] || '"' AS tag, sha256(h) AS digest, CAST(page_id * 60 AS VARCHAR) AS modified,

@@ -19,13 +19,35 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 HEADERS = "array<struct<name:string,value:string>>"
 
 
+#: Characters that mean the same with and without percent-encoding.
+UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
+
+
+def _decoded(part: Column) -> Column:
+    """Percent-encoded unreserved characters as themselves, other codes in upper case."""
+
+    def one(p: Column, i: Column) -> Column:
+        code, rest = F.upper(F.substring(p, 1, 2)), F.substr(p, F.lit(3))
+        char = F.char(F.conv(code, 16, 10).cast("int"))
+        plain = F.when(F.contains(F.lit(UNRESERVED), char), char).otherwise(F.concat(F.lit("%"), code))
+        coded = p.rlike("^[0-9A-Fa-f]{2}")
+        return F.when(i == 0, p).when(coded, F.concat(plain, rest)).otherwise(F.concat(F.lit("%"), p))
+
+    return F.when(F.contains(part, F.lit("%")), F.array_join(F.transform(F.split(part, "%"), one), "")).otherwise(part)
+
+
 def canonical_url(url: str) -> Column:
-    """Scheme and host A-Z lower-cased, default ports and fragment gone, an empty path as ``/``; null without ``://``."""
+    """One text for URLs that mean the same; null without ``://``.
+
+    Scheme and host A-Z lower-cased (not the user before an ``@``), default ports
+    and fragment gone, an empty path as ``/``, unreserved characters decoded.
+    """
     bare = F.regexp_replace(F.col(url), "(?s)#.*$", "")
-    part = lambda i: F.regexp_extract(bare, r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?]*)([^?]*)(.*)$", i)
-    scheme, host = ascii_lower(part(1)), ascii_lower(part(2))
+    part = lambda i: F.regexp_extract(bare, r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?]*@)?([^/?@]*)([^?]*)(.*)$", i)
+    scheme, host = ascii_lower(part(1)), ascii_lower(part(3))
     port = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    return F.when(scheme != "", F.concat(scheme, F.lit("://"), port, F.when(part(3) == "", F.lit("/")).otherwise(part(3)), part(4)))
+    path = F.when(part(4) == "", F.lit("/")).otherwise(_decoded(part(4)))
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), part(2), port, path, _decoded(part(5))))
 
 
 def header(headers: Column, name: str) -> Column:
@@ -41,7 +63,7 @@ def merged_headers(stored_headers: Column, sent: Column) -> Column:
     return F.array_sort(F.concat(old, new))
 
 
-def resolve(records: DataFrame, kept: tuple[str, ...] = ("payload_digest",)) -> DataFrame:
+def resolve(records: DataFrame, kept: tuple[str, ...] = ("payload_digest",), strict: bool = False) -> DataFrame:
     """One row per revisit of ``records(record_id, kind, url, date, status, headers, ...)``.
 
     ``kind`` is ``response`` or ``revisit``; a full response has status 200, a
@@ -53,7 +75,7 @@ def resolve(records: DataFrame, kept: tuple[str, ...] = ("payload_digest",)) ->
       entity tags agree (a weak mark ignored), or, where one side has no tag,
       the last-modified dates do;
     * ``unverified``: there is such a response but no validator that both have;
-      taken like resolved;
+      taken like resolved, with ``strict`` not taken;
     * ``changed``: a validator differs; nothing is taken from the response;
     * ``missing``: no earlier full response, or no URL or date.
 
@@ -76,7 +98,7 @@ def resolve(records: DataFrame, kept: tuple[str, ...] = ("payload_digest",)) ->
     same_date = header(F.col("sent"), "last-modified") == header(F.col("r.headers"), "last-modified")
     same = F.coalesce(same_tag, same_date)
     outcome = F.when(~F.coalesce(found, F.lit(False)), "missing").when(same, "resolved").when(~same, "changed").otherwise("unverified")
-    taken = F.col("outcome").isin("resolved", "unverified")
+    taken = F.col("outcome").isin("resolved", *[] if strict else ["unverified"])
     return swept.withColumn("outcome", outcome).select(
         "record_id", "url", "outcome", F.when(taken, F.col("r.id")).alias("response_id"),
         F.when(taken, merged_headers(F.col("r.headers"), F.col("sent"))).alias("headers"), *[F.when(taken, F.col(f"r.{c}")).alias(c) for c in kept],
@@ -94,7 +116,9 @@ def captures(pages: DataFrame) -> DataFrame:
 
     The revisit comes a day later, for every eleventh page a day earlier. It
     sends the page's entity tag, for every seventh another one, for every fifth
-    none. Pages that share a URL make a history of it.
+    none. Pages that share a URL make a history of it. A null page_id gives
+    records without id and date: no response counts, and the revisit is missing.
+    A null html counts as empty, and a null url has no canonical one.
     """
     tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
     item = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))

@@ -92,3 +92,20 @@ def test_revisits(spark):
     assert wr.resolve(frame.limit(0)).count() == 0
     one = wr.with_payload(wr.resolve(frame).drop("payload_digest"), frame, "payload_digest")
     assert one.where("record_id = 'r1'").first().payload_digest == "d1"
+    strict = {r.record_id: r for r in wr.resolve(frame, strict=True).collect()}
+    assert strict["r6"].outcome == "unverified" and strict["r6"].response_id is None and strict["r6"].headers is None and strict["r1"].response_id == "f1"
+
+
+@pytest.mark.parametrize(("url", "canonical"), [
+    ("HTTP://User:Pa@H.org:80/a#f", "http://User:Pa@h.org/a"), ("http://user:pa@h.org/a", "http://user:pa@h.org/a"), ("https://h.org:443?q=%7ea%2f%C3%a9%zz%4", "https://h.org/?q=~a%2F%C3%A9%zz%4"),
+    ("http://h.org/%41%2D%20b", "http://h.org/A-%20b"), ("http://h.org/a@b", "http://h.org/a@b"), ("http://h.org/~u?x=a@b%2", "http://h.org/~u?x=a@b%2"), ("//h.org/", None), ("", None), (None, None),
+])
+def test_canonical_urls(spark, url, canonical):
+    assert spark.createDataFrame([(url,)], "u string").select(wr.canonical_url("u")).first()[0] == canonical
+
+
+def test_captures_of_pages_with_nulls(spark):
+    pages = spark.createDataFrame([(None, "http://a.org/", "x"), (1, None, "x"), (2, "http://a.org/", None), (2, "http://a.org/", None)], "page_id long, url string, html string")
+    got = sorted((str(r.record_id), r.outcome, r.response_id) for r in wr.resolve(wr.captures(pages)).collect())
+    assert got == [("1-revisit", "missing", None), ("2-revisit", "resolved", "2-response"), ("2-revisit", "resolved", "2-response"), ("None", "missing", None)]
+    assert wr.captures(pages.limit(0)).count() == 0
