@@ -1,46 +1,73 @@
-"""Component markup to nested columns."""
+"""Component scripts and markup to nested columns: a script's decorators one by one, markup tag by tag."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import attributes, first_present, kebab_to_camel, none
+from .text import attributes, first_present, kebab_to_camel, none, strip
 
-_NAME = r"([A-Za-z_$][A-Za-z0-9_$]*)"
-API_METHOD = rf"(?U)@api\s+{_NAME}\s*\("
-API_PROPERTY = rf"(?U)@api\s+(?:get\s+)?{_NAME}\s*[=;({{]"
+#: An opening tag: its name, then anything up to the bracket that is in no quotes.
+TAG = r"""<([A-Za-z][A-Za-z0-9:_.-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>"""
+#: Fixed value: the decorator of a component's public members.
+DECORATOR = "@api"
+_IDENTIFIER = r"^[A-Za-z_$][A-Za-z0-9_$]*"
 
 
-def _all(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
+def tags(text: Column) -> Column:
+    """``(tag, attributes)`` of all opening tags in order; null has none."""
+    whole = F.coalesce(text, F.lit(""))
+    pairs = F.arrays_zip(F.regexp_extract_all(whole, F.lit(TAG), F.lit(1)).alias("tag"), F.regexp_extract_all(whole, F.lit(TAG), F.lit(2)).alias("rest"))
+    return F.transform(pairs, lambda p: F.struct(p["tag"].alias("tag"), attributes(p["rest"]).alias("attributes")))
+
+
+def decorated(source: Column) -> Column:
+    """``(name, is_method)`` of every decorated member in order; a getter is a property."""
+    parts = F.split(F.coalesce(source, F.lit("")), DECORATOR)
+    after = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda p: p.rlike(r"(?U)^\s"))
+
+    def member(part: Column) -> Column:
+        text = strip(part)
+        first = F.regexp_extract(text, _IDENTIFIER, 0)
+        rest = strip(F.substr(text, F.length(first) + 1))
+        second = F.regexp_extract(rest, _IDENTIFIER, 0)
+        getter = (first == "get") & (second != "")
+        end = F.when(getter, strip(F.substr(rest, F.length(second) + 1))).otherwise(rest)
+        sign = F.substring(end, 1, 1)
+        return F.struct(F.when(sign.isin("=", ";", "(", "{"), F.when(getter, second).otherwise(first)).otherwise("").alias("name"), (~getter & (sign == "(")).alias("is_method"))
+
+    return F.filter(F.transform(after, member), lambda m: m["name"] != "")
 
 
 def parse_component(source: Column, html: Column) -> dict[str, Column]:
     """Public properties and methods of a script, slots and children of its markup; null markup has none.
 
-    A name is a method if it is followed by a parenthesis without ``get``. A
-    named slot alone also gives ``default``.
+    A name that is a method anywhere is one. A named slot alone also gives
+    ``default``. Children are tags in lower case whose name begins with ``c-``.
     """
-    methods = F.array_distinct(_all(source, API_METHOD))
-    props = F.array_except(_all(source, API_PROPERTY), methods)
+    members, found = decorated(source), tags(html)
+    names = lambda is_method: F.array_distinct(F.transform(F.filter(members, lambda m: m["is_method"] == is_method), lambda m: m["name"]))
+    methods = names(True)
+    props = F.array_except(names(False), methods)
     row = lambda is_method: lambda n: F.struct(n.alias("name"), F.lit(is_method).alias("is_method"))
-    named = F.array_distinct(_all(html, r"""<slot\s[^>]*name=["']([^"']+)["']"""))
-    default = F.when(F.coalesce(html, F.lit("")).rlike(r"<slot[\s/>]"), F.array(F.lit("default"))).otherwise(none())
-    children = F.transform(_all(html, r"<c-([a-z][a-z0-9-]*)[\s/>]"), kebab_to_camel)
+    slots = F.filter(found, lambda t: t["tag"] == "slot")
+    named = F.filter(F.transform(slots, lambda t: F.coalesce(F.element_at(t["attributes"], "name"), F.lit(""))), lambda n: n != "")
+    default = F.when(F.size(slots) > 0, F.array(F.lit("default"))).otherwise(none())
+    children = F.filter(F.transform(found, lambda t: t["tag"]), lambda n: n.rlike("^c-[a-z][a-z0-9-]*$"))
     return {
         "api_props": F.array_sort(F.concat(F.transform(methods, row(True)), F.transform(props, row(False)))),
-        "slots": F.array_union(named, default),
-        "referenced_components": F.array_distinct(children),
+        "slots": F.array_union(F.array_distinct(named), default),
+        "referenced_components": F.array_distinct(F.transform(children, lambda n: kebab_to_camel(F.substr(n, F.lit(3))))),
     }
 
 
 def parse_aura(source: Column) -> dict[str, Column]:
     """Attributes, events and parent of a component file."""
-    parent = first_present(attributes(F.regexp_extract(source, r"<aura:component\s*([^>]*)>", 1)), "extends")
-    attrs = F.transform(_all(source, r"<aura:attribute\s+([^>]*?)/?>"), attributes)
-    rows = F.transform(attrs, lambda a: F.struct(first_present(a, "name").alias("name"), first_present(a, "type").alias("attr_type"), first_present(a, "default").alias("default"), first_present(a, "description").alias("description")))
-    events = F.transform(_all(source, r"<aura:(?:registerEvent|handler)\s+([^>]*?)/?>"), lambda t: first_present(attributes(t), "name", "event", "type"))
+    found = tags(source)
+    of = lambda *names: F.transform(F.filter(found, lambda t: t["tag"].isin(*names)), lambda t: t["attributes"])
+    parent = F.coalesce(first_present(F.get(of("aura:component"), F.lit(0)), "extends"), F.lit(""))
+    rows = F.transform(of("aura:attribute"), lambda a: F.struct(first_present(a, "name").alias("name"), first_present(a, "type").alias("attr_type"), first_present(a, "default").alias("default"), first_present(a, "description").alias("description")))
+    events = F.transform(of("aura:registerEvent", "aura:handler"), lambda a: first_present(a, "name", "event", "type"))
     return {
         "attributes": F.filter(rows, lambda r: r["name"] != ""),
         "events_handled": F.array_distinct(F.filter(events, lambda e: e != "")),

@@ -148,11 +148,12 @@ def trigger_events(text: Column) -> Column:
 
 
 def attributes(text: Column) -> Column:
-    """A map of ``key="value"`` or ``key='value'`` pairs; the last of a repeated key holds."""
-    pattern = F.lit(r"""(?U)(\w+)=["']([^"']*)["']""")
-    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("k"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("v"))
+    """A map of the attributes of a tag; the last of a repeated key holds, and a value may have quotes of the other sort."""
+    pattern = F.lit(r"""(?U)(\w+)=(?:"([^"]*)"|'([^']*)')""")
+    part = lambda i, name: F.regexp_extract_all(text, pattern, F.lit(i)).alias(name)
+    pairs = F.arrays_zip(part(1, "k"), part(2, "v"), part(3, "w"))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], F.concat(p["v"], p["w"]))))
 
 
 def first_present(pairs: Column, *keys: str) -> Column:
@@ -179,7 +180,7 @@ def relative_link(name: Column, kind: Column, from_kind: str, folders: dict[str,
 
 
 def direction(is_input: Column, is_output: Column) -> Column:
-    return F.when(is_input & is_output, "Input / Output").when(is_input, "Input").when(is_output, "Output").otherwise("Local")
+    return F.when(is_input & is_output, "Input / Output").when(is_input, "Input").when(is_output, "Output").otherwise("Internal")
 
 
 def field_type(kind: Column, target: Column) -> Column:
@@ -200,11 +201,6 @@ def badges(*pairs: tuple[Column, str | Column]) -> Column:
     return F.array_join(F.filter(labels, lambda x: x.isNotNull()), " · ")
 
 
-def contents(*titles: str) -> str:
-    """A table of contents with lower-case anchors."""
-    return "".join(f"- [{t}](#{t.lower().replace(' ', '-')})\n" for t in titles)
-
-
 def preview(text: Column, limit: int, marker: str = "\n... (truncated)") -> Column:
     """The first ``limit`` code points, and a marker if there were more."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(marker))).otherwise(text)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import badges, field_type, sanitize_filename
+from ..functions.text import badges, direction, field_type, sanitize_filename
 from ..operators.relational import containment_link
 from ..sources.files import file_system
 
@@ -101,11 +101,10 @@ def trigger_page() -> Column:
 
 def flow_page() -> Column:
     c, doc = F.col, F.col("doc")
-    way = lambda v: F.when(v["is_input"] & v["is_output"], "Input / Output").when(v["is_input"], "Input").when(v["is_output"], "Output").otherwise("Internal")
     counts = F.filter(F.array(*[F.when(c(n) > 0, F.concat(F.lit(f"{n.title()}: "), c(n).cast("string"))) for n in ("decisions", "loops", "screens")]), lambda x: x.isNotNull())
     sections = [
         text_section("Description", doc["description"]), text_section("Business Process", doc["business_process"]), text_section("Entry Criteria", doc["entry_criteria"]),
-        table_section("Variables", ["Name", "Type", "Direction"], c("variables"), lambda v: [code(v["name"]), code(v["data_type"]), way(v)]),
+        table_section("Variables", ["Name", "Type", "Direction"], c("variables"), lambda v: [code(v["name"]), code(v["data_type"]), direction(v["is_input"], v["is_output"])]),
         table_section("Record Operations", ["Operation", "Object"], c("record_operations"), lambda o: [o["operation"], code(o["object"])]),
         table_section("Action Calls", ["Action", "Type"], c("action_calls"), lambda a: [code(a["name"]), a["action_type"]]),
         list_section("Element Counts", counts), list_section("Key Decisions", doc["key_decisions"]), list_section("Admin Notes", doc["admin_notes"]), _see(),
@@ -159,14 +158,14 @@ PAGES = {"apex": class_page, "triggers": trigger_page, "flows": flow_page, "vali
 
 
 def see_also(described: DataFrame, names: DataFrame, from_kind: str) -> DataFrame:
-    """``(path, see_also)``: each relationship with a link to the known name that it contains, in order."""
+    """``(path, see_also)``: the relationships that contain a known name, with a link to it, in order; others are left out."""
     rels = described.select("path", F.posexplode("doc.relationships").alias("pos", "rel"))
     owners = names.groupBy("name").agg(F.min_by("kind", "priority").alias("kind"))
-    linked = containment_link(rels, owners, ["path", "pos", "rel"], "rel", "name").join(owners, F.col("linked") == owners["name"], "left")
+    linked = containment_link(rels, owners, ["path", "pos", "rel"], "rel", "name").join(owners, F.col("linked") == owners["name"])
     target = F.lit(None).cast("string")
     for k, folder in FOLDERS.items():
         target = F.when(F.col("kind") == k, F.concat(F.lit("" if k == from_kind else f"../{folder}/"), sanitize_filename(F.col("linked")), F.lit(".md"))).otherwise(target)
-    line = F.when(F.col("linked").isNotNull(), F.concat(F.lit("["), F.col("linked"), F.lit("]("), target, F.lit(") — "), F.col("rel"))).otherwise(F.col("rel"))
+    line = F.concat(F.lit("["), F.col("linked"), F.lit("]("), target, F.lit(") — "), F.col("rel"))
     return linked.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("see_also"))
 
 

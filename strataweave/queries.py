@@ -363,7 +363,7 @@ def relative_link(s, d):
     return _t(s, d, "documents").select("doc_id", tx.relative_link(F.col("source"), F.col("lang"), "en", {x: x for x in ("en", "fr", "de", "es")}).alias("link"))
 
 
-@query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 1 THEN 'Input / Output' WHEN quality = 1 THEN 'Input' WHEN toxic = 1 THEN 'Output' ELSE 'Local' END AS direction FROM labels")
+@query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 1 THEN 'Input / Output' WHEN quality = 1 THEN 'Input' WHEN toxic = 1 THEN 'Output' ELSE 'Internal' END AS direction FROM labels")
 def direction_label(s, d):
     return _t(s, d, "labels").select("doc_id", tx.direction(F.col("quality") == 1, F.col("toxic") == 1).alias("direction"))
 

@@ -94,4 +94,3 @@ def test_small_functions(spark):
     assert row(tx.preview(F.lit("éa" * 3), 4)).startswith("éaéa\n") and row(tx.preview(F.lit("ab"), 4)) == "ab"
     assert row(tx.quota_exhausted(F.lit("x limit: 0 y")))
     assert row(tx.has_any_tag(F.array(F.lit("Core")), [])) and row(tx.has_any_tag(F.array(F.lit("Core")), ["cORE"])) and not row(tx.has_any_tag(tx.none(), ["a"]))
-    assert tx.contents("Key Fields") == "- [Key Fields](#key-fields)\n"
