@@ -62,21 +62,27 @@ def name_owner(entities: DataFrame, name: str = "name", kind: str = "kind", prio
     return entities.groupBy(name).agg(F.min_by(kind, priority).alias(kind))
 
 
+#: Characters of a name by which it meets texts.
+RUN = 8
+
+
 def containment_link(texts: DataFrame, names: DataFrame, key: list[str], text: str, name: str) -> DataFrame:
     """For each text the known name that it contains: the longest, then the first by alphabet; null without one.
 
-    A containment test has no key to shuffle by, so the names' side is broadcast
-    when it is small. With more names, both sides are cut into their character
-    runs of the shortest name's length and joined by these (every contained name
-    starts with one that the text has).
+    A join by equal parts: a name is known by its first characters, ``RUN`` at
+    most, and a text by all its runs of the lengths that names have so; pairs
+    that meet are then compared in full. Names are broadcast within the checked
+    bound, else both sides are shuffled by the runs.
     """
-    known = names.select(F.col(name).alias("_name")).where(F.length("_name") > 0).distinct()
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        pairs = texts.join(F.broadcast(known), F.contains(F.col(text), F.col("_name")))
-    else:
-        n = known.agg(F.min(F.length("_name"))).first()[0]
-        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(n))))
-        pairs = texts.withColumn("_run", F.explode(runs)).join(known.withColumn("_run", F.substring("_name", 1, n)), "_run").where(F.contains(F.col(text), F.col("_name"))).drop("_run")
+    known = names.select(F.col(name).alias("_name")).where(F.length("_name") > 0).distinct().withColumn("_run", F.substring("_name", 1, RUN))
+    sizes = [r[0] for r in known.select(F.length("_run")).distinct().collect()]  # RUN rows at most
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(n)))
+
+    every = F.array_distinct(F.flatten(F.array(*[runs(n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    pairs = texts.withColumn("_run", F.explode(every)).join(small(known), "_run").where(F.contains(F.col(text), F.col("_name")))
     best = pairs.groupBy(*key).agg(F.min(F.struct((-F.length("_name")).alias("_len"), "_name")).alias("_best"))
     return texts.join(best.select(*key, F.col("_best._name").alias("linked")), key, "left")
 
@@ -183,19 +189,25 @@ def admitted(rows: DataFrame, key: list[str], at_micros: str, limit: int, second
         current, last = None, deque(maxlen=max(1, limit))
         for pdf in batches:
             out = []
-            for k, t in zip(pdf[key].itertuples(index=False, name=None), pdf[at_micros].tolist(), strict=True):
+            for k, t in zip(pdf["_key"], pdf[at_micros], strict=True):
                 if k != current:
                     current = k
                     last.clear()
+                if pd.isna(t):
+                    out.append(None)
+                    continue
+                t = int(t)
                 now = max(t, last[-1]) if last else t
                 if limit and len(last) == limit and now - last[0] < seconds * 1_000_000:
                     now = last[0] + seconds * 1_000_000 + 1000
                 last.append(now)
                 out.append(now)
-            yield pdf.assign(started_at=out)[[*names, "started_at"]]
+            yield pdf.assign(started_at=pd.array(out, dtype="Int64"))[[*names, "started_at"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", started_at long"
-    return rows.repartition(*key).sortWithinPartitions(*key, at_micros).mapInPandas(run, schema)
+    # one text that tells keys apart, nulls too: null numbers would reach the function as values that differ from themselves
+    keyed = rows.withColumn("_key", F.to_json(F.array(*[F.col(k).cast("string") for k in key])))
+    return keyed.repartition("_key").sortWithinPartitions("_key", at_micros).mapInPandas(run, schema)
 
 
 def distinct_names(tables: list[tuple[DataFrame, str]], name: str = "name") -> DataFrame:
@@ -220,7 +232,9 @@ def append_missing(base: Column, extra: Column) -> Column:
 
 
 def hash_diff(now: DataFrame, before: DataFrame, key: list[str], digest: str) -> DataFrame:
-    """Keys with ``change``: new, deleted, modified or same."""
-    a, b = now.select(*key, F.col(digest).alias("_a")), before.select(*key, F.col(digest).alias("_b"))
-    change = F.when(F.col("_b").isNull(), "new").when(F.col("_a").isNull(), "deleted").when(F.col("_a") != F.col("_b"), "modified").otherwise("same")
-    return a.join(b, key, "full").withColumn("change", change).drop("_a", "_b")
+    """Keys with ``change``: new, deleted, modified or same; a null digest is a value like any other, null keys match each other."""
+    side = lambda df, n: df.select(*[F.col(k).alias(f"{n}{k}") for k in key], F.col(digest).alias(f"{n}_"), F.lit(True).alias(f"{n}there"))
+    a, b = side(now, "a"), side(before, "b")
+    on = reduce(lambda x, y: x & y, [F.col(f"a{k}").eqNullSafe(F.col(f"b{k}")) for k in key])
+    change = F.when(F.col("bthere").isNull(), "new").when(F.col("athere").isNull(), "deleted").when(F.col("a_").eqNullSafe(F.col("b_")), "same").otherwise("modified")
+    return a.join(b, on, "full").select(*[F.coalesce(f"a{k}", f"b{k}").alias(k) for k in key], change.alias("change"))

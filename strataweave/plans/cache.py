@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import stale, upsert
-from ..sources.files import exists, file_system
+from ..sources.files import exists
+from .versions import current, replace
+
+warn = logging.getLogger(__name__).warning
 
 VERSION = 1
 SCHEMA = "kind string, path string, hash string, model string, documentation string, metadata string, name string, cache_version int"
@@ -17,36 +22,23 @@ NEVER_FRESH = ("custom-metadata",)
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The snapshot; an absent, unreadable or older one is an empty snapshot and a warning, never an error."""
     empty = spark.createDataFrame([], SCHEMA)
-    if not exists(spark, path):
-        return empty
     try:
-        found = spark.read.parquet(path)
-        found = found.select(*[c.split()[0] for c in SCHEMA.split(", ")])
+        if (at := current(spark, path)) is None:
+            if exists(spark, path):
+                warn("%s has no current version and is left aside", path)
+            return empty
+        found = spark.read.parquet(at).select(*[c.split()[0] for c in SCHEMA.split(", ")])
         if found.where(F.coalesce("cache_version", F.lit(0)) != VERSION).isEmpty():
             return found
-        print(f"warning: {path} has another version and is left aside")
+        warn("%s has another version and is left aside", path)
     except Exception as e:  # noqa: BLE001
-        print(f"warning: {path} cannot be read and is left aside: {str(e).splitlines()[0]}")
+        warn("%s cannot be read and is left aside: %s", path, str(e).splitlines()[0])
     return empty
 
 
 def save(snapshot: DataFrame, path: str) -> None:
-    """Write beside, then swap: a reader sees the old snapshot or the new one."""
-    spark = snapshot.sparkSession
-    snapshot.withColumn("cache_version", F.lit(VERSION)).write.mode("overwrite").partitionBy("kind").parquet(f"{path}.new")
-    swap(spark, f"{path}.new", path)
-
-
-def swap(spark: SparkSession, fresh: str, path: str) -> None:
-    """Put the folder ``fresh`` in the place of ``path`` by two renames, on any file system."""
-    fs, at = file_system(spark, path)
-    new, old = file_system(spark, fresh)[1], file_system(spark, f"{path}.old")[1]
-    fs.delete(old, True)
-    if fs.exists(at):
-        fs.rename(at, old)
-    if not fs.rename(new, at):
-        raise OSError(f"cannot move {fresh} to {path}")
-    fs.delete(old, True)
+    """Replace the snapshot: a reader sees the old one or the new one."""
+    replace(snapshot.withColumn("cache_version", F.lit(VERSION)), path, by="kind")
 
 
 def split(files: DataFrame, snapshot: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:

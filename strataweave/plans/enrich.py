@@ -3,16 +3,19 @@
 The generator is an object with ``generate(system, prompt, label) -> str``. The
 default works offline and is deterministic, so plans and tests need no network;
 ``HttpGenerator`` speaks two public chat request shapes. Calls run in as many
-partitions as may be in flight at once; a rate limit is shared evenly by them.
+partitions as may be in flight at once; each has its share of a rate limit and
+keeps it over every window of a minute.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import os
 import re
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -22,6 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import BASE_SECONDS, MAX_RETRIES, RETRY_STATUS
+from .prompts import system
+
+log = logging.getLogger(__name__)
 
 _LIST, _NAMED = "array<string>", "array<struct<name:string,description:string>>"
 _METHODS = "array<struct<name:string,description:string,params:array<struct<name:string,description:string>>,returns:string,throws:array<string>>>"
@@ -44,6 +50,8 @@ PROVIDERS = (
     ("ollama", "Ollama (local)", "OLLAMA_API_KEY", False, "http://localhost:11434/v1", "llama3.2"),
 )
 CONCURRENCY = 3
+#: Seconds of a rate window, for a connection, and for a whole answer; the text that says that no quota is left.
+WINDOW_SECONDS, CONNECT_SECONDS, ANSWER_SECONDS, NO_QUOTA = 60.0, 30, 120, "limit: 0"
 
 
 class Generator(Protocol):
@@ -101,9 +109,11 @@ class HttpGenerator:
             status, sent, text = (self.send or _post)(url, headers, body)
             if status == 200:
                 return self.text_of(json.loads(text))
-            if attempt == MAX_RETRIES or status not in (*RETRY_STATUS, 0) or (self.provider == "gemini" and status == 429 and "limit: 0" in text):
+            if attempt == MAX_RETRIES or status not in (*RETRY_STATUS, 0) or (self.provider == "gemini" and status == 429 and NO_QUOTA in text):
                 raise RuntimeError(f"{self.provider}: {label}: status {status}: {text[:200]}")
-            self.sleep(wait(sent.get("retry-after"), text, attempt))
+            seconds = wait(sent.get("retry-after"), text, attempt)
+            log.warning("%s: %s: status %s, attempt %s of %s, again in %s s", self.provider, label, status, attempt + 1, MAX_RETRIES + 1, seconds)
+            self.sleep(seconds)
         raise AssertionError
 
 
@@ -122,18 +132,46 @@ def wait(header: str | None, body: str, attempt: int, chance: Callable[[int, int
 
 
 def _post(url: str, headers: dict, body: dict) -> tuple[int, dict, str]:
-    """Status (0 for a network error), headers and text; 120 seconds at most."""
-    import urllib.error
-    import urllib.request
+    """Status (0 for a network error), headers and text; a connection and an answer each have their own time."""
+    import http.client
+    from urllib.parse import urlsplit
 
-    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+    at = urlsplit(url)
+    kind = http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection
+    line = kind(at.hostname, at.port, timeout=CONNECT_SECONDS)
     try:
-        with urllib.request.urlopen(request, timeout=120) as r:
-            return r.status, {k.lower(): v for k, v in r.headers.items()}, r.read().decode()
-    except urllib.error.HTTPError as e:
-        return e.code, {k.lower(): v for k, v in e.headers.items()}, e.read().decode(errors="replace")
-    except OSError as e:
+        line.connect()
+        line.sock.settimeout(ANSWER_SECONDS)
+        line.request("POST", at.path + (f"?{at.query}" if at.query else ""), json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+        answer = line.getresponse()
+        return answer.status, {k.lower(): v for k, v in answer.getheaders()}, answer.read().decode(errors="replace")
+    except (OSError, http.client.HTTPException) as e:
         return 0, {}, str(e)
+    finally:
+        line.close()
+
+
+class Limiter:
+    """At most ``capacity`` starts in any window of a minute (0: no limit); ``acquire`` waits until one more may start."""
+
+    def __init__(self, capacity: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.capacity, self.clock, self.sleep, self.started = capacity, clock, sleep, deque()
+
+    def acquire(self) -> None:
+        while self.capacity:
+            now = self.clock()
+            while self.started and now - self.started[0] >= WINDOW_SECONDS:
+                self.started.popleft()
+            if len(self.started) < self.capacity:
+                self.started.append(now)
+                return
+            self.sleep(WINDOW_SECONDS - (now - self.started[0]) + 0.001)
+
+
+def shares(per_minute: int, concurrency: int) -> list[int]:
+    """A limit dealt out to partitions; with a limit below the partitions only so many of them."""
+    n = min(concurrency, per_minute) if per_minute else concurrency
+    return [per_minute // n + (i < per_minute % n) for i in range(n)]
 
 
 def problem(kind: str, text: str) -> str | None:
@@ -156,23 +194,23 @@ def enrich(work: DataFrame, generator: Generator, concurrency: int = CONCURRENCY
     """``work(kind, path, name, prompt, ...)`` with ``documentation`` and ``error``; one of them is null.
 
     At most ``concurrency`` calls run at once. ``per_minute`` (0: no limit) is
-    divided among them; a call is admitted once, not for each retry.
+    dealt out to them; a call is admitted once, not for each retry. The generator
+    is told the kind's fields, and an answer without them is an error.
     """
     if concurrency < 1:
         raise ValueError("concurrency must be 1 or more")
-    names = work.columns
-    gap = 60.0 * concurrency / per_minute if per_minute else 0.0
+    names, capacity = work.columns, shares(per_minute, concurrency)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        due = 0.0
+        from pyspark import TaskContext
+
+        limiter = Limiter(capacity[TaskContext.get().partitionId() % len(capacity)])
         for pdf in batches:
             docs, errors = [], []
             for kind, path, prompt, name in zip(pdf["kind"], pdf["path"], pdf["prompt"], pdf["name"], strict=True):
-                if gap:
-                    time.sleep(max(0.0, due - time.monotonic()))
-                    due = time.monotonic() + gap
+                limiter.acquire()
                 try:
-                    text = generator.generate(f"{kind}: describe this file as one JSON object.", prompt, name or path)
+                    text = generator.generate(system(kind, FIELDS[kind]) if kind in FIELDS else f"{kind}: Answer with a JSON object.", prompt, name or path)
                     wrong = problem(kind, text)
                 except Exception as e:  # noqa: BLE001  every failure is a row, and the others go on
                     text, wrong = None, str(e)
@@ -181,7 +219,7 @@ def enrich(work: DataFrame, generator: Generator, concurrency: int = CONCURRENCY
             yield pdf.assign(documentation=docs, error=errors)[[*names, "documentation", "error"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema) + ", documentation string, error string"
-    return work.repartition(concurrency).mapInPandas(run, schema)
+    return work.repartition(len(capacity)).mapInPandas(run, schema)
 
 
 def documents(enriched: DataFrame, kind: str) -> DataFrame:

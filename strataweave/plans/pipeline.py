@@ -7,6 +7,7 @@ failures still keeps its successes.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from . import cache, render
 from .enrich import FIELDS, Generator, OfflineGenerator, enrich
 from .prompts import prompt
 
+log = logging.getLogger(__name__)
 _FIELDS = ["api_name", "label", "field_type", "description", "help_text", "reference_to", "required"]
 
 
@@ -174,18 +176,31 @@ def work_rows(tables: dict[str, DataFrame], kinds: list[str] | None = None) -> D
 
 @dataclass
 class Result:
-    """The lazy pages, and the counts of a run."""
+    """The lazy pages, the counts of a run, the same by kind, and the files of which several things would be written."""
 
     pages: DataFrame
     snapshot: DataFrame
     summary: dict[str, int]
+    kinds: dict[str, dict[str, int]] = field(default_factory=dict)
+    clashes: list[str] = field(default_factory=list)
 
 
-def build(spark: SparkSession, root: str, cache_path: str, generator: Generator | None = None, model: str = "offline", filters: Filters | None = None, force: bool = False, strict: bool = False, concurrency: int = 3, per_minute: int = 0, include_hidden: bool = False) -> Result:
+COUNTS = ("files", "up_to_date", "made", "failed")
+
+
+def counts_by_kind(work: DataFrame, ready: DataFrame, made: DataFrame) -> dict[str, dict[str, int]]:
+    """How many files of each kind there are, are up to date, were described and failed."""
+    parts = [work.select("kind", F.lit("files").alias("what")), ready.select("kind", F.lit("up_to_date").alias("what")), made.select("kind", F.when(F.col("error").isNull(), "made").otherwise("failed").alias("what"))]
+    rows = parts[0].union(parts[1]).union(parts[2]).groupBy("kind").agg(*[F.count_if(F.col("what") == c).alias(c) for c in COUNTS])
+    return {r.kind: {c: r[c] for c in COUNTS} for r in rows.orderBy("kind").collect()}
+
+
+def build(spark: SparkSession, root: str, cache_path: str, generator: Generator | None = None, model: str = "offline", filters: Filters | None = None, force: bool = False, strict: bool = False, concurrency: int = 3, per_minute: int = 0, include_hidden: bool = False, prune: bool = False) -> Result:
     """Describe what is new or changed below ``root`` and render all pages.
 
     ``force`` starts from an empty snapshot; ``strict`` makes a broken file an
-    error. If a description fails, the others are saved, then ``Failed`` is
+    error; ``prune`` drops snapshot entries of files that are gone (only without
+    filters). If a description fails, the others are saved, then ``Failed`` is
     raised and nothing is rendered.
     """
     root = src.canonical(spark, root)
@@ -199,9 +214,15 @@ def build(spark: SparkSession, root: str, cache_path: str, generator: Generator
     todo, ready = cache.split(work, before, model)
     made = enrich(todo, generator or OfflineGenerator(), concurrency, per_minute).persist()
     done, failed = made.where("error is null"), made.where("error is not null")
-    # counted before the snapshot that they read is swapped
-    summary = {"files": work.count(), "up_to_date": ready.count(), "made": done.count(), "failed": failed.count()}
-    cache.save(cache.update(before, done, model), cache_path)
+    # counted before the snapshot that they read is replaced
+    kinds = counts_by_kind(work, ready, made)
+    for kind, n in kinds.items():
+        log.info("%s: %s found, %s up to date, %s made, %s failed", kind, n["files"], n["up_to_date"], n["made"], n["failed"])
+    summary = {c: sum(n[c] for n in kinds.values()) for c in COUNTS}
+    after = cache.update(before, done, model)
+    if prune and filters is None:
+        after = cache.vacuum(after, work)
+    cache.save(after, cache_path)
     errors = [r.error for r in failed.select("error").orderBy("error").limit(20).collect()]
     made.unpersist()
     work.unpersist()
@@ -209,7 +230,11 @@ def build(spark: SparkSession, root: str, cache_path: str, generator: Generator
         raise Failed(f"{summary['failed']} failed: " + "; ".join(errors))
     snapshot = cache.load(spark, cache_path)
     described = _described(spark, tables, snapshot)
-    return Result(pages(described, tables), snapshot, summary)
+    out = pages(described, tables)
+    clashes = [f"{render.FOLDERS.get(r.kind, '.')}/{r.file}.md" for r in render.same_page(out).orderBy("kind", "file").limit(20).collect()]
+    for c in clashes:
+        log.warning("several things would be written to %s; the last one holds", c)
+    return Result(out, snapshot, summary, kinds, clashes)
 
 
 def resolve(spark: SparkSession, target: str, root: str) -> tuple[str, str]:

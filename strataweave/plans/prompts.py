@@ -51,3 +51,44 @@ def prompt(kind: str) -> Column:
     else:
         raise ValueError(f"{kind} has no prompt")
     return F.concat(*parts)
+
+
+#: What the fields of a description are for.
+ABOUT = {
+    "class_name": "the name of the class or interface", "trigger_name": "the name of the trigger", "rule_name": "the name of the rule", "object_name": "the name of the object", "component_name": "the name of the component", "api_name": "the technical name", "label": "the name that users see",
+    "sobject": "the object whose records it reacts to", "summary": "one sentence on what it is for", "description": "what it does and how, in a few paragraphs", "business_process": "the work of the organisation that it supports", "entry_criteria": "what makes it start",
+    "when_fires": "in which situation a record is refused", "what_protects": "which data it keeps right, and why", "formula_explanation": "the formula in plain words, part by part", "purpose": "which thing of the business a record stands for", "usage_context": "who sees it, where and when",
+    "methods": "every public or global method", "properties": "every public property", "events": "every event that it handles, and what happens then", "handler_classes": "names of the classes that it hands work to", "api_props": "every public property and method of the component", "attributes": "every attribute of the component",
+    "usage_examples": "short pieces of code that use it", "usage_notes": "what whoever uses it has to know", "key_decisions": "where it branches, and on what", "admin_notes": "what an administrator has to know", "key_fields": "the most important fields, and what they are for", "key_components": "the most important components, and what they show", "edge_cases": "unusual values and what happens with them",
+    "relationships": "other classes, objects, flows or components that it works with, each named as it is called, with the way they work together",
+}
+
+
+def _shape(kind: str) -> str:
+    """A Spark type in words that fit a JSON value."""
+    if not kind.startswith("array<"):
+        return "a text"
+    inner = kind[len("array<") : -1]
+    if not inner.startswith("struct<"):
+        return "a list of texts"
+    parts, depth, at = [], 0, ""
+    for c in inner[len("struct<") : -1] + ",":
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            parts.append(at)
+            at = ""
+        else:
+            at += c
+    return "a list of objects with " + ", ".join(f'"{n}" ({_shape(t)})' for n, t in (p.split(":", 1) for p in parts))
+
+
+def system(kind: str, fields: dict[str, str]) -> str:
+    """What a generator is told to answer with for a kind: one JSON object, and each of its fields. The kind comes first, up to a colon."""
+    what = {"apex": "a class", "triggers": "a trigger", "flows": "an automated flow", "validation-rules": "a rule that records must keep", "objects": "a kind of record", "lwc": "a component of a page", "flexipages": "a page", "aura": "a component of a page"}[kind]
+    lines = [f'* "{name}": {_shape(of)}: {ABOUT[name]}' for name, of in fields.items()]
+    return (
+        f"{kind}: You write reference documentation for people who work with a system. You are given the facts that were read from one source file, which describes {what}, and its text.\n"
+        "Answer with a single JSON object and nothing around it: no code fence, no remarks. It must have all of these fields, with these names; a list may be empty, a text may not be left out.\n"
+        + "\n".join(lines)
+        + "\nSay only what the file shows. Names of other things are written as in the file, so that they can be linked."
+    )

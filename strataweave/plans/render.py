@@ -234,14 +234,18 @@ def write_pages(pages: DataFrame, out: str) -> None:
     not share a disk. ``out`` can be on any file system.
     """
     fs, _ = file_system(pages.sparkSession, out)
+    fs.setWriteChecksum(False)  # no checksum files among the pages
     path = pages.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for r in pages.select("kind", sanitize_filename(F.col("name")).alias("file"), "body").toLocalIterator():
-        folder = f"{out}/{FOLDERS[r.kind]}" if r.kind in FOLDERS else out
-        stream = fs.create(path(f"{folder}/{r.file}.md"), True)
-        try:
-            stream.write(bytearray(r.body.encode()))
-        finally:
-            stream.close()
+    try:
+        for r in pages.select("kind", sanitize_filename(F.col("name")).alias("file"), "body").toLocalIterator():
+            folder = f"{out}/{FOLDERS[r.kind]}" if r.kind in FOLDERS else out
+            stream = fs.create(path(f"{folder}/{r.file}.md"), True)
+            try:
+                stream.write(bytearray(r.body.encode()))
+            finally:
+                stream.close()
+    finally:
+        fs.setWriteChecksum(True)
 
 
 def same_page(pages: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 Spark's binary-file reader lists and reads on the executors; the suffix prunes
 before reading, and the size limit is pushed into the scan. The reader hides
 names that begin with ``_`` or ``.``; ``include_hidden`` lists such trees on the
-driver instead.
+driver instead and reads the files on the executors, which must see them.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,11 +90,14 @@ def read_files(spark: SparkSession, root: str, suffix: str, include_hidden: bool
             folders[:] = [f for f in folders if f not in PRUNED]
             found += [(os.path.join(folder, n), os.path.getsize(os.path.join(folder, n))) for n in names if n.endswith(suffix)]
 
-        def load(row: tuple[str, int]) -> tuple[str, int, bytes]:
-            with open(row[0], "rb") as f:
-                return (row[0], row[1], f.read() if row[1] <= MAX_BYTES else b"")
+        def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for path, length in zip(pdf["path"], pdf["length"], strict=True):
+                    with open(path, "rb") as f:
+                        yield pd.DataFrame({"path": [path], "length": [length], "content": [f.read()]})
 
-        raw = spark.createDataFrame([load(r) for r in found], "path string, length long, content binary")
+        listed = spark.createDataFrame(found, "path string, length long").where(F.col("length") <= MAX_BYTES)
+        raw = listed.repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism))).mapInPandas(load, "path string, length long, content binary")
     else:
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*" + suffix).load(root)
         raw = raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", "content")

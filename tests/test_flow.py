@@ -7,8 +7,9 @@ import sys
 import pytest
 from pyspark import cloudpickle
 
+from strataweave import cli
 from strataweave.operators import relational as rel
-from strataweave.plans import cache, enrich, render
+from strataweave.plans import cache, enrich, prompts, render, versions
 from strataweave.plans import pipeline as pl
 from strataweave.sources import files as src
 from strataweave.streaming import watch
@@ -65,6 +66,7 @@ def test_build_incremental_and_update(spark, tmp_path):
     pages = {(r.kind, r.name): r.body for r in first.pages.collect()}
     assert "- [Order](Order.md)" in pages["apex", "Runner"]
     assert "- [Order](Order.md) — works with Stock and Order" in pages["apex", "Stock"]
+    assert not any("nothing known" in body for body in pages.values())
     assert "- [Order](../classes/Order.md)" in pages["triggers", "Watch"] and "- `Gone`" in pages["triggers", "Watch"]
     assert "| `F__c` | Lookup → `X` |" in pages["objects", "Acc"]
     assert "2 class(es), 1 trigger(s)" in pages["index", "index"] and "### classes/sub" in pages["index", "index"]
@@ -162,13 +164,138 @@ def test_problems_and_keys(monkeypatch):
 
 
 def test_watch(spark, tmp_path):
-    os.makedirs(tmp_path / "in")
-    (tmp_path / "in/a.cls").write_text("one")
-    run = lambda: watch.watch(spark, str(tmp_path / "in"), ".cls", str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination(60)
+    """New, edited and deleted files; a tick without a change writes nothing."""
+    import hashlib
+
+    root, table = tmp_path / "in", str(tmp_path / "t")
+    os.makedirs(root / "sub")
+    (root / "a.cls").write_text("one")
+    (root / "sub/c.cls").write_text("three")
+    run = lambda: watch.watch(spark, str(root), ".cls", table, str(tmp_path / "cp")).awaitTermination(60)
+    kept = lambda: {r.path.rsplit("/", 1)[-1]: r.hash for r in watch.fingerprints(spark, table).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert kept() == {}
     run()
-    (tmp_path / "in/b.cls").write_text("two")
-    run()
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    assert kept() == {"a.cls": digest("one"), "c.cls": digest("three")}
+    (root / "b.cls").write_text("two")
+    (root / "a.cls").write_text("one, edited")
+    os.utime(root / "a.cls", (2_000_000_000, 2_000_000_000))
+    os.remove(root / "sub/c.cls")
+    assert watch.refresh(spark, str(root), ".cls", table) == {"new": 1, "edited": 1, "deleted": 1}
+    assert kept() == {"a.cls": digest("one, edited"), "b.cls": digest("two")}
+    at = versions.current(spark, table)
+    assert watch.refresh(spark, str(root), ".cls", table) == {"new": 0, "edited": 0, "deleted": 0}
+    assert versions.current(spark, table) == at
+
+
+def test_there_is_always_a_version(spark, tmp_path, monkeypatch):
+    """A reader that has begun keeps its version; a write that breaks off leaves the old one."""
+    path = str(tmp_path / "v")
+    assert versions.current(spark, path) is None
+    versions.replace(spark.range(3), path)
+    reader = spark.read.parquet(versions.current(spark, path))
+    versions.replace(spark.range(5), path)
+    assert reader.count() == 3 and spark.read.parquet(versions.current(spark, path)).count() == 5
+    monkeypatch.setattr(versions, "_point", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        versions.replace(spark.range(7), path)
+    assert spark.read.parquet(versions.current(spark, path)).count() == 5
+    monkeypatch.undo()
+    versions.replace(versions_of(spark, path).selectExpr("id + 1 AS id"), path)
+    assert sorted(r.id for r in versions_of(spark, path).collect()) == [1, 2, 3, 4, 5]
+    assert len([f for f in os.listdir(path) if f.startswith("v-")]) == 2
+
+
+def versions_of(spark, path):
+    return spark.read.parquet(versions.current(spark, path))
+
+
+def test_prompts_name_every_field():
+    for kind, fields in enrich.FIELDS.items():
+        text = prompts.system(kind, fields)
+        assert text.startswith(f"{kind}:") and all(f'"{name}"' in text for name in fields)
+    text = prompts.system("apex", enrich.FIELDS["apex"])
+    assert '"params" (a list of objects with "name" (a text), "description" (a text))' in text and '"throws" (a list of texts)' in text
+
+
+def test_generators_are_told_the_fields(spark):
+    class Told(enrich.OfflineGenerator):
+        def generate(self, system, prompt, label):
+            assert '"summary"' in system and '"relationships"' in system
+            return super().generate(system, prompt, label)
+
+    work = spark.createDataFrame([(k, f"p{i}", k, "x") for i, k in enumerate(enrich.FIELDS)], "kind string, path string, name string, prompt string")
+    out = enrich.enrich(work, Told(), concurrency=2, per_minute=1000).collect()
+    assert len(out) == 8 and not any(r.error for r in out)
+
+
+def test_limiter_keeps_every_window():
+    now, starts = [0.0], []
+    limiter = enrich.Limiter(3, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    for i in range(20):
+        limiter.acquire()
+        starts.append(now[0])
+        now[0] += 7 if i % 5 == 0 else 0.5
+    assert all(b - a >= 60 for a, b in zip(starts, starts[3:], strict=False)) and starts[:3] == [0, 7, 7.5]
+    assert starts[3] == pytest.approx(60.001)
+    assert enrich.shares(10, 3) == [4, 3, 3] and enrich.shares(2, 5) == [1, 1] and enrich.shares(0, 3) == [0, 0, 0]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    root, out, snap = tree(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "snap")
+    common = ["--source-dir", root, "--output", out, "--snapshot", snap]
+    assert cli.main(["generate", *common, "--type", "apex,triggers", "--type", "lwc"], spark) == 0
+    said = capsys.readouterr().out
+    assert "apex: 3 files, 0 up to date, 3 described, 0 failed" in said and "5 files, 0 up to date, 5 made, 0 failed" in said
+    assert sorted(os.listdir(out)) == ["classes", "index.md", "lwc", "triggers"]
+    assert cli.main(["generate", *common, "--type", "apex", "--name-filter", "Or*"], spark) == 0 and "1 up to date, 0 made" in capsys.readouterr().out
+    assert cli.main(["update", "Stock", *common], spark) == 0
+    assert cli.main(["update", "Nobody", *common], spark) == 1 and "nothing is called Nobody" in capsys.readouterr().err
+    assert cli.main(["generate", *common, "--name-filter", "zzz"], spark) == 1
+    assert cli.main(["status"], spark) == 0 and "gemini-2.5-flash" in capsys.readouterr().out
+    assert cli.main(["auth", "--provider", "groq"]) == 0 and "GROQ_API_KEY" in capsys.readouterr().out
+    for wrong in (["--concurrency", "0"], ["--name-filter", "a["], ["--type", "nope"], ["--rpm", "-1"], ["--provider", "nobody"]):
+        with pytest.raises(SystemExit) as e:
+            cli.main(["generate", *wrong], spark)
+        assert e.value.code == 2
+
+
+def test_two_things_of_one_page(spark, tmp_path):
+    root = tree(tmp_path / "in", {"classes/a/One.cls": "public class One {}", "classes/b/One.cls": "public class One { Integer x; }", "classes/Two.cls": "public class Two {}"})
+    result = pl.build(spark, root, str(tmp_path / "s"))
+    assert result.clashes == ["classes/One.md"] and result.kinds == {"apex": {"files": 3, "up_to_date": 0, "made": 3, "failed": 0}}
+    os.remove(tmp_path / "in/classes/Two.cls")
+    assert pl.build(spark, root, str(tmp_path / "s"), prune=True).snapshot.count() == 2
+
+
+def plain_admission(requests, limit, seconds):
+    """Starts by key: each request as early as the rule lets it."""
+    out = {}
+    for key in {k for k, _ in requests}:
+        starts = []
+        for t in sorted(t for k, t in requests if k == key):
+            at = max([t, *starts[-1:]])
+            if len(starts) >= limit and at - starts[-limit] < seconds * 1_000_000:
+                at = starts[-limit] + seconds * 1_000_000 + 1000
+            starts.append(at)
+        out[key] = starts
+    return out
+
+
+def test_admission_with_null_keys(spark):
+    rows = [(k, i * 3_000_000) for i in range(30) for k in (None, 1, 2)] + [(None, None)]
+    got = {}
+    for r in rel.admitted(spark.createDataFrame(rows, "k long, at long"), ["k"], "at", 2, 60).collect():
+        got.setdefault(r.k, []).append(r.started_at)
+    assert got[None].count(None) == 1
+    got[None].remove(None)
+    assert {k: sorted(v) for k, v in got.items()} == plain_admission([r for r in rows if r[1] is not None], 2, 60)
+
+
+def test_differences_with_nulls(spark):
+    now = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "x"), (None, "n")], "id int, hash string")
+    old = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (5, None), (None, "m")], "id int, hash string")
+    assert {r.id: r.change for r in rel.hash_diff(now, old, ["id"], "hash").collect()} == {1: "same", 2: "same", 3: "modified", 4: "new", 5: "deleted", None: "modified"}
 
 
 def test_fuzzy_match_finds_all_pairs(spark):
@@ -192,8 +319,8 @@ def test_fuzzy_match_finds_all_pairs(spark):
 
 def test_containment_without_broadcast(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "uses OrderService daily"), (2, "nothing"), (3, "Order and Stock")], "id int, t string")
-    names = spark.createDataFrame([("Order",), ("OrderService",), ("Stock",), ("",)], "name string")
-    want = {1: "OrderService", 2: None, 3: "Order"}
+    names = spark.createDataFrame([("Order",), ("OrderService",), ("Stock",), ("",), ("in",)], "name string")
+    want = {1: "OrderService", 2: "in", 3: "Order"}
     for bound in (100_000, 1):
         monkeypatch.setattr(rel, "BROADCAST_ROWS", bound)
         assert {r.id: r.linked for r in rel.containment_link(texts, names, ["id", "t"], "t", "name").collect()} == want
