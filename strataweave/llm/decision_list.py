@@ -22,6 +22,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text and with the statistics of the whole text.
 
@@ -29,18 +32,21 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     characters of ``#*$%&|<>``; ``n_lines`` with a word; ``n_dup_lines`` of
     them equal to an earlier line; ``n_repeat_words``, words in windows of
     eight that occur twice or more in the text. Null counts as empty. Windows
-    are compared by their 64-bit hashes. One row each, no shuffle.
+    are compared by 64-bit hashes of their words' hashes. One row each, no
+    shuffle; repeated rows stay; an empty table gives an empty result. A column
+    of ``docs`` with the name of a statistic gives way to it.
     """
-    keep = [F.col(f"_in.{c}").alias(c) for c in docs.columns if c != text]
+    others = [c for c in docs.columns if c != text and c not in STATISTICS]
+    keep = [F.col(f"_in.`{c}`").alias(c) for c in others]
     whole = F.coalesce(F.col(text), F.lit(""))
     bare = F.translate(whole, BLANKS, "")
     lines = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     a = docs.select(
-        F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("_in"),
+        F.struct(F.lit(0).alias("_0"), *[F.col(f"`{c}`") for c in others]).alias("_in"),
         F.length(bare).cast("long").alias("word_chars"),
         (F.length(bare) - F.length(F.translate(bare, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
-        blank_words(F.col(text)).alias("words"),
+        F.transform(blank_words(F.col(text)), lambda w: F.xxhash64(w)).alias("words"),  # each word is hashed once
     )
     last = F.size("words") - (WINDOW - 1)
     hashes = F.when(last > 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
@@ -153,10 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, **options: flo
     ``labels(doc_id, quality)``, quality 0 is bad; rows with a null are left
     out. If there are more, those whose hashed id falls below a share are
     taken; the bound makes the labels' side of the join small enough to
-    broadcast and the statistics small enough for the driver. No labels: no
-    rules.
+    broadcast and the statistics small enough for the driver. Equal label rows
+    count once, a document with two labels is two rows, repeated documents are a
+    row each. No labels or no documents: no rules.
     """
-    labels = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null")
+    labels = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").distinct()
     n = labels.count()
     if n > max_rows:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
@@ -181,13 +188,14 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """``docs`` without its text and with statistics, ``base_failed`` and ``kept``.
 
     A null or empty text has no words, so it fails the base rules. Repeated
-    rows stay; an empty table gives an empty result.
+    rows stay; an empty table gives an empty result. Columns of ``docs`` with the
+    name of a new one give way.
     """
-    out = text_statistics(docs).withColumn("base_failed", base_failed())
+    out = text_statistics(docs.drop("base_failed", "kept")).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs``, all columns, that pass."""
-    with_copy = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
+    with_copy = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
     return judge(with_copy, rules).where("kept").select("_row.*")

@@ -135,6 +135,17 @@ def test_rules_find_a_conjunction():
     assert (caught & bad).sum() > 0.9 * bad.sum() and (caught & ~bad).sum() < 0.05 * bad.sum()
 
 
+def test_statistics_of_columns_with_their_names(spark):
+    rows = [(1, "a b c " * 20, 9, "x", True, "y"), (1, "a b c " * 20, 9, "x", True, "y"), (None, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_words int, lines string, kept boolean, `odd.name` string")
+    out = dl.judge(frame, [])
+    assert out.columns == ["doc_id", "lines", "odd.name", *dl.STATISTICS, "base_failed", "kept"]
+    assert sorted(str((r.doc_id, r.lines, r["odd.name"], r.n_words, r.kept)) for r in out.collect()) == ["(1, 'x', 'y', 60, False)", "(1, 'x', 'y', 60, False)", "(None, None, None, 0, False)"]
+    good = dl.keep_good(frame.withColumn("text", dl.F.lit(" ".join(f"w{i}" for i in range(30)))), [])
+    assert good.columns == frame.columns and good.count() == 3
+    assert dl.fit(frame, spark.createDataFrame([], "doc_id long, quality int")) == []
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
