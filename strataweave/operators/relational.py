@@ -169,12 +169,12 @@ def rolling_count(rows: DataFrame, key: list[str], at_micros: str, seconds: int,
     return rows.withColumn(name, F.count(F.lit(1)).over(w))
 
 
-def admitted(rows: DataFrame, key: list[str], at_micros: str, limit: int, seconds: int) -> DataFrame:
+def admitted(rows: DataFrame, key: list[str], at_micros: str, limit: int, seconds: int, ties: list[str] | None = None) -> DataFrame:
     """Greedy admission: when each request of a key may start if at most ``limit`` start in any window.
 
     A request waits until the oldest of the last ``limit`` starts is ``seconds``
     old, and a millisecond more; starts never go back in time. ``started_at`` is
-    in microseconds. A key's requests depend on each other in order, so they are
+    in microseconds; of requests of one time those first by ``ties`` start first. A key's requests depend on each other in order, so they are
     sorted into one task and streamed through it: what is held is the last
     ``limit`` starts of one key, however many requests it has.
     """
@@ -207,7 +207,7 @@ def admitted(rows: DataFrame, key: list[str], at_micros: str, limit: int, second
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", started_at long"
     # one text that tells keys apart, nulls too: null numbers would reach the function as values that differ from themselves
     keyed = rows.withColumn("_key", F.to_json(F.array(*[F.col(k).cast("string") for k in key])))
-    return keyed.repartition("_key").sortWithinPartitions("_key", at_micros).mapInPandas(run, schema)
+    return keyed.repartition("_key").sortWithinPartitions("_key", at_micros, *(ties or [])).mapInPandas(run, schema)
 
 
 def distinct_names(tables: list[tuple[DataFrame, str]], name: str = "name") -> DataFrame:

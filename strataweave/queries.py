@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import apex, markup, xmlmeta
+from . import flow_queries
+from .functions import markup
 from .functions import text as tx
 from .operators import relational as rel
 from .plans import enrich, render
@@ -30,11 +30,11 @@ def query(sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | flow_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | flow_queries.SQL
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,16 +44,6 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- predicates ---------------------------------------------------------------
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE n_chars <= 1000")
-def scan_filter_size(s, d):
-    return _t(s, d, "documents").where("n_chars <= 1000").select("doc_id", "n_chars")
-
-
-@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')")
-def kind_filter(s, d):
-    return _t(s, d, "documents").where(F.col("lang").isin("en", "de")).select("doc_id", "lang")
-
-
 @query("SELECT p_partkey, p_name FROM part WHERE p_name GLOB '*e? [a-m]*'")
 def glob_filter(s, d):
     return _t(s, d, "part").where(tx.glob_matches("*e? [a-m]*", F.col("p_name"))).select("p_partkey", "p_name")
@@ -65,11 +55,6 @@ def tag_any_match(s, d):
     return per.where(tx.has_any_tag(F.col("tags"), ["SignUp", "ERROR"])).select("user_id", F.size("tags").cast("long").alias("kinds"))
 
 
-@query("SELECT page_id, url FROM pages WHERE list_contains(string_split(url, '/'), 'en')")
-def ancestor_dir(s, d):
-    return _t(s, d, "pages").where(F.array_contains(F.split("url", "/"), "en")).select("page_id", "url")
-
-
 @query("SELECT page_id, coalesce(list_filter(string_split(url, '/'), lambda x: x <> '')[-2], 'Unknown') AS parent FROM pages")
 def path_parent(s, d):
     return _t(s, d, "pages").select("page_id", tx.path_part(F.col("url"), 2).alias("parent"))
@@ -104,14 +89,8 @@ def freshness_anti(s, d):
     return rel.stale(*_snapshot(s, d), ["doc_id", "hash"])
 
 
-@query(f"WITH {_SNAP} SELECT doc_id, hash FROM k WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, hash FROM h WHERE doc_id % 2 = 1")
-def cache_upsert(s, d):
-    now, known = _snapshot(s, d)
-    return rel.upsert(known.where("doc_id % 2 = 0"), now.where("doc_id % 2 = 1"), ["doc_id"])
-
-
 @query(f"WITH {_SNAP} SELECT doc_id, hash FROM h UNION ALL SELECT doc_id, hash FROM k WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = k.doc_id)")
-def cache_upsert_whole(s, d):
+def cache_upsert(s, d):
     now, known = _snapshot(s, d)
     return rel.upsert(known, rel.stale(now, known, ["doc_id", "hash"]), ["doc_id"])
 
@@ -188,11 +167,6 @@ def group_index(s, d):
     return rel.group_index(_t(s, d, "documents"), "source")
 
 
-@query("SELECT lang, count(*) AS n, count(*) FILTER (n_chars > 1000) AS long_texts FROM documents GROUP BY lang")
-def kind_counts(s, d):
-    return _t(s, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") > 1000).alias("long_texts"))
-
-
 @query("SELECT event_type, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users FROM events GROUP BY event_type")
 def implementors(s, d):
     per = _t(s, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("kinds")).withColumn("user", F.col("user_id").cast("string"))
@@ -209,12 +183,6 @@ def tagged_union(s, d):
     return rel.tagged_union({"nation": _t(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), "supplier": _t(s, d, "supplier").select(F.col("s_name").alias("name"))}).select("kind", "name", "region")
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(text, ' '), lambda w: w NOT IN ('the', 'of', 'and', 'de', 'la', 'die')))), ' ') AS words FROM documents")
-def list_difference(s, d):
-    stop = F.array(*[F.lit(w) for w in ("the", "of", "and", "de", "la", "die")])
-    return _t(s, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_except(F.split("text", " "), stop)), " ").alias("words"))
-
-
 @query("""SELECT conv_id, array_to_string(list_sort(roles || list_filter(['user', 'tool'], lambda x: NOT list_contains(roles, x))), ',') AS roles
 FROM (SELECT conv_id, list(DISTINCT role) AS roles FROM conversations GROUP BY conv_id)""")
 def append_missing(s, d):
@@ -236,11 +204,6 @@ def ordered_distinct(s, d):
 _TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-@query("SELECT user_id, " + ", ".join(f"nullif(count(*) FILTER (event_type = '{t}'), 0) AS \"{t}\"" for t in _TYPES) + " FROM events GROUP BY user_id")
-def pivot_records(s, d):
-    return _t(s, d, "events").groupBy("user_id").pivot("event_type", _TYPES).count()
-
-
 @query("SELECT user_id, " + ", ".join(f"coalesce(arg_min(props, event_id) FILTER (event_type = '{t}'), '—') AS \"{t}\"" for t in _TYPES) + " FROM events GROUP BY user_id")
 def pivot_first(s, d):
     return rel.pivot_first(_t(s, d, "events"), ["user_id"], "event_type", "props", "event_id", _TYPES)
@@ -258,23 +221,6 @@ def rolling_admission(s, d):
     return rel.rolling_count(at, ["user_id"], "at", 60, "recent").drop("at")
 
 
-@query()
-def greedy_admission(s, d):
-    at = _t(s, d, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return rel.admitted(at, ["event_type"], "at", 5, 60).select("event_id", "at", "started_at")
-
-
-@query("SELECT doc_id, lang, source FROM documents ORDER BY source, doc_id")
-def ordered_scan(s, d):
-    return _t(s, d, "documents").select("doc_id", "lang", "source").orderBy("source", "doc_id")
-
-
-@query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
-def first_per_group(s, d):
-    w = W.partitionBy("event_type").orderBy("ts", "event_id")
-    return _t(s, d, "events").withColumn("n", F.row_number().over(w)).where("n = 1").select("event_type", "event_id")
-
-
 # --- scalar functions ---------------------------------------------------------
 
 
@@ -295,13 +241,8 @@ def folder_of(s, d):
     return _t(s, d, "pages").select("page_id", F.regexp_replace(tx.folder_of(inner, "/"), "^[^/]*/?", "").alias("folder"))
 
 
-@query("SELECT doc_id, regexp_replace(left(text, 200), '[^a-zA-Z0-9_.-]', '', 'g') AS name FROM documents WHERE lang = 'en'")
-def sanitize_name(s, d):
-    return _t(s, d, "documents").where("lang = 'en'").select("doc_id", tx.sanitize_filename(F.regexp_replace(F.substring("text", 1, 200), r"[^\x00-\x7F]", "")).alias("name"))
-
-
 @query()
-def sanitize_name_whole(s, d):
+def sanitize_name(s, d):
     """Every text in full, letters of any script; no SQL, since DuckDB has no class of alphabetic characters."""
     return _t(s, d, "documents").select("doc_id", tx.sanitize_filename(F.col("text")).alias("name"))
 
@@ -316,20 +257,8 @@ def strip_comments(s, d):
     return _t(s, d, "pages").select("page_id", F.sha2(tx.strip_comments(F.col("html")), 256).alias("stripped"))
 
 
-@query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tag FROM pages) GROUP BY tag")
-def tag_extract(s, d):
-    each = _t(s, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), F.lit(1))).alias("tag"))
-    return each.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(' ' || regexp_replace(text, '[^ -~]', 'x', 'g'), '[^A-Za-z0-9_]([A-Z][a-zA-Z0-9_]+)', 1), lambda w: length(w) > 2))), ',') AS refs FROM documents WHERE lang = 'en'")
-def type_refs(s, d):
-    plain = F.regexp_replace("text", "[^ -~]", "x")
-    return _t(s, d, "documents").where("lang = 'en'").select("doc_id", F.array_join(tx.type_references(plain), ",").alias("refs"))
-
-
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(' ' || regexp_replace(text, '[^ -~]', 'x', 'g'), '[^A-Za-z0-9_]([A-Z][a-zA-Z0-9_]+)', 1), lambda w: length(w) > 2))), ',') AS refs FROM documents")
-def type_refs_whole(s, d):
+def type_refs(s, d):
     return _t(s, d, "documents").select("doc_id", F.array_join(tx.type_references(F.regexp_replace("text", "[^ -~]", "x")), ",").alias("refs"))
 
 
@@ -379,21 +308,6 @@ def badge_line(s, d):
     return _t(s, d, "part").select("p_partkey", tx.badges((F.col("p_size") > 25, "big"), (F.col("p_retailprice") > 1000, "dear")).alias("badges"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
-def json_docs(s, d):
-    return _t(s, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
-
-
-@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN turn + 2 WHEN 1 THEN turn + 2 ELSE (5 * (1 << CAST(turn % 4 AS INTEGER))) // 2 END AS low,
-CASE turn % 3 WHEN 0 THEN turn + 2 WHEN 1 THEN turn + 2 ELSE 2 * ((5 * (1 << CAST(turn % 4 AS INTEGER))) // 2) END AS high FROM conversations""")
-def retry_delay(s, d):
-    turn = F.col("turn")
-    header = F.when(turn % 3 == 0, F.concat((turn).cast("string"), F.lit(".5"))).otherwise("soon")
-    body = F.when(turn % 3 == 1, F.concat(F.lit("please retry in "), turn.cast("string"), F.lit(".25s"))).otherwise("")
-    asked, bounds = F.coalesce(tx.retry_after(header), tx.retry_hint(body)), tx.backoff_bounds((turn % 4).cast("int"))
-    return _t(s, d, "conversations").select("conv_id", "turn", F.coalesce(asked, bounds["low"]).alias("low"), F.coalesce(asked, bounds["high"]).alias("high"))
-
-
 @query("SELECT code, code IN (429, 500, 502, 503, 504) AS again FROM (VALUES (200), (404), (429), (500), (501), (502), (503), (504)) t(code)")
 def retry_status(s, d):
     return s.createDataFrame([(c,) for c in (200, 404, 429, 500, 501, 502, 503, 504)], "code int").withColumn("again", tx.should_retry(F.col("code")))
@@ -420,107 +334,11 @@ def field_type_label(s, d):
     return _t(s, d, "part").select("p_partkey", tx.field_type(F.when(F.col("p_size") % 2 == 0, "Lookup").otherwise(F.col("p_type")), F.col("p_brand")).alias("label"))
 
 
-# --- parsers over fixtures ----------------------------------------------------
-
-_CLASS = """/** Runs things.\n * @tag core-jobs\n */
-public with sharing class Runner extends base.Worker implements Queueable, Batchable<Row> {
-  private static Integer LIMIT_ROWS = 5;
-  /* public void hidden() {} */
-  public void run(List<Row> rows, String why) { Helper.go(); }
-  global static Row first(Id key) { return null; }
-}"""
-_TRIGGER = "trigger Watch on Invoice (before insert, AFTER  update, after delete) { Helper.go(); }"
-_FLOW = "<Flow xmlns='http://x'><label>Welcome &amp; go</label><processType>Auto</processType><variables><name>v</name><dataType>String</dataType><isInput>true</isInput></variables><recordUpdates><object>B</object></recordUpdates><recordLookups><object>A</object></recordLookups><decisions><name>d</name></decisions><decisions/></Flow>"
-_RULE = "<ValidationRule><active>false</active><errorConditionFormula>a &lt; b</errorConditionFormula><errorMessage> Too small </errorMessage></ValidationRule>"
-_OBJECT = "<CustomObject><label>Invoice</label><nameField><label>No</label></nameField></CustomObject>"
-_PAGE = "<FlexiPage><masterLabel>Start</masterLabel><type>AppPage</type><r><componentName>c__one</componentName><componentName>c__one</componentName><componentName>force:two</componentName></r></FlexiPage>"
-_RECORD = "<CustomMetadata xmlns:xsi='http://y'><label>Main</label><values><field>A__c</field><value xsi:type='xsd:double'>30</value></values><values><field>B__c</field></values></CustomMetadata>"
-_CMP = """<aura:component extends="c:base"><aura:attribute name="title" type="String" default="x"/><aura:registerEvent name="saved" type="c:e"/><aura:handler event="c:again"/><aura:handler event="c:again"/></aura:component>"""
-_JS, _HTML = "@api label = 1; @api focus() {} @api get size() {} @api label;", "<slot name='icon'></slot><c-tool-tip></c-tool-tip><c-tool-tip/>"
-
-
-def _one(s, **cols):
-    return s.createDataFrame([tuple(cols.values())], ", ".join(f"{c} string" for c in cols))
-
-
-def _values(**cols: str) -> str:
-    lit = lambda v: v if isinstance(v, (int, bool)) else "'" + v.replace("'", "''") + "'"
-    return "SELECT " + ", ".join(f"{lit(v)} AS {k}" for k, v in cols.items())
-
-
-def _flat(items, f):
-    return F.array_join(F.transform(items, f), ";")
-
-
-@query(_values(class_name="Runner", access="public", extends="base.Worker", implements="Queueable;Batchable<Row>", methods="public void run(List<Row> rows, String why);global static Row first(Id key)", properties="static Integer LIMIT_ROWS", refs="Batchable;Helper;LIMIT_ROWS;Queueable;Row;Runs;Worker", tags="core-jobs"))
-def apex_parse(s, d):
-    c = apex.parse_classes(_one(s, raw_source=_CLASS))
-    prop = lambda p: F.concat_ws(" ", F.when(p["is_static"], F.lit("static")), p["property_type"], p["name"])
-    return c.select("class_name", F.col("access_modifier").alias("access"), "extends", F.array_join("implements", ";").alias("implements"), _flat("methods", tx.signature).alias("methods"), _flat("properties", prop).alias("properties"), F.array_join("references", ";").alias("refs"), F.array_join("tags", ";").alias("tags"))
-
-
-@query(_values(trigger_name="Watch", sobject="Invoice", events="before insert;after delete", refs="AFTER;Helper"))
-def trigger_parse(s, d):
-    c = apex.parse_trigger(F.col("raw"))
-    return _one(s, raw=_TRIGGER).select(c["trigger_name"].alias("trigger_name"), c["sobject"].alias("sobject"), F.array_join(c["events"], ";").alias("events"), F.array_join(c["references"], ";").alias("refs"))
-
-
-@query(_values(label="Welcome & go", process_type="Auto", variables="v:String:true:false", decisions="1", operations="update B;lookup A"))
-def flow_parse(s, d):
-    c = xmlmeta.parse_flow(F.col("raw"), F.lit("My_Flow"))
-    return _one(s, raw=_FLOW).select(c["label"].alias("label"), c["process_type"].alias("process_type"), _flat(c["variables"], lambda v: F.concat_ws(":", v["name"], v["data_type"], v["is_input"].cast("string"), v["is_output"].cast("string"))).alias("variables"), c["decisions"].cast("string").alias("decisions"), _flat(c["record_operations"], lambda o: F.concat_ws(" ", o["operation"], o["object"])).alias("operations"))
-
-
-@query(_values(rule_name="R", object_name="Invoice", active=False, formula="a < b", message="Too small"))
-def rule_parse(s, d):
-    c = xmlmeta.parse_rule(F.col("raw"), F.lit("R"), tx.path_part(F.lit("objects/Invoice/validationRules/R.xml"), 3))
-    return _one(s, raw=_RULE).select(c["rule_name"].alias("rule_name"), c["object_name"].alias("object_name"), c["active"].alias("active"), c["error_condition_formula"].alias("formula"), c["error_message"].alias("message"))
-
-
-@query(_values(label="Invoice", description=""))
-def object_parse(s, d):
-    c = xmlmeta.parse_object(F.col("raw"), F.lit("Invoice__c"))
-    return _one(s, raw=_OBJECT).select(c["label"].alias("label"), c["description"].alias("description"))
-
-
-@query(_values(label="Start", page_type="AppPage", components="one;force:two"))
-def page_parse(s, d):
-    c = xmlmeta.parse_page(F.col("raw"), F.lit("P"))
-    return _one(s, raw=_PAGE).select(c["label"].alias("label"), c["page_type"].alias("page_type"), F.array_join(c["component_names"], ";").alias("components"))
-
-
-@query(_values(type_name="T__mdt", record_name="Main.x", label="Main", values_="A__c=30"))
-def cmeta_parse(s, d):
-    ids = tx.split_first_dot(F.lit("T__mdt.Main.x"))
-    c = xmlmeta.parse_record(F.col("raw"), ids["type"], ids["record"])
-    return _one(s, raw=_RECORD).select(c["type_name"].alias("type_name"), c["record_name"].alias("record_name"), c["label"].alias("label"), _flat(c["values"], lambda v: F.concat_ws("=", v["field"], v["value"])).alias("values_"))
-
-
-@query(_values(props="focus:true;label:false;size:false", slots="icon;default", children="toolTip", attributes="title:String:x", events="saved;c:again", extends="c:base"))
-def component_parse(s, d):
-    c = markup.parse_component(F.col("js"), F.col("html")) | markup.parse_aura(F.col("cmp"))
-    return _one(s, js=_JS, html=_HTML, cmp=_CMP).select(
-        _flat(c["api_props"], lambda p: F.concat_ws(":", p["name"], p["is_method"].cast("string"))).alias("props"), F.array_join(c["slots"], ";").alias("slots"), F.array_join(c["referenced_components"], ";").alias("children"),
-        _flat(c["attributes"], lambda a: F.concat_ws(":", a["name"], a["attr_type"], a["default"])).alias("attributes"), F.array_join(c["events_handled"], ";").alias("events"), c["extends"].alias("extends"),
-    )
-
-
-@query("SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<a href=\"/([^\"/]*)\"', 1))), ',') AS links FROM pages")
-def markup_links(s, d):
-    return _t(s, d, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="/([^"/]*)"'), F.lit(1)))), ",").alias("links"))
-
-
 # --- enrichment, rendering ----------------------------------------------------
 
 
-@query("SELECT doc_id, source || ' (' || left(sha256(text), 8) || ')' AS summary FROM documents WHERE n_chars < 2000")
-def enrich_offline(s, d):
-    work = _t(s, d, "documents").where("n_chars < 2000").select(F.lit("flows").alias("kind"), F.col("doc_id").cast("string").alias("path"), "doc_id", F.col("source").alias("name"), F.col("text").alias("prompt"))
-    return enrich.documents(enrich.enrich(work, enrich.OfflineGenerator()), "flows").select("doc_id", F.col("doc.summary").alias("summary"))
-
-
 @query("SELECT doc_id, source || ' (' || left(sha256(text), 8) || ')' AS summary FROM documents")
-def enrich_offline_whole(s, d):
+def enrich_offline(s, d):
     work = _t(s, d, "documents").select(F.lit("flows").alias("kind"), F.col("doc_id").cast("string").alias("path"), "doc_id", F.col("source").alias("name"), F.col("text").alias("prompt"))
     return enrich.documents(enrich.enrich(work, enrich.OfflineGenerator()), "flows").select("doc_id", F.col("doc.summary").alias("summary"))
 
@@ -530,37 +348,41 @@ def providers_dim(s, d):
     return enrich.providers(s).select("provider", "default_model", "needs_key")
 
 
-@query("""SELECT doc_id, '# ' || source || chr(10) || chr(10) || '`' || lang || '`' || chr(10) || chr(10) || left(text, 50) || chr(10) || chr(10) || '## Table of Contents' || chr(10) || chr(10)
-|| CASE WHEN n_chars > 500 THEN '- [Description](#description)' || chr(10) ELSE '' END || chr(10) || CASE WHEN n_chars > 500 THEN '## Description' || chr(10) || chr(10) || left(text, 500) || chr(10) || chr(10) ELSE '' END AS body FROM documents""")
+@query("""SELECT doc_id, '# ' || source || chr(10) || chr(10) || '`' || lang || '`' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Table of Contents' || chr(10) || chr(10)
+|| CASE WHEN n_chars > 500 THEN '- [Description](#description)' || chr(10) ELSE '' END || chr(10) || CASE WHEN n_chars > 500 THEN '## Description' || chr(10) || chr(10) || text || chr(10) || chr(10) ELSE '' END AS body FROM documents""")
 def render_page(s, d):
-    about = render.text_section("Description", F.when(F.col("n_chars") > 500, F.substring("text", 1, 500)).otherwise(""))
-    return _t(s, d, "documents").select("doc_id", render.page(F.col("source"), render.code(F.col("lang")), F.substring("text", 1, 50), [about]).alias("body"))
-
-
-@query("""WITH l AS (SELECT n_name, '| [' || n_name || '](aura/' || n_name || '.md) | ' || n_regionkey || ' | ' || n_nationkey || ' |' || chr(10) AS line FROM nation)
-SELECT '# Apex Documentation Index' || chr(10) || chr(10) || 'Generated documentation for 0 class(es), 0 trigger(s), 0 flow(s), 0 validation rule(s), 0 object(s), 0 LWC component(s), 0 Lightning page(s), 0 Custom Metadata type(s), and '
-|| count(*) || ' Aura component(s).' || chr(10) || chr(10) || '## Aura Components' || chr(10) || chr(10) || '| Component | Attributes | Summary |' || chr(10) || '|-----------|------------|---------|' || chr(10) || string_agg(line, '' ORDER BY n_name) || chr(10) AS body FROM l""")
-def render_index(s, d):
-    rows = _t(s, d, "nation").where("n_name is not null").select(F.lit("aura").alias("kind"), F.col("n_name").alias("name"), F.col("n_name").alias("label"), F.lit("").alias("folder"), F.array(F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string")).alias("cells"))
-    return render.index(rows)
+    about = render.text_section("Description", F.when(F.col("n_chars") > 500, F.col("text")).otherwise(""))
+    return _t(s, d, "documents").select("doc_id", render.page(F.col("source"), render.code(F.col("lang")), F.col("text"), [about]).alias("body"))
 
 
-@query("SELECT 'custom-metadata' AS kind, event_type AS name, count(DISTINCT user_id) AS records FROM events GROUP BY event_type")
-def render_records(s, d):
-    rows = _t(s, d, "events").groupBy("event_type", "user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "props"))), lambda x: F.struct(F.lit("props").alias("field"), x["props"].alias("value"))).alias("values"))
-    pages = render.record_pages(rows.select(F.col("event_type").alias("type_name"), F.col("user_id").cast("string").alias("record_name"), F.lit("").alias("label"), "values"))
-    return pages.select("kind", "name", F.regexp_extract("body", r"(\d+) record\(s\)", 1).cast("long").alias("records"))
+@query("SELECT doc_id, lang || '-' || source || ';two' AS tags FROM documents")
+def tag_extract(s, d):
+    raw = F.concat(F.lit("x /** Text.\n * @tag "), "lang", F.lit("-"), "source", F.lit(" and more */ @tag none /* @tag no */ /** @tag two */"))
+    return _t(s, d, "documents").select("doc_id", F.array_join(tx.tags_in(tx.doc_comments(raw)), ";").alias("tags"))
 
 
-# --- extensions ---------------------------------------------------------------
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tag FROM pages) GROUP BY tag")
+def markup_tags(s, d):
+    each = _t(s, d, "pages").select(F.explode(markup.tags(F.col("html"))).alias("t"))
+    return each.groupBy(F.col("t.tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT c_custkey, c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
-def impact(s, d):
-    done = _t(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return rel.fresh(_t(s, d, "customer"), done, ["c_custkey"]).select("c_custkey", "c_nationkey")
+@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN NULL ELSE turn + 2 END AS asked, true AS within FROM conversations""")
+def retry_delay(s, d):
+    turn = F.col("turn")
+    header = F.when(turn % 3 == 0, F.concat((turn).cast("string"), F.lit(".5"))).otherwise("soon")
+    body = F.when(turn % 3 == 1, F.concat(F.lit("please retry in "), turn.cast("string"), F.lit(".25s"))).otherwise("")
+    attempt = (turn % 4).cast("int")
+    waits = _t(s, d, "conversations").select("conv_id", "turn", tx.retry_delay(header, body, attempt).alias("wait"), tx.backoff_bounds(attempt).alias("b"))
+    free = F.col("turn") % 3 == 2
+    return waits.select("conv_id", "turn", F.when(~free, F.col("wait")).alias("asked"), F.when(free, F.col("wait").between(F.col("b.low"), F.col("b.high"))).otherwise(True).alias("within"))
 
 
-@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
-def dead_code(s, d):
-    return rel.stale(_t(s, d, "part").select("p_partkey"), _t(s, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"])
+@query("""WITH RECURSIVE e AS (SELECT event_id, event_type AS k, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+g AS (SELECT event_id, k, t, n, t AS s, [t] AS recent FROM e WHERE n = 1 UNION ALL
+SELECT event_id, k, t, n, s, list_concat(recent, [s])[-5:] FROM (SELECT e.event_id, e.k, e.t, e.n, g.recent,
+CASE WHEN len(g.recent) = 5 AND greatest(e.t, g.recent[-1]) - g.recent[1] < 60000000 THEN g.recent[1] + 60001000 ELSE greatest(e.t, g.recent[-1]) END AS s FROM g JOIN e ON e.k = g.k AND e.n = g.n + 1) x)
+SELECT event_id, t AS "at", s AS started_at FROM g""")
+def greedy_admission(s, d):
+    at = _t(s, d, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return rel.admitted(at, ["event_type"], "at", 5, 60, ["event_id"]).select("event_id", "at", "started_at")

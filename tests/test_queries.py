@@ -33,8 +33,3 @@ def test_against_duckdb(spark, sf, duck, name):
 def test_entry(spark):
     out = entry.entry(spark)
     assert out.columns == ["source", "rows_in_group", "with_heading"] and out.count() > 0
-
-
-def test_greedy_admission(spark, sf):
-    out = entry.queries()["greedy_admission"](spark, sf).collect()
-    assert len(out) == 1000 and all(r.started_at >= r["at"] for r in out)
