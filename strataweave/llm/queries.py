@@ -141,24 +141,27 @@ FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid) LEFT JOIN ty USING (rid)
 """
 
 
-def license_sql(block: int = 64, threshold: float = 0.8) -> str:
+def license_sql(threshold: float = 0.8) -> str:
     """The license query: every phrase at every place, every template against every block."""
     items = license_join.templates(list(license_join.TEMPLATES), threshold)
-    block = max(block, 2 * max(len(t.words) for t in items))
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in license_join.PHRASES)
-    texts = ", ".join(f"('{t.label}', {sorted(set(t.words))}, {t.needed})" for t in items)
+    texts = ", ".join(f"({i}, '{t.label}', {sorted(set(t.words))}, {t.needed}, {t.span})" for i, t in enumerate(items))
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
   FROM documents),
 ph(phrase, label, n) AS (VALUES {phrases}),
-t(label, tw, need) AS (VALUES {texts}),
+t(tid, label, tw, need, span) AS (VALUES {texts}),
 q AS (SELECT rid, phrase, label, unnest(list_transform(range(0, len(words) - n + 1), lambda i: struct_pack(pos := i, key := array_to_string(words[i + 1 : i + n], ' ')))) AS x FROM d, ph WHERE len(words) >= n),
 pl AS (SELECT rid, label, x.pos AS pos FROM q WHERE x.key = phrase),
-bl AS (SELECT rid, list_distinct(words[st + 1 : st + {block}]) AS bw FROM (SELECT rid, words, unnest(range(0, greatest(1, len(words)), {block // 2})) AS st FROM d)),
-m AS (SELECT rid, label, len(list_intersect(bw, tw)) AS c, len(tw) AS size, need FROM bl, t),
-f AS (SELECT rid, label, c / size AS share FROM m WHERE c >= need),
+ws AS (SELECT rid, unnest(list_transform(range(0, len(words)), lambda i: struct_pack(pos := i, word := words[i + 1]))) AS x FROM d),
+te AS (SELECT tid, unnest(tw) AS word FROM t),
+hp AS (SELECT rid, tid, x.pos AS pos, x.word AS word FROM ws JOIN te ON x.word = te.word),
+ok AS (SELECT rid, hp.tid AS tid FROM hp JOIN t ON t.tid = hp.tid GROUP BY rid, hp.tid, need HAVING count(DISTINCT word) >= need),
+hk AS (SELECT hp.*, span FROM hp JOIN ok ON hp.rid = ok.rid AND hp.tid = ok.tid JOIN t ON t.tid = hp.tid),
+m AS (SELECT a.rid AS rid, a.tid AS tid, a.pos AS pos, count(DISTINCT b.word) AS c FROM hk a JOIN hk b ON a.rid = b.rid AND a.tid = b.tid AND b.pos >= a.pos AND b.pos < a.pos + a.span GROUP BY a.rid, a.tid, a.pos),
+f AS (SELECT rid, label, max(c) / len(tw) AS share FROM m JOIN t ON t.tid = m.tid GROUP BY rid, m.tid, label, tw, need HAVING max(c) >= need),
 a AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM pl GROUP BY rid),
 l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM pl UNION ALL SELECT rid, label FROM f) GROUP BY rid),
 s AS (SELECT rid, max(share) AS score FROM f GROUP BY rid)

@@ -264,12 +264,18 @@ def test_licenses(docs, data, spark, empty):
         "Released under the MIT License. Apache License, Version 2.0!", "CC BY-NC 4.0 under the mit licens", "under the under the mit license mit license under the MIT license",
         "This work is licensed under the GNU General Public License, version 3.", "Redistribution and use in source and binary forms, with or without any modification, are permitted provided", None, "", "x " * 500 + "permission is granted free of charge to any person obtaining a copy of this software and documentation files",
     ]
-    rows = [(i, t) for i, t in data] + [(2000 + i, t) for i, t in enumerate(extra)]
+    whole = [" ".join(lj.words(t)) for t, _ in lj.TEMPLATES]
+    for at in (0, 1, 13, 31, 32, 33, 50):  # a wording with other words in between, wherever it begins
+        w = whole[1].split()
+        extra.append("x " * at + " ".join(x if k % 3 else f"{x} zz" for k, x in enumerate(w)))
+        extra.append("x " * at + " ".join(x if k % 3 else f"{x} zz zz" for k, x in enumerate(w)))
+    for t in whole[7:]:  # full texts, with every sixth or third word changed
+        w = t.split()
+        extra += ["y " * 77 + " ".join(x if k % n else "changed" for k, x in enumerate(w)) + " y" * 300 for n in (6, 3)]
+    rows = [(i, t) for i, t in data if i != 309] + [(2000 + i, t) for i, t in enumerate(extra)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     items = lj.templates(list(lj.TEMPLATES), 0.8)
-    longest = 2 * max(len(t.words) for t in items)
-    block = max(64, longest)
     want = []
     for i, t in rows:
         w = word.findall((t or "").translate(LOW))
@@ -282,13 +288,17 @@ def test_licenses(docs, data, spark, empty):
                     base.add(label)
         for item in items:
             need = set(item.words)
-            for k in range(0, max(1, len(w)), block // 2):
-                n = len(need & set(w[k : k + block]))
+            if not need & set(w):
+                continue
+            for k in range(max(1, len(w))):
+                n = len(need & set(w[k : k + -(-3 * len(item.words) // 2)]))
                 if n >= 0.8 * len(need) - 1e-9:
                     more.add(item.label)
                     score = max(score, n / len(need))
         want.append((i, len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if places else score))
     same(lj.scan(frame, list(lj.PHRASES), list(lj.TEMPLATES)).collect(), want)
+    found = {label for r in want for label in r[6].split(",")}
+    assert found == {"", *(label for _, label in lj.TEMPLATES)}
     assert lj.scan(empty, list(lj.PHRASES), list(lj.TEMPLATES)).count() == 0
     assert {r.labels for r in lj.scan(frame, [], []).collect()} == {""}
 
