@@ -333,7 +333,7 @@ def test_admission_keeps_the_rate(spark):
 
 
 def test_without_the_corpus_operators(tmp_path):
-    """The entry module works when the optional folder and the pipeline module are gone."""
+    """Without the optional folders and the pipeline module the entry module and the other tests work; the parsers' stand for them here."""
     import shutil
     import subprocess
     import sys
@@ -342,3 +342,4 @@ def test_without_the_corpus_operators(tmp_path):
     shutil.copytree(here, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
     code = "import __spark_entry__ as e; assert 'group_index' in e.queries() and not any(k.startswith('op') for k in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, timeout=60)
+    subprocess.run([sys.executable, "-m", "pytest", "-x", "-q", "tests/test_parsers.py"], cwd=tmp_path / "r", check=True, timeout=300)
