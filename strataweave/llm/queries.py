@@ -64,10 +64,21 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_pii.scan(found, weak_pii.fit(found))
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base of ``op9_decision_list``, which SQL can express."""
+    return decision_list.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), []).drop("n_lines", "kept")
+
+
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of ``op10_weak_pii``, which SQL can express."""
+    found = weak_pii.candidate_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return weak_pii.scan(found, weak_pii.train({})).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = {f.__name__: f for f in (op1_warc_revisit, op2_simhash_pivots, op3_whole_tokens, op4_url_rules, op5_hilbert_packing, op6_zstd_toxicity, op7_license_join, op8_positional_index, op9_decision_list, op10_weak_pii)}
+    found = {f.__name__: f for f in (op1_warc_revisit, op2_simhash_pivots, op3_whole_tokens, op4_url_rules, op5_hilbert_packing, op6_zstd_toxicity, op7_license_join, op8_positional_index, op9_decision_list, op10_weak_pii, quality_statistics, personal_data_base)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
@@ -171,5 +182,30 @@ FROM d LEFT JOIN a USING (rid) LEFT JOIN l USING (rid) LEFT JOIN s USING (rid)
 """
 
 
+QUALITY_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT rid, unnest(list_transform(range(0, len(words) - 7), lambda i: struct_pack(pos := i, key := array_to_string(words[i + 1 : i + 8], ' ')))) AS x FROM d WHERE len(words) >= 8),
+k AS (SELECT rid, x.key AS key FROM w GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT w.rid AS rid, unnest(range(x.pos, x.pos + 8)) AS q FROM w JOIN k ON k.rid = w.rid AND k.key = x.key) GROUP BY rid),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d)
+SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(words) < 20 OR 100 * coalesce(n, 0) > 30 * len(words) AS base_failed
+FROM l LEFT JOIN r USING (rid)
+"""
+
+PRIVATE_SQL = r"""
+WITH f AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') AS ips,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[0-9](?:[ -]?[0-9])+'), lambda x: regexp_replace(x, '[ -]', '', 'g')) AS runs,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[+][0-9][ ().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS calls
+  FROM documents)
+SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+')) AS n_email,
+  len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0)) AS n_ip,
+  len(list_filter(runs, lambda x: length(x) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE (length(x) - i) % 2 WHEN 0 THEN CAST(x[i] AS INTEGER) ELSE (2 * CAST(x[i] AS INTEGER)) // 10 + (2 * CAST(x[i] AS INTEGER)) % 10 END)) % 10 = 0)) AS n_card,
+  len(list_filter(calls, lambda x: length(x) BETWEEN 9 AND 15)) AS n_phone
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisit": WARC_SQL, "op4_url_rules": URL_SQL, "op7_license_join": license_sql(), "op8_positional_index": LEAK_SQL}
+    return {"op1_warc_revisit": WARC_SQL, "op4_url_rules": URL_SQL, "op7_license_join": license_sql(), "op8_positional_index": LEAK_SQL, "quality_statistics": QUALITY_SQL, "personal_data_base": PRIVATE_SQL}

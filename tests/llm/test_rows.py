@@ -135,6 +135,52 @@ def test_rules_find_a_conjunction():
     assert (caught & bad).sum() > 0.9 * bad.sum() and (caught & ~bad).sum() < 0.05 * bad.sum()
 
 
+def plain_rules(x, bad, grow, precision=0.9, least=8, longest=3):
+    """Sequential covering in plain loops, every cut of every feature counted anew."""
+    n, left, rules = len(bad), set(range(len(bad))), []
+    cuts = {k: [(a + b) / 2 for a, b in zip(u, u[1:], strict=False)] for k, v in x.items() for u in [sorted(set(np.quantile(v, np.linspace(0, 1, 65)).tolist()))]}
+    fits = lambda i, c: x[c[0]][i] <= c[2] if c[1] == "<=" else x[c[0]][i] > c[2]
+    count = lambda rows: (sum(bool(bad[i]) for i in rows), sum(not bad[i] for i in rows))
+    while True:
+        inside, rule = [i for i in left if grow[i]], []
+        while len(rule) < longest and count(inside)[0] >= least and count(inside)[1]:
+            p0, n0 = count(inside)
+            best = (0.0, None)
+            for name, at_all in cuts.items():
+                for at in at_all:
+                    for op in ("<=", ">"):
+                        p, q = count([i for i in inside if fits(i, (name, op, at))])
+                        if p >= least and p + q < p0 + n0:
+                            gain = p * (np.log2(p / (p + q)) - np.log2(p0 / (p0 + n0)))
+                            if gain > best[0] + 1e-12:
+                                best = (gain, (name, op, at))
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            inside = [i for i in inside if fits(i, best[1])]
+        if not rule:
+            return rules
+        test = [i for i in left if not grow[i]]
+        caught = lambda c: count([i for i in test if all(fits(i, y) for y in c)])
+        worth = lambda c: (caught(c)[0] - caught(c)[1]) / max(1, sum(caught(c)))
+        rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth)
+        p, q = caught(rule)
+        if p < max(2, least // 4) or p < precision * (p + q):
+            return rules
+        rules.append(tuple(rule))
+        left -= {i for i in left if all(fits(i, y) for y in rule)}
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_the_rules_are_those_of_plain_covering(seed):
+    rng = np.random.default_rng(seed)
+    x = {"a": rng.random(300).round(2), "b": rng.random(300).round(1), "c": rng.integers(0, 4, 300).astype(float)}
+    bad = ((x["a"] > 0.7) & (x["b"] <= 0.5)) | ((x["c"] > 2) & (x["a"] <= 0.2)) ^ (rng.random(300) < 0.02)
+    grow = np.arange(300) % 3 > 0
+    got = dl.learn(x, bad, grow)
+    assert got and [r.conditions for r in got] == plain_rules(x, bad, grow)[: len(got)] and len(got) == len(plain_rules(x, bad, grow))
+
+
 def test_statistics_of_columns_with_their_names(spark):
     rows = [(1, "a b c " * 20, 9, "x", True, "y"), (1, "a b c " * 20, 9, "x", True, "y"), (None, None, None, None, None, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_words int, lines string, kept boolean, `odd.name` string")
