@@ -51,8 +51,11 @@ def fold_children(parents: DataFrame, children: DataFrame, on: list[str], order:
 
 
 def first_match(rows: DataFrame, lookup: DataFrame, on: list[str], order: list[str | Column], columns: dict[str, object]) -> DataFrame:
-    """The first row of ``lookup`` in ``order`` for each key, left-joined; ``columns`` gives the names and their defaults."""
-    first = lookup.withColumn("_n", F.row_number().over(W.partitionBy(*on).orderBy(*order))).where("_n = 1").select(*on, *columns)
+    """The first row of ``lookup`` in ``order`` (nulls first) for each key, left-joined; ``columns`` gives the names and their defaults.
+
+    A combining minimum, so a frequent key of ``lookup`` shrinks before the shuffle.
+    """
+    first = lookup.groupBy(*on).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_first")).select(*on, "_first.*")
     out = rows.join(first, on, "left")
     return out.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in columns.items() if d is not None})
 
