@@ -40,8 +40,8 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Whether an execution's shuffle files go when it ends; no stored table needs them once it is written.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go when the write ends, since nothing needs them any more; and batches for Python workers have few bytes, however long their rows are.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -54,13 +54,14 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strataweave-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k) for k in _SETTINGS}
     try:
-        df = df.select("*")  # an execution of its own, which sees the setting
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _KEPT[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

@@ -49,7 +49,7 @@ LEAST = 0.1
 #: Rows of one shingle up to which they are one group of the exact join.
 BLOCK_ROWS = 256
 #: Shingles that a task of step 1 puts together at a time, and words whose hashes a worker remembers.
-TOGETHER, REMEMBERED = 1_000_000, 500_000
+TOGETHER, REMEMBERED = 250_000, 100_000
 #: Bytes of a text that are cut into words at a time.
 STEP = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
