@@ -94,15 +94,16 @@ def proximity_matches(index: DataFrame, terms: DataFrame, width: int = 10, rares
     """
     window = W.partitionBy("ik", "start").orderBy("n", "ipos")
     ranked = _windows(terms, width).where("n > 0").withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= rarest)
-    need = F.least(F.lit(rarest), F.lit(width), "len")
-    sets = ranked.groupBy("ik", "start").agg(F.sort_array(F.collect_list(F.struct("ipos", "tid"))).alias("of"), F.first("item").alias("item"), F.min(need).alias("need"))
-    sets = sets.where(F.size("of") == F.col("need")).select("ik", "item", "of").distinct().withColumn("set", F.monotonically_increasing_id())
-    sets = stored(sets, "sets")
-    each = stored(sets.select("set", F.size("of").alias("size"), F.posexplode("of").alias("i", "t")).select("set", "size", "i", "t.ipos", "t.tid"), "near_anchors")
-    met = index.join(small(each), "tid").select("k1", "k2", "set", "size", (F.col("pos") - F.col("ipos")).alias("shift"), F.expr("shiftleft(1L, i)").alias("bit"))
-    line = W.partitionBy("k1", "k2", "set").orderBy("shift").rangeBetween(0, slop)
-    near = met.distinct().withColumn("there", F.bit_or("bit").over(line)).where("there = shiftleft(1L, size) - 1").select("k1", "k2", "set").distinct()
-    return near.join(small(sets.select("set", "item")), "set").select("k1", "k2", "item").distinct()
+    sets = ranked.groupBy("ik", "start").agg(F.sort_array(F.collect_list(F.struct("ipos", "tid"))).alias("of"), F.first("item").alias("item"), F.min(F.least(F.lit(rarest), F.lit(width), "len")).alias("need"))
+    sets = stored(sets.where(F.size("of") == F.col("need")).select("ik", "item", "need", "of").distinct(), "sets")
+    # a text's places of an item's rarest terms meet once, however many windows share them
+    anchors = stored(sets.select("ik", "need", F.explode("of").alias("t")).select("ik", "need", "t.ipos", "t.tid").distinct(), "near_anchors")
+    met = index.join(small(anchors), "tid").select("k1", "k2", "ik", "need", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"))
+    line = W.partitionBy("k1", "k2", "ik").orderBy("shift").rangeBetween(0, slop)
+    near = met.withColumn("there", F.collect_set("ipos").over(line)).where(F.size("there") >= F.col("need")).select("k1", "k2", "ik", "there")
+    wanted = stored(sets.groupBy("ik").agg(F.first("item").alias("item"), F.collect_list("of.ipos").alias("sets")), "near_sets")
+    both = near.join(small(wanted), "ik").where(F.exists("sets", lambda s: F.size(F.array_except(s, F.col("there"))) == 0))
+    return both.select("k1", "k2", "item").distinct()
 
 
 def index_for(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
