@@ -143,7 +143,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.1) -
     return w
 
 
-def train(rows: list[tuple[str, int]], window: int = 1, level: int = 9, toxic_size: int = 8192, ordinary_size: int = 65_536, often: float = 4.0, folds: int = 3) -> Model:
+def train(rows: list[tuple[str, int]], window: int = 1, level: int = 9, toxic_size: int = 8192, ordinary_size: int = 65_536, often: float = 4.0, folds: int = 2) -> Model:
     """A model from ``(text, label)`` rows.
 
     For calibration each of ``folds`` parts of the rows is measured with
@@ -172,7 +172,7 @@ def excerpt(text: Column, most: int, parts: int = 4) -> Column:
     return F.when(F.length(text) > most, F.concat_ws(" ", *pieces)).otherwise(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, max_chars: int = 8_000, **options: float) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_chars: int = 8_000, **options: float) -> Model:
     """A model from at most about ``max_rows`` labelled rows, of each at most ``max_chars`` characters: so many times so many bound what the driver holds.
 
     Rows whose ``crc32(doc_id) mod 5`` is 0 are never trained on. If there are
