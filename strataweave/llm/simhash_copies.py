@@ -433,8 +433,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_dis
     """
     grouped = stored(groups(docs, shingle, similarity, max_distance), "grouped")
     each = stored_each = stored(grouped.groupBy("label", "t1", "t2", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")), "each")
-    clash = each.groupBy("t1").agg(F.min("t2").alias("low"), F.max("t2").alias("high")).where("low < high").select("t1", F.lit(True).alias("alone"))
-    each = each.join(clash, "t1", "left")
+    clash = stored(each.groupBy("t1").agg(F.min("t2").alias("low"), F.max("t2").alias("high")).where("low < high").select("t1", F.lit(True).alias("alone")), "clash")
+    each = each.join(small(clash), "t1", "left")
     group = F.struct("label", F.when(F.col("alone"), F.col("t2")).alias("own"))
     one = each.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n")).alias("k"))
     kept = stored(one.select(F.col("k.doc_id").alias("doc_id"), F.col("k.th").alias("th"), F.col("k.n").alias("n")), "kept")
@@ -443,7 +443,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_dis
     lost = small(gone)
     out = docs.join(lost, docs.doc_id.eqNullSafe(lost["_id"]) & (F.xxhash64(docs.text) == lost["_th"]), "left_anti")
     repeated = not kept.where("n > 1").isEmpty()
-    release(grouped, stored_each, kept)
+    release(grouped, stored_each, clash, kept)
     if not repeated:
         return out
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
