@@ -104,7 +104,7 @@ def entities(tables: dict[str, DataFrame]) -> DataFrame:
 
 def _described(spark: SparkSession, tables: dict[str, DataFrame], snapshot: DataFrame) -> dict[str, DataFrame]:
     """Metadata joined with descriptions; files without one are left out."""
-    names, out = entities(tables), {}
+    names, out = entities(tables).persist(), {}  # every kind's links look names up; a few bytes a file, parsed once
     for k, df in tables.items():
         if k not in FIELDS:
             continue
