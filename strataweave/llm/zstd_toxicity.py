@@ -43,6 +43,8 @@ def words(text: str | None) -> list[bytes]:
 def windows(text: str | None, size: int) -> list[bytes]:
     """The text's words in windows of ``size``, with a space at either end."""
     w = words(text)
+    if size == 1:
+        return [b" %b " % x for x in w]
     return [b" " + b" ".join(w[i : i + size]) + b" " for i in range(0, len(w), size)]
 
 
@@ -64,6 +66,26 @@ def _support(texts: Iterable[str], only: set[bytes] | None = None) -> Counter[by
     return out
 
 
+class Savings(dict):
+    """Window -> bytes that the toxic dictionary saves over the ordinary one; short windows are remembered."""
+
+    def __init__(self, toxic: bytes, ordinary: bytes, level: int):
+        super().__init__()
+        self.pair = []
+        for content in (ordinary, toxic):
+            d = zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            self.pair.append(zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def __missing__(self, window: bytes) -> int:
+        plain, toxic = (len(c.compress(window + TAIL)) for c in self.pair)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(window) < 200:
+            self[window] = plain - toxic
+        return plain - toxic
+
+
 @dataclass
 class Model:
     toxic: bytes
@@ -73,34 +95,16 @@ class Model:
     level: int
 
     def __post_init__(self):
-        self._pair, self._known = None, {}
+        self._savings = None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state | {"_pair": None, "_known": {}}
-
-    def saving(self, window: bytes) -> int:
-        """Bytes that the toxic dictionary saves over the ordinary one."""
-        if (known := self._known.get(window)) is not None:
-            return known
-        if self._pair is None:
-            self._pair = []
-            for content in (self.ordinary, self.toxic):
-                d = zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=self.level)
-                self._pair.append(zstandard.ZstdCompressor(dict_data=d, level=self.level, write_content_size=False, write_checksum=False, write_dict_id=False))
-        plain, toxic = (len(c.compress(window + TAIL)) for c in self._pair)
-        if len(self._known) >= REMEMBERED:
-            self._known.clear()
-        if len(window) < 200:
-            self._known[window] = plain - toxic
-        return plain - toxic
+        return self.__dict__ | {"_savings": None}
 
     def features(self, text: str | None) -> np.ndarray:
         """One; the three largest savings; how many are strong, how many more so, and how many windows there are, as logarithms; the mean saving; the shares of strong ones."""
-        d = np.array([self.saving(w) for w in windows(text, self.window)] or [0])
+        if self._savings is None:
+            self._savings = Savings(self.toxic, self.ordinary, self.level)
+        d = np.array(list(map(self._savings.__getitem__, windows(text, self.window))) or [0])
         top = np.sort(d)[::-1][:3]
         top = np.r_[top, [min(0, top[-1])] * (3 - len(top))]
         strong, more = d >= STRONG, d >= 2 * STRONG
@@ -110,13 +114,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))))
 
 
-def _dictionaries(rows: list[tuple[str, int]], window: int, toxic_size: int, ordinary_size: int, often: float) -> tuple[bytes, bytes]:
-    """The toxic and the ordinary dictionary of ``(text, label)`` rows."""
+def _common(seen: Counter[bytes], toxic: int) -> set[bytes]:
+    """Byte strings that enough of so many toxic texts have."""
+    return {g for g, n in seen.items() if n >= max(5, toxic // 100)}
+
+
+def _dictionaries(rows: list[tuple[str, int]], seen: Counter[bytes], there: Counter[bytes], window: int, toxic_size: int, ordinary_size: int, often: float) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary of ``(text, label)`` rows; ``seen`` and ``there`` say how many of their toxic and ordinary texts have a byte string."""
     toxic, plain = [t for t, y in rows if y], [t for t, y in rows if not y]
-    seen = _support(toxic)
-    common = {g for g, n in seen.items() if n >= max(5, len(toxic) // 100)}
-    there = _support(plain, common)
-    marks = {g for g in common if seen[g] / max(1, len(toxic)) > often * (there[g] + 1) / max(1, len(plain))}
+    marks = {g for g in _common(seen, len(toxic)) if seen[g] / max(1, len(toxic)) > often * (there[g] + 1) / max(1, len(plain))}
     every = [w for t in toxic for w in windows(t, window)]
     telling = [w for w in every if any(w[i : i + GRAM] in marks for i in range(len(w) - GRAM + 1))] or every
     step, at, samples = 1 + sum(len(t) for t in plain) // (300_000 * 6 * window), 0, []
@@ -152,13 +158,24 @@ def train(rows: list[tuple[str, int]], window: int = 1, level: int = 9, toxic_si
     of label 1 (one half without rows).
     """
     rows = list(dict.fromkeys(rows))
-    train_on = lambda some: Model(*_dictionaries(some, window, toxic_size, ordinary_size, often), np.zeros(FEATURES), window, level)
-    model, x, y = train_on(rows), np.zeros((len(rows), FEATURES)), np.array([float(l) for _, l in rows])
+    parts = [rows[k::folds] for k in range(folds)]
+    # byte strings are counted once a fold: what a model may count is all of them, or all but one fold's
+    seen = [_support(t for t, y in p if y) for p in parts]
+    least = min((sum(y for q in parts if q is not p for _, y in q) for p in parts), default=0)
+    common = _common(sum(seen, Counter()), least)
+    there = [_support((t for t, y in p if not y), common) for p in parts]
+
+    def train_on(left_out: int | None) -> Model:
+        used = [r for i, r in enumerate(rows) if left_out is None or i % folds != left_out]
+        counts = [sum((c for k, c in enumerate(of) if k != left_out), Counter()) for of in (seen, there)]
+        return Model(*_dictionaries(used, *counts, window, toxic_size, ordinary_size, often), np.zeros(FEATURES), window, level)
+
+    model, x, y = train_on(None), np.zeros((len(rows), FEATURES)), np.array([float(l) for _, l in rows])
     share = (y.sum() + 0.5) / (len(y) + 1)
     model.weights[0] = np.log(share / (1 - share))
     if 0 < y.sum() < len(y):
         for k in range(folds):
-            other = train_on([r for i, r in enumerate(rows) if i % folds != k])
+            other = train_on(k)
             for i in range(k, len(rows), folds):
                 x[i] = other.features(rows[i][0])
         model.weights = _logistic(x, y, model.weights)
