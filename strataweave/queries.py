@@ -367,7 +367,8 @@ def markup_tags(s, d):
     return each.groupBy(F.col("t.tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN NULL ELSE turn + 2 END AS asked, true AS within FROM conversations""")
+@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN NULL ELSE turn + 2 END AS asked, CAST((5 * (1 << CAST(turn % 4 AS INTEGER))) // 2 AS BIGINT) AS low,
+CAST(2 * ((5 * (1 << CAST(turn % 4 AS INTEGER))) // 2) AS BIGINT) AS high, true AS within FROM conversations""")
 def retry_delay(s, d):
     turn = F.col("turn")
     header = F.when(turn % 3 == 0, F.concat((turn).cast("string"), F.lit(".5"))).otherwise("soon")
@@ -375,7 +376,7 @@ def retry_delay(s, d):
     attempt = (turn % 4).cast("int")
     waits = _t(s, d, "conversations").select("conv_id", "turn", tx.retry_delay(header, body, attempt).alias("wait"), tx.backoff_bounds(attempt).alias("b"))
     free = F.col("turn") % 3 == 2
-    return waits.select("conv_id", "turn", F.when(~free, F.col("wait")).alias("asked"), F.when(free, F.col("wait").between(F.col("b.low"), F.col("b.high"))).otherwise(True).alias("within"))
+    return waits.select("conv_id", "turn", F.when(~free, F.col("wait")).alias("asked"), "b.low", "b.high", F.when(free, F.col("wait").between(F.col("b.low"), F.col("b.high"))).otherwise(True).alias("within"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT event_id, event_type AS k, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
