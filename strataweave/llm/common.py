@@ -112,6 +112,11 @@ def plain_words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def named(column: str) -> Column:
+    """The column with exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, blank_words
+from .common import BLANKS, blank_words, named
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -37,12 +37,12 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     of ``docs`` with the name of a statistic gives way to it.
     """
     others = [c for c in docs.columns if c != text and c not in STATISTICS]
-    keep = [F.col(f"_in.`{c}`").alias(c) for c in others]
+    keep = [F.col("_in")[c].alias(c) for c in others]
     whole = F.coalesce(F.col(text), F.lit(""))
     bare = F.translate(whole, BLANKS, "")
     lines = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     a = docs.select(
-        F.struct(F.lit(0).alias("_0"), *[F.col(f"`{c}`") for c in others]).alias("_in"),
+        F.struct(F.lit(0).alias("_0"), *[named(c) for c in others]).alias("_in"),
         F.length(bare).cast("long").alias("word_chars"),
         (F.length(bare) - F.length(F.translate(bare, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
@@ -197,5 +197,5 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs``, all columns, that pass."""
-    with_copy = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
+    with_copy = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("_row"), F.col("text"))
     return judge(with_copy, rules).where("kept").select("_row.*")

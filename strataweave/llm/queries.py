@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, hilbert_packing, license_join, positional_index, simhash_pivots, token_counts, url_rules, warc_revisit, weak_pii, zstd_toxicity
+from . import conversation_repair, decision_list, exponion_kmeans, hilbert_packing, hyper_minhash, license_join, positional_index, simhash_pivots, token_counts, url_rules, warc_revisit, weak_pii, zstd_toxicity
 from .common import stored, table
 
 
@@ -64,6 +64,18 @@ def op10_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_pii.scan(found, weak_pii.fit(found))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+def op12_exponion_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion_kmeans.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=40, rounds=5, seed=2)
+
+
+def op13_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyper_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base of ``op9_decision_list``, which SQL can express."""
     return decision_list.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), []).drop("n_lines", "kept")
@@ -78,7 +90,7 @@ def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = {f.__name__: f for f in (op1_warc_revisit, op2_simhash_pivots, op3_whole_tokens, op4_url_rules, op5_hilbert_packing, op6_zstd_toxicity, op7_license_join, op8_positional_index, op9_decision_list, op10_weak_pii, quality_statistics, personal_data_base)}
+    found = {f.__name__: f for f in (op1_warc_revisit, op2_simhash_pivots, op3_whole_tokens, op4_url_rules, op5_hilbert_packing, op6_zstd_toxicity, op7_license_join, op8_positional_index, op9_decision_list, op10_weak_pii, op11_conversation_repair, op12_exponion_kmeans, op13_hyper_minhash, quality_statistics, personal_data_base)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
@@ -207,5 +219,86 @@ FROM f
 """
 
 
+def repair_sql() -> str:
+    """Damage and repair: per turn and grammar state the least cost and audit in one text, then the trace is read off."""
+    more = lambda k, cost, edit: f"printf('%06d', CAST(substr({k}, 1, 6) AS INTEGER) + {cost}) || substr({k}, 7) || '{edit}'"
+    inserted = lambda c: f"least({c}2, {', '.join(more(f'{c}{q}', 5, 'I') for q in (0, 1, 3))})"
+    also = lambda c: f"least({c}3, {more(f'{c}2', 5, 'I')})"
+    kept = lambda q, initial: f"CASE WHEN ok AND initial = '{initial}' THEN {more(f's{q}', 'extra', 'K')} END"
+    again = lambda q: f"CASE WHEN ok THEN {more(f's{q}', 'extra + 1', 'R')} END"
+    gone = lambda q: more(f"s{q}", 2, "D")
+    step = {
+        0: gone(0), 1: f"least({gone(1)}, {kept(0, 's')})",
+        2: f"least({gone(2)}, {', '.join(f(q) for q in (0, 1, 3) for f in (lambda q: kept(q, 'u'), again))})",
+        3: f"least({gone(3)}, {kept(2, 'a')}, {again(2)})",
+    }
+    crc = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(told, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, b: list_reduce(list_prepend(xor(h, b), CAST(range(8) AS BIGINT[])), lambda v, i: xor(v // 2, (v % 2) * 3988292384)))"
+    return rf"""
+WITH RECURSIVE told AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS told FROM conversations),
+c AS (SELECT *, xor({crc}, 4294967295) % 20 AS kind FROM told),
+d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text, unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS time
+  FROM c WHERE kind <> 0),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM d),
+f AS (
+  SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before
+  FROM o),
+g AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS ok, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS extra FROM f),
+a AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, '000000' AS s0, CAST(NULL AS VARCHAR) AS s1, '000005I' AS s2, '000010II' AS s3 FROM g
+  UNION ALL
+  SELECT conv_id, n, s0, s1, s2, {also('s')} AS s3 FROM (SELECT conv_id, n, e0 AS s0, e1 AS s1, {inserted('e')} AS s2, e3 AS s3 FROM (
+    SELECT g.conv_id, g.n, {step[0]} AS e0, {step[1]} AS e1, {step[2]} AS e2, {step[3]} AS e3 FROM a JOIN g ON a.conv_id IS NOT DISTINCT FROM g.conv_id AND g.n = a.n + 1) y) z),
+l AS (SELECT conv_id, least(s0, s3) AS best FROM a QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+e AS (SELECT conv_id, best, unnest(range(1, length(best) - 5)) AS i FROM l),
+t AS (SELECT conv_id, i, best[i + 6] AS edit, length(replace(best[7 : i + 6], 'I', '')) AS n FROM e),
+k AS (SELECT t.conv_id, edit, i, CASE edit WHEN 'I' THEN '' ELSE text END AS text, role, initial, row_number() OVER (PARTITION BY t.conv_id ORDER BY i) AS place
+  FROM t LEFT JOIN g ON t.conv_id IS NOT DISTINCT FROM g.conv_id AND t.n = g.n AND edit <> 'I' WHERE edit <> 'D'),
+h AS (SELECT *, max(CASE WHEN place = 1 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS shift FROM k),
+r AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY place) AS whole FROM h GROUP BY conv_id),
+s AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (n > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM g GROUP BY conv_id)
+SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(best[1:6] AS BIGINT), 0) AS cost, coalesce(best[7:], '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN s ON v.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN l ON v.conv_id IS NOT DISTINCT FROM l.conv_id LEFT JOIN r ON v.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+
+def cluster_sql(k: int = 40, rounds: int = 5, seed: int = 2, dims: int = 64) -> str:
+    """Every vector against every centroid, round by round."""
+    nearest = lambda i: f"""a{i} AS MATERIALIZED (SELECT rid, vec_id, v, n, d FROM (
+  SELECT rid, vec_id, v, n, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM vs, c{i}) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, n) = 1)"""
+    moved = lambda i: f"""m{i} AS (SELECT n, i, sum(x) AS s, count(*) AS many FROM (SELECT n, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM a{i - 1}) GROUP BY n, i),
+l{i} AS (SELECT n, list(CAST((s - ((s % many) + many) % many) // many AS BIGINT) ORDER BY i) AS c FROM m{i} GROUP BY n),
+c{i} AS MATERIALIZED (SELECT b.n, coalesce(l.c, b.c) AS c FROM c{i - 1} b LEFT JOIN l{i} l ON l.n = b.n)"""
+    steps = ",\n".join(x for i in range(1, rounds + 1) for x in (moved(i), nearest(i)))
+    return f"""
+WITH f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) = {dims}),
+vs AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(e, lambda x: CAST(floor(256 * x) AS BIGINT)) AS v FROM f WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), rid) - 1 AS n, v AS c FROM vs QUALIFY n < {k}),
+{nearest(0)},
+{steps}
+SELECT vec_id, CAST(a.n AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.n) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.n = a.n
+"""
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT rid, doc_id, list_distinct(list_transform(range(0, CASE len(w) WHEN 0 THEN 0 ELSE greatest(1, len(w) - 2) END), lambda i: array_to_string(w[i + 1 : i + 3], ' '))) AS g FROM d),
+e AS MATERIALIZED (SELECT rid, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.rid AS a, b.rid AS b, a.n AS n, b.n AS m, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.rid <> b.rid AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY ALL),
+k AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * c >= 85 * (n + m - c)),
+r AS (SELECT rid AS a, rid AS b FROM s UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a),
+q AS (SELECT r.a AS rid, min(doc_id) AS component_id FROM r JOIN s ON s.rid = r.b GROUP BY r.a)
+SELECT doc_id, len(g) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM s JOIN q USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisit": WARC_SQL, "op4_url_rules": URL_SQL, "op7_license_join": license_sql(), "op8_positional_index": LEAK_SQL, "quality_statistics": QUALITY_SQL, "personal_data_base": PRIVATE_SQL}
+    return {"op1_warc_revisit": WARC_SQL, "op4_url_rules": URL_SQL, "op7_license_join": license_sql(), "op8_positional_index": LEAK_SQL, "op11_conversation_repair": repair_sql(), "op12_exponion_kmeans": cluster_sql(), "op13_hyper_minhash": NEAR_SQL, "quality_statistics": QUALITY_SQL, "personal_data_base": PRIVATE_SQL}

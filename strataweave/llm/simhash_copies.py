@@ -17,22 +17,24 @@ groups are those that comparing all pairs would give.
    discard pairs by their maximum coordinate difference, survivors are verified,
    and the shingle sets of linked texts are compared in full.
 3. **Exact completion.** The remaining texts' shingles are ordered from the rarest
-   to the most frequent, counted over all of these texts. One of the first
-   ``|a| - ceil(s * |a|) + 1`` of each set is in both, so each text is filed
-   under those. First every text is compared with one leader of each shingle
-   that joins different groups, then all rows of such shingles meet, unless
-   already in one group: bounds by length and by place in the order discard
-   pairs, and a pair that already met at the shingle before in both texts is not
-   named again. Shingles above ``BLOCK_ROWS`` rows are dealt out as pairs of
-   blocks, each a group of its own. Shingle sets of the pairs left are compared.
-
-Equal texts (the same words) are one text throughout, known by 128 bits.
+   to the most frequent, counted over all of these texts. Of a pair, one of the
+   first ``|a| - ceil(s * |a|) + 1`` of the larger set is among the first
+   ``|b| - ceil(2s / (1 + s) * |b|) + 1`` of the smaller, so each text has probe
+   rows under those and index rows under these, and only index rows meet probe
+   rows of larger sets. A shingle without index rows is dropped: one that many
+   texts share comes last in all of them, so a passage that does not make texts
+   near copies by itself makes nothing to compare. First every text is compared
+   with one leader of each shingle that joins different groups, then all rows of
+   such shingles meet, in blocks of bounded size, unless already in one group:
+   bounds by length and by place in the order discard pairs, and a pair that
+   already met at the shingle before in both texts is not compared again.
+   Survivors' full sets are compared.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,13 +43,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small, stored
+from .common import named, release, small, stored
 from .simhash_pivots import components, links, pivot_rows
 
 #: Share of a set by which step 1 looks further than for one common shingle.
 LEAST = 0.1
-#: Rows of one shingle up to which they are one group of the exact join.
-BLOCK_ROWS = 256
+#: Index rows and probe rows of one shingle that meet in a group of the exact join.
+BLOCK_ROWS = 512
 #: Shingles that a task of step 1 puts together at a time, and words whose hashes a worker remembers.
 TOGETHER, REMEMBERED = 250_000, 100_000
 #: Bytes of a text that are cut into words at a time.
@@ -124,36 +126,38 @@ def _identity(words: np.ndarray) -> tuple[int, int]:
 
 
 def _described(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``(doc_id, th, t1, t2, need, first)`` per row: hash of the raw text, the text's 128 bits, and its first shingles, with how many of them another text must have; a task names those of equal texts once."""
+    """``(doc_id, th, t1, t2, size, need, first)`` per row: hash of the raw text, the text's 128 bits, how many shingles it has, and its first shingles, with how many of them another text must have; a task names those of equal texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
+        known, seen = WordHashes(), {}
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                t1, t2, need, first = [], [], [], []
+                t1, t2, size, need, first = [], [], [], [], []
                 for t in b.column(2):
                     words = word_hashes(_raw(t), known)
                     one = _identity(words)
                     t1.append(one[0])
                     t2.append(one[1])
                     if not len(words) or one in seen:
+                        size.append(seen.get(one, 0))
                         need.append(0)
                         first.append(None)
                     else:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
-                        seen.add(one)
                         found = shingle_set(words, shingle)
+                        seen[one] = len(found)
                         n, least = bounds(len(found), similarity)
+                        size.append(len(found))
                         need.append(least)
                         first.append(found[:n].tobytes())
-                cols = [pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(need, pa.int32()), pa.array(first, pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "th", "t1", "t2", "need", "first"])
+                cols = [pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(size, pa.int32()), pa.array(need, pa.int32()), pa.array(first, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "th", "t1", "t2", "size", "need", "first"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, t1 long, t2 long, need int, first binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, t1 long, t2 long, size int, need int, first binary")
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +273,7 @@ def _sets(docs: DataFrame, described: DataFrame, promising: DataFrame, shingle:
 
 
 def _filed(sets: DataFrame, similarity: float) -> DataFrame:
-    """``(key, before, t1, size, at, many)`` per text and shared shingle of its prefix, rarest first: the shingle before it (itself at the first), its place, and how many rows the text has.
+    """``(key, before, t1, size, at, many, indexed)`` per text and shared shingle of its prefix, rarest first: the shingle before it (itself at the first), its place, how many rows the text has, and whether this is an index row too.
 
     Shingles that no other of these texts has come first in each text's order
     and meet nothing, so only the others are sorted.
@@ -291,7 +295,8 @@ def _filed(sets: DataFrame, similarity: float) -> DataFrame:
     first = of.where(room > 0).select("t1", "size", singles, F.slice("keys", F.lit(1), room).alias("keys"))
     rows = first.select("t1", "size", "singles", F.size("keys").alias("many"), F.col("keys.key").alias("all"), F.posexplode("keys.key").alias("i", "key"))
     before = F.when(F.col("i") == 0, F.col("key")).otherwise(F.get("all", F.col("i") - 1))
-    out = stored(rows.select("key", before.alias("before"), "t1", "size", (F.col("singles") + F.col("i")).cast("int").alias("at"), "many"), "filed")
+    at, most = (F.col("singles") + F.col("i")).cast("int"), F.col("size") - F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("size") - 1e-9) + 1
+    out = stored(rows.select("key", before.alias("before"), "t1", "size", at.alias("at"), "many", (at < most).alias("indexed")), "filed")
     release(often)
     return out
 
@@ -310,8 +315,8 @@ def _meet(it: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFram
 
 
 def _met(pdf: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]:
-    key, i, j, mine, before, t1, label, size, at = (pdf[c].to_numpy() for c in ("key", "i", "j", "mine", "before", "t1", "label", "size", "at"))
-    alive, shift, share, found, held = np.arange(len(pdf)), 1, similarity / (1 + similarity), [], 0
+    key, i, j, probe, before, t1, label, size, at = (pdf[c].to_numpy() for c in ("key", "i", "j", "probe", "before", "t1", "label", "size", "at"))
+    alive, shift, share, found, held = np.flatnonzero(~probe), 1, similarity / (1 + similarity), [], 0
     while len(alive):
         b = alive + shift
         a, b = alive[b < len(pdf)], b[b < len(pdf)]
@@ -321,7 +326,7 @@ def _met(pdf: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]:
         b = b[on]
         want = share * (size[a].astype(np.int64) + size[b]) - 1e-9
         most = np.minimum(size[a] - at[a], size[b] - at[b])
-        ok = (label[a] != label[b]) & ((i[a] == j[a]) | (mine[a] != mine[b])) & (most >= want)
+        ok = probe[b] & (label[a] != label[b]) & (most >= want)
         ok &= (before[a] != before[b]) | (before[a] == key[a])
         a, b = t1[a[ok]], t1[b[ok]]
         if len(a):
@@ -334,11 +339,11 @@ def _met(pdf: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]:
 
 
 def _labelled(filed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The filed rows with their texts' groups, and ``(key, n, leader)`` of the shingles that several groups have."""
+    """The filed rows with their texts' groups, and ``(key, n, indexed, leader)`` of the shingles that have index rows and rows of several groups."""
     named = stored(filed.join(labels.withColumnRenamed("node", "t1"), "t1", "left").withColumn("label", F.coalesce("label", "t1")), "named")
     leader = F.max_by(F.struct("t1", "label", "size"), F.struct("many", "t1"))
-    keys = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), leader.alias("leader"), F.min("label").alias("low"), F.max("label").alias("high"))
-    return named, stored(keys.where("low < high").select("key", "n", "leader"), "mixed")
+    keys = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("indexed").alias("indexed"), leader.alias("leader"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return named, stored(keys.where("low < high and indexed > 0").select("key", "n", "indexed", "leader"), "mixed")
 
 
 def _led(named: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame:
@@ -349,11 +354,17 @@ def _led(named: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame:
 
 
 def _rest(named: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of rows of one shingle in different groups that the bounds leave."""
+    """All pairs of an index row and a probe row of one shingle in different groups that the bounds leave."""
     n = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = named.join(mixed.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "key")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("t1"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "before", "t1", "label", "size", "at")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
+    rows = named.join(mixed.select("key", blocks("indexed").alias("rows"), blocks("n").alias("columns")), "key")
+    own = lambda c: F.pmod(F.xxhash64("t1"), F.col(c)).cast("int")
+    each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    cell = lambda i, j, probe: F.struct(i.alias("i"), j.alias("j"), F.lit(probe).alias("probe"))
+    probes = F.transform(each("rows"), lambda i: cell(i, own("columns"), True))
+    indexed = F.when(F.col("indexed"), F.transform(each("columns"), lambda j: cell(own("rows"), j, False)))
+    cells = F.explode(F.concat(probes, F.coalesce(indexed, F.filter(probes, lambda c: F.lit(False)))))
+    rows = rows.select("key", "before", "t1", "label", "size", "at", cells.alias("c")).select("key", "c.*", "before", "t1", "label", "size", "at")
     dealt = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "size", "t1")
     return dealt.mapInPandas(lambda it: _meet(it, similarity), "a long, b long").distinct()
 
@@ -389,10 +400,12 @@ def similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_distance: int = 3) -> DataFrame:
-    """``(doc_id, th, t1, t2, label)`` per row of ``docs``: rows of one group of near copies share the label.
+def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_distance: int = 3, proposed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(doc_id, th, t1, t2, size, label)`` per row of ``docs``: rows of one group of near copies share the label.
 
-    ``th`` is Spark's hash of the raw text, ``t1`` and ``t2`` stand for its words.
+    ``th`` is Spark's hash of the raw text, ``t1`` and ``t2`` stand for its words,
+    ``size`` is how many shingles it has. ``proposed`` gives the first pairs
+    ``(a, b)`` from the sets ``(t1, size, fp, set)``, else the fingerprints do.
     Texts without words, null ones too, are one group. Texts whose first 64 of
     128 bits clash are kept apart in ``t2``. Repeated rows stay; an empty table
     gives an empty result; further columns, whatever their names, are ignored.
@@ -410,7 +423,7 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_dista
         release(wanted, more, edges)
         return both
 
-    edges = joined(sets.select(F.col("t1").alias("a"), F.col("t1").alias("b")).limit(0), _proposed(sets, max_distance), "linked")
+    edges = joined(sets.select(F.col("t1").alias("a"), F.col("t1").alias("b")).limit(0), proposed(sets) if proposed else _proposed(sets, max_distance), "linked")
     filed = _filed(sets, similarity)
     for name, pairs in (("led", _led), ("rest", _rest)):
         labels = components(edges)
@@ -420,33 +433,40 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_dista
         release(named, mixed)
     labels = components(edges)
     release(sets, filed, edges)
-    return rows.join(labels.withColumnRenamed("node", "t1"), "t1", "left").select("doc_id", "th", "t1", "t2", F.coalesce("label", "t1").alias("label"))
+    return rows.join(labels.withColumnRenamed("node", "t1"), "t1", "left").select("doc_id", "th", "t1", "t2", rows["size"], F.coalesce("label", "t1").alias("label"))
+
+
+def classes(grouped: DataFrame) -> DataFrame:
+    """``(label, t1, t2, doc_id, th, n, own)`` of the stored ``grouped``, equal rows once with their number; groups are told apart by label and ``own``, which is null unless the text's number stands for several texts."""
+    each = stored(grouped.groupBy("label", "t1", "t2", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")), "each")
+    clash = stored(each.groupBy("t1").agg(F.min("t2").alias("low"), F.max("t2").alias("high")).where("low < high").select("t1", F.lit(True).alias("alone")), "clash")
+    return each.join(small(clash), "t1", "left").withColumn("own", F.when(F.col("alone"), F.col("t2"))).drop("alone")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_distance: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies the one with the smallest doc_id.
 
-    All columns stay, whatever their names. Null ids come last; of rows with one
-    id the one with the smallest hash of its text stays, and of rows with equal
-    id and text one, the least by its other columns. Null, empty and blank texts
-    are one group. An empty table gives an empty result.
+    All columns stay, whatever their names and types. Null ids come last; of rows
+    with one id the one with the smallest hash of its text stays, and of rows with
+    equal id and text one, the least by its other columns as JSON. Null, empty and
+    blank texts are one group. An empty table gives an empty result. Only rows
+    whose id and text repeat are grouped, by these two.
     """
     grouped = stored(groups(docs, shingle, similarity, max_distance), "grouped")
-    each = stored_each = stored(grouped.groupBy("label", "t1", "t2", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")), "each")
-    clash = stored(each.groupBy("t1").agg(F.min("t2").alias("low"), F.max("t2").alias("high")).where("low < high").select("t1", F.lit(True).alias("alone")), "clash")
-    each = each.join(small(clash), "t1", "left")
-    group = F.struct("label", F.when(F.col("alone"), F.col("t2")).alias("own"))
-    one = each.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n")).alias("k"))
+    one = classes(grouped).groupBy("label", "own").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n")).alias("k"))
     kept = stored(one.select(F.col("k.doc_id").alias("doc_id"), F.col("k.th").alias("th"), F.col("k.n").alias("n")), "kept")
     same = grouped.doc_id.eqNullSafe(kept.doc_id) & (grouped.th == kept.th)
     gone = stored(grouped.join(kept, same, "left_anti").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "gone")
+    twice = stored(kept.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "twice")
+    release(grouped, kept)
+    of = lambda keys: docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_th"])
     lost = small(gone)
-    out = docs.join(lost, docs.doc_id.eqNullSafe(lost["_id"]) & (F.xxhash64(docs.text) == lost["_th"]), "left_anti")
-    repeated = not kept.where("n > 1").isEmpty()
-    release(grouped, stored_each, clash, kept)
-    if not repeated:
+    out = docs.join(lost, of(lost), "left_anti")
+    if twice.isEmpty():
         return out
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    if not rest:
-        return out.distinct()
-    return out.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")).select("doc_id", "text", "_rest.*").select(*docs.columns)
+    again = small(twice)
+    names = [named(c) for c in docs.columns]
+    rest = F.to_json(F.struct(*[named(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")))
+    rows = docs.join(again, of(again), "left_semi").select(F.struct(*names).alias("row"), F.col("doc_id").alias("k"), F.xxhash64("text").alias("h"), rest.alias("rest"))
+    single = rows.groupBy("k", "h").agg(F.min_by("row", "rest").alias("row")).select("row.*")
+    return out.join(again, of(again), "left_anti").union(single)

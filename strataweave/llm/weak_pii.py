@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELERS = ("pattern", "check", "gazetteer", "context", "shape")
 YES, NO, NONE = 1, 0, 2
@@ -354,7 +356,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def mask(docs: DataFrame, model: SpanClassifier) -> DataFrame:
-    """``docs`` with all columns, personal data in ``text`` replaced, and ``n_chars``, if there, counted anew. Null texts stay null, repeated rows stay, an empty table stays empty."""
+    """``docs`` with all columns, of any name and type, personal data in ``text`` replaced, and ``n_chars``, if there, counted anew. Null texts stay null, repeated rows stay, an empty table stays empty."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,6 +366,7 @@ def mask(docs: DataFrame, model: SpanClassifier) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = docs.withColumn("text", F.col("text").cast("string"))
+    out = docs.select(*[F.col("text").cast("string").alias("text") if c == "text" else named(c) for c in names])
     out = out.mapInArrow(run, out.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    n_chars = lambda: F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[n_chars() if c == "n_chars" else named(c) for c in names])

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, key long, n long, ids string, k1 int, k2 int, words string, part int, kind int, label string, _part int, url string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, key long, n long, ids string, k1 int, k2 int, words string, part int, kind int, label string, _part int, url string, `a.b` string, tags map<string, int>"
 
 
 def rows():
@@ -21,7 +21,7 @@ def rows():
 
 
 def frame(spark, data):
-    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 0, 1, 2, "x", 1, 2, "w", 3, 4, "l", 5, "u") for i, t in data], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 0, 1, 2, "x", 1, 2, "w", 3, 4, "l", 5, "u", "v", {"x": 1}) for i, t in data], SCHEMA)
 
 
 @pytest.fixture(scope="session")
