@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import doc_comments, none, parameters, split_list, strip, strip_comments, tags_in, trigger_events, type_references
+from .text import doc_comments, let, none, parameters, split_list, strip, strip_comments, tags_in, trigger_events, type_references
 
 #: Words of the language that heads are read by, and words that are never the name of a method or property.
 ACCESS = ("public", "private", "protected", "global")
@@ -50,15 +50,17 @@ def _leading(words: Column, known: tuple[str, ...]) -> Column:
 
 
 def heads(bare: Column) -> Column:
-    """``(text, end)`` of every head; the end is the sign that it stands before."""
-    pattern = r"([^{};=]*)([{};=])"
+    """``(text, end)`` of every head; the end is the sign that it stands before. Each match begins where the last one ended, so the text is read once."""
+    pattern = r"\G([^{};=]*+)([{};=])"
     return F.arrays_zip(F.regexp_extract_all(bare, F.lit(pattern), F.lit(1)).alias("text"), F.regexp_extract_all(bare, F.lit(pattern), F.lit(2)).alias("end"))
 
 
 def _declared(text: Column) -> Column:
     """What a head declares; ``access`` is null if it declares no class or interface."""
-    words = _words(text)
-    at = _first(_lower(words), lambda w: w.isin("class", "interface"))
+    return let(_words(text), lambda words: let(_first(_lower(words), lambda w: w.isin("class", "interface")), lambda at: _declaration(words, at)))
+
+
+def _declaration(words: Column, at: Column) -> Column:
     before = F.slice(_lower(words), F.lit(1), F.greatest(at - 1, F.lit(0)))
     access = F.get(F.filter(F.reverse(before), lambda w: ~w.isin(*CLASS_WORDS)), F.lit(0))
     tail = _from(words, at + 2)
@@ -75,14 +77,18 @@ def _declared(text: Column) -> Column:
 
 def _member(words: Column, params: Column, opens: object, modifiers: tuple[str, ...]) -> Column:
     """Parts of a member from its words: from the first that ``opens`` it, a run of modifiers, the type, the name."""
-    before = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    at = _first(before, opens)
-    rest = _from(before, at + 1)
-    n = _leading(rest, modifiers)
-    return F.struct(
-        F.coalesce(F.element_at(words, -1), F.lit("")).alias("name"), F.lower(F.get(before, at - 1)).alias("access"), F.array_join(_from(rest, n + 1), " ").alias("type"),
-        params.alias("params"), F.array_contains(F.slice(_lower(rest), F.lit(1), n), "static").alias("static"), at.alias("at"),
-    )
+
+    def parts(words: Column, before: Column, at: Column, rest: Column, n: Column) -> Column:
+        return F.struct(
+            F.coalesce(F.element_at(words, -1), F.lit("")).alias("name"), F.lower(F.get(before, at - 1)).alias("access"), F.array_join(_from(rest, n + 1), " ").alias("type"),
+            params.alias("params"), F.array_contains(F.slice(_lower(rest), F.lit(1), n), "static").alias("static"), at.alias("at"),
+        )
+
+    def run(words: Column) -> Column:
+        before = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
+        return let(before, lambda b: let(_first(b, opens), lambda at: let(_from(b, at + 1), lambda rest: let(_leading(rest, modifiers), lambda n: parts(words, b, at, rest, n)))))
+
+    return let(words, run)
 
 
 def _sound(m: Column) -> Column:
@@ -146,14 +152,22 @@ def parse_classes(files: DataFrame, source: str = "raw_source") -> DataFrame:
 
 
 def parse_trigger(source: Column) -> dict[str, Column]:
-    """Columns of a trigger: the first ``trigger <name> on <object>`` before a parenthesis, comments included."""
-    pattern = r"([^()]*)\((?=([^()]*))"
-    calls = F.arrays_zip(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)).alias("lead"), F.regexp_extract_all(source, F.lit(pattern), F.lit(2)).alias("inner"))
-    parts = F.transform(calls, lambda c: F.struct(_words(c["lead"]).alias("words"), c["inner"].alias("inner")))
-    word = lambda p, back: F.get(p["words"], F.size(p["words"]) - back)
-    fits = lambda p: (F.lower(word(p, 4)) == "trigger") & (F.lower(word(p, 2)) == "on") & word(p, 3).rlike(r"(?U)^\w+$") & word(p, 1).rlike(r"(?U)^\w+$")
-    one = F.get(F.filter(parts, lambda p: F.coalesce(fits(p), F.lit(False))), F.lit(0))
-    name, sobject = F.coalesce(word(one, 3), F.lit("")), F.coalesce(word(one, 1), F.lit(""))
+    """Columns of a trigger: the first ``trigger <name> on <object> (...)``, comments included."""
+    pattern = r"\G([^()]*+)([()])"
+    cut = F.arrays_zip(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)).alias("text"), F.regexp_extract_all(source, F.lit(pattern), F.lit(2)).alias("end"))
+    word = lambda words, back: F.get(words, F.size(words) - back)
+    is_name = lambda w: w.rlike(r"(?U)^\w+$")
+    fits = lambda words: (F.lower(word(words, 4)) == "trigger") & (F.lower(word(words, 2)) == "on") & is_name(word(words, 3)) & is_name(word(words, 1))
+
+    def lead(parts: Column, i: Column) -> Column:
+        """The words before an opening parenthesis that is closed, and what is within."""
+        within = F.get(parts, i + 1)
+        closed = (F.get(parts, i)["end"] == "(") & (within["end"] == ")") & F.contains(F.lower(F.get(parts, i)["text"]), F.lit("trigger"))
+        return F.struct(F.when(closed, _words(F.get(parts, i)["text"])).alias("words"), within["text"].alias("inner"))
+
+    calls = let(cut, lambda parts: F.filter(F.transform(parts, lambda p, i: lead(parts, i)), lambda c: F.coalesce(fits(c["words"]), F.lit(False))))
+    one = let(F.get(calls, F.lit(0)), lambda c: F.struct(word(c["words"], 3).alias("name"), word(c["words"], 1).alias("sobject"), c["inner"].alias("inner")))
+    name, sobject = F.coalesce(one["name"], F.lit("")), F.coalesce(one["sobject"], F.lit(""))
     comments = doc_comments(source)
     return {
         "trigger_name": name,

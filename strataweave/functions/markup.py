@@ -1,4 +1,9 @@
-"""Component scripts and markup to nested columns: a script's decorators one by one, markup tag by tag."""
+"""Component scripts and markup to nested columns: a script's decorators one by one, markup tag by tag.
+
+Runs of characters and quoted values are taken whole and never tried again
+shorter, so a tag costs its length, however long it or a value of it is, and a
+tag that is not closed costs the way to the next one.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .text import attributes, first_present, kebab_to_camel, none, strip
 
-#: An opening tag: its name, then anything up to the bracket that is in no quotes.
-TAG = r"""<([A-Za-z][A-Za-z0-9:_.-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>"""
+#: An opening tag: its name, then quoted values and other text up to a bracket; an opening bracket that is in no quotes begins another tag.
+TAG = r"""<([A-Za-z][A-Za-z0-9:_.-]*+)([^<>"']*+(?:(?:"[^"]*+"|'[^']*+')[^<>"']*+)*+)>"""
 #: Fixed value: the decorator of a component's public members.
 DECORATOR = "@api"
 _IDENTIFIER = r"^[A-Za-z_$][A-Za-z0-9_$]*"

@@ -28,6 +28,11 @@ def none() -> Column:
     return F.array().cast("array<string>")
 
 
+def let(value: Column, body: object) -> Column:
+    """``body(x)`` with ``x`` computed once: inside, it is a variable and no expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def content_hash(text: Column) -> Column:
     """SHA-256 of the UTF-8 text, lower-case hex."""
     return F.sha2(text, 256)
@@ -105,28 +110,38 @@ def kebab_to_camel(name: Column) -> Column:
     return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
 
 
+def _commented(text: Column) -> tuple[Column, Column]:
+    """The text up to the last end of a comment, and the rest, in which none is closed: no search goes through it again and again."""
+    rest = F.substring_index(text, "*/", -1)
+    return F.substr(text, F.lit(1), F.length(text) - F.length(rest)), rest
+
+
 def strip_comments(text: Column) -> Column:
     """Block comments become one space, then line comments go; also inside strings and addresses."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", "")
+    closed, rest = _commented(text)
+    return F.regexp_replace(F.concat(F.regexp_replace(closed, r"(?s)/\*.*?\*/", " "), rest), r"//[^\n]*", "")
 
 
 def doc_comments(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?s)/\*\*.*?\*/"), F.lit(0))
+    return F.regexp_extract_all(_commented(text)[0], F.lit(r"(?s)/\*\*.*?\*/"), F.lit(0))
 
 
 def tags_in(comments: Column) -> Column:
-    """Labels of ``@tag label`` in all comments, in order, repeats kept."""
-    return F.flatten(F.transform(comments, lambda c: F.regexp_extract_all(c, F.lit(r"(?U)@tag\s+(\w[\w-]*)"), F.lit(1))))
+    """Labels after the word ``@tag`` and white space in all comments, in order, repeats kept: word characters and hyphens, no hyphen first."""
+    after = lambda c: F.slice(F.split(c, "@tag"), F.lit(2), F.size(F.split(c, "@tag")))
+    label = lambda p: F.get(F.split(strip(p), r"(?U)[^\w-]"), F.lit(0))
+    spaced = F.filter(F.flatten(F.transform(comments, after)), lambda p: p.rlike(r"(?U)^\s"))
+    return F.filter(F.transform(spaced, label), lambda t: (t != "") & ~F.startswith(t, F.lit("-")))
 
 
 def type_references(text: Column, *others: Column) -> Column:
-    """Capitalised names of three or more bytes, sorted and distinct, but for built-in types and ``others``."""
-    names = F.regexp_extract_all(text, F.lit(r"(?U)\b([A-Z][a-zA-Z0-9_]+)\b"), F.lit(1))
+    """Words of three or more letters, digits and underscores, all ASCII, with a capital first: sorted and distinct, but for built-in types and ``others``."""
+    words = F.array_distinct(F.split(text, r"(?U)\W+"))
     known = F.array(*[F.lit(b) for b in BUILTIN_TYPES])
-    kept = F.filter(F.array_except(names, known), lambda n: F.length(n) > 2)
-    if others:
-        kept = F.array_except(kept, F.array(*[F.coalesce(o, F.lit("")) for o in others]))
-    return F.array_sort(F.array_distinct(kept))
+    capital = (F.lit("A"), F.lit("Z"))
+    kept = F.filter(words, lambda w: F.substring(w, 1, 1).between(*capital) & (F.length(w) > 2) & ~w.rlike("[^A-Za-z0-9_]"))
+    kept = F.array_except(kept, F.concat(known, F.array(*[F.coalesce(o, F.lit("")) for o in others])) if others else known)
+    return F.array_sort(kept)
 
 
 def split_list(text: Column) -> Column:
@@ -152,8 +167,9 @@ def attributes(text: Column) -> Column:
     pattern = F.lit(r"""(?U)(\w+)=(?:"([^"]*)"|'([^']*)')""")
     part = lambda i, name: F.regexp_extract_all(text, pattern, F.lit(i)).alias(name)
     pairs = F.arrays_zip(part(1, "k"), part(2, "v"), part(3, "w"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], F.concat(p["v"], p["w"]))))
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), F.concat(p["v"], p["w"]).alias("v"))))
+    last = let(placed, lambda all_: F.filter(all_, lambda p, i: ~F.get(all_, i + 1)["k"].eqNullSafe(p["k"])))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
 
 
 def first_present(pairs: Column, *keys: str) -> Column:

@@ -6,8 +6,10 @@ named. Sides are broadcast only where a bound on their rows is checked.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def fresh(rows: DataFrame, snapshot: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key and fingerprint columns ``on`` are in the snapshot."""
-    return rows.join(snapshot.select(*on).distinct(), on, "left_semi")
+    """Rows whose key and fingerprint columns ``on`` are in the snapshot; a null in them is in no snapshot, so such a row is stale."""
+    return rows.join(snapshot.select(*on), on, "left_semi")
 
 
 def stale(rows: DataFrame, snapshot: DataFrame, on: list[str]) -> DataFrame:
@@ -31,9 +33,28 @@ def stale(rows: DataFrame, snapshot: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(snapshot.select(*on), on, "left_anti")
 
 
-def upsert(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``table`` with the rows of ``new`` in place of those with equal keys."""
-    return table.join(new.select(*key), key, "left_anti").unionByName(new)
+def _same(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
+    """Whether the columns ``on`` are equal, nulls like each other; the right ones have an underscore before their names."""
+    return reduce(lambda x, y: x & y, [left[c].eqNullSafe(right[f"_{c}"]) for c in on])
+
+
+def latest(rows: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row a key, null keys too: the greatest by ``order`` (all other columns unless given). A combining maximum, so a frequent key shrinks before the shuffle."""
+    rest = [c for c in rows.columns if c not in key]
+    by = F.struct(*(order or rest)) if order or rest else F.lit(0)
+    row = rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), by).alias("_row"))
+    return row.select("_row.*")
+
+
+def upsert(table: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """``table`` with the rows of ``new`` in place of those with equal keys.
+
+    A null key is equal to a null key. Of several new rows of a key the last by
+    ``order`` (all other columns unless given) is taken.
+    """
+    one = latest(new, key, order)
+    keys = one.select(*[F.col(c).alias(f"_{c}") for c in key])
+    return table.join(keys, _same(table, keys, key), "left_anti").unionByName(one)
 
 
 def fallback(rows: DataFrame, other: DataFrame, on: list[str], column: str) -> DataFrame:
@@ -43,21 +64,23 @@ def fallback(rows: DataFrame, other: DataFrame, on: list[str], column: str) -> D
 
 
 def fold_children(parents: DataFrame, children: DataFrame, on: list[str], order: list[str], fields: list[str], name: str) -> DataFrame:
-    """``parents`` with their children as an array in ``order``; none gives an empty array."""
+    """``parents`` with their children as an array in ``order``; none gives an empty array. Children without a key belong to parents without one."""
     lists = children.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("_it")))).alias("_list"))
-    lists = lists.select(*on, F.transform("_list", lambda x: x["_it"]).alias(name))
+    lists = lists.select(*[F.col(c).alias(f"_{c}") for c in on], F.transform("_list", lambda x: x["_it"]).alias(name))
     kind = lists.schema[name].dataType.simpleString()
-    return parents.join(lists, on, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    out = parents.join(lists, _same(parents, lists, on), "left").drop(*[f"_{c}" for c in on])
+    return out.withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
 def first_match(rows: DataFrame, lookup: DataFrame, on: list[str], order: list[str | Column], columns: dict[str, object]) -> DataFrame:
-    """The first row of ``lookup`` in ``order`` (nulls first) for each key, left-joined; ``columns`` gives the names and their defaults.
+    """The first row of ``lookup`` in ``order`` (nulls first) for each key, left-joined; ``columns`` gives the names and the defaults of rows without a match.
 
-    A combining minimum, so a frequent key of ``lookup`` shrinks before the shuffle.
+    A null of the matched row stays null. A combining minimum, so a frequent key
+    of ``lookup`` shrinks before the shuffle.
     """
-    first = lookup.groupBy(*on).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_first")).select(*on, "_first.*")
+    first = lookup.groupBy(*on).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_first"))
     out = rows.join(first, on, "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(d)) for c, d in columns.items() if d is not None})
+    return out.withColumns({c: F.when(F.col("_first").isNotNull(), F.col("_first")[c]).otherwise(F.lit(d)) for c, d in columns.items()}).drop("_first")
 
 
 def name_owner(entities: DataFrame, name: str = "name", kind: str = "kind", priority: str = "priority") -> DataFrame:
@@ -65,29 +88,62 @@ def name_owner(entities: DataFrame, name: str = "name", kind: str = "kind", prio
     return entities.groupBy(name).agg(F.min_by(kind, priority).alias(kind))
 
 
-#: Characters of a name by which it meets texts.
+#: Characters of the runs by which names meet texts when there are too many names for an automaton.
 RUN = 8
 
 
-def containment_link(texts: DataFrame, names: DataFrame, key: list[str], text: str, name: str) -> DataFrame:
-    """For each text the known name that it contains: the longest, then the first by alphabet; null without one.
+def containment_link(texts: DataFrame, names: DataFrame, key: list[str], text: str, name: str, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """``texts`` with ``linked``: the known name that the text contains, the longest, then the first by alphabet; null without one.
+
+    Up to ``bound`` names make one automaton that every task builds once; each
+    text goes through it once, and nothing is shuffled. More names meet texts by
+    runs of characters (``_by_runs``). Null texts and names link nothing; null and
+    repeated keys are rows like others: ``key`` only names columns that stay.
+    """
+    known = names.select(F.col(name).cast("string").alias("_name")).where(F.length("_name") > 0).distinct()
+    few = known.limit(bound + 1).collect()  # no more than the bound and one
+    if len(few) > bound:
+        return _by_runs(texts, known, text)
+    ranked = sorted((r["_name"] for r in few), key=lambda n: (-len(n), n))
+    if not ranked:
+        return texts.withColumn("linked", F.lit(None).cast("string"))
+
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for rank, one in enumerate(ranked):
+            found.add_word(one, rank)
+        found.make_automaton()
+        for batch in batches:
+            best = [min((rank for _, rank in found.iter(t)), default=None) if t else None for t in batch]
+            yield pd.Series([None if rank is None else ranked[rank] for rank in best], dtype=object)
+
+    return texts.withColumn("linked", F.pandas_udf(look, "string")(F.col(text).cast("string")))
 
-    A join by equal parts: a name is known by its first characters, ``RUN`` at
-    most, and a text by all its runs of the lengths that names have so; pairs
-    that meet are then compared in full. Names are broadcast within the checked
-    bound, else both sides are shuffled by the runs.
+
+def _by_runs(texts: DataFrame, known: DataFrame, text: str) -> DataFrame:
+    """The same for any number of names: a name is cut into runs, the last one overlapping, and is in a text where all of its runs stand at their distances.
+
+    Only a text's 128-bit number, runs and places are joined and grouped; texts
+    get their name back by the number, from a side that has one name a text.
     """
-    known = names.select(F.col(name).alias("_name")).where(F.length("_name") > 0).distinct().withColumn("_run", F.substring("_name", 1, RUN))
-    sizes = [r[0] for r in known.select(F.length("_run")).distinct().collect()]  # RUN rows at most
+    size, last = F.length("_name"), F.greatest(F.length("_name") - RUN, F.lit(0))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(RUN)), F.array(last)))
+    pieces = known.select("_name", F.size(starts).alias("_pieces"), F.explode(starts).alias("_off")).withColumn("_run", F.substr("_name", F.col("_off") + 1, F.least(size, F.lit(RUN))))
+    lengths = [r[0] for r in known.select(F.least(F.length("_name"), F.lit(RUN))).distinct().collect()]  # RUN rows at most
+    number = lambda: F.struct(F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit("second"), F.col(text)).alias("b"))
 
     def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(n)))
+        places = F.when(F.length(text) >= n, F.sequence(F.lit(0), F.length(text) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.substr(F.col(text), i + 1, F.lit(n)).alias("run")))
 
-    every = F.array_distinct(F.flatten(F.array(*[runs(n) for n in sizes]))) if sizes else F.array().cast("array<string>")
-    pairs = texts.withColumn("_run", F.explode(every)).join(small(known), "_run").where(F.contains(F.col(text), F.col("_name")))
-    best = pairs.groupBy(*key).agg(F.min(F.struct((-F.length("_name")).alias("_len"), "_name")).alias("_best"))
-    return texts.join(best.select(*key, F.col("_best._name").alias("linked")), key, "left")
+    each = texts.where(F.col(text).isNotNull()).select(number().alias("_number"), F.explode(F.concat(*[runs(n) for n in lengths])).alias("_r"))
+    met = each.select("_number", F.col("_r.at").alias("_at"), F.col("_r.run").alias("_run")).join(pieces, "_run")
+    whole = met.groupBy("_number", "_name", "_pieces", (F.col("_at") - F.col("_off")).alias("_from")).agg(F.count_distinct("_off").alias("_there")).where("_there = _pieces")
+    best = whole.groupBy("_number").agg(F.min(F.struct((-F.length("_name")).alias("_len"), "_name")).alias("_best"))
+    numbered = texts.withColumn("_number", number())
+    return numbered.join(best.select("_number", F.col("_best._name").alias("linked")), "_number", "left").drop("_number")
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, a: str, b: str, distance: int = 2) -> DataFrame:
@@ -182,9 +238,6 @@ def admitted(rows: DataFrame, key: list[str], at_micros: str, limit: int, second
     ``limit`` starts of one key, however many requests it has.
     """
     from collections import deque
-    from collections.abc import Iterator
-
-    import pandas as pd
 
     names = rows.columns
 

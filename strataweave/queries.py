@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flow_queries
-from .functions import markup
+from .functions import apex, markup
 from .functions import text as tx
 from .operators import relational as rel
 from .plans import enrich, render
+from .sources.files import kind_column, path_column
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -60,20 +61,22 @@ def path_parent(s, d):
     return _t(s, d, "pages").select("page_id", tx.path_part(F.col("url"), 2).alias("parent"))
 
 
-@query("SELECT s AS target, s LIKE '%/%' OR ends_with(s, '.cls') AS is_path FROM (VALUES ('a/b'), ('Foo'), ('Foo.cls')) t(s)")
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'flows' WHEN 1 THEN 'apex' END AS kind, url LIKE '%/%' OR page_id % 3 < 2 AS is_path, page_id % 3 < 2 AS last_is_path FROM pages")
 def target_kind(s, d):
-    from .sources.files import is_path
-
-    return s.createDataFrame([(t, is_path(t)) for t in ("a/b", "Foo", "Foo.cls")], "target string, is_path boolean")
+    ending = F.when(F.col("page_id") % 3 == 0, ".flow-meta.xml").when(F.col("page_id") % 3 == 1, ".cls").otherwise("")
+    last = F.concat(F.substring_index("url", "/", -1), ending)
+    return _t(s, d, "pages").select("page_id", kind_column(last).alias("kind"), path_column(F.concat("url", ending)).alias("is_path"), path_column(last).alias("last_is_path"))
 
 
 # --- joins --------------------------------------------------------------------
 
 
 def _snapshot(s, d):
-    docs, labels = _t(s, d, "documents"), _t(s, d, "labels")
-    known = docs.join(labels, "doc_id").select("doc_id", F.when(F.col("quality") == 0, F.concat(F.lit("x"), F.substr(tx.content_hash(F.col("text")), F.lit(2)))).otherwise(tx.content_hash(F.col("text"))).alias("hash"))
-    return docs.select("doc_id", tx.content_hash(F.col("text")).alias("hash")), known
+    """Documents now and in a snapshot, by key and hash: a text is hashed where it is read and goes no further."""
+    now = _t(s, d, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("hash"))
+    changed = F.concat(F.lit("x"), F.substr("hash", F.lit(2)))
+    known = now.join(_t(s, d, "labels"), "doc_id").select("doc_id", F.when(F.col("quality") == 0, changed).otherwise(F.col("hash")).alias("hash"))
+    return now, known
 
 
 _SNAP = "h AS (SELECT doc_id, sha256(text) AS hash FROM documents), k AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'x' || substr(hash, 2) ELSE hash END AS hash FROM h JOIN labels USING (doc_id))"
@@ -308,9 +311,11 @@ def badge_line(s, d):
     return _t(s, d, "part").select("p_partkey", tx.badges((F.col("p_size") > 25, "big"), (F.col("p_retailprice") > 1000, "dear")).alias("badges"))
 
 
-@query("SELECT code, code IN (429, 500, 502, 503, 504) AS again FROM (VALUES (200), (404), (429), (500), (501), (502), (503), (504)) t(code)")
+@query("SELECT event_id, CAST(425 + event_id % 90 AS INTEGER) AS code, 425 + event_id % 90 IN (429, 500, 502, 503, 504) AS again, event_id % 4 = 0 AS no_quota FROM events")
 def retry_status(s, d):
-    return s.createDataFrame([(c,) for c in (200, 404, 429, 500, 501, 502, 503, 504)], "code int").withColumn("again", tx.should_retry(F.col("code")))
+    code = (425 + F.col("event_id") % 90).cast("int")
+    body = F.when(F.col("event_id") % 4 == 0, "quota exceeded, limit: 0").otherwise("quota exceeded, limit: 10")
+    return _t(s, d, "events").select("event_id", code.alias("code"), tx.should_retry(code).alias("again"), tx.quota_exhausted(F.concat(body, F.lit(", model "), "event_type")).alias("no_quota"))
 
 
 @query("SELECT doc_id, left(text, 3000) || CASE WHEN length(text) > 3000 THEN chr(10) || '... (truncated)' ELSE '' END AS preview FROM documents")
@@ -343,9 +348,14 @@ def enrich_offline(s, d):
     return enrich.documents(enrich.enrich(work, enrich.OfflineGenerator()), "flows").select("doc_id", F.col("doc.summary").alias("summary"))
 
 
-@query("SELECT * FROM (VALUES ('gemini', 'gemini-2.5-flash', true), ('groq', 'llama-3.3-70b-versatile', true), ('openai', 'gpt-4o-mini', true), ('ollama', 'llama3.2', false)) t(provider, default_model, needs_key)")
+@query("""WITH p(spot, provider, default_model, needs_key) AS (VALUES (0, 'gemini', 'gemini-2.5-flash', true), (1, 'groq', 'llama-3.3-70b-versatile', true), (2, 'openai', 'gpt-4o-mini', true), (3, 'ollama', 'llama3.2', false))
+SELECT doc_id, provider, default_model, needs_key FROM documents JOIN p ON spot = doc_id % 4""")
 def providers_dim(s, d):
-    return enrich.providers(s).select("provider", "default_model", "needs_key")
+    """Documents dealt to the providers, each with its provider's defaults."""
+    known = enrich.providers(s).select("provider", "default_model", "needs_key")
+    names = F.array(*[F.lit(p[0]) for p in enrich.PROVIDERS])
+    dealt = _t(s, d, "documents").select("doc_id", F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int")).alias("provider"))
+    return dealt.join(F.broadcast(known), "provider").select("doc_id", "provider", "default_model", "needs_key")  # a row a provider
 
 
 @query("""SELECT doc_id, '# ' || source || chr(10) || chr(10) || '`' || lang || '`' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Table of Contents' || chr(10) || chr(10)
@@ -367,6 +377,26 @@ def markup_tags(s, d):
     return each.groupBy(F.col("t.tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT page_id, 2 * len(regexp_extract_all(html, '<[a-zA-Z]')) + 2 AS n, 3 * length(html) AS longest FROM pages")
+def markup_long_tags(s, d):
+    """Pages whose whole text is, three times over, an attribute of a tag, and again behind a quote that is never closed."""
+    html = F.col("html")
+    long = F.concat(F.lit("<img alt='"), F.repeat(F.translate(html, "'", " "), F.lit(3)), F.lit("' src=x>"), html, F.lit("<p class='"), F.translate(html, "'", " "))
+    found = markup.tags(long)
+    return _t(s, d, "pages").select("page_id", (F.size(found) + 1).cast("long").alias("n"), F.length(F.get(found, F.lit(0))["attributes"]["alt"]).cast("long").alias("longest"))
+
+
+@query("""SELECT doc_id, 'D' || doc_id AS class_name, 'run' AS methods, 'T' || doc_id AS trigger_name, 'before insert' AS events, CAST(length(text) AS BIGINT) AS tail FROM documents""")
+def long_sources(s, d):
+    """Classes and triggers whose text goes on, whole documents long, without a brace or a parenthesis."""
+    docs = _t(s, d, "documents").select("doc_id", F.translate("text", "{};=()*/", "        ").alias("tail"))
+    source = F.concat(F.lit("public class D"), F.col("doc_id").cast("string"), F.lit(" { public void run(String a) { } } "), "tail")
+    trigger = F.concat(F.lit("trigger T"), F.col("doc_id").cast("string"), F.lit(" on A (before insert) "), "tail")
+    parsed = apex.parse_classes(docs.select("doc_id", "tail", source.alias("raw_source"), trigger.alias("trigger_source")))
+    found = apex.parse_trigger(F.col("trigger_source"))
+    return parsed.select("doc_id", "class_name", F.array_join(F.transform("methods", lambda m: m["name"]), ",").alias("methods"), found["trigger_name"].alias("trigger_name"), F.array_join(found["events"], ",").alias("events"), F.length("tail").cast("long").alias("tail"))
+
+
 @query("""SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN NULL ELSE turn + 2 END AS asked, CAST((5 * (1 << CAST(turn % 4 AS INTEGER))) // 2 AS BIGINT) AS low,
 CAST(2 * ((5 * (1 << CAST(turn % 4 AS INTEGER))) // 2) AS BIGINT) AS high, true AS within FROM conversations""")
 def retry_delay(s, d):

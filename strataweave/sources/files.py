@@ -81,6 +81,16 @@ def is_path(target: str) -> bool:
     return "/" in target or "\\" in target or kind_of(target) is not None
 
 
+def kind_column(path: Column) -> Column:
+    """``kind_of`` of a column; null for other files and null paths."""
+    return F.coalesce(*[F.when(F.endswith(path, F.lit(k.suffix)), k.name) for k in KINDS])
+
+
+def path_column(target: Column) -> Column:
+    """``is_path`` of a column."""
+    return F.contains(target, F.lit("/")) | F.contains(target, F.lit("\\")) | kind_column(target).isNotNull()
+
+
 def read_files(spark: SparkSession, root: str, suffix: str, include_hidden: bool = False) -> DataFrame:
     """All files below ``root`` with the suffix, as text; those that are no UTF-8 have an error instead."""
     root = canonical(spark, root)
