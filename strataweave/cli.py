@@ -10,10 +10,10 @@ from pyspark.sql import SparkSession
 
 from .functions.text import glob_regex
 from .plans import pipeline, render
-from .plans.enrich import CONCURRENCY, PROVIDERS, Generator, HttpGenerator, OfflineGenerator, api_key, providers
+from .plans.enrich import CONCURRENCY, PROVIDERS, Generator, HttpGenerator, OfflineGenerator, providers
 from .sources.files import BY_NAME
 
-SOURCE, OUTPUT, SNAPSHOT = "force-app", "docs", ".strataweave"
+SOURCE, OUTPUT, SNAPSHOT = "force-app/main/default", "docs", ".strataweave"
 
 
 def _at_least(least: int) -> object:
@@ -32,6 +32,10 @@ def _kinds(text: str) -> list[str]:
     return found
 
 
+def _words(text: str) -> list[str]:
+    return [w.strip() for w in text.split(",") if w.strip()]
+
+
 def _pattern(text: str) -> str:
     try:
         glob_regex(text)
@@ -45,18 +49,18 @@ def parser() -> argparse.ArgumentParser:
     commands = out.add_subparsers(dest="command", required=True)
     both = argparse.ArgumentParser(add_help=False)
     both.add_argument("--source-dir", default=SOURCE, help="the tree to read")
-    both.add_argument("--output", default=OUTPUT, help="where pages go")
+    both.add_argument("-o", "--output", default=OUTPUT, help="where pages go")
     both.add_argument("--snapshot", default=SNAPSHOT, help="where descriptions are kept")
     both.add_argument("--provider", default="offline", choices=["offline", *(p[0] for p in PROVIDERS)], help="who writes descriptions; all but offline send source text to a third party")
     both.add_argument("--model", help="the provider's model, if not its default")
-    both.add_argument("--verbose", action="store_true", help="say what is done on standard error")
+    both.add_argument("-v", "--verbose", action="store_true", help="say what is done on standard error")
     make = commands.add_parser("generate", parents=[both], help="describe what is new or changed and write all pages")
     make.add_argument("--concurrency", type=_at_least(1), default=CONCURRENCY, help="calls at once")
     make.add_argument("--rpm", type=_at_least(0), default=0, help="calls a minute, 0 for no limit")
     make.add_argument("--force", action="store_true", help="describe everything anew")
     make.add_argument("--type", type=_kinds, action="extend", default=[], help="kinds, separated by commas")
     make.add_argument("--name-filter", type=_pattern, help="a shell pattern for names")
-    make.add_argument("--tag", action="append", default=[], help="a tag that classes and triggers must have; several are alternatives")
+    make.add_argument("--tag", type=_words, action="extend", default=[], help="tags, separated by commas, of which classes and triggers must have one")
     one = commands.add_parser("update", parents=[both], help="describe one file anew and write its page and the index")
     one.add_argument("target", help="a path or a name")
     commands.add_parser("status", help="providers, their models and where their keys come from")
@@ -70,7 +74,7 @@ def generator(provider: str, model: str | None) -> tuple[Generator, str]:
     if provider == "offline":
         return OfflineGenerator(), model or "offline"
     model = model or next(p[5] for p in PROVIDERS if p[0] == provider)
-    return HttpGenerator(provider, model, api_key(provider)), model
+    return HttpGenerator(provider, model), model
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:

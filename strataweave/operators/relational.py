@@ -197,6 +197,15 @@ def group_index(rows: DataFrame, group: str, per: list[str] | None = None) -> Da
     return out.withColumn("with_heading", F.col("_groups") > 1).drop("_groups")
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows``, in an order, with their numbers from 1: each partition counts its own, and begins where those before it end."""
+    placed = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    out = placed.join(F.broadcast(before), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id", "_part", "_before")
+
+
 def adjacent_dedup(rows: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Rows of each key that differ in ``columns`` from the row before in ``order``."""
     w = W.partitionBy(*key).orderBy(*order)

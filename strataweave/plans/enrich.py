@@ -5,6 +5,10 @@ default works offline and is deterministic, so plans and tests need no network;
 ``HttpGenerator`` speaks two public chat request shapes. Calls run in as many
 partitions as may be in flight at once; each has its share of a rate limit and
 keeps it over every window of a minute.
+
+With a journal every answer is a file of its own in a shared folder before the
+next call begins. A task that runs again, after a lost executor or a lost block,
+and a later run take what is there and call only for the rest.
 """
 
 from __future__ import annotations
@@ -25,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import BASE_SECONDS, MAX_RETRIES, RETRY_STATUS
+from ..sources import store
 from .prompts import system
 
 log = logging.getLogger(__name__)
 
 _LIST, _NAMED = "array<string>", "array<struct<name:string,description:string>>"
 _METHODS = "array<struct<name:string,description:string,params:array<struct<name:string,description:string>>,returns:string,throws:array<string>>>"
-#: Required fields of each kind's description and their types.
+#: Required fields of each kind's description and their types; all of a struct's fields are required too.
 FIELDS: dict[str, dict[str, str]] = {
     "apex": {"class_name": "string", "summary": "string", "description": "string", "methods": _METHODS, "properties": _NAMED, "usage_examples": _LIST, "relationships": _LIST},
     "triggers": {"trigger_name": "string", "sobject": "string", "summary": "string", "description": "string", "events": "array<struct<event:string,description:string>>", "handler_classes": _LIST, "usage_notes": _LIST, "relationships": _LIST},
@@ -85,11 +90,16 @@ class OfflineGenerator:
 
 
 class HttpGenerator:
-    """A chat request over HTTPS; retries what may pass, waiting as the answer asks or ever longer."""
+    """A chat request over HTTPS; retries what may pass, waiting as the answer asks or ever longer. Without a key ``prepare`` looks for one."""
 
-    def __init__(self, provider: str, model: str, key: str, send: Callable | None = None, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, provider: str, model: str, key: str | None = None, send: Callable | None = None, sleep: Callable[[float], None] = time.sleep):
         self.provider, self.model, self.key, self.send, self.sleep = provider, model, key, send, sleep
 
+    def prepare(self) -> None:
+        """Called on the driver once there is something to describe: only then is a key needed."""
+        if self.key is None:
+            self.key = api_key(self.provider)
+
     def request(self, system: str, prompt: str) -> tuple[str, dict, dict]:
         base = next(p[4] for p in PROVIDERS if p[0] == self.provider)
         if self.provider == "gemini":
@@ -125,7 +135,7 @@ def wait(header: str | None, body: str, attempt: int, chance: Callable[[int, int
     for text in (header, m[1] if (m := re.search(r"(?i)retry in ([0-9]+(?:\.[0-9]+)?)s", body)) else None):
         try:
             return math.ceil(float(text)) + 1
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, OverflowError):  # an infinite wait is none
             continue
     half = BASE_SECONDS * 2**attempt // 2
     return (chance or random.randint)(half, 2 * half)
@@ -185,17 +195,71 @@ def problem(kind: str, text: str) -> str | None:
     for name, kind_of in FIELDS.get(kind, {}).items():
         if name not in found:
             return f"missing field {name}"
-        if not isinstance(found[name], list if kind_of.startswith("array") else str):
-            return f"wrong type of {name}"
+        if (at := _unlike(found[name], kind_of, name)) is not None:
+            return at
     return None
 
 
-def enrich(work: DataFrame, generator: Generator, concurrency: int = CONCURRENCY, per_minute: int = 0) -> DataFrame:
+def _unlike(value: object, kind_of: str, at: str) -> str | None:
+    """Where a value is not of its type (a string, a list or a struct with all of its fields, to any depth), else None."""
+    if kind_of == "string":
+        return None if isinstance(value, str) else f"wrong type of {at}"
+    inner = kind_of[kind_of.index("<") + 1 : -1]
+    if kind_of.startswith("array"):
+        if not isinstance(value, list):
+            return f"wrong type of {at}"
+        return next((found for i, v in enumerate(value) if (found := _unlike(v, inner, f"{at}[{i}]")) is not None), None)
+    if not isinstance(value, dict):
+        return f"wrong type of {at}"
+    for name, of in _fields(inner):
+        if name not in value:
+            return f"missing field {at}.{name}"
+        if (found := _unlike(value[name], of, f"{at}.{name}")) is not None:
+            return found
+    return None
+
+
+def _fields(inner: str) -> list[tuple[str, str]]:
+    """Names and types between the brackets of a struct."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(inner + ","):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            name, of = inner[start:i].split(":", 1)
+            out.append((name, of))
+            start = i + 1
+    return out
+
+
+class Journal:
+    """Answers by what was asked, each a file of its own; failures only for the ``run`` that met them."""
+
+    def __init__(self, folder: str, model: str, run: str) -> None:
+        self.folder, self.model, self.run = folder, model, run
+
+    def _at(self, asked: tuple[str, ...], failed: bool) -> str:
+        key = hashlib.sha256(json.dumps([self.model, *asked]).encode()).hexdigest()
+        return f"{self.folder}/{self.run}/{key}.error" if failed else f"{self.folder}/answers/{key[:2]}/{key}.json"
+
+    def get(self, asked: tuple[str, ...]) -> tuple[str | None, str | None] | None:
+        if (answer := store.read(self._at(asked, False))) is not None:
+            return answer.decode(), None
+        if (wrong := store.read(self._at(asked, True))) is not None:
+            return None, wrong.decode()
+        return None
+
+    def put(self, asked: tuple[str, ...], text: str | None, wrong: str | None) -> None:
+        store.write(self._at(asked, bool(wrong)), (wrong or text or "").encode("utf-8", "surrogatepass"))
+
+
+def enrich(work: DataFrame, generator: Generator, concurrency: int = CONCURRENCY, per_minute: int = 0, journal: Journal | None = None) -> DataFrame:
     """``work(kind, path, name, prompt, ...)`` with ``documentation`` and ``error``; one of them is null.
 
     At most ``concurrency`` calls run at once. ``per_minute`` (0: no limit) is
     dealt out to them; a call is admitted once, not for each retry. The generator
-    is told the kind's fields, and an answer without them is an error.
+    is told the kind's fields, and an answer without them, nested ones included,
+    is an error. What the ``journal`` has is not asked for again, and each answer
+    is in it before the next call.
     """
     if concurrency < 1:
         raise ValueError("concurrency must be 1 or more")
@@ -208,12 +272,18 @@ def enrich(work: DataFrame, generator: Generator, concurrency: int = CONCURRENCY
         for pdf in batches:
             docs, errors = [], []
             for kind, path, prompt, name in zip(pdf["kind"], pdf["path"], pdf["prompt"], pdf["name"], strict=True):
-                limiter.acquire()
-                try:
-                    text = generator.generate(system(kind, FIELDS[kind]) if kind in FIELDS else f"{kind}: Answer with a JSON object.", prompt, name or path)
-                    wrong = problem(kind, text)
-                except Exception as e:  # noqa: BLE001  every failure is a row, and the others go on
-                    text, wrong = None, str(e)
+                asked = (kind, path or "", prompt or "", name or "")
+                if journal and (known := journal.get(asked)):
+                    text, wrong = known
+                else:
+                    limiter.acquire()
+                    try:
+                        text = generator.generate(system(kind, FIELDS[kind]) if kind in FIELDS else f"{kind}: Answer with a JSON object.", prompt, name or path)
+                        wrong = problem(kind, text)
+                    except Exception as e:  # noqa: BLE001  every failure is a row, and the others go on
+                        text, wrong = None, str(e) or type(e).__name__
+                    if journal:
+                        journal.put(asked, text, wrong)
                 docs.append(None if wrong else text)
                 errors.append(f"{name or path}: {wrong}" if wrong else None)
             yield pdf.assign(documentation=docs, error=errors)[[*names, "documentation", "error"]]

@@ -1,13 +1,15 @@
 """The whole flow: scan, parse, filter, split against the snapshot, enrich, render.
 
-Everything up to the generator is lazy. Its result is written into the snapshot
-before anything else reads it, so a file is described once, and a run with
-failures still keeps its successes.
+Everything up to the generator is lazy. Each answer is in a journal beside the
+snapshot before the next call, and goes into the snapshot before anything else
+reads it. So a file is described once, though executors are lost or the run ends
+early, and a run with failures still keeps its successes.
 """
 
 from __future__ import annotations
 
 import logging
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +19,9 @@ from ..functions import apex, markup, xmlmeta
 from ..functions.text import composite_hash, content_hash, folder_of, has_any_tag, path_part, split_first_dot
 from ..operators.relational import fold_children, fuzzy_match, members
 from ..sources import files as src
+from ..sources import store
 from . import cache, render
-from .enrich import FIELDS, Generator, OfflineGenerator, enrich
+from .enrich import FIELDS, Generator, Journal, OfflineGenerator, enrich
 from .prompts import prompt
 
 log = logging.getLogger(__name__)
@@ -42,10 +45,10 @@ class Failed(RuntimeError):
     """Some descriptions could not be made; the others are in the snapshot."""
 
 
-def parse(spark: SparkSession, kind: str, files: DataFrame, root: str, include_hidden: bool = False) -> DataFrame:
+def parse(spark: SparkSession, kind: str, files: DataFrame, root: str | src.Tree, include_hidden: bool = False) -> DataFrame:
     """Files of a kind with their metadata, ``name`` (the stem where the text names nothing), ``folder`` and ``hash``."""
     raw = F.col("raw_source")
-    base = files.withColumn("folder", folder_of(F.col("path"), root)).withColumn("hash", content_hash(raw))
+    base = files.withColumn("folder", folder_of(F.col("path"), root.root if isinstance(root, src.Tree) else root)).withColumn("hash", content_hash(raw))
     if kind == "apex":
         out = apex.parse_classes(base)
         return out.withColumn("name", F.when(F.col("class_name") != "", F.col("class_name")).otherwise(F.col("stem")))
@@ -81,13 +84,14 @@ def parse(spark: SparkSession, kind: str, files: DataFrame, root: str, include_h
     raise ValueError(kind)
 
 
-def metadata(spark: SparkSession, root: str, filters: Filters | None = None, include_hidden: bool = False) -> dict[str, DataFrame]:
+def metadata(spark: SparkSession, root: str | src.Tree, filters: Filters | None = None, include_hidden: bool = False) -> dict[str, DataFrame]:
     """Parsed tables by kind, after all filters. Tags leave out the kinds that cannot have any."""
     filters = filters or Filters()
-    found = src.scan_all(spark, root, filters.kinds, filters.name, include_hidden)
+    tree = root if isinstance(root, src.Tree) else src.walk(spark, root, include_hidden)
+    found = src.scan_all(spark, tree, filters.kinds, filters.name)
     if all(df.isEmpty() for df in found.values()):
-        raise NoFiles(f"no files below {root} after the filters")
-    out = {k: parse(spark, k, df, root, include_hidden) for k, df in found.items()}
+        raise NoFiles(f"no files below {tree.root} after the filters")
+    out = {k: parse(spark, k, df, tree) for k, df in found.items()}
     if filters.tags:
         out = {k: df.where(has_any_tag(F.col("tags"), filters.tags)) for k, df in out.items() if src.BY_NAME[k].taggable}
     return out
@@ -212,18 +216,26 @@ def build(spark: SparkSession, root: str, cache_path: str, generator: Generator
     before = spark.createDataFrame([], cache.SCHEMA) if force else cache.load(spark, cache_path)
     work = work_rows(tables).persist()
     todo, ready = cache.split(work, before, model)
-    made = enrich(todo, generator or OfflineGenerator(), concurrency, per_minute).persist()
+    generator, journal = generator or OfflineGenerator(), _journal(cache_path, model)
+    if force:
+        store.delete(f"{journal.folder}/answers")  # of a run that ended early: everything is described anew
+    if hasattr(generator, "prepare") and not todo.isEmpty():
+        generator.prepare()
+    made = enrich(todo, generator, concurrency, per_minute, journal).persist()
     done, failed = made.where("error is null"), made.where("error is not null")
     # counted before the snapshot that they read is replaced
     kinds = counts_by_kind(work, ready, made)
     for kind, n in kinds.items():
         log.info("%s: %s found, %s up to date, %s made, %s failed", kind, n["files"], n["up_to_date"], n["made"], n["failed"])
     summary = {c: sum(n[c] for n in kinds.values()) for c in COUNTS}
-    after = cache.update(before, done, model)
     if prune and filters is None:
-        after = cache.vacuum(after, work)
-    cache.save(after, cache_path)
+        cache.save(cache.vacuum(cache.update(before, done, model), work), cache_path)
+    elif force:
+        cache.save(cache.update(before, done, model), cache_path)
+    elif summary["made"] or not cache.members(spark, cache_path):
+        cache.add(done, cache_path, model)
     errors = [r.error for r in failed.select("error").orderBy("error").limit(20).collect()]
+    store.delete(journal.folder)  # what it has is in the snapshot
     made.unpersist()
     work.unpersist()
     if errors:
@@ -237,16 +249,35 @@ def build(spark: SparkSession, root: str, cache_path: str, generator: Generator
     return Result(out, snapshot, summary, kinds, clashes)
 
 
+def _journal(cache_path: str, model: str) -> Journal:
+    return Journal(f"{cache_path}/journal", model, f"run-{uuid.uuid4().hex}")
+
+
+def targets(spark: SparkSession, root: str | src.Tree) -> DataFrame:
+    """``(kind, path, name)`` of everything that a name can mean."""
+    known = None
+    for k, df in src.scan_all(spark, root).items():
+        name = F.element_at(F.split("path", "/"), -2) if k in ("lwc", "aura") else F.col("stem")
+        part = df.select(F.lit(k).alias("kind"), "path", name.alias("name"))
+        known = part if known is None else known.union(part)
+    return known
+
+
+def resolve_all(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """``wanted(target)`` with the ``kind`` and ``path`` of the one thing of that name, without case, and ``status``: found, ambiguous or missing. One join, however many targets."""
+    of = known.groupBy(F.lower("name").alias("_low")).agg(F.min("kind").alias("kind"), F.min("path").alias("path"), F.count(F.lit(1)).alias("_n"))
+    out = wanted.withColumn("_low", F.lower("target")).join(of, "_low", "left")
+    one = lambda c: F.when(F.col("_n") == 1, F.col(c)).alias(c)
+    status = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") == 1, "found").otherwise("ambiguous")
+    return out.select(*wanted.columns, one("kind"), one("path"), status.alias("status"))
+
+
 def resolve(spark: SparkSession, target: str, root: str) -> tuple[str, str]:
     """``(path, kind)`` of a target, a path or a name without case; else an error that lists what it could mean."""
     if src.is_path(target):
         row = src.read_target(spark, target).first()
         return row.path, row.kind
-    known = None
-    for k, df in src.scan_all(spark, src.canonical(spark, root)).items():
-        name = F.element_at(F.split("path", "/"), -2) if k in ("lwc", "aura") else F.col("stem")
-        part = df.select(F.lit(k).alias("kind"), "path", name.alias("name"))
-        known = part if known is None else known.union(part)
+    known = targets(spark, root)
     hits = known.where(F.lower("name") == target.lower()).orderBy("path").limit(20).collect()
     if len(hits) == 1:
         return hits[0].path, hits[0].kind
@@ -268,12 +299,16 @@ def update(spark: SparkSession, target: str, root: str, cache_path: str, generat
     if kind in cache.NEVER_FRESH:
         raise ValueError("custom metadata has no description to update")
     tables = metadata(spark, root)
-    before = cache.load(spark, cache_path)
-    made = enrich(work_rows(tables, [kind]).where(F.col("path") == path), generator or OfflineGenerator(), 1).persist()
+    generator, journal = generator or OfflineGenerator(), _journal(cache_path, model)
+    if hasattr(generator, "prepare"):
+        generator.prepare()
+    store.delete(journal.folder)  # fresh or not, it is described anew
+    made = enrich(work_rows(tables, [kind]).where(F.col("path") == path), generator, 1, journal=journal).persist()
     if bad := made.where("error is not null").head():
         raise Failed(bad.error)
-    cache.save(cache.update(before, made, model), cache_path)
+    cache.add(made, cache_path, model)
     name = made.select("name").first().name
+    store.delete(journal.folder)
     made.unpersist()
     snapshot = cache.load(spark, cache_path)
     all_pages = pages(_described(spark, tables, snapshot), tables)

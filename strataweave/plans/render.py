@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import badges, direction, field_type, sanitize_filename
 from ..operators.relational import containment_link
-from ..sources.files import file_system
+from ..sources.page_sink import TextFiles
 
 #: Page folders by kind, and which kind owns a name that several have.
 FOLDERS = {"apex": "classes", "triggers": "triggers", "flows": "flows", "validation-rules": "validation-rules", "objects": "objects", "lwc": "lwc", "flexipages": "flexipages", "aura": "aura", "custom-metadata": "custom-metadata"}
@@ -230,22 +230,16 @@ def index(entries: DataFrame) -> DataFrame:
 def write_pages(pages: DataFrame, out: str) -> None:
     """``(kind, name, body)`` as one file a page below ``out``; folders appear with their first page, old pages stay.
 
-    The driver writes, a partition at a time: pages are small, and executors may
-    not share a disk. ``out`` can be on any file system.
+    Executors write into staging folders below ``out``, which they must reach, and
+    a commit moves the files into place: a run that fails leaves the old pages.
+    Of several pages of one file the last by name and body holds.
     """
-    fs, _ = file_system(pages.sparkSession, out)
-    fs.setWriteChecksum(False)  # no checksum files among the pages
-    path = pages.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
-    try:
-        for r in pages.select("kind", sanitize_filename(F.col("name")).alias("file"), "body").toLocalIterator():
-            folder = f"{out}/{FOLDERS[r.kind]}" if r.kind in FOLDERS else out
-            stream = fs.create(path(f"{folder}/{r.file}.md"), True)
-            try:
-                stream.write(bytearray(r.body.encode()))
-            finally:
-                stream.close()
-    finally:
-        fs.setWriteChecksum(True)
+    folders = F.create_map(*[F.lit(x) for k, f in FOLDERS.items() for x in (k, f"{f}/")])
+    file = F.concat(F.coalesce(F.element_at(folders, F.col("kind")), F.lit("")), sanitize_filename(F.col("name")), F.lit(".md"))
+    rows = pages.select(file.alias("file"), "name", F.coalesce("body", F.lit("")).alias("body"))
+    rows.sparkSession.dataSource.register(TextFiles)
+    rows = rows.repartition("file").sortWithinPartitions("file", "name", "body").select("file", "body")
+    rows.write.format(TextFiles.name()).option("path", out).mode("append").save()
 
 
 def same_page(pages: DataFrame) -> DataFrame:

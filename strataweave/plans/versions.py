@@ -3,6 +3,10 @@
 A version is written beside the others and never changed. Replacing the pointer
 is one atomic rename, so a reader sees the old table or the new one, at no time
 none. The version before stays for readers that have begun; older ones go.
+
+A table can also be a log: ``append`` writes only new rows, as a further folder
+that the pointer names after the base. Who reads puts base and additions together
+(``members`` names them in order); ``replace`` starts a new base.
 """
 
 from __future__ import annotations
@@ -16,40 +20,57 @@ from ..sources.files import file_system
 POINTER = "CURRENT"
 
 
-def current(spark: SparkSession, path: str) -> str | None:
-    """The folder of the current version; none if there is no table."""
+def members(spark: SparkSession, path: str) -> list[str]:
+    """The folders of the current version: its base, then its additions from the oldest on; none if there is no table."""
     fs, at = file_system(spark, f"{path}/{POINTER}")
     if not fs.exists(at):
-        return None
+        return []
     stream = fs.open(at)
     try:
-        name = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        names = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
     finally:
         stream.close()
-    return f"{path}/{name}"
+    return [f"{path}/{name}" for name in names]
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The base folder of the current version; none if there is no table."""
+    return next(iter(members(spark, path)), None)
 
 
 def replace(df: DataFrame, path: str, by: str | None = None) -> str:
     """Write ``df`` as the next version, partitioned ``by`` a column, make it current and give its folder."""
+    return _write(df, path, by, [])
+
+
+def append(df: DataFrame, path: str, by: str | None = None) -> str:
+    """Write ``df`` as an addition to the current version, which must be there, and give its folder."""
+    known = members(df.sparkSession, path)
+    if not known:
+        raise FileNotFoundError(f"{path} has no current version")
+    return _write(df, path, by, known)
+
+
+def _write(df: DataFrame, path: str, by: str | None, onto: list[str]) -> str:
     spark = df.sparkSession
-    before, name = current(spark, path), f"v-{uuid.uuid4().hex}"
+    before, new = members(spark, path), f"{path}/v-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(by) if by else df.write
-    writer.parquet(f"{path}/{name}")
-    _point(spark, path, name)
+    writer.parquet(new)
+    _point(spark, path, [m.rsplit("/", 1)[1] for m in [*onto, new]])
     fs, folder = file_system(spark, path)
     for status in fs.listStatus(folder):
         old = status.getPath().getName()
-        if old.startswith("v-") and old != name and f"{path}/{old}" != before:
+        if old.startswith("v-") and f"{path}/{old}" not in (*onto, new, *before):
             fs.delete(status.getPath(), True)
-    return f"{path}/{name}"
+    return new
 
 
-def _point(spark: SparkSession, path: str, name: str) -> None:
+def _point(spark: SparkSession, path: str, names: list[str]) -> None:
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    fs, fresh = file_system(spark, f"{path}/.{POINTER}-{name}")
+    fs, fresh = file_system(spark, f"{path}/.{POINTER}-{names[-1]}")
     stream = fs.create(fresh, True)
     try:
-        stream.write(bytearray(name.encode()))
+        stream.write(bytearray("\n".join(names).encode()))
     finally:
         stream.close()
     files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())

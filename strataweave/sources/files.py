@@ -1,23 +1,30 @@
 """Scanning a tree of files into ``source_files`` tables, one row a file.
 
-Spark's binary-file reader lists and reads on the executors; the suffix prunes
-before reading, and the size limit is pushed into the scan. The reader hides
-names that begin with ``_`` or ``.``; ``include_hidden`` lists such trees on the
-driver instead and reads the files on the executors, which must see them.
+A tree is first walked, folder by folder and level by level: pruned folders and
+links to folders are not entered, and files above the size limit are named. What
+is left falls into whole subtrees, in which nothing is pruned, and single files
+beside pruned folders. Spark's binary-file reader lists and reads these on the
+executors; the suffix prunes before reading. The reader hides names that begin
+with ``_`` or ``.``; ``include_hidden`` takes all files as single ones and reads
+them on the executors, which must see them.
 """
 
 from __future__ import annotations
 
+import logging
 import os
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_matches
+from . import store
+
+log = logging.getLogger(__name__)
 
 #: Folders that are never entered, and the largest file in bytes.
 PRUNED = (".git", ".sfdx", "node_modules", "target")
@@ -91,28 +98,121 @@ def path_column(target: Column) -> Column:
     return F.contains(target, F.lit("/")) | F.contains(target, F.lit("\\")) | kind_column(target).isNotNull()
 
 
-def read_files(spark: SparkSession, root: str, suffix: str, include_hidden: bool = False) -> DataFrame:
-    """All files below ``root`` with the suffix, as text; those that are no UTF-8 have an error instead."""
+@dataclass(frozen=True)
+class Look:
+    """One folder: folders to enter, whether it holds something that must not be entered, and its files of known endings with their sizes."""
+
+    folders: list[str]
+    mixed: bool
+    files: list[tuple[str, int]]
+
+
+#: Endings of files that are ever read.
+ENDINGS = (*(k.suffix for k in KINDS), ".js", ".html", ".field-meta.xml")
+#: Folders of a level from which on executors look instead of the driver.
+MANY_FOLDERS = 1000
+
+
+def _look_local(folder: str) -> Look:
+    folders, mixed, files = [], False, []
+    try:
+        entries = list(os.scandir(folder))
+    except OSError as e:
+        log.warning("%s cannot be listed: %s", folder, e)
+        return Look([], True, [])
+    for e in entries:
+        if e.is_dir(follow_symlinks=False):
+            if e.name in PRUNED:
+                mixed = True
+            else:
+                folders.append(e.path)
+        elif e.is_dir():
+            mixed = True  # a link to a folder
+        elif e.name.endswith(ENDINGS):
+            try:
+                files.append((e.path, e.stat().st_size))
+            except OSError:
+                mixed = True  # a link to nothing
+    return Look(folders, mixed, files)
+
+
+def _look_at(spark: SparkSession, folder: str) -> Look:
+    """The same on any of Hadoop's file systems; these show no links."""
+    fs, at = file_system(spark, folder)
+    folders, mixed, files = [], False, []
+    for status in fs.listStatus(at):
+        path, name = status.getPath().toString(), status.getPath().getName()
+        if not status.isDirectory():
+            if name.endswith(ENDINGS):
+                files.append((path, status.getLen()))
+        elif name in PRUNED:
+            mixed = True
+        else:
+            folders.append(path)
+    return Look(folders, mixed, files)
+
+
+def _look_apart(spark: SparkSession, folders: list[str]) -> dict[str, Look]:
+    """Folders of a local or mounted file system, looked at by the executors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [_look_local(f) for f in pdf["folder"]]
+            yield pd.DataFrame({"folder": pdf["folder"], "folders": [x.folders for x in found], "mixed": [x.mixed for x in found], "files": [[{"path": p, "size": n} for p, n in x.files] for x in found]})
+
+    rows = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(4 * spark.sparkContext.defaultParallelism)
+    schema = "folder string, folders array<string>, mixed boolean, files array<struct<path:string,size:long>>"
+    return {r.folder: Look(list(r.folders), r.mixed, [(f.path, f.size) for f in r.files]) for r in rows.mapInPandas(run, schema).toLocalIterator()}
+
+
+@dataclass(frozen=True)
+class Tree:
+    """What a walk leaves of ``root``: subtrees to read as a whole, and files to read one by one."""
+
+    root: str
+    whole: list[str] = field(default_factory=list)
+    files: list[tuple[str, int]] = field(default_factory=list)
+    include_hidden: bool = False
+
+
+def walk(spark: SparkSession, root: str, include_hidden: bool = False) -> Tree:
+    """Walk a tree once, for all kinds. The driver keeps a few bytes a folder and the files beside pruned ones, as the reader keeps a row a file."""
     root = canonical(spark, root)
+    local = root.startswith("/")
+    if not exists(spark, root):
+        raise FileNotFoundError(f"no such folder: {root}")
+    parent, mixed, files, level = {}, set(), {}, [root]
+    while level:
+        if local and len(level) > MANY_FOLDERS:
+            found = _look_apart(spark, level)
+        else:
+            found = {f: _look_local(f) if local else _look_at(spark, f) for f in level}
+        level = []
+        for folder, look in found.items():
+            for path, size in look.files:
+                if size > MAX_BYTES:
+                    log.warning("%s is left out: %.1f MB are more than %d MB", path, size / (1 << 20), MAX_BYTES >> 20)
+            files[folder] = [(p, n) for p, n in look.files if n <= MAX_BYTES]
+            if look.mixed:
+                mixed.add(folder)
+            for sub in look.folders:
+                parent[sub] = folder
+                level.append(sub)
     if include_hidden:
-        found = []
-        for folder, folders, names in os.walk(root, followlinks=False):
-            folders[:] = [f for f in folders if f not in PRUNED]
-            found += [(os.path.join(folder, n), os.path.getsize(os.path.join(folder, n))) for n in names if n.endswith(suffix)]
+        return Tree(root, [], [f for some in files.values() for f in some], True)
+    for folder in list(mixed):  # whoever holds a mixed folder is mixed
+        while (folder := parent.get(folder)) and folder not in mixed:
+            mixed.add(folder)
+    whole = [f for f in files if f not in mixed and (f == root or parent[f] in mixed)]
+    shown = [(p, n) for f in mixed for p, n in files.get(f, []) if not p.rsplit("/", 1)[1].startswith(("_", "."))]
+    return Tree(root, whole, shown)
 
-        def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for path, length in zip(pdf["path"], pdf["length"], strict=True):
-                    with open(path, "rb") as f:
-                        yield pd.DataFrame({"path": [path], "length": [length], "content": [f.read()]})
 
-        listed = spark.createDataFrame(found, "path string, length long").where(F.col("length") <= MAX_BYTES)
-        raw = listed.repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism))).mapInPandas(load, "path string, length long, content binary")
-    else:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*" + suffix).load(root)
-        raw = raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", "content")
-    inside = F.split(F.substr(F.col("path"), F.lit(len(root.rstrip("/")) + 2)), "/")
-    raw = raw.where(~F.arrays_overlap(inside, F.array(*[F.lit(p) for p in PRUNED]))).where(F.col("length") <= MAX_BYTES)
+def _tree(spark: SparkSession, root: str | Tree, include_hidden: bool) -> Tree:
+    return root if isinstance(root, Tree) else walk(spark, root, include_hidden)
+
+
+def _as_text(raw: DataFrame) -> DataFrame:
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     return raw.select(
         "path", F.substring_index("path", "/", -1).alias("filename"), "length",
@@ -120,19 +220,44 @@ def read_files(spark: SparkSession, root: str, suffix: str, include_hidden: bool
     )
 
 
+def _binary(spark: SparkSession, paths: list[str], suffix: str = "") -> DataFrame:
+    plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]  # a bracket in a name is no pattern
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*" + suffix).load(plain)
+    return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", "content")
+
+
+def read_files(spark: SparkSession, root: str | Tree, suffix: str, include_hidden: bool = False) -> DataFrame:
+    """All files of a tree with the suffix, as text; those that are no UTF-8 have an error instead."""
+    tree = _tree(spark, root, include_hidden)
+    single = [(p, n) for p, n in tree.files if p.endswith(suffix)]
+    if tree.include_hidden:
+
+        def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for path, length in zip(pdf["path"], pdf["length"], strict=True):
+                    yield pd.DataFrame({"path": [path], "length": [length], "content": [store.read(path)]})
+
+        listed = spark.createDataFrame(single, "path string, length long")
+        return _as_text(listed.repartition(max(1, min(len(single), spark.sparkContext.defaultParallelism))).mapInPandas(load, "path string, length long, content binary"))
+    paths = [*tree.whole, *(p for p, _ in single)]
+    if not paths:
+        return spark.createDataFrame([], SCHEMA)
+    return _as_text(_binary(spark, paths, suffix).where(F.col("length") <= MAX_BYTES))
+
+
 def _folder(path: str = "path") -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
-def scan(spark: SparkSession, root: str, kind: str, include_hidden: bool = False) -> DataFrame:
+def scan(spark: SparkSession, root: str | Tree, kind: str, include_hidden: bool = False) -> DataFrame:
     """``(path, filename, stem, folder_path, length, raw_source, error, script)`` of one kind, by filename and path.
 
     Lightning components take the text of the script beside them, if there is
     one; Aura components keep their markup and have the script apart. Files
     above the size limit are left out.
     """
-    k = BY_NAME[kind]
-    files = read_files(spark, root, k.suffix, include_hidden)
+    k, root = BY_NAME[kind], _tree(spark, root, include_hidden)
+    files = read_files(spark, root, k.suffix)
     if k.excluded:
         files = files.where(~F.contains("filename", F.lit(k.excluded)))
     if k.ancestor:
@@ -140,7 +265,7 @@ def scan(spark: SparkSession, root: str, kind: str, include_hidden: bool = False
     stem = F.substr(F.col("filename"), F.lit(1), F.length("filename") - len(k.suffix))
     files = files.withColumn("stem", stem).withColumn("folder_path", _folder())
     if k.companion:
-        js = read_files(spark, root, ".js", include_hidden).where("error is null")
+        js = read_files(spark, root, ".js").where("error is null")
         js = js.select(_folder().alias("folder_path"), F.regexp_replace("filename", r"\.js$", "").alias("stem"), F.col("raw_source").alias("script"))
         files = files.join(js, ["folder_path", "stem"], "left")
         if kind == "lwc":
@@ -150,28 +275,28 @@ def scan(spark: SparkSession, root: str, kind: str, include_hidden: bool = False
     return files.select("path", "filename", "stem", "folder_path", "length", "raw_source", "error", "script").orderBy("filename", "path")
 
 
-def scan_markup(spark: SparkSession, root: str, include_hidden: bool = False) -> DataFrame:
+def scan_markup(spark: SparkSession, root: str | Tree, include_hidden: bool = False) -> DataFrame:
     """``(folder_path, component_name, html)`` of markup files, to join to components."""
     html = read_files(spark, root, ".html", include_hidden).where("error is null")
     return html.select(_folder().alias("folder_path"), F.regexp_replace("filename", r"\.html$", "").alias("component_name"), F.col("raw_source").alias("html"))
 
 
-def scan_fields(spark: SparkSession, root: str, include_hidden: bool = False) -> DataFrame:
+def scan_fields(spark: SparkSession, root: str | Tree, include_hidden: bool = False) -> DataFrame:
     """Field files in a ``fields`` folder: ``(object_dir, path, filename, stem, raw_source)``; unreadable ones are left out."""
     files = read_files(spark, root, ".field-meta.xml", include_hidden).where("error is null").withColumn("_in", _folder())
     files = files.where(F.endswith("_in", F.lit("/fields")))
     return files.select(F.regexp_replace("_in", "/fields$", "").alias("object_dir"), "path", "filename", F.regexp_replace("filename", r"\.field-meta\.xml$", "").alias("stem"), "raw_source")
 
 
-def scan_all(spark: SparkSession, root: str, kinds: list[str] | None = None, name: str | None = None, include_hidden: bool = False) -> dict[str, DataFrame]:
+def scan_all(spark: SparkSession, root: str | Tree, kinds: list[str] | None = None, name: str | None = None, include_hidden: bool = False) -> dict[str, DataFrame]:
     """The chosen kinds (all, if none is named); ``name`` is a shell pattern for the stem or the whole file name."""
     unknown = set(kinds or []) - set(BY_NAME)
     if unknown:
         raise ValueError(f"unknown kinds: {', '.join(sorted(unknown))}")
-    out = {}
+    out, root = {}, _tree(spark, root, include_hidden)
     for k in KINDS:
         if not kinds or k.name in kinds:
-            files = scan(spark, root, k.name, include_hidden)
+            files = scan(spark, root, k.name)
             out[k.name] = files.where(glob_matches(name, F.col("stem"), F.col("filename"))) if name else files
     return out
 
@@ -180,7 +305,12 @@ def read_target(spark: SparkSession, path: str) -> DataFrame:
     """One file by its path, without size or folder checks; a missing one is an error of its own."""
     if not exists(spark, path):
         raise FileNotFoundError(f"no such file: {path}")
-    if (kind := kind_of(path)) is None:
+    if kind_of(path) is None:
         raise ValueError(f"not a known kind of file: {path}")
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    return raw.select(F.lit(canonical(spark, path)).alias("path"), F.lit(path.rsplit("/", 1)[-1]).alias("filename"), F.lit(kind).alias("kind"), F.col("content").cast("string").alias("raw_source"))
+    return read_targets(spark, [canonical(spark, path)])
+
+
+def read_targets(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(path, filename, kind, raw_source)`` of files by their canonical paths, in one scan; files of no known kind have a null kind."""
+    raw = _binary(spark, paths).select("path", F.substring_index("path", "/", -1).alias("filename"), F.col("content").cast("string").alias("raw_source"))
+    return raw.select("path", "filename", kind_column(F.col("path")).alias("kind"), "raw_source")
