@@ -1,9 +1,9 @@
-"""Queries of the whole flow: a tree of files made of the nation table is scanned, parsed, described and rendered.
+"""Queries of the whole flow: a tree of files made of the supplier table is scanned, parsed, described and rendered.
 
-Every nation gives a file of each kind, every region an interface, and there are
-files that no scan may take. The expected rows are spelled out in SQL from the
-same table. The tree and what is built of it are made once for a session and a
-data folder, in the shared folder.
+Every supplier gives a file of each kind, written by the executors, every region an
+interface, and there are files that no scan may take. The expected rows are spelled
+out in SQL from the same tables. The tree and what is built of it are made once for
+a session and a data folder, in the shared folder.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
+from .operators.relational import numbered
 from .plans import cache, enrich, pipeline, prompts, versions
 from .sources import files as src
+from .sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,7 +57,7 @@ def _once(s: SparkSession, d: str, what: str, make: Callable[[str], object]) ->
 
 
 def sources(i: int, name: str, region: int, region_name: str) -> dict[str, str]:
-    """Paths and texts of one nation."""
+    """Paths and texts of one supplier."""
     out = {
         f"classes/{region_name}/Class_{i}.cls": f"/** Class of {name}. @tag {region_name.lower()} */\npublic {'abstract ' if i % 3 == 0 else ''}with sharing class Class_{i}{f' extends Base_{region}' if i % 2 == 0 else ''} implements Runner_{region}, Batch {{\n"
         f"  private static Integer LIMIT_{i} = {i};\n  public String label;\n  // public void hidden() {{}}\n  public void run(String why, Integer times) {{ Helper.go(why); }}\n  global static Class_{i} first(Id key) {{ return null; }}\n}}",
@@ -69,7 +71,7 @@ def sources(i: int, name: str, region: int, region_name: str) -> dict[str, str]:
         f"objects/Obj_{i}/validationRules/Rule_{i}.validationRule-meta.xml": f"<ValidationRule>{'<active>false</active>' if i % 2 else ''}<description>Guards {name}</description><errorConditionFormula>a &lt; {i}</errorConditionFormula><errorDisplayField>A__c</errorDisplayField><errorMessage> Below {i} </errorMessage></ValidationRule>",
         f"lwc/comp{i}/comp{i}.js-meta.xml": f"<x>{i}</x>",
         f"flexipages/Page_{i}.flexipage-meta.xml": f"<FlexiPage><masterLabel>Start {i}</masterLabel><type>AppPage</type>{f'<sobjectType>Obj_{i}</sobjectType>' if i % 2 else ''}<r><componentName>c__comp{i}</componentName><componentName>c__comp{i}</componentName><componentName>force:two</componentName><actionName>Flow_{i}</actionName></r></FlexiPage>",
-        f"customMetadata/Type{i % 3}__mdt.Rec_{i:02d}.md-meta.xml": f"<CustomMetadata xmlns:xsi='http://y'><label>Rec of {name}</label><values><field>A__c</field><value xsi:type='xsd:double'>{i}</value></values>{f'<values><field>B{region}__c</field><value>b{i}</value></values>' if i % 2 else ''}<values><field>C__c</field></values></CustomMetadata>",
+        f"customMetadata/Type{i % 3}__mdt.Rec_{i:06d}.md-meta.xml": f"<CustomMetadata xmlns:xsi='http://y'><label>Rec of {name}</label><values><field>A__c</field><value xsi:type='xsd:double'>{i}</value></values>{f'<values><field>B{region}__c</field><value>b{i}</value></values>' if i % 2 else ''}<values><field>C__c</field></values></CustomMetadata>",
         f"aura/au{i}/au{i}.cmp": f'<aura:component{f" extends=\'c:base{region}\'" if i % 2 else ""}><aura:attribute name="title" type="String" default="{name}"/><aura:attribute name="n" type="Integer"/><aura:registerEvent name="saved" type="c:e"/><aura:handler event="c:again{i}"/><aura:handler event="c:again{i}"/></aura:component>',
         f"aura/au{i}/au{i}.js": "({})",
     }
@@ -85,30 +87,36 @@ DECOYS = {
 }
 
 
-def _nations(s: SparkSession, d: str) -> list:
-    nation, region = s.read.parquet(f"{d}/nation.parquet"), s.read.parquet(f"{d}/region.parquet")
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "n_regionkey", "r_name").collect()  # one row a nation
+def _suppliers(s: SparkSession, d: str) -> DataFrame:
+    """The suppliers as ``_N`` names them."""
+    supplier, nation, region = (s.read.parquet(f"{d}/{t}.parquet") for t in ("supplier", "nation", "region"))
+    of = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return of.select(F.col("s_suppkey").cast("long").alias("i"), F.concat_ws("_", "n_name", F.col("s_suppkey").cast("string")).alias("name"), F.col("n_regionkey").alias("k"), F.col("r_name").alias("region"))
 
 
 def tree(s: SparkSession, d: str) -> str:
     """The folder with the files, written once."""
 
     def make(at: str) -> None:
-        texts = dict(DECOYS)
-        for r in _nations(s, d):
-            texts |= sources(*r)
-            texts[f"classes/Runner_{r.n_regionkey}.cls"] = f"public interface Runner_{r.n_regionkey} {{\n  void run(String why, Integer times);\n}}"
-        fs, _ = src.file_system(s, at)
-        path = s.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for name, text in texts.items():
-            stream = fs.create(path(f"{at}/{name}"), True)
-            stream.write(bytearray(text.encode()))
-            stream.close()
+        def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                n = 0
+                for row in pdf.itertuples(index=False):
+                    for name, text in sources(int(row.i), row.name, int(row.k), row.region).items():
+                        store.write(f"{at}/{name}", text.encode())
+                        n += 1
+                yield pd.DataFrame({"n": [n]})
+
+        rows = _suppliers(s, d)
+        rows.repartition(s.sparkContext.defaultParallelism, "i").mapInPandas(put, "n long").agg(F.sum("n")).collect()
+        interfaces = {f"classes/Runner_{r.k}.cls": f"public interface Runner_{r.k} {{\n  void run(String why, Integer times);\n}}" for r in rows.select("k").distinct().collect()}  # a row a region
+        for name, text in (DECOYS | interfaces).items():
+            store.write(f"{at}/{name}", text.encode())
 
     return src.canonical(s, _once(s, d, "tree", make))
 
 
-_N = "n AS (SELECT n_nationkey AS i, n_name AS name, n_regionkey AS k, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey)"
+_N = "n AS (SELECT CAST(s_suppkey AS BIGINT) AS i, n_name || '_' || s_suppkey AS name, n_regionkey AS k, r_name AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 _LIST = f"""WITH {_N}, f AS (
 SELECT 'apex' AS kind, 'classes/' || region || '/Class_' || i || '.cls' AS path, '.cls' AS suffix, false AS has_script FROM n
 UNION ALL SELECT DISTINCT 'apex', 'classes/Runner_' || k || '.cls', '.cls', false FROM n
@@ -117,7 +125,7 @@ UNION ALL SELECT 'flows', 'flows/Flow_' || i || '.flow-meta.xml', '.flow-meta.xm
 UNION ALL SELECT 'objects', 'objects/Obj_' || i || '/Obj_' || i || '.object-meta.xml', '.object-meta.xml', false FROM n
 UNION ALL SELECT 'validation-rules', 'objects/Obj_' || i || '/validationRules/Rule_' || i || '.validationRule-meta.xml', '.validationRule-meta.xml', false FROM n
 UNION ALL SELECT 'flexipages', 'flexipages/Page_' || i || '.flexipage-meta.xml', '.flexipage-meta.xml', false FROM n
-UNION ALL SELECT 'custom-metadata', 'customMetadata/Type' || (i % 3) || '__mdt.Rec_' || lpad(i::VARCHAR, 2, '0') || '.md-meta.xml', '.md-meta.xml', false FROM n
+UNION ALL SELECT 'custom-metadata', 'customMetadata/Type' || (i % 3) || '__mdt.Rec_' || lpad(i::VARCHAR, 6, '0') || '.md-meta.xml', '.md-meta.xml', false FROM n
 UNION ALL SELECT 'lwc', 'lwc/comp' || i || '/comp' || i || '.js-meta.xml', '.js-meta.xml', i % 2 = 1 FROM n
 UNION ALL SELECT 'aura', 'aura/au' || i || '/au' || i || '.cmp', '.cmp', true FROM n),
 x AS (SELECT kind, path, string_split(path, '/')[-1] AS filename, suffix, has_script FROM f)
@@ -141,18 +149,10 @@ def scan_tree(s, d):
     return _union([df.select(F.lit(k).alias("kind"), _below(root).alias("path"), "filename", "stem", F.col("script").isNotNull().alias("has_script")) for k, df in src.scan_all(s, root).items()])
 
 
-def _numbered(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    n = 0
-    for pdf in it:
-        yield pdf.assign(at=range(n + 1, n + len(pdf) + 1))
-        n += len(pdf)
-
-
 @query(_LIST + "SELECT kind, filename, row_number() OVER (PARTITION BY kind ORDER BY filename, path) AS at FROM x")
 def ordered_scan(s, d):
-    root = tree(s, d)
-    parts = [df.select("filename").coalesce(1).mapInPandas(_numbered, "filename string, at long").withColumn("kind", F.lit(k)) for k, df in src.scan_all(s, root).items()]
-    return _union(parts).select("kind", "filename", "at")
+    """The place of each file in its scan; the scan itself gives the order."""
+    return _union([numbered(df.select("filename"), "at").withColumn("kind", F.lit(k)) for k, df in src.scan_all(s, tree(s, d)).items()]).select("kind", "filename", "at")
 
 
 @query(f"WITH {_N} SELECT 'Obj_' || i AS object, f AS filename, 'objects/Obj_' || i || '/fields/' || f AS path FROM n, (VALUES ('A__c.field-meta.xml'), ('B__c.field-meta.xml')) t(f)")
@@ -166,27 +166,29 @@ def scan_markup_files(s, d):
     return src.scan_markup(s, tree(s, d)).select("component_name", "html")
 
 
-@query(f"WITH {_N} SELECT 'comp' || i AS stem, CASE i % 2 WHEN 1 THEN left('import x from', 9) ELSE '<x>' || i || '</x>' END AS start FROM n")
+_SCRIPT = "CASE i % 2 WHEN 1 THEN 'import x from ''y'';' || chr(10) || '@api label = ' || i || ';' || chr(10) || '@api get size() { return 1; }' || chr(10) || '@api focus() {}' || chr(10) || '@api label;' || chr(10) ELSE '<x>' || i || '</x>' END"
+
+
+@query(f"WITH {_N} SELECT 'comp' || i AS stem, {_SCRIPT} AS source FROM n")
 def script_fallback(s, d):
-    return src.scan(s, tree(s, d), "lwc").select("stem", F.when(F.startswith("raw_source", F.lit("import")), F.substring("raw_source", 1, 9)).otherwise(F.col("raw_source")).alias("start"))
+    return src.scan(s, tree(s, d), "lwc").select("stem", F.col("raw_source").alias("source"))
 
 
 @query(f"WITH {_N} SELECT 'Watch_' || i || '.trigger' AS filename, 'triggers' AS kind, true AS has_text FROM n UNION ALL SELECT 'Page_' || i || '.flexipage-meta.xml', 'flexipages', true FROM n")
 def read_targets(s, d):
+    """Files by their paths, all in one scan."""
     root = tree(s, d)
-    parts = [src.read_target(s, f"{root}/{p}") for r in _nations(s, d) for p in (f"triggers/Watch_{r.n_nationkey}.trigger", f"flexipages/Page_{r.n_nationkey}.flexipage-meta.xml")]
-    return _union([p.select("filename", "kind", (F.length("raw_source") > 20).alias("has_text")) for p in parts])
+    names = [r.i for r in _suppliers(s, d).select("i").collect()]  # the targets that a user names
+    found = src.read_targets(s, [f"{root}/{p}" for i in names for p in (f"triggers/Watch_{i}.trigger", f"flexipages/Page_{i}.flexipage-meta.xml")])
+    return found.select("filename", "kind", (F.length("raw_source") > 20).alias("has_text"))
 
 
-@query(f"WITH {_N} SELECT DISTINCT 'RUNNER_' || k AS target, 'apex' AS kind FROM n UNION ALL SELECT 'comp1', 'lwc' UNION ALL SELECT 'Nobody', 'none'")
+@query(f"WITH {_N} SELECT DISTINCT 'RUNNER_' || k AS target, 'apex' AS kind, 'found' AS status FROM n UNION ALL SELECT 'COMP' || i, 'lwc', 'found' FROM n UNION ALL SELECT 'Nobody_' || i, NULL, 'missing' FROM n UNION ALL SELECT DISTINCT 'b__C', NULL, 'missing' FROM n")
 def resolve_targets(s, d):
-    root, rows = tree(s, d), []
-    for target in [f"RUNNER_{k}" for k in sorted({r.n_regionkey for r in _nations(s, d)})] + ["comp1", "Nobody"]:
-        try:
-            rows.append((target, pipeline.resolve(s, target, root)[1]))
-        except LookupError:
-            rows.append((target, "none"))
-    return s.createDataFrame(rows, "target string, kind string")
+    rows = _suppliers(s, d)
+    word = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string")).alias("target")
+    wanted = _union([rows.select(word("RUNNER_", "k")).distinct(), rows.select(word("COMP", "i")), rows.select(word("Nobody_", "i")), rows.select(F.lit("b__C").alias("target")).distinct()])
+    return pipeline.resolve_all(wanted, pipeline.targets(s, tree(s, d))).select("target", "kind", "status")
 
 
 @query(_LIST + "SELECT kind, filename FROM x WHERE kind IN ('apex', 'triggers') AND (filename GLOB '*_1?' OR left(filename, length(filename) - length(suffix)) GLOB '*_1?')")
@@ -199,13 +201,17 @@ def scan_by_tag(s, d):
     return _union([df.select(F.lit(k).alias("kind"), "name") for k, df in pipeline.metadata(s, tree(s, d), pipeline.Filters(tags=["ASIA", "watch-1"])).items()])
 
 
-@query("SELECT 'none' AS answer")
+@query(f"WITH {_N} SELECT i, CASE WHEN i % 2 = 0 THEN 'none' ELSE 'some' END AS answer FROM n")
 def scan_of_nothing(s, d):
-    try:
-        pipeline.metadata(s, tree(s, d), pipeline.Filters(name="zzz*"))
-        return s.createDataFrame([("some",)], "answer string")
-    except pipeline.NoFiles:
-        return s.createDataFrame([("none",)], "answer string")
+    """A filter that fits no file is an error of its own; asked for once, as an answer for every second supplier."""
+    answers = {}
+    for n, name in enumerate(("zzz*", "Watch_*")):
+        try:
+            pipeline.metadata(s, tree(s, d), pipeline.Filters(name=name))
+            answers[n] = "some"
+        except pipeline.NoFiles:
+            answers[n] = "none"
+    return _suppliers(s, d).select("i", F.when(F.col("i") % 2 == 0, answers[0]).otherwise(answers[1]).alias("answer"))
 
 
 # --- parsers over all files ----------------------------------------------------
@@ -268,7 +274,7 @@ def page_files(s, d):
     return _table(s, d, "flexipages").select("api_name", "label", "page_type", "sobject", F.array_join("component_names", ";").alias("components"), F.array_join("flow_names", ";").alias("flows"))
 
 
-@query(f"WITH {_N} SELECT 'Type' || (i % 3) || '__mdt' AS type_name, 'Rec_' || lpad(i::VARCHAR, 2, '0') AS record_name, 'Rec of ' || name AS label, 'A__c=' || i || CASE i % 2 WHEN 1 THEN ';B' || k || '__c=b' || i ELSE '' END AS cells FROM n")
+@query(f"WITH {_N} SELECT 'Type' || (i % 3) || '__mdt' AS type_name, 'Rec_' || lpad(i::VARCHAR, 6, '0') AS record_name, 'Rec of ' || name AS label, 'A__c=' || i || CASE i % 2 WHEN 1 THEN ';B' || k || '__c=b' || i ELSE '' END AS cells FROM n")
 def record_files(s, d):
     return _table(s, d, "custom-metadata").select("type_name", "record_name", "label", _flat("values", lambda v: F.concat_ws("=", v["field"], v["value"])).alias("cells"))
 
@@ -320,23 +326,30 @@ for _kind, _name in (("triggers", "'Watch_'"), ("validation-rules", "'Rule_'"),
     _prompt_query(_kind, _name)
 
 
-@query(f"""WITH {_N}, t AS (SELECT i, '<Flow xmlns=''http://x''>' || CASE i % 2 WHEN 0 THEN '<label>Greet ' || name || ' &amp; go</label>' ELSE '' END AS head FROM n)
+_FLOW = "'<Flow xmlns=''http://x''>' || CASE i % 2 WHEN 0 THEN '<label>Greet ' || name || ' &amp; go</label>' ELSE '' END || '<processType>Auto' || k || '</processType><description>For ' || name || '</description><variables><name>v' || i || '</name><dataType>String</dataType><isInput>true</isInput><isOutput>' || CASE i % 3 WHEN 0 THEN 'true' ELSE 'false' END || '</isOutput></variables>' || '<variables><name>own</name><dataType>Number</dataType></variables><recordUpdates><object>Obj_' || i || '</object></recordUpdates><recordLookups><object>Account</object></recordLookups><actionCalls><actionName>send' || i || '</actionName><actionType>email</actionType></actionCalls><decisions><name>d</name></decisions><decisions><name>e</name></decisions><screens><name>s</name></screens></Flow>'"
+
+
+@query(f"""WITH {_N}, t AS (SELECT i, {_FLOW} || {_NL} AS head FROM n)
 SELECT 'Flow_' || n.i AS name, {_lines("'Flow: ' || CASE n.i % 2 WHEN 0 THEN 'Greet ' || name || ' & go' ELSE 'Flow ' || n.i END", "'Type: Auto' || k", "'About: For ' || name", "'Inputs:'", "'* String v' || n.i")} || CASE n.i % 3 WHEN 0 THEN {_lines("'Outputs:'", "'* String v' || n.i")} ELSE '' END
-|| {_lines("'Record operations:'", "'* update Obj_' || n.i", "'* lookup Account'", "'Actions:'", "'* send' || n.i || ' email'", "'Decisions: 2'", "'Loops: 0'", "'Screens: 1'", "'XML:'")} || head AS start FROM n JOIN t USING (i)""")
+|| {_lines("'Record operations:'", "'* update Obj_' || n.i", "'* lookup Account'", "'Actions:'", "'* send' || n.i || ' email'", "'Decisions: 2'", "'Loops: 0'", "'Screens: 1'", "'XML:'")} || head AS prompt FROM n JOIN t USING (i)""")
 def prompt_flows(s, d):
-    p = prompts.prompt("flows")
-    return _table(s, d, "flows").select("name", F.concat(F.substring_index(p, "<processType>", 1)).alias("start"))
+    return _table(s, d, "flows").select("name", prompts.prompt("flows").alias("prompt"))
+
 
+_CLASS = f"""'/** Class of ' || name || '. @tag ' || lower(region) || ' */' || {_NL} || 'public ' || CASE i % 3 WHEN 0 THEN 'abstract ' ELSE '' END || 'with sharing class Class_' || i || CASE i % 2 WHEN 0 THEN ' extends Base_' || k ELSE '' END || ' implements Runner_' || k || ', Batch {{' || {_NL} || '  private static Integer LIMIT_' || i || ' = ' || i || ';' || {_NL} || '  public String label;' || {_NL} || '  // public void hidden() {{}}' || {_NL} || '  public void run(String why, Integer times) {{ Helper.go(why); }}' || {_NL} || '  global static Class_' || i || ' first(Id key) {{ return null; }}' || {_NL} || '}}'"""
 
-@query(f"""WITH {_N} SELECT 'Class_' || i AS name, {_lines("'Class: Class_' || i")} || CASE i % 2 WHEN 0 THEN 'Extends: Base_' || k || {_NL} ELSE '' END || {_lines("'Implements:'", "'* Runner_' || k", "'* Batch'", "'Methods:'", "'* public void run(String why, Integer times)'", "'* global static Class_' || i || ' first(Id key)'", "'Properties:'", "'* Integer LIMIT_' || i", "'* String label'", "'Comments:'", "'* /** Class of ' || name || '. @tag ' || lower(region) || ' */'", "'Source:'", "'/** Class of ' || name || '. @tag ' || lower(region) || ' */'")} AS start FROM n""")
+
+@query(f"""WITH {_N} SELECT 'Class_' || i AS name, {_lines("'Class: Class_' || i")} || CASE i % 2 WHEN 0 THEN 'Extends: Base_' || k || {_NL} ELSE '' END || {_lines("'Implements:'", "'* Runner_' || k", "'* Batch'", "'Methods:'", "'* public void run(String why, Integer times)'", "'* global static Class_' || i || ' first(Id key)'", "'Properties:'", "'* Integer LIMIT_' || i", "'* String label'", "'Comments:'", "'* /** Class of ' || name || '. @tag ' || lower(region) || ' */'", "'Source:'")} || {_CLASS} || {_NL} AS prompt FROM n""")
 def prompt_apex(s, d):
-    p = prompts.prompt("apex")
-    return _table(s, d, "apex").where("not is_interface").select("name", F.regexp_replace(p, r"(?s)(?<=\*/\n)public .*$", "").alias("start"))
+    return _table(s, d, "apex").where("not is_interface").select("name", prompts.prompt("apex").alias("prompt"))
+
+
+_MARKUP = "'<aura:component' || CASE i % 2 WHEN 1 THEN ' extends=''c:base' || k || chr(39) ELSE '' END || '><aura:attribute name=\"title\" type=\"String\" default=\"' || name || '\"/><aura:attribute name=\"n\" type=\"Integer\"/><aura:registerEvent name=\"saved\" type=\"c:e\"/><aura:handler event=\"c:again' || i || '\"/><aura:handler event=\"c:again' || i || '\"/></aura:component>'"
 
 
-@query(f"""WITH {_N} SELECT 'au' || i AS name, {_lines("'Component: au' || i")} || CASE i % 2 WHEN 1 THEN 'Extends: c:base' || k || {_NL} ELSE '' END || {_lines("'Attributes:'", "'* String title ' || name || ' '", "'* Integer n  '", "'Events:'", "'* saved'", "'* c:again' || i", "'Markup:'")} || '<aura:component' AS start FROM n""")
+@query(f"""WITH {_N} SELECT 'au' || i AS name, {_lines("'Component: au' || i")} || CASE i % 2 WHEN 1 THEN 'Extends: c:base' || k || {_NL} ELSE '' END || {_lines("'Attributes:'", "'* String title ' || name || ' '", "'* Integer n  '", "'Events:'", "'* saved'", "'* c:again' || i", "'Markup:'")} || {_MARKUP} || {_NL} AS prompt FROM n""")
 def prompt_aura(s, d):
-    return _table(s, d, "aura").select("name", F.regexp_extract(prompts.prompt("aura"), "(?s)^(.*?<aura:component)", 1).alias("start"))
+    return _table(s, d, "aura").select("name", prompts.prompt("aura").alias("prompt"))
 
 
 # --- descriptions, snapshot, pages ---------------------------------------------
@@ -458,7 +471,7 @@ def pages_interfaces(s, d):
     return _pages(s, d, "apex").where("name like 'Runner%'").select("name", listed.alias("classes"))
 
 
-@query(f"""WITH {_N}, r AS (SELECT 'Type' || (i % 3) || '__mdt' AS t, 'Rec_' || lpad(i::VARCHAR, 2, '0') AS rec, 'Rec of ' || name AS label, i, k FROM n),
+@query(f"""WITH {_N}, r AS (SELECT 'Type' || (i % 3) || '__mdt' AS t, 'Rec_' || lpad(i::VARCHAR, 6, '0') AS rec, 'Rec of ' || name AS label, i, k FROM n),
 c AS (SELECT t, list_sort(['A__c'] || list(DISTINCT 'B' || k || '__c') FILTER (i % 2 = 1)) AS cols, count(*) AS n FROM r GROUP BY t),
 b AS (SELECT r.t AS t, rec, '| `' || rec || '` | ' || label || ' ' || array_to_string(list_transform(cols, lambda x: '| ' || CASE WHEN x = 'A__c' THEN i::VARCHAR WHEN i % 2 = 1 AND x = 'B' || k || '__c' THEN 'b' || i ELSE '—' END || ' '), '') || '|' || {_NL} AS line FROM r JOIN c ON r.t = c.t)
 SELECT c.t AS name, '# ' || c.t || {_NL} || {_NL} || '`custom-metadata-type`' || {_NL} || {_NL} || n || ' record(s)' || {_NL} || {_NL} || '## Records' || {_NL} || {_NL} || '| Record | Label' || array_to_string(list_transform(cols, lambda x: ' | ' || x), '') || ' |' || {_NL} || '|--------|------' || repeat('|------', len(cols)) || '|' || {_NL}
