@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,47 +82,54 @@ def sketches(sets: DataFrame) -> DataFrame:
     """``(t1, size, registers)`` of ``sets(t1, size, set)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             regs = [registers(np.frombuffer(x.as_buffer(), dtype="<u8")).tobytes() for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(regs, pa.binary())], names=["t1", "size", "registers"])
 
     return sets.select("t1", "size", "set").mapInArrow(run, "t1 long, size int, registers binary")
 
 
-def _bands(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a worker holds little beside what Spark sends."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), dtype="<u2").reshape(len(col), BUCKETS)
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(band, t1)`` for every band with a used register; the band's number and registers are one 64-bit hash."""
     odd = np.array([pow(0xBF58476D1CE4E5B9, i + 1, 1 << 64) for i in range(BAND)], dtype=np.uint64)
-    for pdf in it:
-        if not len(pdf):
-            continue
-        regs = np.frombuffer(b"".join(pdf["registers"]), dtype="<u2").reshape(len(pdf), -1, BAND)
+    for b in _pieces(batches):
+        regs = _matrix(b.column(1)).reshape(b.num_rows, -1, BAND)
         h = (regs.astype(np.uint64) * odd).sum(axis=2, dtype=np.uint64) + np.arange(regs.shape[1], dtype=np.uint64) * _MIX
         h = (h ^ (h >> np.uint64(29))) * _MIX
         row, band = np.nonzero(regs.any(axis=2))
-        yield pd.DataFrame({"band": h[row, band].view(np.int64), "t1": pdf["t1"].to_numpy()[row]})
+        yield pa.RecordBatch.from_arrays([pa.array(h[row, band].view(np.int64)), b.column(0).take(pa.array(row))], names=["band", "t1"])
 
 
 def banded(sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``(a, b)`` of texts with an equal band, each with the band's leader, whose estimate does not lie too far below ``similarity``."""
     sketch = stored(sketches(sets), "sketches")
-    bands = stored(sketch.select("t1", "registers").mapInPandas(_bands, "band long, t1 long"), "bands")
+    bands = stored(sketch.select("t1", "registers").mapInArrow(_bands, "band long, t1 long"), "bands")
     leaders = bands.groupBy("band").agg(F.min("t1").alias("a"), F.max("t1").alias("last")).where("a < last").select("band", "a")
-    pairs = bands.join(stored(leaders, "leaders"), "band").where("a <> t1").select("a", F.col("t1").alias("b")).distinct()
-    pairs = stored(pairs, "banded")
-    release(bands)
+    leaders = stored(leaders, "leaders")
+    pairs = stored(bands.join(leaders, "band").where("a <> t1").select("a", F.col("t1").alias("b")).distinct(), "banded")
+    release(bands, leaders)
     side = lambda n: sketch.select(F.col("t1").alias(n), F.col("size").alias(f"{n}_size"), F.col("registers").alias(f"{n}_regs"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def plausible(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in it:
-            for at in range(0, len(whole), 1000):
-                pdf = whole.iloc[at : at + 1000]
-                x, y = (np.frombuffer(b"".join(pdf[c]), dtype="<u2").reshape(len(pdf), -1) for c in ("a_regs", "b_regs"))
-                found, used = estimate(x, y, pdf["a_size"].to_numpy(), pdf["b_size"].to_numpy())
-                error = np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
-                yield pdf.loc[found >= similarity - SLACK * error, ["a", "b"]]
-
-    return both.mapInPandas(plausible, "a long, b long")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_regs", "b_regs")
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches):
+            found, used = estimate(_matrix(b.column(4)), _matrix(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy())
+            error = np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
+            keep = pa.array(found >= similarity - SLACK * error)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    return both.mapInArrow(plausible, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, similarity: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
