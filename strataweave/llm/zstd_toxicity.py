@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,7 +158,8 @@ def train(rows: list[tuple[str, int]], window: int = 1, level: int = 9, toxic_si
     Equal rows count once. With one label only, or no rows, scores are the share
     of label 1 (one half without rows).
     """
-    rows = list(dict.fromkeys(rows))
+    # in the order of a hash of the text: which fold a row is in depends on nothing else
+    rows = sorted(dict.fromkeys(rows), key=lambda r: (xxhash.xxh64_intdigest(r[0].encode("utf-8", "surrogatepass"), 6), *r))
     parts = [rows[k::folds] for k in range(folds)]
     # byte strings are counted once a fold: what a model may count is all of them, or all but one fold's
     seen = [_support(t for t, y in p if y) for p in parts]
@@ -182,29 +184,25 @@ def train(rows: list[tuple[str, int]], window: int = 1, level: int = 9, toxic_si
     return model
 
 
-def excerpt(text: Column, most: int, parts: int = 4) -> Column:
-    """The whole text, or, if it is longer than ``most`` characters, ``parts`` pieces of it, evenly spaced, of that length in all."""
-    size = most // parts
-    pieces = [F.substr(text, (F.lit(1) + F.floor((F.length(text) - size) * i / (parts - 1))).cast("int"), F.lit(size)) for i in range(parts)]
-    return F.when(F.length(text) > most, F.concat_ws(" ", *pieces)).otherwise(text)
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_chars: int = 8_000, **options: float) -> Model:
-    """A model from at most about ``max_rows`` labelled rows, of each at most ``max_chars`` characters: so many times so many bound what the driver holds.
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_chars: int = 16_000_000, **options: float) -> Model:
+    """A model from labelled rows, whole texts: at most about ``max_rows`` of them and ``max_chars`` characters in all, which bound what the driver holds.
 
     Rows whose ``crc32(doc_id) mod 5`` is 0 are never trained on. If there are
-    more, rows are taken by a hash of their id; of longer texts evenly spaced
-    pieces train. Null ids, texts and labels are left out; a repeated id or label
-    gives a row each, and equal rows count once.
+    more rows, fewer labels are drawn by a hash of their id; if there are more
+    characters, fewer of these rows by a hash of their text. A text with more than
+    a sixteenth of ``max_chars`` is no training row. Null ids, texts and labels are
+    left out; a repeated id or label gives a row each, and equal rows count once.
     """
-    labels = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out("doc_id"))
-    n = labels.count()
+    labels = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).distinct()
+    n, drawn = labels.count(), lambda c, share: F.pmod(F.xxhash64(c), F.lit(1 << 20)) < int((1 << 20) * share)
     if n > max_rows:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(labels.distinct()), "doc_id").select("doc_id", excerpt(F.col("text"), max_chars).alias("text"), "toxic").distinct().collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text, r.toxic))
-    return train([(r.text, int(r.toxic == 1)) for r in rows], **options)
+        labels = labels.where(drawn("doc_id", max_rows / n))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars // 16)
+    rows = texts.join(F.broadcast(labels), "doc_id").select("text", (F.col("toxic") == 1).cast("int").alias("toxic"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > max_chars:
+        rows = rows.where(drawn("text", max_chars / chars))
+    return train([(r.text, r.toxic) for r in rows.distinct().collect()], **options)
 
 
 def held_out(doc_id: str) -> Column:

@@ -1,6 +1,7 @@
 """Operators that judge each row, against plain Python or the public library."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -415,8 +416,23 @@ def plain_toxicity(model):
     return score
 
 
-def test_pieces_of_long_texts(spark):
-    text = "".join(chr(97 + i % 26) for i in range(5000))
-    frame = spark.createDataFrame([(text,), (text[:100],), (None,)], "text string")
-    got = [r[0] for r in frame.select(zt.excerpt(frame.text, 400)).collect()]
-    assert got[0] == " ".join(text[i : i + 100] for i in (0, 1633, 3266, 4900)) and got[1:] == [text[:100], None]
+def test_whole_texts_train_and_ids_do_not_matter(spark):
+    """Characters are bounded by fewer rows, never by parts of texts; other ids give the same model."""
+    rng = random.Random(3)
+    rows = [(5 * i + 1, " ".join(rng.choices(["mild", "plain", "quiet", "green", "stone", "river"], k=40)) + (" vile beast vile beast" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(200)]
+    rows.append((4, "vile " * 5000, 1))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    used = []
+    original = zt.train
+    try:
+        zt.train = lambda rows, **o: used.append(rows) or original(rows, **o)
+        zt.fit(frame, frame, max_chars=20_000)
+        zt.fit(frame, frame)
+    finally:
+        zt.train = original
+    texts = {t for _, t, _ in rows}
+    assert {t for t, _ in used[0]} < texts and sum(len(t) for t, _ in used[0]) < 30_000 and "vile " * 5000 not in {t for t, _ in used[0]}
+    assert all(t in texts for t, _ in used[1])
+    renamed = zt.train([(t, y) for t, y in reversed(used[1])])
+    again = zt.train(used[1])
+    assert (renamed.weights == again.weights).all() and renamed.toxic == again.toxic
