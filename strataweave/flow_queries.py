@@ -9,8 +9,6 @@ a session and a data folder, in the shared folder.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,7 +19,7 @@ from .functions import text as tx
 from .operators.relational import numbered
 from .plans import cache, enrich, pipeline, prompts, versions
 from .sources import files as src
-from .sources import store
+from .sources import scratch, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,18 +34,10 @@ def query(sql: str) -> Callable:
     return add
 
 
-def scratch(s: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    told = s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not told and not s.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(told or tempfile.mkdtemp(prefix='strataweave-')).rstrip('/')}/flow-{uuid.uuid4().hex}"
-
-
 def _once(s: SparkSession, d: str, what: str, make: Callable[[str], object]) -> str:
     key = (s.sparkContext.applicationId, d, what)
     if key not in _MADE:
-        at = scratch(s)
+        at = scratch.folder(s)
         make(at)
         _MADE[key] = at
     return _MADE[key]
@@ -530,8 +520,25 @@ def kind_counts(s, d):
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")
 def snapshot_versions(s, d):
-    at = scratch(s)
+    at = scratch.folder(s)
     docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", tx.content_hash(F.col("text")).alias("hash"))
     versions.replace(docs.withColumn("hash", F.lit("old")), at)
     versions.replace(docs, at)
     return s.read.schema(docs.schema).parquet(versions.current(s, at))
+
+
+@query("""WITH h AS (SELECT doc_id, sha256(text) AS hash FROM documents), k AS (SELECT doc_id, hash, quality FROM h JOIN labels USING (doc_id))
+SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN quality IS NULL THEN hash WHEN quality = 0 THEN 'new ' || hash ELSE hash END AS hash, CASE WHEN quality IS NULL THEN 1 ELSE 1 + CAST(quality = 0 AS INTEGER) END AS versions FROM h LEFT JOIN k USING (doc_id, hash)""")
+def snapshot_log(s, d):
+    """Documents in a snapshot to which runs add only what changed; who reads gets each file's last version."""
+    at = scratch.folder(s)
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.lit("flows").alias("kind"), F.col("doc_id").cast("string").alias("path"), tx.content_hash(F.col("text")).alias("hash"))
+    rows = lambda df: df.select("*", F.lit("{}").alias("documentation"), F.lit("{}").alias("metadata"), F.col("path").alias("name"))
+    bad = s.read.parquet(f"{d}/labels.parquet").where("quality = 0").select(F.col("doc_id").cast("string").alias("path"))
+    changed = docs.join(bad, "path").withColumn("hash", F.concat(F.lit("new "), F.col("hash"))).select(*docs.columns)
+    cache.add(rows(docs), at, "m")
+    cache.add(rows(changed.withColumn("hash", F.lit("between"))), at, "m")
+    cache.add(rows(changed), at, "m")
+    parts = [s.read.parquet(p).select("path") for p in versions.members(s, at)]
+    n = _union([parts[0], parts[2]]).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("versions"))
+    return cache.load(s, at).select("path", "hash").join(n, "path")

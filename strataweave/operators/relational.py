@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 #: Rows up to which a lookup side is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -198,8 +200,8 @@ def group_index(rows: DataFrame, group: str, per: list[str] | None = None) -> Da
 
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """``rows``, in an order, with their numbers from 1: each partition counts its own, and begins where those before it end."""
-    placed = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    """``rows``, in an order, with their numbers from 1: each partition counts its own, and begins where those before it end. The rows are stored once, since ranges drawn twice may differ."""
+    placed = stored(rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
     out = placed.join(F.broadcast(before), "_part")
@@ -242,28 +244,35 @@ def admitted(rows: DataFrame, key: list[str], at_micros: str, limit: int, second
 
     A request waits until the oldest of the last ``limit`` starts is ``seconds``
     old, and a millisecond more; starts never go back in time. ``started_at`` is
-    in microseconds; of requests of one time those first by ``ties`` start first. A key's requests depend on each other in order, so they are
-    sorted into one task and streamed through it: what is held is the last
-    ``limit`` starts of one key, however many requests it has.
+    in microseconds; of requests of one time those first by ``ties`` start first.
+    Requests without a time have no start; ``limit`` 0 is no limit.
+
+    A key's requests depend on each other, but no further back than to the last
+    one that came when the key was certainly idle. These cut a key into segments,
+    which are streamed one by one: what is held is the last ``limit`` starts of
+    one segment, and a frequent key is in many tasks. Only a stretch in which a
+    key is never idle stays in one.
     """
+    if not limit:
+        return rows.withColumn("started_at", F.col(at_micros).cast("long"))
     from collections import deque
 
     names = rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, deque(maxlen=max(1, limit))
+        current, last = None, deque(maxlen=limit)
         for pdf in batches:
             out = []
-            for k, t in zip(pdf["_key"], pdf[at_micros], strict=True):
-                if k != current:
-                    current = k
+            for k, segment, t in zip(pdf["_key"], pdf["_segment"], pdf[at_micros], strict=True):
+                if (k, segment) != current:
+                    current = (k, segment)
                     last.clear()
                 if pd.isna(t):
                     out.append(None)
                     continue
                 t = int(t)
                 now = max(t, last[-1]) if last else t
-                if limit and len(last) == limit and now - last[0] < seconds * 1_000_000:
+                if len(last) == limit and now - last[0] < seconds * 1_000_000:
                     now = last[0] + seconds * 1_000_000 + 1000
                 last.append(now)
                 out.append(now)
@@ -272,7 +281,47 @@ def admitted(rows: DataFrame, key: list[str], at_micros: str, limit: int, second
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", started_at long"
     # one text that tells keys apart, nulls too: null numbers would reach the function as values that differ from themselves
     keyed = rows.withColumn("_key", F.to_json(F.array(*[F.col(k).cast("string") for k in key])))
-    return keyed.repartition("_key").sortWithinPartitions("_key", at_micros, *(ties or [])).mapInPandas(run, schema)
+    dealt = _segments(keyed, at_micros, limit, seconds, ties or []).repartition("_key", "_segment")
+    return dealt.sortWithinPartitions("_key", "_segment", at_micros, *(ties or [])).mapInPandas(run, schema)
+
+
+def _segments(keyed: DataFrame, at_micros: str, limit: int, seconds: int, ties: list[str]) -> DataFrame:
+    """``keyed`` with ``_segment``: the number, within the key, of the last request at or before that surely found the key idle.
+
+    If every request waited for a window and a millisecond behind the ``limit``-th
+    before it, the ``i``-th would start at the greatest ``t_j + step * (i - j)`` of
+    all ``j <= i``, with ``step`` the window and the millisecond over ``limit``; no
+    start is later. That is ``step * i`` and a running maximum of ``t_j - step * j``.
+    A request a window after that bound for the one before it starts at once, and no
+    earlier start matters to it or later ones. Requests are cut into spans of time
+    with about equal numbers of them; in each span a key numbers its own and takes
+    what it had in the spans before.
+    """
+    window, parts = seconds * 1_000_000 + 1000, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step, order = window / limit, [F.asc_nulls_first(at_micros), *ties]
+    cuts = keyed.agg(F.percentile_approx(at_micros, [i / parts for i in range(1, parts)] or [0.5], 100_000)).first()[0] or []
+    span = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(at_micros))) if cuts else F.lit(0)
+    spans = keyed.withColumn("_part", F.when(F.col(at_micros).isNull(), -1).otherwise(span))
+    here = W.partitionBy("_part", "_key").orderBy(*order)
+    so_far, t = here.rowsBetween(W.unboundedPreceding, 0), F.col(at_micros).cast("double")
+    local = spans.withColumn("_i", F.row_number().over(here)).withColumn("_up", F.max(t - step * F.col("_i")).over(so_far))
+
+    def carried(sums: DataFrame, value: Column, name: str) -> DataFrame:
+        """For each range of a key what those before it had: one row a range and key."""
+        before = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        return sums.select("_key", "_part", value(before).alias(name))
+
+    sums = local.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"), F.max("_up").alias("_top"))
+    begin = carried(sums, lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0)), "_begin")
+    tops = carried(sums.join(begin, ["_key", "_part"]), lambda w: F.max(F.col("_top") - step * F.col("_begin")).over(w), "_above")
+    placed = local.join(begin, ["_key", "_part"]).join(tops, ["_key", "_part"])
+    number = F.col("_begin") + F.col("_i")
+    up = F.greatest("_above", F.col("_up") - step * F.col("_begin"))
+    bound = F.coalesce(F.lag(up).over(here), F.col("_above")) + step * (number - 1)
+    marked = placed.withColumn("_idle", F.when(bound.isNull() | (t >= bound + window + 1000), number))  # a millisecond for rounding
+    ends = carried(marked.groupBy("_key", "_part").agg(F.max("_idle").alias("_last")), lambda w: F.max("_last").over(w), "_open")
+    segment = F.coalesce(F.max("_idle").over(so_far), F.col("_open"), F.lit(0))
+    return marked.join(ends, ["_key", "_part"]).withColumn("_segment", segment).select(*keyed.columns, "_segment")
 
 
 def distinct_names(tables: list[tuple[DataFrame, str]], name: str = "name") -> DataFrame:

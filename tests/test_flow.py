@@ -6,6 +6,7 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from strataweave import cli
 from strataweave.operators import relational as rel
@@ -343,3 +344,121 @@ def test_without_the_corpus_operators(tmp_path):
     code = "import __spark_entry__ as e; assert 'group_index' in e.queries() and not any(k.startswith('op') for k in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, timeout=60)
     subprocess.run([sys.executable, "-m", "pytest", "-x", "-q", "tests/test_parsers.py"], cwd=tmp_path / "r", check=True, timeout=300)
+
+
+def test_a_walk_leaves_out_links_and_pruned_folders(spark, tmp_path, caplog):
+    root = tree(tmp_path / "in")
+    os.makedirs(tmp_path / "else" / "deep")
+    (tmp_path / "else" / "Linked.cls").write_text("public class Linked {}")
+    os.symlink(tmp_path / "else", tmp_path / "in" / "classes" / "link")
+    os.symlink(tmp_path / "else" / "Linked.cls", tmp_path / "in" / "triggers" / "Alias.cls")
+    os.symlink(tmp_path / "nowhere", tmp_path / "in" / "classes" / "gone.cls")
+    (tmp_path / "in" / "classes" / "A[1].cls").write_text("public class A1 {}")
+    (tmp_path / "in" / "classes" / "Big.cls").write_text("x" * (src.MAX_BYTES + 1))
+    os.makedirs(tmp_path / "in" / "node_modules" / "deep")
+    (tmp_path / "in" / "node_modules" / "deep" / "No.cls").write_text("public class No {}")
+    for root_form in (root, "file://" + root):
+        names = sorted(r.filename for r in src.scan(spark, root_form, "apex").collect())
+        assert names == ["A[1].cls", "Alias.cls", "Order.cls", "Runner.cls", "Stock.cls"]
+    assert "Big.cls is left out" in caplog.text
+    found = src.walk(spark, root)
+    assert not any("node_modules" in p or "classes/link" in p for p in [*found.whole, *(f for f, _ in found.files)])
+    assert f"{root}/triggers" in found.whole and f"{root}/classes" not in found.whole
+    apart = src._look_apart(spark, [f"{root}/classes", f"{root}/triggers"])
+    assert apart == {f: src._look_local(f) for f in apart} and apart[f"{root}/classes"].mixed
+    assert [r.kind for r in src.read_targets(spark, [f"{root}/triggers/Watch.trigger"]).collect()] == ["triggers"]
+
+
+def test_pages_are_written_by_executors(spark, tmp_path):
+    rows = [("apex", "A", "one"), ("apex", "B b", "two"), ("index", "index", "all"), ("apex", "A", "later")]
+    pages = spark.createDataFrame(rows, "kind string, name string, body string").repartition(4)
+    out = tmp_path / "out"
+    os.makedirs(out / "classes")
+    (out / "classes" / "Old.md").write_text("old")
+    for _ in range(2):
+        render.write_pages(pages, str(out))
+        got = {str(p.relative_to(out)): p.read_text() for p in out.rglob("*") if p.is_file()}
+        assert got == {"classes/A.md": "one", "classes/Bb.md": "two", "index.md": "all", "classes/Old.md": "old"}
+    broken = pages.withColumn("body", F.when(F.col("name") == "B b", F.raise_error(F.lit("no"))).otherwise("new"))
+    with pytest.raises(Exception, match="no"):
+        render.write_pages(broken, str(out))
+    assert (out / "classes" / "A.md").read_text() == "one" and not [p for p in os.listdir(out) if p.startswith(".staging")]
+
+
+@pytest.mark.parametrize(
+    ("change", "says"),
+    [
+        ({"methods": ["x", 3]}, r"wrong type of methods\[0\]"),
+        ({"methods": [{"name": "a", "description": "b", "params": [{"name": "c"}], "returns": "d", "throws": []}]}, r"missing field methods\[0\].params\[0\].description"),
+        ({"methods": [{"name": "a", "description": "b", "params": [], "returns": "d", "throws": [1]}]}, r"wrong type of methods\[0\].throws\[0\]"),
+        ({"properties": [{"name": "a", "description": None}]}, r"wrong type of properties\[0\].description"),
+        ({"summary": 3}, "wrong type of summary"),
+        ({"usage_examples": [None]}, r"wrong type of usage_examples\[0\]"),
+    ],
+)
+def test_nested_answers_are_strict(change, says):
+    good = {"class_name": "a", "summary": "b", "description": "c", "methods": [{"name": "a", "description": "b", "params": [{"name": "c", "description": "d", "more": 1}], "returns": "d", "throws": ["e"]}], "properties": [], "usage_examples": [], "relationships": []}
+    assert enrich.problem("apex", json.dumps(good)) is None
+    assert __import__("re").fullmatch(says, enrich.problem("apex", json.dumps(good | change)))
+
+
+def test_an_infinite_wait_is_none():
+    assert enrich.wait("inf", "", 0, lambda a, b: a) == 2 and enrich.wait("inf", "retry in 3s", 0) == 4
+
+
+LOST = r"""
+import os, sys
+from pyspark.sql import SparkSession
+from strataweave.plans import enrich
+
+class Dying(enrich.OfflineGenerator):
+    def generate(self, system, prompt, label):
+        with open(sys_path + "/calls", "a") as f:
+            f.write(label + "\n")
+        n = len(open(sys_path + "/calls").read().split())
+        if n == 7 or n == 12:
+            os._exit(1)
+        return super().generate(system, prompt, label)
+
+sys_path = sys.argv[1]
+spark = SparkSession.builder.master("local[1,4]").config("spark.ui.enabled", "false").getOrCreate()
+work = spark.createDataFrame([("flows", f"p{i}", f"n{i}", "x") for i in range(20)], "kind string, path string, name string, prompt string")
+made = enrich.enrich(work, Dying(), 1, journal=enrich.Journal("file:" + sys_path + "/journal", "m", "run")).collect()
+assert len(made) == 20 and all(r.documentation and not r.error for r in made)
+again = enrich.enrich(work, Dying(), 1, journal=enrich.Journal("file:" + sys_path + "/journal", "m", "later")).collect()
+assert sorted(again) == sorted(made)
+"""
+
+
+def test_a_lost_worker_repeats_no_answered_call(tmp_path):
+    """The process that calls dies twice: only the two calls that it died in are made again, and a later run calls nothing."""
+    import subprocess
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", LOST, str(tmp_path)], check=True, env=os.environ | {"PYTHONPATH": here}, timeout=300, capture_output=True)
+    calls = (tmp_path / "calls").read_text().split()
+    assert len(calls) == 22 and sorted(set(calls)) == sorted(f"n{i}" for i in range(20))
+
+
+def test_the_snapshot_is_a_log(spark, tmp_path):
+    at = str(tmp_path / "snap")
+    rows = lambda data: spark.createDataFrame([(*r, "doc " + r[2], "{}", r[1]) for r in data], "kind string, path string, hash string, documentation string, metadata string, name string")
+    cache.add(rows([("apex", f"p{i}", "h0") for i in range(5)]), at, "m")
+    sizes = []
+    for n in range(1, cache.ADDITIONS + 3):
+        cache.add(rows([("apex", "p1", f"h{n}"), ("flows", f"q{n}", "h"), ("apex", "p1", f"g{n}")]), at, "m")
+        sizes.append(len(versions.members(spark, at)))
+        found = {(r.kind, r.path): r.hash for r in cache.load(spark, at).collect()}
+        assert found == {("apex", f"p{i}"): "h0" for i in range(5)} | {("apex", "p1"): f"h{n}"} | {("flows", f"q{k}"): "h" for k in range(1, n + 1)}
+        assert cache.load(spark, at).count() == len(found)
+    assert sizes == [*range(2, cache.ADDITIONS + 2), 1, 2]
+
+
+def test_a_key_is_needed_only_for_work(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.delenv("GROQ_API_KEY", raising=False)
+    root = tree(tmp_path / "in", {"flows/F.flow-meta.xml": "<Flow/>"})
+    common = ["--source-dir", root, "-o", str(tmp_path / "out"), "--snapshot", str(tmp_path / "snap"), "--model", "m"]
+    assert cli.main(["generate", *common, "--provider", "groq"], spark) == 1 and "GROQ_API_KEY" in capsys.readouterr().err
+    assert cli.main(["generate", *common], spark) == 0
+    assert cli.main(["generate", *common, "--provider", "groq", "-v"], spark) == 0
+    assert cli.parser().parse_args(["generate", "--tag", "a, b", "--tag", "c"]).tag == ["a", "b", "c"]
