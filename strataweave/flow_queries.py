@@ -455,10 +455,20 @@ def pages_classes(s, d):
     return _pages(s, d, "apex").where("name like 'Class%'")
 
 
-@query(f"""WITH {_N}, c AS (SELECT k, string_agg('- [Class_' || i || '](Class_' || i || '.md)' || {_NL}, '' ORDER BY 'Class_' || i) AS classes FROM n GROUP BY k) SELECT 'Runner_' || k AS name, classes FROM c""")
+_I = "'Runner_' || k"
+_INTERFACE = " || ".join([
+    f"'# ' || {_I} || {_NL} || {_NL} || '`public` · `interface`' || {_NL} || {_NL} || 'summary of ' || {_I} || {_NL} || {_NL} || '## Table of Contents' || {_NL} || {_NL}",
+    _lines("'- [Description](#description)'", "'- [Implemented By](#implemented-by)'", "'- [Properties](#properties)'", "'- [Methods](#methods)'", *(f"'  - [`{m}`](#{m})'" for m in ("run", "first", "gone")), "'- [Usage Examples](#usage-examples)'", "''"),
+    _text("Description", "description", _I), f"'## Implemented By' || {_NL} || {_NL} || classes || {_NL}",
+    _rows("Properties", "'| Name | Type | Description |'", "'|------|------|-------------|'", "'| `label` | `—` | shown |'", "'| `LIMIT__' || k || '` | `—` | bound |'", "'| `gone` | `—` | left |'"),
+    _METHODS.replace("static Class_' || i || ' first(Id key)", "first"),
+    f"'## Usage Examples' || {_NL} || {_NL} || 'usage_examples one of ' || {_I} || {_NL} || {_NL} || 'usage_examples two' || {_NL} || {_NL}", _see(""),
+])
+
+
+@query(f"WITH {_N}, c AS (SELECT k, string_agg('- [Class_' || i || '](Class_' || i || '.md)' || {_NL}, '' ORDER BY 'Class_' || i) AS classes FROM n GROUP BY k) SELECT {_I} AS name, {_INTERFACE} AS body FROM c")
 def pages_interfaces(s, d):
-    listed = F.regexp_extract("body", r"(?s)## Implemented By\n\n(.*?\n)\n", 1)
-    return _pages(s, d, "apex").where("name like 'Runner%'").select("name", listed.alias("classes"))
+    return _pages(s, d, "apex").where("name like 'Runner%'")
 
 
 @query(f"""WITH {_N}, r AS (SELECT 'Type' || (i % 3) || '__mdt' AS t, 'Rec_' || lpad(i::VARCHAR, 6, '0') AS rec, 'Rec of ' || name AS label, i, k FROM n),
