@@ -357,16 +357,16 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def mask(docs: DataFrame, model: SpanClassifier) -> DataFrame:
     """``docs`` with all columns, of any name and type, personal data in ``text`` replaced, and ``n_chars``, if there, counted anew. Null texts stay null, repeated rows stay, an empty table stays empty."""
-    names = docs.columns
+    names, places = docs.columns, [f"c{i}" for i in range(len(docs.columns))]  # Spark's Arrow functions take no dots in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in batches:
             texts = [redact(x, find(x, model, memo)) if (x := t.as_py()) is not None else None for t in batch.column(names.index("text"))]
             cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays(cols, names=places)
 
-    out = docs.select(*[F.col("text").cast("string").alias("text") if c == "text" else named(c) for c in names])
+    out = docs.select(*[named(c).cast("string").alias(p) if c == "text" else named(c).alias(p) for c, p in zip(names, places, strict=True)])
     out = out.mapInArrow(run, out.schema)
-    n_chars = lambda: F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*[n_chars() if c == "n_chars" else named(c) for c in names])
+    n_chars = lambda: F.length(places[names.index("text")]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[(n_chars() if c == "n_chars" else F.col(p)).alias(c) for c, p in zip(names, places, strict=True)])
