@@ -208,7 +208,7 @@ def scan_of_nothing(s, d):
 
 
 def _table(s: SparkSession, d: str, kind: str) -> DataFrame:
-    root = tree(s, d)
+    root = src.walk(s, tree(s, d))
     return pipeline.parse(s, kind, src.scan(s, root, kind), root)
 
 
@@ -348,6 +348,8 @@ def prompt_aura(s, d):
 class Fixed:
     """A generator whose answers depend on the file's name only."""
 
+    local = True
+
     def generate(self, system: str, prompt: str, label: str) -> str:
         kind = system.split(":", 1)[0]
         out: dict[str, object] = {f: [f"{f} one of {label}", f"{f} two"] if t.startswith("array") else f"{f} of {label}" for f, t in enrich.FIELDS[kind].items()}

@@ -58,7 +58,7 @@ def parse(spark: SparkSession, kind: str, files: DataFrame, root: str | src.Tree
     component = path_part(F.col("path"), 2, "")
     if kind == "lwc":
         html = src.scan_markup(spark, root, include_hidden)
-        out = base.withColumn("component_name", component).join(html, ["folder_path", "component_name"], "left")
+        out = base.withColumn("component_name", component).join(html.hint("merge"), ["folder_path", "component_name"], "left")
         out = out.withColumn("hash", composite_hash(raw, F.filter(F.array("html"), lambda x: x.isNotNull())))
         return out.withColumns(markup.parse_component(raw, F.col("html"))).withColumn("name", F.col("component_name"))
     if kind == "aura":
@@ -256,9 +256,10 @@ def _journal(cache_path: str, model: str) -> Journal:
 def targets(spark: SparkSession, root: str | src.Tree) -> DataFrame:
     """``(kind, path, name)`` of everything that a name can mean."""
     known = None
-    for k, df in src.scan_all(spark, root).items():
+    root = root if isinstance(root, src.Tree) else src.walk(spark, root)
+    for k in src.BY_NAME:
         name = F.element_at(F.split("path", "/"), -2) if k in ("lwc", "aura") else F.col("stem")
-        part = df.select(F.lit(k).alias("kind"), "path", name.alias("name"))
+        part = src.listed(spark, root, k).select(F.lit(k).alias("kind"), "path", name.alias("name"))
         known = part if known is None else known.union(part)
     return known
 

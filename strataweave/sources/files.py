@@ -1,12 +1,17 @@
 """Scanning a tree of files into ``source_files`` tables, one row a file.
 
 A tree is first walked, folder by folder and level by level: pruned folders and
-links to folders are not entered, and files above the size limit are named. What
-is left falls into whole subtrees, in which nothing is pruned, and single files
-beside pruned folders. Spark's binary-file reader lists and reads these on the
-executors; the suffix prunes before reading. The reader hides names that begin
-with ``_`` or ``.``; ``include_hidden`` takes all files as single ones and reads
-them on the executors, which must see them.
+links to folders are not entered, and files above the size limit are named. Names
+that begin with ``_`` or ``.`` are hidden, files and folders; ``include_hidden``
+takes them too.
+
+A small tree, or one that is not on a local or mounted file system, is walked by
+the driver. What is left falls into whole subtrees, in which nothing is pruned,
+and single files beside pruned folders; Spark's binary-file reader lists and reads
+these on the executors. Of a local tree with more than ``FEW_ENTRIES`` entries the
+executors, which must see it, write a table of its files, level by level, and read
+the files that this table names: the driver sees neither names nor statuses, and
+files are put in order and beside each other by their names, before they are read.
 """
 
 from __future__ import annotations
@@ -18,11 +23,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_matches
-from . import store
+from . import scratch, store
 
 log = logging.getLogger(__name__)
 
@@ -109,8 +115,31 @@ class Look:
 
 #: Endings of files that are ever read.
 ENDINGS = (*(k.suffix for k in KINDS), ".js", ".html", ".field-meta.xml")
-#: Folders of a level from which on executors look instead of the driver.
-MANY_FOLDERS = 1000
+#: Entries of a local tree up to which the driver walks it.
+FEW_ENTRIES = 2000
+#: Folders and files for which a task is planned, and bytes and files after which it hands on what it has read.
+FOLDERS_A_TASK, FILES_A_TASK, BYTES_A_BATCH, FILES_A_BATCH = 10_000, 5000, 8 << 20, 1000
+
+
+def is_hidden(path: str) -> bool:
+    return path.rsplit("/", 1)[1].startswith(("_", "."))
+
+
+def _few(root: str) -> bool:
+    """Whether a local tree has at most ``FEW_ENTRIES`` entries; counts no further."""
+    seen, todo = 0, [root]
+    while todo:
+        try:
+            with os.scandir(todo.pop()) as entries:
+                for e in entries:
+                    seen += 1
+                    if seen > FEW_ENTRIES:
+                        return False
+                    if e.is_dir(follow_symlinks=False) and e.name not in PRUNED:
+                        todo.append(e.path)
+        except OSError:  # named by the walk
+            continue
+    return True
 
 
 def _look_local(folder: str) -> Look:
@@ -167,44 +196,96 @@ def _look_apart(spark: SparkSession, folders: list[str]) -> dict[str, Look]:
 
 @dataclass(frozen=True)
 class Tree:
-    """What a walk leaves of ``root``: subtrees to read as a whole, and files to read one by one."""
+    """What a walk leaves of ``root``: subtrees to read as a whole, and files to read one by one; or, of a large tree, the table ``(path, length, ending)`` of all files and how many have each ending."""
 
     root: str
     whole: list[str] = field(default_factory=list)
     files: list[tuple[str, int]] = field(default_factory=list)
     include_hidden: bool = False
+    listing: DataFrame | None = None
+    counts: dict[str, int] = field(default_factory=dict)
+
+
+_LISTED = "path string, length long, ending string"
+
+
+def _list_level(folders: DataFrame, many: int, include_hidden: bool, to: str) -> None:
+    """Write what a level's folders hold to the table ``to``; folders to enter have the ending ``folder``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "length", "ending"])
+
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                look = _look_local(folder)
+                rows = [(p, n, next(e for e in ENDINGS if p.endswith(e))) for p, n in look.files] + [(p, 0, "folder") for p in look.folders]
+                found += [r for r in rows if include_hidden or not is_hidden(r[0])]
+                if len(found) >= 10_000:
+                    yield part()
+                    found.clear()
+        if found:
+            yield part()
+
+    tasks = max(1, min(many, folders.sparkSession.sparkContext.defaultParallelism), -(-many // FOLDERS_A_TASK))
+    folders.repartition(tasks).mapInArrow(run, _LISTED).write.parquet(to)
+
+
+def _walk_apart(spark: SparkSession, root: str, include_hidden: bool) -> Tree:
+    """A walk by the executors; the driver sees counts, and the names of files above the size limit."""
+    levels, many, counts = [], 1, {}
+    folders = spark.createDataFrame([(root,)], "path string")
+    while many:
+        levels.append(scratch.passing(spark))
+        _list_level(folders, many, include_hidden, levels[-1])
+        found = spark.read.schema(_LISTED).parquet(levels[-1])
+        sums = {r.ending: r for r in found.groupBy("ending").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("most")).collect()}
+        for ending, r in sums.items():
+            counts[ending] = counts.get(ending, 0) + r.n
+        if any(r.most > MAX_BYTES for r in sums.values()):
+            for r in found.where(F.col("length") > MAX_BYTES).toLocalIterator():
+                _too_large(r.path, r.length)
+        folders, many = found.where("ending = 'folder'").select("path"), sums["folder"].n if "folder" in sums else 0
+    listing = spark.read.schema(_LISTED).parquet(*levels).where(F.col("length") <= MAX_BYTES)
+    return Tree(root, include_hidden=include_hidden, listing=listing, counts=counts)
+
+
+def _too_large(path: str, size: int) -> None:
+    log.warning("%s is left out: %.1f MB are more than %d MB", path, size / (1 << 20), MAX_BYTES >> 20)
 
 
 def walk(spark: SparkSession, root: str, include_hidden: bool = False) -> Tree:
-    """Walk a tree once, for all kinds. The driver keeps a few bytes a folder and the files beside pruned ones, as the reader keeps a row a file."""
+    """Walk a tree once, for all kinds. Of a small tree, or one that is not local, the driver keeps a few bytes a folder and the files beside pruned ones, as the reader keeps a row a file."""
     root = canonical(spark, root)
     local = root.startswith("/")
     if not exists(spark, root):
         raise FileNotFoundError(f"no such folder: {root}")
+    if local and not _few(root):
+        return _walk_apart(spark, root, include_hidden)
     parent, mixed, files, level = {}, set(), {}, [root]
     while level:
-        if local and len(level) > MANY_FOLDERS:
-            found = _look_apart(spark, level)
-        else:
-            found = {f: _look_local(f) if local else _look_at(spark, f) for f in level}
+        found = {f: _look_local(f) if local else _look_at(spark, f) for f in level}
         level = []
         for folder, look in found.items():
             for path, size in look.files:
                 if size > MAX_BYTES:
-                    log.warning("%s is left out: %.1f MB are more than %d MB", path, size / (1 << 20), MAX_BYTES >> 20)
+                    _too_large(path, size)
             files[folder] = [(p, n) for p, n in look.files if n <= MAX_BYTES]
             if look.mixed:
                 mixed.add(folder)
             for sub in look.folders:
-                parent[sub] = folder
-                level.append(sub)
+                if include_hidden or not is_hidden(sub):
+                    parent[sub] = folder
+                    level.append(sub)
     if include_hidden:
         return Tree(root, [], [f for some in files.values() for f in some], True)
     for folder in list(mixed):  # whoever holds a mixed folder is mixed
         while (folder := parent.get(folder)) and folder not in mixed:
             mixed.add(folder)
     whole = [f for f in files if f not in mixed and (f == root or parent[f] in mixed)]
-    shown = [(p, n) for f in mixed for p, n in files.get(f, []) if not p.rsplit("/", 1)[1].startswith(("_", "."))]
+    shown = [(p, n) for f in mixed for p, n in files.get(f, []) if not is_hidden(p)]
     return Tree(root, whole, shown)
 
 
@@ -226,9 +307,57 @@ def _binary(spark: SparkSession, paths: list[str], suffix: str = "") -> DataFram
     return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", "content")
 
 
+def _texts(listed: DataFrame, paths: dict[str, str]) -> DataFrame:
+    """``listed`` with the texts of the files that some of its columns name, read where the row is, in order: ``paths`` gives each such column and the name of the text's column; beside it ``<name>_ok`` says whether it is UTF-8. A null path has a null text."""
+    kept = listed.columns
+    new = [c for name in paths.values() for c in (name, f"{name}_ok")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, texts, begun, size = [batch.column(kept.index(p)).to_pylist() for p in paths], [[] for _ in paths], 0, 0
+
+            def part(end: int, begun: int, texts: list, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                read = [a for t in texts for a in (pa.array([x for x, _ in t], pa.string()), pa.array([ok for _, ok in t], pa.bool_()))]
+                return pa.RecordBatch.from_arrays([*batch.slice(begun, end - begun).columns, *read], names=[*kept, *new])
+
+            for i, row in enumerate(zip(*columns, strict=True)):
+                for text, path in zip(texts, row, strict=True):
+                    raw = None
+                    if path is not None:
+                        with open(path, "rb") as f:
+                            raw = f.read()
+                        size += len(raw)
+                    try:
+                        text.append((None if raw is None else raw.decode(), None if raw is None else True))
+                    except UnicodeDecodeError:
+                        text.append(("", False))
+                if size >= BYTES_A_BATCH or i + 1 - begun >= FILES_A_BATCH:
+                    yield part(i + 1, begun, texts)
+                    texts, begun, size = [[] for _ in paths], i + 1, 0
+            if begun < batch.num_rows:
+                yield part(batch.num_rows, begun, texts)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema)
+    return listed.mapInArrow(run, schema + "".join(f", {t} string, {t}_ok boolean" for t in paths.values()))
+
+
+def _listed(tree: Tree, suffix: str) -> DataFrame:
+    """``(path, filename, length)`` of the files of a large tree with a suffix that is in ``ENDINGS``."""
+    return tree.listing.where(F.col("ending") == suffix).select("path", F.substring_index("path", "/", -1).alias("filename"), "length")
+
+
+def _tasks(tree: Tree, suffix: str) -> int:
+    """Tasks that read the files with the suffix."""
+    many = tree.counts.get(suffix, 0)
+    return max(1, min(many, tree.listing.sparkSession.sparkContext.defaultParallelism), -(-many // FILES_A_TASK))
+
+
 def read_files(spark: SparkSession, root: str | Tree, suffix: str, include_hidden: bool = False) -> DataFrame:
     """All files of a tree with the suffix, as text; those that are no UTF-8 have an error instead."""
     tree = _tree(spark, root, include_hidden)
+    if tree.listing is not None:
+        read = _texts(_listed(tree, suffix).repartition(_tasks(tree, suffix)), {"path": "raw_source"})
+        return read.select("path", "filename", "length", "raw_source", F.when(~F.col("raw_source_ok"), "not UTF-8").alias("error"))
     single = [(p, n) for p, n in tree.files if p.endswith(suffix)]
     if tree.include_hidden:
 
@@ -249,21 +378,50 @@ def _folder(path: str = "path") -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
-def scan(spark: SparkSession, root: str | Tree, kind: str, include_hidden: bool = False) -> DataFrame:
-    """``(path, filename, stem, folder_path, length, raw_source, error, script)`` of one kind, by filename and path.
-
-    Lightning components take the text of the script beside them, if there is
-    one; Aura components keep their markup and have the script apart. Files
-    above the size limit are left out.
-    """
-    k, root = BY_NAME[kind], _tree(spark, root, include_hidden)
-    files = read_files(spark, root, k.suffix)
+def _of_kind(files: DataFrame, k: Kind, name: str | None) -> DataFrame:
+    """``files(path, filename, ...)`` of a kind and, unless there is none, a name's pattern, with ``stem`` and ``folder_path``."""
     if k.excluded:
         files = files.where(~F.contains("filename", F.lit(k.excluded)))
     if k.ancestor:
         files = files.where(F.array_contains(F.split("path", "/"), k.ancestor))
     stem = F.substr(F.col("filename"), F.lit(1), F.length("filename") - len(k.suffix))
     files = files.withColumn("stem", stem).withColumn("folder_path", _folder())
+    return files.where(glob_matches(name, F.col("stem"), F.col("filename"))) if name else files
+
+
+def listed(spark: SparkSession, root: str | Tree, kind: str) -> DataFrame:
+    """``(path, filename, stem)`` of one kind, in no order; no file is read."""
+    k, root = BY_NAME[kind], _tree(spark, root, False)
+    files = read_files(spark, root, k.suffix) if root.listing is None else _listed(root, k.suffix)
+    return _of_kind(files, k, None).select("path", "filename", "stem")
+
+
+def _scan_listed(tree: Tree, k: Kind, name: str | None) -> DataFrame:
+    """``scan`` of a large tree: names meet their scripts' names and are put in order, then the files are read."""
+    files = _of_kind(_listed(tree, k.suffix), k, name)
+    if k.companion:
+        js = _listed(tree, ".js").select(_folder().alias("folder_path"), F.regexp_replace("filename", r"\.js$", "").alias("stem"), F.col("path").alias("_script"))
+        files = files.join(js.hint("merge"), ["folder_path", "stem"], "left")
+    else:
+        files = files.withColumn("_script", F.lit(None).cast("string"))
+    placed = files.repartitionByRange(_tasks(tree, k.suffix), "filename", "path").sortWithinPartitions("filename", "path")
+    read = _texts(placed, {"path": "raw_source"} | ({"_script": "script"} if k.companion else {}))
+    script = F.when(F.col("script_ok"), F.col("script")) if k.companion else F.lit(None).cast("string")
+    source = F.coalesce(script, F.col("raw_source")) if k.name == "lwc" else F.col("raw_source")
+    return read.select("path", "filename", "stem", "folder_path", "length", source.alias("raw_source"), F.when(~F.col("raw_source_ok"), "not UTF-8").alias("error"), script.alias("script"))
+
+
+def scan(spark: SparkSession, root: str | Tree, kind: str, include_hidden: bool = False, name: str | None = None) -> DataFrame:
+    """``(path, filename, stem, folder_path, length, raw_source, error, script)`` of one kind, by filename and path; ``name`` is a shell pattern for the stem or the whole file name.
+
+    Lightning components take the text of the script beside them, if there is
+    one; Aura components keep their markup and have the script apart. Files
+    above the size limit are left out.
+    """
+    k, root = BY_NAME[kind], _tree(spark, root, include_hidden)
+    if root.listing is not None:
+        return _scan_listed(root, k, name)
+    files = _of_kind(read_files(spark, root, k.suffix), k, name)
     if k.companion:
         js = read_files(spark, root, ".js").where("error is null")
         js = js.select(_folder().alias("folder_path"), F.regexp_replace("filename", r"\.js$", "").alias("stem"), F.col("raw_source").alias("script"))
@@ -296,8 +454,7 @@ def scan_all(spark: SparkSession, root: str | Tree, kinds: list[str] | None = No
     out, root = {}, _tree(spark, root, include_hidden)
     for k in KINDS:
         if not kinds or k.name in kinds:
-            files = scan(spark, root, k.name)
-            out[k.name] = files.where(glob_matches(name, F.col("stem"), F.col("filename"))) if name else files
+            out[k.name] = scan(spark, root, k.name, name=name)
     return out
 
 

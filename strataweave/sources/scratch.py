@@ -25,11 +25,17 @@ def folder(spark: SparkSession) -> str:
     return f"{told.rstrip('/')}/flow-{uuid.uuid4().hex}"
 
 
+def passing(spark: SparkSession) -> str:
+    """A new path as ``folder`` gives it, for a table that goes when the driver ends."""
+    path = folder(spark)
+    _MADE.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: a lost executor costs its running tasks, and every reader sees the same rows. It goes when the driver ends."""
-    path = folder(df.sparkSession)
+    path = passing(df.sparkSession)
     df.write.parquet(path)
-    _MADE.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
