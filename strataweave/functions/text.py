@@ -134,10 +134,10 @@ def tags_in(comments: Column) -> Column:
     return F.filter(F.transform(spaced, label), lambda t: (t != "") & ~F.startswith(t, F.lit("-")))
 
 
-def type_references(text: Column, *others: Column) -> Column:
-    """Words of three or more letters, digits and underscores, all ASCII, with a capital first: sorted and distinct, but for built-in types and ``others``."""
+def type_references(text: Column, *others: Column, builtin: tuple[str, ...] = BUILTIN_TYPES) -> Column:
+    """Words of three or more letters, digits and underscores, all ASCII, with a capital first: sorted and distinct, but for ``builtin`` types and ``others``."""
     words = F.array_distinct(F.split(text, r"(?U)\W+"))
-    known = F.array(*[F.lit(b) for b in BUILTIN_TYPES])
+    known = F.array(*[F.lit(b) for b in builtin]).cast("array<string>")
     capital = (F.lit("A"), F.lit("Z"))
     kept = F.filter(words, lambda w: F.substring(w, 1, 1).between(*capital) & (F.length(w) > 2) & ~w.rlike("[^A-Za-z0-9_]"))
     kept = F.array_except(kept, F.concat(known, F.array(*[F.coalesce(o, F.lit("")) for o in others])) if others else known)

@@ -3,7 +3,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from strataweave.functions import text as tx
 from strataweave.operators.relational import numbered
 from strataweave.plans import pipeline
 from strataweave.sources import files as src
@@ -55,3 +57,9 @@ def test_texts_are_handed_on_in_pieces(spark, root, monkeypatch):
     whole = src.scan(spark, root, "apex").collect()
     monkeypatch.setattr(src, "BYTES_A_BATCH", 1)
     assert src.scan(spark, root, "apex").collect() == whole
+
+
+def test_builtin_types_are_words_of_prose(spark):
+    df = spark.createDataFrame([("My String, Label and Foo",)], "t string")
+    assert df.select(tx.type_references(F.col("t"), builtin=())).first()[0] == ["Foo", "Label", "String"]
+    assert df.select(tx.type_references(F.col("t"))).first()[0] == ["Foo"]
