@@ -79,7 +79,9 @@ def api_key(provider: str) -> str:
 
 @dataclass(frozen=True)
 class OfflineGenerator:
-    """A description made of the prompt's first line and its hash."""
+    """A description made of the prompt's first line and its hash. It is ``local``: calls go nowhere."""
+
+    local = True
 
     def generate(self, system: str, prompt: str, label: str) -> str:
         kind = system.split(":", 1)[0]
@@ -255,7 +257,9 @@ class Journal:
 def enrich(work: DataFrame, generator: Generator, concurrency: int = CONCURRENCY, per_minute: int = 0, journal: Journal | None = None) -> DataFrame:
     """``work(kind, path, name, prompt, ...)`` with ``documentation`` and ``error``; one of them is null.
 
-    At most ``concurrency`` calls run at once. ``per_minute`` (0: no limit) is
+    At most ``concurrency`` calls run at once; a generator that says that it is
+    ``local`` calls nobody, so without a limit its rows are described where they
+    are, in as many tasks as they come in. ``per_minute`` (0: no limit) is
     dealt out to them; a call is admitted once, not for each retry. The generator
     is told the kind's fields, and an answer without them, nested ones included,
     is an error. What the ``journal`` has is not asked for again, and each answer
@@ -289,7 +293,8 @@ def enrich(work: DataFrame, generator: Generator, concurrency: int = CONCURRENCY
             yield pdf.assign(documentation=docs, error=errors)[[*names, "documentation", "error"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema) + ", documentation string, error string"
-    return work.repartition(len(capacity)).mapInPandas(run, schema)
+    dealt = work if getattr(generator, "local", False) and not per_minute else work.repartition(len(capacity))
+    return dealt.mapInPandas(run, schema)
 
 
 def documents(enriched: DataFrame, kind: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Large trees are listed and read by executors and give what small ones give."""
+"""Large trees are listed and read by executors and give what small ones give; descriptions made locally are not gathered in a few tasks."""
 
 import os
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataweave.functions import text as tx
 from strataweave.operators.relational import numbered
-from strataweave.plans import pipeline
+from strataweave.plans import enrich, pipeline
 from strataweave.sources import files as src
 
 FILES = {
@@ -63,3 +63,10 @@ def test_builtin_types_are_words_of_prose(spark):
     df = spark.createDataFrame([("My String, Label and Foo",)], "t string")
     assert df.select(tx.type_references(F.col("t"), builtin=())).first()[0] == ["Foo", "Label", "String"]
     assert df.select(tx.type_references(F.col("t"))).first()[0] == ["Foo"]
+
+
+def test_local_descriptions_are_made_where_rows_are(spark):
+    work = spark.range(40).repartition(20).select(F.lit("flows").alias("kind"), F.col("id").cast("string").alias("path"), F.lit("n").alias("name"), F.lit("p").alias("prompt"))
+    out = enrich.enrich(work, enrich.OfflineGenerator())
+    assert out.rdd.getNumPartitions() == 20 and out.where("error is null").count() == 40
+    assert enrich.enrich(work, enrich.OfflineGenerator(), 3, per_minute=1000).rdd.getNumPartitions() == 3
