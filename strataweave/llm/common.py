@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -145,3 +147,10 @@ def ordered_last(events: DataFrame, order: list[str], value: str, name: str) ->
     carried = ends.select("_part", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
     swept = ranged.withColumn("_last", F.last(value, ignorenulls=True).over(here))
     return swept.join(small(carried, n), "_part").withColumn(name, F.coalesce("_last", "_carried")).drop("_part", "_last", "_carried")
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a worker holds little beside what Spark sends."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

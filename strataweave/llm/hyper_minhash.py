@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import pieces, release, stored
 from .simhash_copies import classes, groups
 
 #: Buckets (a power of two), bits of a mantissa, and registers of a band.
@@ -82,20 +82,13 @@ def sketches(sets: DataFrame) -> DataFrame:
     """``(t1, size, registers)`` of ``sets(t1, size, set)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
+        for b in pieces(batches):
             regs = [registers(np.frombuffer(x.as_buffer(), dtype="<u8")).tobytes() for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(regs, pa.binary())], names=["t1", "size", "registers"])
 
     return sets.select("t1", "size", "set").mapInArrow(run, "t1 long, size int, registers binary")
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, so that a worker holds little beside what Spark sends."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def _matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), dtype="<u2").reshape(len(col), BUCKETS)
 
@@ -103,7 +96,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(band, t1)`` for every band with a used register; the band's number and registers are one 64-bit hash."""
     odd = np.array([pow(0xBF58476D1CE4E5B9, i + 1, 1 << 64) for i in range(BAND)], dtype=np.uint64)
-    for b in _pieces(batches):
+    for b in pieces(batches):
         regs = _matrix(b.column(1)).reshape(b.num_rows, -1, BAND)
         h = (regs.astype(np.uint64) * odd).sum(axis=2, dtype=np.uint64) + np.arange(regs.shape[1], dtype=np.uint64) * _MIX
         h = (h ^ (h >> np.uint64(29))) * _MIX
@@ -123,7 +116,7 @@ def banded(sets: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_regs", "b_regs")
 
     def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _pieces(batches):
+        for b in pieces(batches):
             found, used = estimate(_matrix(b.column(4)), _matrix(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy())
             error = np.sqrt(similarity * (1 - similarity) / np.maximum(used, 1))
             keep = pa.array(found >= similarity - SLACK * error)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named
+from .common import named, pieces
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELERS = ("pattern", "check", "gazetteer", "context", "shape")
@@ -174,7 +174,7 @@ def candidate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(doc_id, found)`` per row of ``docs``; ``found`` has ``WIDTH`` numbers a candidate. Null texts have none; rows keep their number; further columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [[int(x) for c in described(t.as_py()) for x in c] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "found"])
 
@@ -361,7 +361,7 @@ def mask(docs: DataFrame, model: SpanClassifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [redact(x, find(x, model, memo)) if (x := t.as_py()) is not None else None for t in batch.column(names.index("text"))]
             cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays(cols, names=places)
