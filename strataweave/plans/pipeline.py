@@ -1,6 +1,7 @@
 """The whole flow: scan, parse, filter, split against the snapshot, enrich, render.
 
-Everything up to the generator is lazy. Each answer is in a journal beside the
+Scans and parsers are lazy; a run stores what it parsed, described and rendered once
+each in the shared folder, so no step repeats another's work. Each answer is in a journal beside the
 snapshot before the next call, and goes into the snapshot before anything else
 reads it. So a file is described once, though executors are lost or the run ends
 early, and a run with failures still keeps its successes.
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 import logging
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,7 @@ from ..functions import apex, markup, xmlmeta
 from ..functions.text import composite_hash, content_hash, folder_of, has_any_tag, path_part, split_first_dot
 from ..operators.relational import fold_children, fuzzy_match, members
 from ..sources import files as src
-from ..sources import store
+from ..sources import scratch, store
 from . import cache, render
 from .enrich import FIELDS, Generator, Journal, OfflineGenerator, enrich
 from .prompts import prompt
@@ -76,10 +79,10 @@ def parse(spark: SparkSession, kind: str, files: DataFrame, root: str | src.Tree
     if kind == "objects":
         fields = src.scan_fields(spark, root, include_hidden)
         fields = fields.where(~xmlmeta.is_malformed(F.col("raw_source"))).withColumns(xmlmeta.parse_field(F.col("raw_source"), F.col("stem")))
-        texts = fields.groupBy("object_dir").agg(F.transform(F.array_sort(F.collect_list(F.struct("filename", "raw_source"))), lambda x: x["raw_source"]).alias("_texts"))
-        fields = fields.withColumnRenamed("object_dir", "folder_path").withColumnRenamed("path", "_path").select("folder_path", "_path", *_FIELDS)
-        out = fold_children(base, fields, ["folder_path"], ["_path"], _FIELDS, "fields")
-        out = out.join(texts.withColumnRenamed("object_dir", "folder_path"), "folder_path", "left").withColumn("hash", composite_hash(raw, F.col("_texts"))).drop("_texts")
+        fields = fields.select(F.col("object_dir").alias("folder_path"), F.col("path").alias("_path"), *_FIELDS, F.col("raw_source").alias("_text"))
+        out = fold_children(base, fields, ["folder_path"], ["_path"], [*_FIELDS, "_text"], "fields")  # a folder's paths are ordered as its file names
+        out = out.withColumn("hash", composite_hash(raw, F.transform("fields", lambda x: x["_text"])))
+        out = out.withColumn("fields", F.transform("fields", lambda x: F.struct(*[x[f].alias(f) for f in _FIELDS])))
         return out.withColumns(xmlmeta.parse_object(raw, F.col("stem"))).withColumn("name", F.col("stem"))
     raise ValueError(kind)
 
@@ -106,26 +109,45 @@ def entities(tables: dict[str, DataFrame]) -> DataFrame:
     return out.distinct()
 
 
-def _described(spark: SparkSession, tables: dict[str, DataFrame], snapshot: DataFrame) -> dict[str, DataFrame]:
-    """Metadata joined with descriptions; files without one are left out."""
-    names, out = entities(tables).persist(), {}  # every kind's links look names up; a few bytes a file, parsed once
+Keep = Callable[[DataFrame], DataFrame]
+#: Tables that are stored at once.
+AT_ONCE = 4
+
+
+def _kept(tables: dict[str, DataFrame], keep: Keep) -> dict[str, DataFrame]:
+    """Each table stored, some at once: one table's last tasks leave room for the next one's."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return dict(zip(tables, pool.map(keep, tables.values()), strict=True))
+
+
+def _described(tables: dict[str, DataFrame], snapshot: DataFrame, keep: Keep) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Metadata joined with descriptions, first without, then with what other files add; files without one are left out, and so are the texts of the others."""
+    names, found, out = keep(entities(tables)), {}, {}
     for k, df in tables.items():
         if k not in FIELDS:
             continue
         docs = snapshot.where(F.col("kind") == k).select("path", "documentation")
         fields = ", ".join(f"{f} {t}" for f, t in FIELDS[k].items())
-        rows = df.join(docs, "path").withColumn("doc", F.from_json("documentation", fields)).where("doc is not null")
-        rows = rows.join(render.see_also(rows.select("path", "doc"), names, k), "path", "left")
+        rows = df.drop("raw_source", "script", "html").join(docs, "path").withColumn("doc", F.from_json("documentation", fields)).where("doc is not null")
+        found[k] = rows.drop("documentation")
+    found = _kept(found, keep)
+    rels = None
+    for k, df in found.items():
+        part = df.select(F.lit(k).alias("from_kind"), "path", "doc.relationships")
+        rels = part if rels is None else rels.union(part)
+    links = keep(render.see_also(rels, names, keep)) if found else None
+    for k, rows in found.items():
+        rows = rows.join(links.where(F.col("from_kind") == k).select("path", "see_also"), "path", "left")
         rows = rows.withColumn("see_also", F.coalesce("see_also", F.array().cast("array<string>")))
         if k == "apex":
-            by = members(df.where(~F.col("is_interface")), "implements", "item", "name", "implemented_by")
+            by = members(tables[k].where(~F.col("is_interface")), "implements", "item", "name", "implemented_by")
             rows = rows.join(by, rows["name"] == by["item"], "left").drop("item").withColumn("implemented_by", F.coalesce("implemented_by", F.array().cast("array<string>")))
         if k == "triggers":
             classes = names.where("kind = 'apex'").select(F.col("name").alias("_class"))
             each = rows.select("path", F.explode("doc.handler_classes").alias("_class")).join(classes, "_class").groupBy("path").agg(F.collect_set("_class").alias("known_handlers"))
             rows = rows.join(each, "path", "left").withColumn("known_handlers", F.coalesce("known_handlers", F.array().cast("array<string>")))
         out[k] = rows
-    return out
+    return found, out
 
 
 def _entries(described: dict[str, DataFrame], tables: dict[str, DataFrame]) -> DataFrame:
@@ -152,12 +174,13 @@ def _entries(described: dict[str, DataFrame], tables: dict[str, DataFrame]) -> D
     return out
 
 
-def pages(described: dict[str, DataFrame], tables: dict[str, DataFrame]) -> DataFrame:
-    """``(kind, name, body)`` of every page and the index."""
+def pages(tables: dict[str, DataFrame], snapshot: DataFrame, keep: Keep) -> DataFrame:
+    """``(kind, name, body)`` of every page and the index; what ``keep`` stores is read with them."""
+    found, described = _described(tables, snapshot, keep)
     parts = [df.select(F.lit(k).alias("kind"), "name", render.PAGES[k]().alias("body")) for k, df in described.items()]
     if "custom-metadata" in tables:
         parts.append(render.record_pages(tables["custom-metadata"]))
-    parts.append(render.index(_entries(described, tables)).select(F.lit("index").alias("kind"), F.lit("index").alias("name"), "body"))
+    parts.append(render.index(_entries(found, tables)).select(F.lit("index").alias("kind"), F.lit("index").alias("name"), "body"))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -180,7 +203,7 @@ def work_rows(tables: dict[str, DataFrame], kinds: list[str] | None = None) -> D
 
 @dataclass
 class Result:
-    """The lazy pages, the counts of a run, the same by kind, and the files of which several things would be written."""
+    """The pages, stored until the driver ends, the counts of a run, the same by kind, and the files of which several things would be written."""
 
     pages: DataFrame
     snapshot: DataFrame
@@ -207,46 +230,44 @@ def build(spark: SparkSession, root: str, cache_path: str, generator: Generator
     filters). If a description fails, the others are saved, then ``Failed`` is
     raised and nothing is rendered.
     """
-    root = src.canonical(spark, root)
-    tables = metadata(spark, root, filters, include_hidden)
-    if strict:
-        for k, df in tables.items():
-            if bad := df.where("error is not null").select("path", "error").head():
-                raise Failed(f"{k}: {bad.path}: {bad.error}")
-    before = spark.createDataFrame([], cache.SCHEMA) if force else cache.load(spark, cache_path)
-    work = work_rows(tables).persist()
-    todo, ready = cache.split(work, before, model)
-    generator, journal = generator or OfflineGenerator(), _journal(cache_path, model)
-    if force:
-        store.delete(f"{journal.folder}/answers")  # of a run that ended early: everything is described anew
-    if hasattr(generator, "prepare") and not todo.isEmpty():
-        generator.prepare()
-    made = enrich(todo, generator, concurrency, per_minute, journal).persist()
-    done, failed = made.where("error is null"), made.where("error is not null")
-    # counted before the snapshot that they read is replaced
-    kinds = counts_by_kind(work, ready, made)
-    for kind, n in kinds.items():
-        log.info("%s: %s found, %s up to date, %s made, %s failed", kind, n["files"], n["up_to_date"], n["made"], n["failed"])
-    summary = {c: sum(n[c] for n in kinds.values()) for c in COUNTS}
-    if prune and filters is None:
-        cache.save(cache.vacuum(cache.update(before, done, model), work), cache_path)
-    elif force:
-        cache.save(cache.update(before, done, model), cache_path)
-    elif summary["made"] or not cache.members(spark, cache_path):
-        cache.add(done, cache_path, model)
-    errors = [r.error for r in failed.select("error").orderBy("error").limit(20).collect()]
-    store.delete(journal.folder)  # what it has is in the snapshot
-    made.unpersist()
-    work.unpersist()
-    if errors:
-        raise Failed(f"{summary['failed']} failed: " + "; ".join(errors))
-    snapshot = cache.load(spark, cache_path)
-    described = _described(spark, tables, snapshot)
-    out = pages(described, tables)
-    clashes = [f"{render.FOLDERS.get(r.kind, '.')}/{r.file}.md" for r in render.same_page(out).orderBy("kind", "file").limit(20).collect()]
-    for c in clashes:
-        log.warning("several things would be written to %s; the last one holds", c)
-    return Result(out, snapshot, summary, kinds, clashes)
+    with scratch.room(spark) as keep:
+        root = src.canonical(spark, root)
+        tables = _kept(metadata(spark, root, filters, include_hidden), keep)
+        if strict:
+            for k, df in tables.items():
+                if bad := df.where("error is not null").select("path", "error").head():
+                    raise Failed(f"{k}: {bad.path}: {bad.error}")
+        before = spark.createDataFrame([], cache.SCHEMA) if force else cache.load(spark, cache_path)
+        work = work_rows(tables)
+        todo, ready = cache.split(work, before, model)
+        generator, journal = generator or OfflineGenerator(), _journal(cache_path, model)
+        if force:
+            store.delete(f"{journal.folder}/answers")  # of a run that ended early: everything is described anew
+        if hasattr(generator, "prepare") and not todo.isEmpty():
+            generator.prepare()
+        made = keep(enrich(todo, generator, concurrency, per_minute, journal))
+        done, failed = made.where("error is null"), made.where("error is not null")
+        # counted before the snapshot that they read is replaced
+        kinds = counts_by_kind(work, ready, made)
+        for kind, n in kinds.items():
+            log.info("%s: %s found, %s up to date, %s made, %s failed", kind, n["files"], n["up_to_date"], n["made"], n["failed"])
+        summary = {c: sum(n[c] for n in kinds.values()) for c in COUNTS}
+        if prune and filters is None:
+            cache.save(cache.vacuum(cache.update(before, done, model), work), cache_path)
+        elif force:
+            cache.save(cache.update(before, done, model), cache_path)
+        elif summary["made"] or not cache.members(spark, cache_path):
+            cache.add(done, cache_path, model)
+        errors = [r.error for r in failed.select("error").orderBy("error").limit(20).collect()]
+        store.delete(journal.folder)  # what it has is in the snapshot
+        if errors:
+            raise Failed(f"{summary['failed']} failed: " + "; ".join(errors))
+        snapshot = cache.load(spark, cache_path)
+        out = scratch.stored(pages(tables, snapshot, keep))
+        clashes = [f"{render.FOLDERS.get(r.kind, '.')}/{r.file}.md" for r in render.same_page(out).orderBy("kind", "file").limit(20).collect()]
+        for c in clashes:
+            log.warning("several things would be written to %s; the last one holds", c)
+        return Result(out, snapshot, summary, kinds, clashes)
 
 
 def _journal(cache_path: str, model: str) -> Journal:
@@ -299,22 +320,22 @@ def update(spark: SparkSession, target: str, root: str, cache_path: str, generat
     path, kind = resolve(spark, target, root)
     if kind in cache.NEVER_FRESH:
         raise ValueError("custom metadata has no description to update")
-    tables = metadata(spark, root)
-    generator, journal = generator or OfflineGenerator(), _journal(cache_path, model)
-    if hasattr(generator, "prepare"):
-        generator.prepare()
-    store.delete(journal.folder)  # fresh or not, it is described anew
-    made = enrich(work_rows(tables, [kind]).where(F.col("path") == path), generator, 1, journal=journal).persist()
-    if bad := made.where("error is not null").head():
-        raise Failed(bad.error)
-    cache.add(made, cache_path, model)
-    name = made.select("name").first().name
-    store.delete(journal.folder)
-    made.unpersist()
-    snapshot = cache.load(spark, cache_path)
-    all_pages = pages(_described(spark, tables, snapshot), tables)
-    one = all_pages.where(((F.col("kind") == kind) & (F.col("name") == name)) | (F.col("kind") == "index"))
-    return Result(one, snapshot, {"files": 1, "up_to_date": 0, "made": 1, "failed": 0})
+    with scratch.room(spark) as keep:
+        tables = _kept(metadata(spark, root), keep)
+        generator, journal = generator or OfflineGenerator(), _journal(cache_path, model)
+        if hasattr(generator, "prepare"):
+            generator.prepare()
+        store.delete(journal.folder)  # fresh or not, it is described anew
+        made = keep(enrich(work_rows(tables, [kind]).where(F.col("path") == path), generator, 1, journal=journal))
+        if bad := made.where("error is not null").head():
+            raise Failed(bad.error)
+        cache.add(made, cache_path, model)
+        name = made.select("name").first().name
+        store.delete(journal.folder)
+        snapshot = cache.load(spark, cache_path)
+        all_pages = pages(tables, snapshot, keep)
+        one = all_pages.where(((F.col("kind") == kind) & (F.col("name") == name)) | (F.col("kind") == "index"))
+        return Result(scratch.stored(one), snapshot, {"files": 1, "up_to_date": 0, "made": 1, "failed": 0})
 
 
 def impact(tables: dict[str, DataFrame]) -> DataFrame:

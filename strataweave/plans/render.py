@@ -8,13 +8,16 @@ Cells are not escaped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import badges, direction, field_type, sanitize_filename
-from ..operators.relational import containment_link
+from ..operators.relational import containment_link, small
 from ..sources.page_sink import TextFiles
+from ..sources.scratch import stored
 
 #: Page folders by kind, and which kind owns a name that several have.
 FOLDERS = {"apex": "classes", "triggers": "triggers", "flows": "flows", "validation-rules": "validation-rules", "objects": "objects", "lwc": "lwc", "flexipages": "flexipages", "aura": "aura", "custom-metadata": "custom-metadata"}
@@ -157,16 +160,18 @@ def aura_page() -> Column:
 PAGES = {"apex": class_page, "triggers": trigger_page, "flows": flow_page, "validation-rules": rule_page, "objects": object_page, "lwc": component_page, "flexipages": flexipage_page, "aura": aura_page}
 
 
-def see_also(described: DataFrame, names: DataFrame, from_kind: str) -> DataFrame:
-    """``(path, see_also)``: the relationships that contain a known name, with a link to it, in order; others are left out."""
-    rels = described.select("path", F.posexplode("doc.relationships").alias("pos", "rel"))
+def see_also(described: DataFrame, names: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """``(from_kind, path, see_also)`` of ``described(from_kind, path, relationships)``: those that contain a known name, with a link to it, in order; others are left out. Each different text is looked up once."""
+    rels = described.select("from_kind", "path", F.posexplode("relationships").alias("pos", "rel"))
     owners = names.groupBy("name").agg(F.min_by("kind", "priority").alias("kind"))
-    linked = containment_link(rels, owners, ["path", "pos", "rel"], "rel", "name").join(owners, F.col("linked") == owners["name"])
+    found = containment_link(rels.select("rel").distinct(), owners, ["rel"], "rel", "name").join(owners, F.col("linked") == owners["name"])
+    linked = rels.join(small(keep(found.select("rel", "linked", "kind"))), "rel")
     target = F.lit(None).cast("string")
     for k, folder in FOLDERS.items():
-        target = F.when(F.col("kind") == k, F.concat(F.lit("" if k == from_kind else f"../{folder}/"), sanitize_filename(F.col("linked")), F.lit(".md"))).otherwise(target)
+        way = F.when(F.col("from_kind") == k, "").otherwise(f"../{folder}/")
+        target = F.when(F.col("kind") == k, F.concat(way, sanitize_filename(F.col("linked")), F.lit(".md"))).otherwise(target)
     line = F.concat(F.lit("["), F.col("linked"), F.lit("]("), target, F.lit(") — "), F.col("rel"))
-    return linked.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("see_also"))
+    return linked.groupBy("from_kind", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("see_also"))
 
 
 def record_pages(records: DataFrame) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
 _LOCAL: list[tempfile.TemporaryDirectory] = []
+_LOCK = threading.Lock()
 
 
 def folder(spark: SparkSession) -> str:
@@ -19,8 +22,9 @@ def folder(spark: SparkSession) -> str:
     if not told:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if not _LOCAL:
-            _LOCAL.append(tempfile.TemporaryDirectory(prefix="strataweave-"))
+        with _LOCK:
+            if not _LOCAL:
+                _LOCAL.append(tempfile.TemporaryDirectory(prefix="strataweave-"))
         told = _LOCAL[0].name
     return f"{told.rstrip('/')}/flow-{uuid.uuid4().hex}"
 
@@ -39,11 +43,32 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def room(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A ``stored`` whose tables go when the block ends."""
+    paths = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.append(path := folder(spark))
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session is gone, and its folder with it
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _clear() -> None:
     for spark, path in _MADE:
-        with contextlib.suppress(Exception):  # the session is gone, and its folder with it
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
 
 
 atexit.register(_clear)
