@@ -521,7 +521,7 @@ def snapshot_entries(s, d):
 @query(_LIST + ", o(model) AS (VALUES ('fixed'), ('other')) SELECT model, kind, count(*) AS files, CASE model WHEN 'fixed' THEN count(*) ELSE 0 END AS up_to_date, CASE model WHEN 'fixed' THEN 0 ELSE count(*) END AS made, CAST(0 AS BIGINT) AS failed FROM x, o WHERE kind <> 'custom-metadata' GROUP BY model, kind")
 def kind_counts(s, d):
     root, at = tree(s, d), built(s, d)
-    work = pipeline.work_rows(pipeline.metadata(s, root))
+    work = scratch.stored(pipeline.file_rows(pipeline.metadata(s, root)))  # counted several times
     known, rows = cache.load(s, f"{at}/snapshot"), []
     for model in ("fixed", "other"):
         todo, ready = cache.split(work, known, model)

@@ -187,6 +187,15 @@ def pages(tables: dict[str, DataFrame], snapshot: DataFrame, keep: Keep) -> Data
     return out
 
 
+def file_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(kind, path, hash)`` of the rows of ``work_rows``: what it takes to tell which are up to date."""
+    parts = [df.where("error is null").select(F.lit(k).alias("kind"), "path", "hash") for k, df in tables.items() if k in FIELDS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def work_rows(tables: dict[str, DataFrame], kinds: list[str] | None = None) -> DataFrame:
     """``(kind, path, hash, name, prompt, metadata)`` of what can be described; files with an error are left out."""
     parts = []
