@@ -209,7 +209,7 @@ def scan_of_nothing(s, d):
 
 def _table(s: SparkSession, d: str, kind: str) -> DataFrame:
     root = src.walk(s, tree(s, d))
-    return pipeline.parse(s, kind, src.scan(s, root, kind), root)
+    return pipeline.parse(s, kind, src.with_markup(s, root, kind), root)
 
 
 def _flat(items, f):

@@ -27,14 +27,18 @@ NEVER_FRESH = ("custom-metadata",)
 ADDITIONS = 8
 
 
+def empty(spark: SparkSession) -> DataFrame:
+    """A snapshot of nothing, of which the plan knows it: joins with it are not run."""
+    return spark.createDataFrame([], SCHEMA).where(F.lit(False))
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The snapshot; an absent, unreadable or older one is an empty snapshot and a warning, never an error."""
-    empty = spark.createDataFrame([], SCHEMA)
     try:
         if not (parts := members(spark, path)):
             if exists(spark, path):
                 warn("%s has no current version and is left aside", path)
-            return empty
+            return empty(spark)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         base, *added = [spark.read.parquet(p).select(*names) for p in parts]
         others = [df.where(F.coalesce("cache_version", F.lit(0)) != VERSION).isEmpty() for df in (base, *added)]
@@ -43,7 +47,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         warn("%s has another version and is left aside", path)
     except Exception as e:  # noqa: BLE001
         warn("%s cannot be read and is left aside: %s", path, str(e).splitlines()[0])
-    return empty
+    return empty(spark)
 
 
 def _together(base: DataFrame, added: list[DataFrame]) -> DataFrame:
@@ -67,7 +71,7 @@ def add(made: DataFrame, path: str, model: str) -> None:
     """Add what was made to the stored snapshot; with many additions, or without a snapshot that can be read, the whole is written anew."""
     spark, parts = made.sparkSession, members(made.sparkSession, path)
     if not parts:
-        save(update(spark.createDataFrame([], SCHEMA), made, model), path)
+        save(update(empty(spark), made, model), path)
     elif len(parts) <= ADDITIONS and not load(spark, path).isEmpty():
         append(_rows(made, model), path, by="kind")
     else:

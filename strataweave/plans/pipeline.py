@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,10 +59,11 @@ def parse(spark: SparkSession, kind: str, files: DataFrame, root: str | src.Tree
     if kind == "triggers":
         out = base.withColumns(apex.parse_trigger(raw))
         return out.withColumn("name", F.when(F.col("trigger_name") != "", F.col("trigger_name")).otherwise(F.col("stem")))
-    component = path_part(F.col("path"), 2, "")
+    component = src.component()
     if kind == "lwc":
-        html = src.scan_markup(spark, root, include_hidden)
-        out = base.withColumn("component_name", component).join(html.hint("merge"), ["folder_path", "component_name"], "left")
+        out = base.withColumn("component_name", component)
+        if "html" not in files.columns:
+            out = out.join(src.scan_markup(spark, root, include_hidden).hint("merge"), ["folder_path", "component_name"], "left")
         out = out.withColumn("hash", composite_hash(raw, F.filter(F.array("html"), lambda x: x.isNotNull())))
         return out.withColumns(markup.parse_component(raw, F.col("html"))).withColumn("name", F.col("component_name"))
     if kind == "aura":
@@ -89,15 +91,22 @@ def parse(spark: SparkSession, kind: str, files: DataFrame, root: str | src.Tree
 
 def metadata(spark: SparkSession, root: str | src.Tree, filters: Filters | None = None, include_hidden: bool = False) -> dict[str, DataFrame]:
     """Parsed tables by kind, after all filters. Tags leave out the kinds that cannot have any."""
+    return {k: make() for k, make in _metadata(spark, root, filters, include_hidden).items()}
+
+
+def _metadata(spark: SparkSession, root: str | src.Tree, filters: Filters | None = None, include_hidden: bool = False) -> dict[str, Callable[[], DataFrame]]:
+    """What makes each table of ``metadata``."""
     filters = filters or Filters()
+    kinds = src.chosen(filters.kinds)
     tree = root if isinstance(root, src.Tree) else src.walk(spark, root, include_hidden)
-    found = src.scan_all(spark, tree, filters.kinds, filters.name)
-    if all(df.isEmpty() for df in found.values()):
+    if all(src.is_empty(spark, tree, k, name=filters.name) for k in kinds):
         raise NoFiles(f"no files below {tree.root} after the filters")
-    out = {k: parse(spark, k, df, tree) for k, df in found.items()}
-    if filters.tags:
-        out = {k: df.where(has_any_tag(F.col("tags"), filters.tags)) for k, df in out.items() if src.BY_NAME[k].taggable}
-    return out
+
+    def table(k: str) -> DataFrame:
+        out = parse(spark, k, src.with_markup(spark, tree, k, name=filters.name), tree)
+        return out.where(has_any_tag(F.col("tags"), filters.tags)) if filters.tags else out
+
+    return {k: partial(table, k) for k in kinds if not filters.tags or src.BY_NAME[k].taggable}
 
 
 def entities(tables: dict[str, DataFrame]) -> DataFrame:
@@ -110,34 +119,34 @@ def entities(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 Keep = Callable[[DataFrame], DataFrame]
-#: Tables that are stored at once.
-AT_ONCE = 4
+#: Tables that are planned and stored at once: all kinds.
+AT_ONCE = len(src.KINDS)
 
 
-def _kept(tables: dict[str, DataFrame], keep: Keep) -> dict[str, DataFrame]:
-    """Each table stored, some at once: one table's last tasks leave room for the next one's."""
+def _kept(tables: dict[str, Callable[[], DataFrame]], keep: Keep) -> dict[str, DataFrame]:
+    """Each table made and stored, all at once: planning takes the driver as long as the work of small tables, and one table's last tasks leave room for another's."""
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        return dict(zip(tables, pool.map(keep, tables.values()), strict=True))
+        return dict(zip(tables, pool.map(lambda make: keep(make()), tables.values()), strict=True))
 
 
-def _described(tables: dict[str, DataFrame], snapshot: DataFrame, keep: Keep) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """Metadata joined with descriptions, first without, then with what other files add; files without one are left out, and so are the texts of the others."""
-    names, found, out = keep(entities(tables)), {}, {}
-    for k, df in tables.items():
-        if k not in FIELDS:
-            continue
+def _described(tables: dict[str, DataFrame], snapshot: DataFrame, keep: Keep) -> tuple[dict[str, DataFrame], Callable[[str], DataFrame]]:
+    """Metadata joined with descriptions, first without, then, by kind, with what other files add; files without one are left out, and so are the texts of the others."""
+
+    def describe(k: str) -> DataFrame:
         docs = snapshot.where(F.col("kind") == k).select("path", "documentation")
         fields = ", ".join(f"{f} {t}" for f, t in FIELDS[k].items())
-        rows = df.drop("raw_source", "script", "html").join(docs, "path").withColumn("doc", F.from_json("documentation", fields)).where("doc is not null")
-        found[k] = rows.drop("documentation")
-    found = _kept(found, keep)
-    rels = None
+        rows = tables[k].drop("raw_source", "script", "html").join(docs, "path").withColumn("doc", F.from_json("documentation", fields)).where("doc is not null")
+        return rows.drop("documentation")
+
+    found = _kept({"": lambda: entities(tables)} | {k: partial(describe, k) for k in tables if k in FIELDS}, keep)
+    names, rels = found.pop(""), None
     for k, df in found.items():
         part = df.select(F.lit(k).alias("from_kind"), "path", "doc.relationships")
         rels = part if rels is None else rels.union(part)
     links = keep(render.see_also(rels, names, keep)) if found else None
-    for k, rows in found.items():
-        rows = rows.join(links.where(F.col("from_kind") == k).select("path", "see_also"), "path", "left")
+
+    def complete(k: str) -> DataFrame:
+        rows = found[k].join(links.where(F.col("from_kind") == k).select("path", "see_also"), "path", "left")
         rows = rows.withColumn("see_also", F.coalesce("see_also", F.array().cast("array<string>")))
         if k == "apex":
             by = members(tables[k].where(~F.col("is_interface")), "implements", "item", "name", "implemented_by")
@@ -146,8 +155,9 @@ def _described(tables: dict[str, DataFrame], snapshot: DataFrame, keep: Keep) ->
             classes = names.where("kind = 'apex'").select(F.col("name").alias("_class"))
             each = rows.select("path", F.explode("doc.handler_classes").alias("_class")).join(classes, "_class").groupBy("path").agg(F.collect_set("_class").alias("known_handlers"))
             rows = rows.join(each, "path", "left").withColumn("known_handlers", F.coalesce("known_handlers", F.array().cast("array<string>")))
-        out[k] = rows
-    return found, out
+        return rows
+
+    return found, complete
 
 
 def _entries(described: dict[str, DataFrame], tables: dict[str, DataFrame]) -> DataFrame:
@@ -174,15 +184,21 @@ def _entries(described: dict[str, DataFrame], tables: dict[str, DataFrame]) -> D
     return out
 
 
+def _pages(tables: dict[str, DataFrame], snapshot: DataFrame, keep: Keep) -> dict[str, Callable[[], DataFrame]]:
+    """What makes the pages of each kind and the index."""
+    found, complete = _described(tables, snapshot, keep)
+    page = lambda k: complete(k).select(F.lit(k).alias("kind"), "name", render.PAGES[k]().alias("body"))
+    parts = {k: partial(page, k) for k in found}
+    if "custom-metadata" in tables:
+        parts["custom-metadata"] = lambda: render.record_pages(tables["custom-metadata"])
+    parts["index"] = lambda: render.index(_entries(found, tables)).select(F.lit("index").alias("kind"), F.lit("index").alias("name"), "body")
+    return parts
+
+
 def pages(tables: dict[str, DataFrame], snapshot: DataFrame, keep: Keep) -> DataFrame:
     """``(kind, name, body)`` of every page and the index; what ``keep`` stores is read with them."""
-    found, described = _described(tables, snapshot, keep)
-    parts = [df.select(F.lit(k).alias("kind"), "name", render.PAGES[k]().alias("body")) for k, df in described.items()]
-    if "custom-metadata" in tables:
-        parts.append(render.record_pages(tables["custom-metadata"]))
-    parts.append(render.index(_entries(found, tables)).select(F.lit("index").alias("kind"), F.lit("index").alias("name"), "body"))
-    out = parts[0]
-    for p in parts[1:]:
+    out, *others = [make() for make in _pages(tables, snapshot, keep).values()]
+    for p in others:
         out = out.union(p)
     return out
 
@@ -241,12 +257,12 @@ def build(spark: SparkSession, root: str, cache_path: str, generator: Generator
     """
     with scratch.room(spark) as keep:
         root = src.canonical(spark, root)
-        tables = _kept(metadata(spark, root, filters, include_hidden), keep)
+        tables = _kept(_metadata(spark, root, filters, include_hidden), keep)
         if strict:
             for k, df in tables.items():
                 if bad := df.where("error is not null").select("path", "error").head():
                     raise Failed(f"{k}: {bad.path}: {bad.error}")
-        before = spark.createDataFrame([], cache.SCHEMA) if force else cache.load(spark, cache_path)
+        before = cache.empty(spark) if force else cache.load(spark, cache_path)
         work = work_rows(tables)
         todo, ready = cache.split(work, before, model)
         generator, journal = generator or OfflineGenerator(), _journal(cache_path, model)
@@ -272,7 +288,7 @@ def build(spark: SparkSession, root: str, cache_path: str, generator: Generator
         if errors:
             raise Failed(f"{summary['failed']} failed: " + "; ".join(errors))
         snapshot = cache.load(spark, cache_path)
-        out = scratch.stored(pages(tables, snapshot, keep))
+        out = scratch.together(spark, "kind string, name string, body string", _pages(tables, snapshot, keep).values(), AT_ONCE)
         clashes = [f"{render.FOLDERS.get(r.kind, '.')}/{r.file}.md" for r in render.same_page(out).orderBy("kind", "file").limit(20).collect()]
         for c in clashes:
             log.warning("several things would be written to %s; the last one holds", c)
@@ -330,7 +346,7 @@ def update(spark: SparkSession, target: str, root: str, cache_path: str, generat
     if kind in cache.NEVER_FRESH:
         raise ValueError("custom metadata has no description to update")
     with scratch.room(spark) as keep:
-        tables = _kept(metadata(spark, root), keep)
+        tables = _kept(_metadata(spark, root), keep)
         generator, journal = generator or OfflineGenerator(), _journal(cache_path, model)
         if hasattr(generator, "prepare"):
             generator.prepare()

@@ -24,10 +24,10 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import glob_matches
+from ..functions.text import glob_matches, path_part
 from . import scratch, store
 
 log = logging.getLogger(__name__)
@@ -209,8 +209,8 @@ class Tree:
 _LISTED = "path string, length long, ending string"
 
 
-def _list_level(folders: DataFrame, many: int, include_hidden: bool, to: str) -> None:
-    """Write what a level's folders hold to the table ``to``; folders to enter have the ending ``folder``."""
+def _list_level(folders: DataFrame, many: int, include_hidden: bool, to: str) -> tuple[dict[str, int], int]:
+    """Write what a level's folders hold to the table ``to``; folders to enter have the ending ``folder``. How many rows have each ending, and the largest length, are counted as they are written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
@@ -230,7 +230,10 @@ def _list_level(folders: DataFrame, many: int, include_hidden: bool, to: str) ->
             yield part()
 
     tasks = max(1, min(many, folders.sparkSession.sparkContext.defaultParallelism), -(-many // FOLDERS_A_TASK))
-    folders.repartition(tasks).mapInArrow(run, _LISTED).write.parquet(to)
+    seen, endings = Observation(), (*ENDINGS, "folder")
+    each = [F.count_if(F.col("ending") == e).alias(f"n{i}") for i, e in enumerate(endings)]
+    folders.repartition(tasks).mapInArrow(run, _LISTED).observe(seen, *each, F.max("length").alias("most")).write.parquet(to)
+    return {e: seen.get[f"n{i}"] for i, e in enumerate(endings)}, seen.get["most"] or 0
 
 
 def _walk_apart(spark: SparkSession, root: str, include_hidden: bool) -> Tree:
@@ -239,15 +242,14 @@ def _walk_apart(spark: SparkSession, root: str, include_hidden: bool) -> Tree:
     folders = spark.createDataFrame([(root,)], "path string")
     while many:
         levels.append(scratch.passing(spark))
-        _list_level(folders, many, include_hidden, levels[-1])
+        here, most = _list_level(folders, many, include_hidden, levels[-1])
         found = spark.read.schema(_LISTED).parquet(levels[-1])
-        sums = {r.ending: r for r in found.groupBy("ending").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("most")).collect()}
-        for ending, r in sums.items():
-            counts[ending] = counts.get(ending, 0) + r.n
-        if any(r.most > MAX_BYTES for r in sums.values()):
+        for ending, n in here.items():
+            counts[ending] = counts.get(ending, 0) + n
+        if most > MAX_BYTES:
             for r in found.where(F.col("length") > MAX_BYTES).toLocalIterator():
                 _too_large(r.path, r.length)
-        folders, many = found.where("ending = 'folder'").select("path"), sums["folder"].n if "folder" in sums else 0
+        folders, many = found.where("ending = 'folder'").select("path"), here["folder"]
     listing = spark.read.schema(_LISTED).parquet(*levels).where(F.col("length") <= MAX_BYTES)
     return Tree(root, include_hidden=include_hidden, listing=listing, counts=counts)
 
@@ -396,23 +398,31 @@ def listed(spark: SparkSession, root: str | Tree, kind: str) -> DataFrame:
     return _of_kind(files, k, None).select("path", "filename", "stem")
 
 
-def _scan_listed(tree: Tree, k: Kind, name: str | None) -> DataFrame:
-    """``scan`` of a large tree: names meet their scripts' names and are put in order, then the files are read."""
-    files = _of_kind(_listed(tree, k.suffix), k, name)
+def _scan_listed(tree: Tree, k: Kind, name: str | None, ordered: bool = True, markup: bool = False) -> DataFrame:
+    """``scan`` of a large tree: names meet their scripts' names, and those of their markup, and are put in order or dealt out, then the files are read."""
+    files, beside = _of_kind(_listed(tree, k.suffix), k, name), lambda suffix, key, to: _listed(tree, suffix).select(_folder().alias("folder_path"), F.substr(F.col("filename"), F.lit(1), F.length("filename") - len(suffix)).alias(key), F.col("path").alias(to)).hint("merge")
     if k.companion:
-        js = _listed(tree, ".js").select(_folder().alias("folder_path"), F.regexp_replace("filename", r"\.js$", "").alias("stem"), F.col("path").alias("_script"))
-        files = files.join(js.hint("merge"), ["folder_path", "stem"], "left")
+        files = files.join(beside(".js", "stem", "_script"), ["folder_path", "stem"], "left")
     else:
         files = files.withColumn("_script", F.lit(None).cast("string"))
-    placed = files.repartitionByRange(_tasks(tree, k.suffix), "filename", "path").sortWithinPartitions("filename", "path")
-    read = _texts(placed, {"path": "raw_source"} | ({"_script": "script"} if k.companion else {}))
+    if markup:
+        files = files.withColumn("_component", component()).join(beside(".html", "_component", "_markup"), ["folder_path", "_component"], "left")
+    many = _tasks(tree, k.suffix)
+    placed = files.repartitionByRange(many, "filename", "path").sortWithinPartitions("filename", "path") if ordered else files.repartition(many, "path")
+    read = _texts(placed, {"path": "raw_source"} | ({"_script": "script"} if k.companion else {}) | ({"_markup": "html"} if markup else {}))
     script = F.when(F.col("script_ok"), F.col("script")) if k.companion else F.lit(None).cast("string")
     source = F.coalesce(script, F.col("raw_source")) if k.name == "lwc" else F.col("raw_source")
-    return read.select("path", "filename", "stem", "folder_path", "length", source.alias("raw_source"), F.when(~F.col("raw_source_ok"), "not UTF-8").alias("error"), script.alias("script"))
+    html = [F.when(F.col("html_ok"), F.col("html")).alias("html")] if markup else []
+    return read.select("path", "filename", "stem", "folder_path", "length", source.alias("raw_source"), F.when(~F.col("raw_source_ok"), "not UTF-8").alias("error"), script.alias("script"), *html)
 
 
-def scan(spark: SparkSession, root: str | Tree, kind: str, include_hidden: bool = False, name: str | None = None) -> DataFrame:
-    """``(path, filename, stem, folder_path, length, raw_source, error, script)`` of one kind, by filename and path; ``name`` is a shell pattern for the stem or the whole file name.
+def component(path: str = "path") -> Column:
+    """The folder that a file lies in, by its last name: what a component is called."""
+    return path_part(F.col(path), 2, "")
+
+
+def scan(spark: SparkSession, root: str | Tree, kind: str, include_hidden: bool = False, name: str | None = None, ordered: bool = True) -> DataFrame:
+    """``(path, filename, stem, folder_path, length, raw_source, error, script)`` of one kind, by filename and path unless it may come in no order; ``name`` is a shell pattern for the stem or the whole file name.
 
     Lightning components take the text of the script beside them, if there is
     one; Aura components keep their markup and have the script apart. Files
@@ -420,7 +430,7 @@ def scan(spark: SparkSession, root: str | Tree, kind: str, include_hidden: bool
     """
     k, root = BY_NAME[kind], _tree(spark, root, include_hidden)
     if root.listing is not None:
-        return _scan_listed(root, k, name)
+        return _scan_listed(root, k, name, ordered)
     files = _of_kind(read_files(spark, root, k.suffix), k, name)
     if k.companion:
         js = read_files(spark, root, ".js").where("error is null")
@@ -430,7 +440,26 @@ def scan(spark: SparkSession, root: str | Tree, kind: str, include_hidden: bool
             files = files.withColumn("raw_source", F.coalesce("script", "raw_source"))
     else:
         files = files.withColumn("script", F.lit(None).cast("string"))
-    return files.select("path", "filename", "stem", "folder_path", "length", "raw_source", "error", "script").orderBy("filename", "path")
+    files = files.select("path", "filename", "stem", "folder_path", "length", "raw_source", "error", "script")
+    return files.orderBy("filename", "path") if ordered else files
+
+
+def with_markup(spark: SparkSession, root: str | Tree, kind: str, include_hidden: bool = False, name: str | None = None) -> DataFrame:
+    """``scan`` in no order; Lightning components have the text of the markup of their name beside them as ``html``. Of a large tree only names are joined."""
+    tree = _tree(spark, root, include_hidden)
+    if kind != "lwc":
+        return scan(spark, tree, kind, include_hidden, name, ordered=False)
+    if tree.listing is not None:
+        return _scan_listed(tree, BY_NAME[kind], name, ordered=False, markup=True)
+    html = scan_markup(spark, tree, include_hidden)
+    files = scan(spark, tree, kind, include_hidden, name, ordered=False).withColumn("component_name", component())
+    return files.join(html.hint("merge"), ["folder_path", "component_name"], "left").select("path", "filename", "stem", "folder_path", "length", "raw_source", "error", "script", "html")
+
+
+def is_empty(spark: SparkSession, root: str | Tree, kind: str, include_hidden: bool = False, name: str | None = None) -> bool:
+    """Whether there is no file of a kind; of a large tree none is read."""
+    k, tree = BY_NAME[kind], _tree(spark, root, include_hidden)
+    return _of_kind(read_files(spark, tree, k.suffix, include_hidden) if tree.listing is None else _listed(tree, k.suffix), k, name).isEmpty()
 
 
 def scan_markup(spark: SparkSession, root: str | Tree, include_hidden: bool = False) -> DataFrame:
@@ -448,14 +477,16 @@ def scan_fields(spark: SparkSession, root: str | Tree, include_hidden: bool = Fa
 
 def scan_all(spark: SparkSession, root: str | Tree, kinds: list[str] | None = None, name: str | None = None, include_hidden: bool = False) -> dict[str, DataFrame]:
     """The chosen kinds (all, if none is named); ``name`` is a shell pattern for the stem or the whole file name."""
+    root = _tree(spark, root, include_hidden)
+    return {k: scan(spark, root, k, name=name) for k in chosen(kinds)}
+
+
+def chosen(kinds: list[str] | None) -> list[str]:
+    """The kinds in their order; all, if none is named."""
     unknown = set(kinds or []) - set(BY_NAME)
     if unknown:
         raise ValueError(f"unknown kinds: {', '.join(sorted(unknown))}")
-    out, root = {}, _tree(spark, root, include_hidden)
-    for k in KINDS:
-        if not kinds or k.name in kinds:
-            out[k.name] = scan(spark, root, k.name, name=name)
-    return out
+    return [k.name for k in KINDS if not kinds or k.name in kinds]
 
 
 def read_target(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,8 @@ import contextlib
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(spark: SparkSession, schema: str, makes: Iterable[Callable[[], DataFrame]], at_once: int) -> DataFrame:
+    """The rows of several tables as one, each ``stored`` for itself, some at once."""
+
+    def put(make: Callable[[], DataFrame]) -> str:
+        path = passing(spark)
+        make().write.parquet(path)
+        return path
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return spark.read.schema(schema).parquet(*pool.map(put, makes))
+
+
 @contextlib.contextmanager
 def room(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A ``stored`` whose tables go when the block ends."""
