@@ -21,6 +21,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
@@ -117,8 +118,8 @@ class Look:
 ENDINGS = (*(k.suffix for k in KINDS), ".js", ".html", ".field-meta.xml")
 #: Entries of a local tree up to which the driver walks it.
 FEW_ENTRIES = 2000
-#: Folders and files for which a task is planned, and bytes and files after which it hands on what it has read.
-FOLDERS_A_TASK, FILES_A_TASK, BYTES_A_BATCH, FILES_A_BATCH = 10_000, 5000, 8 << 20, 1000
+#: Folders and files for which a task is planned, bytes and files after which it hands on what it has read, and names after which it hands on what it has listed.
+FOLDERS_A_TASK, FILES_A_TASK, BYTES_A_BATCH, FILES_A_BATCH, NAMES_A_BATCH = 10_000, 5000, 8 << 20, 1000, 10_000
 
 
 def is_hidden(path: str) -> bool:
@@ -142,27 +143,34 @@ def _few(root: str) -> bool:
     return True
 
 
-def _look_local(folder: str) -> Look:
-    folders, mixed, files = [], False, []
+def _entry(e: os.DirEntry) -> tuple[str, int, str] | None:
+    if e.is_dir(follow_symlinks=False):
+        return e.path, 0, "mixed" if e.name in PRUNED else "folder"
+    if e.is_dir():
+        return e.path, 0, "mixed"  # a link to a folder
+    ending = next((x for x in ENDINGS if e.name.endswith(x)), None)
+    return (e.path, e.stat().st_size, ending) if ending else None
+
+
+def _entries(folder: str) -> Iterator[tuple[str, int, str]]:
+    """What a local folder holds, one after the other: paths, sizes and endings of files of known endings; ``folder`` stands for the ending of folders to enter, ``mixed`` for that of what must not be entered."""
     try:
-        entries = list(os.scandir(folder))
+        with os.scandir(folder) as entries:
+            for e in entries:
+                try:
+                    found = _entry(e)
+                except OSError:  # a link to nothing, or to itself
+                    found = e.path, 0, "mixed"
+                if found:
+                    yield found
     except OSError as e:
         log.warning("%s cannot be listed: %s", folder, e)
-        return Look([], True, [])
-    for e in entries:
-        if e.is_dir(follow_symlinks=False):
-            if e.name in PRUNED:
-                mixed = True
-            else:
-                folders.append(e.path)
-        elif e.is_dir():
-            mixed = True  # a link to a folder
-        elif e.name.endswith(ENDINGS):
-            try:
-                files.append((e.path, e.stat().st_size))
-            except OSError:
-                mixed = True  # a link to nothing
-    return Look(folders, mixed, files)
+        yield folder, 0, "mixed"
+
+
+def _look_local(folder: str) -> Look:
+    found = list(_entries(folder))
+    return Look([p for p, _, x in found if x == "folder"], any(x == "mixed" for *_, x in found), [(p, n) for p, n, x in found if x in ENDINGS])
 
 
 def _look_at(spark: SparkSession, folder: str) -> Look:
@@ -209,30 +217,31 @@ class Tree:
 _LISTED = "path string, length long, ending string"
 
 
-def _list_level(folders: DataFrame, many: int, include_hidden: bool, to: str) -> tuple[dict[str, int], int]:
-    """Write what a level's folders hold to the table ``to``; folders to enter have the ending ``folder``. How many rows have each ending, and the largest length, are counted as they are written."""
+def _names(batches: Iterator[pa.RecordBatch], include_hidden: bool) -> Iterator[pa.RecordBatch]:
+    """What the folders of ``batches`` hold as ``_LISTED``, handed on as they are listed: a task keeps ``NAMES_A_BATCH`` names, however many a folder has."""
+    found = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+    def part() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "length", "ending"])
 
-        def part() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "length", "ending"])
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            for row in _entries(folder):
+                if row[2] != "mixed" and (include_hidden or not is_hidden(row[0])):
+                    found.append(row)
+                    if len(found) >= NAMES_A_BATCH:
+                        yield part()
+                        found.clear()
+    if found:
+        yield part()
 
-        for batch in batches:
-            for folder in batch.column(0).to_pylist():
-                look = _look_local(folder)
-                rows = [(p, n, next(e for e in ENDINGS if p.endswith(e))) for p, n in look.files] + [(p, 0, "folder") for p in look.folders]
-                found += [r for r in rows if include_hidden or not is_hidden(r[0])]
-                if len(found) >= 10_000:
-                    yield part()
-                    found.clear()
-        if found:
-            yield part()
 
+def _list_level(folders: DataFrame, many: int, include_hidden: bool, to: str) -> tuple[dict[str, int], int]:
+    """Write what a level's folders hold to the table ``to``; folders to enter have the ending ``folder``. How many rows have each ending, and the largest length, are counted as they are written."""
     tasks = max(1, min(many, folders.sparkSession.sparkContext.defaultParallelism), -(-many // FOLDERS_A_TASK))
     seen, endings = Observation(), (*ENDINGS, "folder")
     each = [F.count_if(F.col("ending") == e).alias(f"n{i}") for i, e in enumerate(endings)]
-    folders.repartition(tasks).mapInArrow(run, _LISTED).observe(seen, *each, F.max("length").alias("most")).write.parquet(to)
+    folders.repartition(tasks).mapInArrow(partial(_names, include_hidden=include_hidden), _LISTED).observe(seen, *each, F.max("length").alias("most")).write.parquet(to)
     return {e: seen.get[f"n{i}"] for i, e in enumerate(endings)}, seen.get["most"] or 0
 
 
