@@ -24,6 +24,7 @@ from .sources import scratch, store
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 _MADE: dict[tuple, str] = {}
+_FOUND: dict[str, pipeline.Described] = {}
 
 
 def query(sql: str) -> Callable:
@@ -348,7 +349,7 @@ def prompt_aura(s, d):
 class Fixed:
     """A generator whose answers depend on the file's name only."""
 
-    local = True
+    local = free = True
 
     def generate(self, system: str, prompt: str, label: str) -> str:
         kind = system.split(":", 1)[0]
@@ -362,12 +363,21 @@ class Fixed:
         return json.dumps(out | {k: v for k, v in named.items() if k in out})
 
 
+def described(s: SparkSession, d: str) -> str:
+    """The folder with the snapshot of the whole tree, described once; ``_FOUND`` has what pages are made of."""
+
+    def make(at: str) -> None:
+        _FOUND[at] = pipeline.describe(s, tree(s, d), f"{at}/snapshot", Fixed(), "fixed")
+
+    return _once(s, d, "described", make)
+
+
 def built(s: SparkSession, d: str) -> str:
-    """The folder with the pages of the whole tree, made once; beside it the snapshot."""
+    """The folder with the pages of the whole tree, made once of what was described."""
 
     def make(at: str) -> None:
-        result = pipeline.build(s, tree(s, d), f"{at}/snapshot", Fixed(), "fixed")
-        result.pages.write.parquet(f"{at}/pages")
+        with scratch.room(s) as keep:
+            pipeline.rendered(s, _FOUND[described(s, d)], keep).pages.write.parquet(f"{at}/pages")
 
     return _once(s, d, "built", make)
 
@@ -514,13 +524,13 @@ def pages_index(s, d):
 
 @query(_LIST + "SELECT kind, path, 'fixed' AS model FROM x WHERE kind <> 'custom-metadata'")
 def snapshot_entries(s, d):
-    at = built(s, d)
+    at = described(s, d)
     return cache.load(s, f"{at}/snapshot").select("kind", _below(tree(s, d)).alias("path"), "model")
 
 
 @query(_LIST + ", o(model) AS (VALUES ('fixed'), ('other')) SELECT model, kind, count(*) AS files, CASE model WHEN 'fixed' THEN count(*) ELSE 0 END AS up_to_date, CASE model WHEN 'fixed' THEN 0 ELSE count(*) END AS made, CAST(0 AS BIGINT) AS failed FROM x, o WHERE kind <> 'custom-metadata' GROUP BY model, kind")
 def kind_counts(s, d):
-    root, at = tree(s, d), built(s, d)
+    root, at = tree(s, d), described(s, d)
     work = scratch.stored(pipeline.file_rows(pipeline.metadata(s, root)))  # counted several times
     known, rows = cache.load(s, f"{at}/snapshot"), []
     for model in ("fixed", "other"):

@@ -79,9 +79,9 @@ def api_key(provider: str) -> str:
 
 @dataclass(frozen=True)
 class OfflineGenerator:
-    """A description made of the prompt's first line and its hash. It is ``local``: calls go nowhere."""
+    """A description made of the prompt's first line and its hash. It is ``local``: calls go nowhere; and ``free``: asking again takes less than looking up an answer."""
 
-    local = True
+    local = free = True
 
     def generate(self, system: str, prompt: str, label: str) -> str:
         kind = system.split(":", 1)[0]

@@ -1,10 +1,12 @@
 """The whole flow: scan, parse, filter, split against the snapshot, enrich, render.
 
 Scans and parsers are lazy; a run stores what it parsed, described and rendered once
-each in the shared folder, so no step repeats another's work. Each answer is in a journal beside the
-snapshot before the next call, and goes into the snapshot before anything else
-reads it. So a file is described once, though executors are lost or the run ends
-early, and a run with failures still keeps its successes.
+each in the shared folder, so no step repeats another's work. ``describe`` ends with
+the snapshot, and ``rendered`` makes pages of what it parsed. Each answer is in a
+journal beside the snapshot before the next call, and goes into the snapshot before
+anything else reads it. So a file is described once, though executors are lost or the
+run ends early, and a run with failures still keeps its successes. The answers of a
+``free`` generator that is not held to a rate have no journal: they are made again.
 """
 
 from __future__ import annotations
@@ -247,15 +249,19 @@ def counts_by_kind(work: DataFrame, ready: DataFrame, made: DataFrame) -> dict[s
     return {r.kind: {c: r[c] for c in COUNTS} for r in rows.orderBy("kind").collect()}
 
 
-def build(spark: SparkSession, root: str, cache_path: str, generator: Generator | None = None, model: str = "offline", filters: Filters | None = None, force: bool = False, strict: bool = False, concurrency: int = 3, per_minute: int = 0, include_hidden: bool = False, prune: bool = False) -> Result:
-    """Describe what is new or changed below ``root`` and render all pages.
+@dataclass
+class Described:
+    """The parsed tables of a run, the snapshot after it, the counts and the same by kind."""
 
-    ``force`` starts from an empty snapshot; ``strict`` makes a broken file an
-    error; ``prune`` drops snapshot entries of files that are gone (only without
-    filters). If a description fails, the others are saved, then ``Failed`` is
-    raised and nothing is rendered.
-    """
-    with scratch.room(spark) as keep:
+    tables: dict[str, DataFrame]
+    snapshot: DataFrame
+    summary: dict[str, int]
+    kinds: dict[str, dict[str, int]]
+
+
+def describe(spark: SparkSession, root: str, cache_path: str, generator: Generator | None = None, model: str = "offline", filters: Filters | None = None, force: bool = False, strict: bool = False, concurrency: int = 3, per_minute: int = 0, include_hidden: bool = False, prune: bool = False, keep: Keep = scratch.stored) -> Described:
+    """Describe what is new or changed below ``root`` and save it in the snapshot, as ``build`` does; no page is made. ``keep`` stores the parsed tables."""
+    with scratch.room(spark) as passing:
         root = src.canonical(spark, root)
         tables = _kept(_metadata(spark, root, filters, include_hidden), keep)
         if strict:
@@ -265,12 +271,13 @@ def build(spark: SparkSession, root: str, cache_path: str, generator: Generator
         before = cache.empty(spark) if force else cache.load(spark, cache_path)
         work = work_rows(tables)
         todo, ready = cache.split(work, before, model)
-        generator, journal = generator or OfflineGenerator(), _journal(cache_path, model)
-        if force:
+        generator = generator or OfflineGenerator()
+        journal = None if getattr(generator, "free", False) and not per_minute else _journal(cache_path, model)
+        if force and journal:
             store.delete(f"{journal.folder}/answers")  # of a run that ended early: everything is described anew
         if hasattr(generator, "prepare") and not todo.isEmpty():
             generator.prepare()
-        made = keep(enrich(todo, generator, concurrency, per_minute, journal))
+        made = passing(enrich(todo, generator, concurrency, per_minute, journal))
         done, failed = made.where("error is null"), made.where("error is not null")
         # counted before the snapshot that they read is replaced
         kinds = counts_by_kind(work, ready, made)
@@ -284,15 +291,32 @@ def build(spark: SparkSession, root: str, cache_path: str, generator: Generator
         elif summary["made"] or not cache.members(spark, cache_path):
             cache.add(done, cache_path, model)
         errors = [r.error for r in failed.select("error").orderBy("error").limit(20).collect()]
-        store.delete(journal.folder)  # what it has is in the snapshot
+        if journal:
+            store.delete(journal.folder)  # what it has is in the snapshot
         if errors:
             raise Failed(f"{summary['failed']} failed: " + "; ".join(errors))
-        snapshot = cache.load(spark, cache_path)
-        out = scratch.together(spark, "kind string, name string, body string", _pages(tables, snapshot, keep).values(), AT_ONCE)
-        clashes = [f"{render.FOLDERS.get(r.kind, '.')}/{r.file}.md" for r in render.same_page(out).orderBy("kind", "file").limit(20).collect()]
-        for c in clashes:
-            log.warning("several things would be written to %s; the last one holds", c)
-        return Result(out, snapshot, summary, kinds, clashes)
+        return Described(tables, cache.load(spark, cache_path), summary, kinds)
+
+
+def rendered(spark: SparkSession, found: Described, keep: Keep) -> Result:
+    """All pages of what was described."""
+    out = scratch.together(spark, "kind string, name string, body string", _pages(found.tables, found.snapshot, keep).values(), AT_ONCE)
+    clashes = [f"{render.FOLDERS.get(r.kind, '.')}/{r.file}.md" for r in render.same_page(out).orderBy("kind", "file").limit(20).collect()]
+    for c in clashes:
+        log.warning("several things would be written to %s; the last one holds", c)
+    return Result(out, found.snapshot, found.summary, found.kinds, clashes)
+
+
+def build(spark: SparkSession, root: str, cache_path: str, generator: Generator | None = None, model: str = "offline", filters: Filters | None = None, force: bool = False, strict: bool = False, concurrency: int = 3, per_minute: int = 0, include_hidden: bool = False, prune: bool = False) -> Result:
+    """Describe what is new or changed below ``root`` and render all pages.
+
+    ``force`` starts from an empty snapshot; ``strict`` makes a broken file an
+    error; ``prune`` drops snapshot entries of files that are gone (only without
+    filters). If a description fails, the others are saved, then ``Failed`` is
+    raised and nothing is rendered.
+    """
+    with scratch.room(spark) as keep:
+        return rendered(spark, describe(spark, root, cache_path, generator, model, filters, force, strict, concurrency, per_minute, include_hidden, prune, keep), keep)
 
 
 def _journal(cache_path: str, model: str) -> Journal:
