@@ -7,7 +7,7 @@ tag that is not closed costs the way to the next one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import attributes, first_present, kebab_to_camel, none, strip
@@ -50,7 +50,10 @@ def parse_component(source: Column, html: Column) -> dict[str, Column]:
     A name that is a method anywhere is one. A named slot alone also gives
     ``default``. Children are tags in lower case whose name begins with ``c-``.
     """
-    members, found = decorated(source), tags(html)
+    return _component(decorated(source), tags(html))
+
+
+def _component(members: Column, found: Column) -> dict[str, Column]:
     names = lambda is_method: F.array_distinct(F.transform(F.filter(members, lambda m: m["is_method"] == is_method), lambda m: m["name"]))
     methods = names(True)
     props = F.array_except(names(False), methods)
@@ -68,7 +71,10 @@ def parse_component(source: Column, html: Column) -> dict[str, Column]:
 
 def parse_aura(source: Column) -> dict[str, Column]:
     """Attributes, events and parent of a component file."""
-    found = tags(source)
+    return _aura(tags(source))
+
+
+def _aura(found: Column) -> dict[str, Column]:
     of = lambda *names: F.transform(F.filter(found, lambda t: t["tag"].isin(*names)), lambda t: t["attributes"])
     parent = F.coalesce(first_present(F.get(of("aura:component"), F.lit(0)), "extends"), F.lit(""))
     rows = F.transform(of("aura:attribute"), lambda a: F.struct(first_present(a, "name").alias("name"), first_present(a, "type").alias("attr_type"), first_present(a, "default").alias("default"), first_present(a, "description").alias("description")))
@@ -78,3 +84,14 @@ def parse_aura(source: Column) -> dict[str, Column]:
         "events_handled": F.array_distinct(F.filter(events, lambda e: e != "")),
         "extends": F.when(parent != "", parent),
     }
+
+
+def with_component(files: DataFrame, source: str = "raw_source", html: str = "html") -> DataFrame:
+    """``files`` with the columns of ``parse_component``; members and tags are found once a row, in a projection of their own."""
+    found = files.withColumns({"_members": decorated(F.col(source)), "_tags": tags(F.col(html))})
+    return found.withColumns(_component(F.col("_members"), F.col("_tags"))).drop("_members", "_tags")
+
+
+def with_aura(files: DataFrame, source: str = "raw_source") -> DataFrame:
+    """``files`` with the columns of ``parse_aura``; tags are found once a row."""
+    return files.withColumn("_tags", tags(F.col(source))).withColumns(_aura(F.col("_tags"))).drop("_tags")

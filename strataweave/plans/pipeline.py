@@ -67,9 +67,9 @@ def parse(spark: SparkSession, kind: str, files: DataFrame, root: str | src.Tree
         if "html" not in files.columns:
             out = out.join(src.scan_markup(spark, root, include_hidden).hint("merge"), ["folder_path", "component_name"], "left")
         out = out.withColumn("hash", composite_hash(raw, F.filter(F.array("html"), lambda x: x.isNotNull())))
-        return out.withColumns(markup.parse_component(raw, F.col("html"))).withColumn("name", F.col("component_name"))
+        return markup.with_component(out).withColumn("name", F.col("component_name"))
     if kind == "aura":
-        return base.withColumn("component_name", component).withColumns(markup.parse_aura(raw)).withColumn("name", F.col("component_name"))
+        return markup.with_aura(base.withColumn("component_name", component)).withColumn("name", F.col("component_name"))
     base = base.withColumn("error", F.coalesce("error", F.when(xmlmeta.is_malformed(raw), F.lit("malformed XML"))))
     if kind == "flows":
         return base.withColumns(xmlmeta.parse_flow(raw, F.col("stem"))).withColumn("name", F.col("stem"))
@@ -81,13 +81,18 @@ def parse(spark: SparkSession, kind: str, files: DataFrame, root: str | src.Tree
         ids = split_first_dot(F.col("stem"))
         return base.withColumns(xmlmeta.parse_record(raw, ids["type"], ids["record"])).withColumn("name", F.col("type_name"))
     if kind == "objects":
-        fields = src.scan_fields(spark, root, include_hidden)
-        fields = fields.where(~xmlmeta.is_malformed(F.col("raw_source"))).withColumns(xmlmeta.parse_field(F.col("raw_source"), F.col("stem")))
-        fields = fields.select(F.col("object_dir").alias("folder_path"), F.col("path").alias("_path"), *_FIELDS, F.col("raw_source").alias("_text"))
-        out = fold_children(base, fields, ["folder_path"], ["_path"], [*_FIELDS, "_text"], "fields")  # a folder's paths are ordered as its file names
+        # whether a field is sound goes along with it, since a filter by it would read each document twice
+        fields = src.scan_fields(spark, root, include_hidden).withColumns(xmlmeta.parse_field(F.col("raw_source"), F.col("stem")) | {"_ok": ~xmlmeta.is_malformed(F.col("raw_source"))})
+        fields = fields.select(F.col("object_dir").alias("folder_path"), F.col("path").alias("_path"), *_FIELDS, F.col("raw_source").alias("_text"), "_ok")
+        own = xmlmeta.parse_object(raw, F.col("stem"))
+        base = base.withColumns(own)
+        if isinstance(root, src.Tree) and root.listing is not None:
+            base = base.hint("merge")  # what a list of names takes says nothing of the texts, and the driver gets none
+        out = fold_children(base, fields, ["folder_path"], ["_path"], [*_FIELDS, "_text", "_ok"], "fields")  # a folder's paths are ordered as its file names
+        out = out.withColumn("fields", F.filter("fields", lambda x: x["_ok"]))
         out = out.withColumn("hash", composite_hash(raw, F.transform("fields", lambda x: x["_text"])))
         out = out.withColumn("fields", F.transform("fields", lambda x: F.struct(*[x[f].alias(f) for f in _FIELDS])))
-        return out.withColumns(xmlmeta.parse_object(raw, F.col("stem"))).withColumn("name", F.col("stem"))
+        return out.select(*[c for c in out.columns if c not in own], *own, F.col("stem").alias("name"))
     raise ValueError(kind)
 
 
